@@ -197,12 +197,13 @@ def _documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """Size, prefix and positional filters for a shingle at places p1 and p2 of sets of sizes n1 <= n2.
+    """Size, prefix and positional filters for a shingle at places p1 and p2 of sets of sizes n1 and n2.
 
     At the first shingle that two linked sets share, all of them hold."""
     need = -(-PERCENT * (n1 + n2) // (100 + PERCENT))
-    short = n1 - -(-2 * PERCENT * n1 // (100 + PERCENT)) + 1
-    return (100 * n1 >= PERCENT * n2) & (p1 < short) & (np.minimum(n1 - p1, n2 - p2) >= need)
+    short = small - -(-2 * PERCENT * small // (100 + PERCENT)) + 1
+    early = np.where(n1 < n2, p1 < short, np.where(n2 < n1, p2 < short, np.minimum(p1, p2) < short))
+    return (100 * small >= PERCENT * large) & early & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -224,46 +225,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _starts(token: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], token[1:] != token[:-1]))
+    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, place, node) of shared tokens, each with the leader it is checked with and whether it may link."""
+    """Rows (token, place, node) of shared tokens, each with the leader it is checked with and whether it may link.
+
+    Rows come by token and place, so that the leader is the set with the fewest rarer shingles before the shared one: in
+    a cluster of edited copies, the one that is like most others. Rows of sets too small or large for it get the next."""
     for token, place, node in _runs(batches):
         start = _starts(token)
         alone = start & np.append(start[1:], True)
         token, place, node = (c[~alone] for c in (token, place, node))
-        if not len(token):
-            continue
-        n, p = place >> 32, place & 0xFFFFFFFF
-        rows = np.arange(len(token))
-        lead = np.maximum.accumulate(np.where(_starts(token), rows, 0))
-        while True:
-            far = 100 * n[lead] < PERCENT * n
-            if not far.any():
-                break
-            new = far & ~(np.concatenate(([False], far[:-1])) & np.concatenate(([False], lead[1:] == lead[:-1])))
-            lead = np.where(far, np.maximum.accumulate(np.where(new, rows, 0)), lead)
-        may = (lead != rows) & _may_link(n[lead], p[lead], n, p)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, place, node, node[lead], may)], names=["token", "place", "node", "lead", "may"])
+        while len(token):
+            p, n = place >> 32, place & 0xFFFFFFFF
+            rows = np.arange(len(token))
+            lead = np.maximum.accumulate(np.where(_starts(token), rows, 0))
+            like = 100 * np.minimum(n, n[lead]) >= PERCENT * np.maximum(n, n[lead])
+            may = (lead != rows) & _may_link(n[lead], p[lead], n, p)
+            columns = [c[like] for c in (token, place, node, node[lead], may)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "place", "node", "lead", "may"])
+            token, place, node = (c[~like] for c in (token, place, node))
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of rows (token, place, node, lead, part) that may link, stand in different parts and weren't checked as a star."""
     for token, place, node, lead, part in _runs(batches):
-        n, p = place >> 32, place & 0xFFFFFFFF
         bounds = np.append(np.flatnonzero(_starts(token)), len(token))
         mixed = np.minimum.reduceat(part, bounds[:-1]) != np.maximum.reduceat(part, bounds[:-1])
         for a, b in zip(bounds[:-1][mixed].tolist(), bounds[1:][mixed].tolist(), strict=True):
-            if b - a < 3 and lead[b - 1] == node[a]:
+            if b - a == 2 and (lead[a] == node[b - 1] or lead[b - 1] == node[a]):
                 continue
-            ends = a + np.searchsorted(n[a:b], n[a:b] * 100 // PERCENT, side="right")
+            p, n = place[a:b] >> 32, place[a:b] & 0xFFFFFFFF
+            order = np.argsort(n, kind="stable")
+            p, n, own, head, group = p[order], n[order], node[a:b][order], lead[a:b][order], part[a:b][order]
+            ends = np.searchsorted(n, n * 100 // PERCENT, side="right")
             left, right = [], []
-            for i in range(a, b - 1):
-                j = np.arange(i + 1, ends[i - a])
-                j = j[(part[j] != part[i]) & (lead[j] != node[i]) & _may_link(n[i], p[i], n[j], p[j])]
+            for i in range(b - a - 1):
+                j = np.arange(i + 1, ends[i])
+                j = j[(group[j] != group[i]) & (head[j] != own[i]) & (head[i] != own[j]) & _may_link(n[i], p[i], n[j], p[j])]
                 if len(j):
-                    left.append(np.full(len(j), node[i]))
-                    right.append(node[j])
+                    left.append(np.full(len(j), own[i]))
+                    right.append(own[j])
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -333,7 +336,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.first("grp").alias("grp"), F.first("n").alias("n"))
     groups = full.groupBy("grp").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = groups.select(F.posexplode("prefix").alias("p", "token"), "n", "node")
-    rows = rows.select("token", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("place"), "node")
+    rows = rows.select("token", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("place"), "node")
     shared = "token bigint, place bigint, node bigint, lead bigint, may boolean"
     shared = materialize(_parted(rows, "place", "node").mapInArrow(_stars, shared), "shared")
 
@@ -349,7 +352,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     others = members.filter("head <> node").select(F.col("head").alias("lead_node"), F.col("node").alias("member"))
     spread = shared.join(others, shared.node == others.lead_node).select("token", "place", F.col("member").alias("node"), "lead")
-    within = members.select(F.col("head").alias("token"), F.shiftleft("n", 32).alias("place"), "node", F.col("head").alias("lead"))
+    within = members.select(F.col("head").alias("token"), F.col("n").alias("place"), "node", F.col("head").alias("lead"))
     rest = shared.select("token", "place", "node", "lead").union(spread).union(within).join(parts, "node", "left")
     rest = rest.select("token", "place", "node", "lead", F.coalesce("part", "node").alias("part"))
     second = _parted(rest, "place", "node").mapInArrow(_rest, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
