@@ -7,8 +7,8 @@ for their members in the candidate search; equal sets are one node from the star
 
 Candidates are verified in two rounds. Round one verifies each group with the least of those of like size that it shares
 a shingle with (a star, so that a cluster of n copies costs about n checks). Round two takes, from every shared shingle,
-the pairs that round one has not yet joined, so that no link between components is missed. Pairs pass a size filter and
-a positional filter first; members' whole sets decide. Components follow by alternating large-star and small-star steps.
+the pairs that round one has not yet joined, so that no link between components is missed. Pairs pass a size filter, a
+positional filter and a parity bitmap filter first, none of which loses a link; members' whole sets decide. Components follow by alternating large-star and small-star steps.
 
 Defined results: a null text and one without words have an empty set, link with nothing and are their own component. A
 text of fewer than five words is one shingle. Equal texts link if they have a word. Rows with a null or repeated key are
@@ -165,12 +165,29 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(excess > 0, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
+def _bitmap(x: np.ndarray) -> bytes:
+    """Parity of the set's shingles over two to four bits for each: the bits in which two sets' maps differ are no more
+    than the shingles in which the sets do."""
+    size = max(64, 1 << (2 * len(x) - 1).bit_length()) if len(x) else 64
+    counts = np.bincount(((x >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two maps differ; the longer is folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """key, n, node (a hash of the set), grp (a hash of prefix and size), prefix (in the common order)."""
+    """key, n, node (a hash of the set), grp (a hash of prefix and size), prefix (in the common order), bits (its bitmap)."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -189,17 +206,25 @@ def _documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _signed(flat))],
-                names=["key", "n", "node", "grp", "prefix"],
+                [
+                    batch.column(0),
+                    pa.array(n, pa.int64()),
+                    pa.array(node, pa.int64()),
+                    pa.array(group, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), _signed(flat)),
+                    pa.array([_bitmap(x) for x in sets], pa.binary()),
+                ],
+                names=["key", "n", "node", "grp", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(run, f"key {kind}, n bigint, node bigint, grp bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"key {kind}, n bigint, node bigint, grp bigint, prefix array<bigint>, bits binary")
 
 
 def _may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
     """Size, prefix and positional filters for a shingle at places p1 and p2 of sets of sizes n1 and n2.
 
     At the first shingle that two linked sets share, all of them hold."""
+    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     need = -(-PERCENT * (n1 + n2) // (100 + PERCENT))
     short = small - -(-2 * PERCENT * small // (100 + PERCENT)) + 1
     early = np.where(n1 < n2, p1 < short, np.where(n2 < n1, p2 < short, np.minimum(p1, p2) < short))
@@ -225,7 +250,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _starts(token: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], token[1:] != token[:-1]))
-    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +296,28 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; keys has a document's key for each node."""
+def _close(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave a link possible."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            # Sets that share s of sizes m and n differ in m + n - 2 s; the threshold bounds s from below.
+            keep = (100 + PERCENT) * (sizes - apart) >= 2 * PERCENT * sizes
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), "n", F.col("bits").alias("y"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y")
+    return materialize(joined.mapInArrow(check, "a bigint, b bigint"), f"{name}-close")
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold; nodes has size, bitmap and a document's key for each node."""
+    pairs = _close(nodes, pairs, name)
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(keys.join(need, "node", "left_semi").select("node", "key"), f"{name}-wanted")
+    wanted = materialize(nodes.join(need, "node", "left_semi").select("node", "key"), f"{name}-wanted")
     known = wanted.select("key").filter("key is not null").distinct()
     few = known.count() <= BROADCAST_KEYS
     chosen = docs.join(F.broadcast(known) if few else known, "key", "left_semi")
@@ -288,7 +330,7 @@ def _verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([_identity(x, 11) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "shingles"])
 
     made = chosen.select("text").mapInArrow(sets, "node bigint, shingles binary")
-    made = materialize(made.dropDuplicates(["node"]) if wanted.count() else made, f"{name}-sets")
+    made = materialize(made.dropDuplicates(["node"]), f"{name}-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20, "y"):
@@ -333,7 +375,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     levels = _levels(_sketch(docs.select("text")))
     made = materialize(_documents(docs, levels), "documents")
     full = made.filter("n > 0")
-    nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.first("grp").alias("grp"), F.first("n").alias("n"))
+    nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = materialize(nodes, "nodes")
     groups = full.groupBy("grp").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = groups.select(F.posexplode("prefix").alias("p", "token"), "n", "node")
     rows = rows.select("token", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("place"), "node")
@@ -346,8 +389,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     inner = members.filter("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
     stars = shared.filter("may").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     first = materialize(stars.union(inner).distinct(), "first-pairs")
-    keys = nodes.select("node", "key")
-    links = _verify(docs, keys, first, "first-links")
+    links = _verify(docs, nodes, first, "first-links")
     parts = components(links)
 
     others = members.filter("head <> node").select(F.col("head").alias("lead_node"), F.col("node").alias("member"))
@@ -358,7 +400,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     second = _parted(rest, "place", "node").mapInArrow(_rest, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
     second = materialize(second, "second-pairs")
     if second.limit(1).count():
-        more = _verify(docs, keys, second, "second-links")
+        more = _verify(docs, nodes, second, "second-links")
         parts = components(parts.select(F.col("node").alias("a"), F.col("part").alias("b")).union(more))
 
     labelled = made.select("key", "n", "node").join(parts, "node", "left").select("key", "n", F.coalesce("part", "node").alias("part"))
