@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from weftgraph.plans.graph_queries import QUERIES as GRAPH
+from weftgraph.plans.query import Query
+from weftgraph.plans.score_queries import QUERIES as SCORE
+from weftgraph.plans.table_queries import QUERIES as TABLE
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    name: str
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
-
-
-QUERIES: list[Query] = []
+QUERIES: list[Query] = [*TABLE, *GRAPH, *SCORE]
