@@ -20,7 +20,8 @@ def last_edges(raw: DataFrame, order: str, *keys: str) -> DataFrame:
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
-    """W + W' unless W is symmetric already; a self-loop doubles with the rest."""
+    """W + W' unless W is symmetric already; a self-loop doubles with the rest. W is written once and read thrice."""
+    edges = cut(edges)
     swapped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     if not edges.exceptAll(swapped).limit(1).count():
         return edges

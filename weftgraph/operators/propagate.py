@@ -34,9 +34,7 @@ def propagate(
     score grows by more than eps. Positives end at 1; negatives are fixed at 0 (plus: there are none)."""
     keys = keys or ["term"]
     fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node", "label")
-    p = row_normalise(edges, lam)
-    if rounds > STATIC or eps:
-        p = cut(p)
+    p = cut(row_normalise(edges, lam))
     ones = fixed.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
     free = lambda s: s.join(fixed.select(*keys, "node"), [*keys, "node"], "left_anti")
     first = free(spread(p, ones, keys)).withColumn("score", alpha * F.col("score"))

@@ -12,26 +12,31 @@ from weftgraph.operators.evaluate import draw
 
 
 def uniform_bins(degrees: DataFrame, bins: int) -> DataFrame:
-    """(node, degree, bin): bins from 1 down the degrees; a bin ends after its share of nodes, but not inside a degree.
+    """(node, degree, bin): bins from 1 down the degrees, ties by node.
 
-    The rule carries state from degree to degree, so that it runs over the counts of distinct degrees, which are few."""
+    From the place where a bin has had its share of nodes, the next node whose degree isn't the bin's first begins another.
+    So a degree is parted once at most, and the rule, which carries state, runs over the distinct degrees, which are few."""
     counts = degrees.groupBy("degree").agg(F.count("*").alias("n"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("degree", ascending=False)
         width = -(-int(pdf.n.sum()) // bins)
-        out, bin_, before = [], 1, 0
-        for n in pdf.n:
-            # The first node of a new degree is the place where a full bin may end.
-            if before and before >= bin_ * width:
-                bin_ += 1
-            out.append(bin_)
-            before += int(n)
-        return pd.DataFrame({"degree": pdf.degree, "bin": out})
+        rows, bin_, start, first = [], 1, 0, None
+        for degree, n in zip(pdf.degree, pdf.n, strict=True):
+            first = degree if first is None else first
+            at = max(start, bin_ * width)
+            parted = at < start + n and degree != first
+            rows.append((degree, bin_, at - start if parted else int(n)))
+            if parted:
+                bin_, first = bin_ + 1, degree
+            start += int(n)
+        return pd.DataFrame(rows, columns=["degree", "bin", "kept"])
 
     kind = degrees.schema["degree"].dataType.simpleString()
-    table = counts.groupBy(F.lit(True)).applyInPandas(assign, f"degree {kind}, bin int")
-    return degrees.join(F.broadcast(table), "degree").select("node", "degree", "bin")
+    table = counts.groupBy(F.lit(True)).applyInPandas(assign, f"degree {kind}, bin int, kept long")
+    place = F.row_number().over(Window.partitionBy("degree").orderBy("node")) - 1
+    rows = degrees.select("node", "degree").withColumn("place", place).join(F.broadcast(table), "degree")
+    return rows.select("node", "degree", (F.col("bin") + (F.col("place") >= F.col("kept")).cast("int")).alias("bin"))
 
 
 def matched_sets(positives: DataFrame, binned: DataFrame, sets: int) -> DataFrame:
