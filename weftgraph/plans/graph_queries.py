@@ -115,8 +115,8 @@ QUERIES = [
     ),
     Query(
         "j16_undirected_pairs",
-        lambda t: G.undirected(G.within_nodes(edges(t), _parts(t, "p_size < 5").union(_suppliers(t, "s_nationkey < 3")))),
-        f"""WITH {EDGES_SQL}, x AS (SELECT concat('P', p_partkey) AS node FROM part WHERE p_size < 5 UNION ALL SELECT concat('S', s_suppkey) FROM supplier WHERE s_nationkey < 3)
+        lambda t: G.undirected(G.within_nodes(edges(t), _parts(t, "p_size < 15").union(_suppliers(t, "s_nationkey < 15")))),
+        f"""WITH {EDGES_SQL}, x AS (SELECT concat('P', p_partkey) AS node FROM part WHERE p_size < 15 UNION ALL SELECT concat('S', s_suppkey) FROM supplier WHERE s_nationkey < 15)
         SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, weight FROM edges WHERE src IN (SELECT node FROM x) AND dst IN (SELECT node FROM x)""",
     ),
     Query(

@@ -63,7 +63,7 @@ QUERIES = [
         "s2_multi_file_edges",
         lambda t: last_edges(t.channel_edges(), "seq", "channel"),
         """SELECT l_returnflag AS channel, least(concat('S', l_suppkey), concat('P', l_partkey)) AS src, greatest(concat('S', l_suppkey), concat('P', l_partkey)) AS dst,
-        arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS weight FROM lineitem GROUP BY 1, 2, 3""",
+        arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS weight FROM lineitem GROUP BY 1, 2, 3""",
     ),
     Query(
         "s3_channel_scan",

@@ -23,13 +23,13 @@ class Tables:
         return self.lineitem.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.col("l_quantity").alias("weight"))
 
     def channel_edges(self) -> DataFrame:
-        """(channel, src, dst, weight, seq): a channel for each return flag; seq is the order of the rows."""
+        """(channel, src, dst, weight, seq): a channel for each return flag; seq is a total order of the rows."""
         return self.lineitem.select(
             F.col("l_returnflag").alias("channel"),
             F.concat(F.lit("S"), "l_suppkey").alias("src"),
             F.concat(F.lit("P"), "l_partkey").alias("dst"),
             F.col("l_quantity").alias("weight"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity")).alias("seq"),
         )
 
     def labels(self) -> DataFrame:
