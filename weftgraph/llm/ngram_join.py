@@ -405,7 +405,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     labelled = made.select("key", "n", "node").join(parts, "node", "left").select("key", "n", F.coalesce("part", "node").alias("part"))
     least = labelled.filter("n > 0").groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    out = labelled.join(least.select("part", "least"), "part", "left")
+    # Written apart, so that the join's large side is dealt by itself and a large component can be split.
+    out = labelled.join(materialize(least.select("part", "least"), "least"), "part", "left")
     own = F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
