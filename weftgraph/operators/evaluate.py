@@ -85,3 +85,9 @@ def early_precision(points: DataFrame, keys: list[str], recalls: list[float], fa
 
 def over_random(measure: Column, factor: float) -> Column:
     return measure / F.lit(1 / (1 + factor))
+
+
+def split_by_mask(labels: DataFrame, mask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, test): labels of nodes outside of the mask and of those in it."""
+    nodes = mask.select("node").distinct()
+    return labels.join(nodes, "node", "left_anti"), labels.join(nodes, "node", "left_semi")

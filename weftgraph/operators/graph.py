@@ -201,3 +201,20 @@ def neighbour_shares(edges: DataFrame, positives: DataFrame) -> DataFrame:
     joined = edges.select("src", "dst").distinct().join(pos, "dst", "left")
     out = joined.groupBy(F.col("src").alias("node")).agg(F.count("hit").alias("n_pos"), F.count("*").alias("n"))
     return out.select("node", "n_pos", (F.col("n_pos") / F.col("n")).alias("share"))
+
+
+def stranded(component: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """(term, n_test, n_stranded): test positives, and those in components without a training positive of their term."""
+    reached = train.join(component, "node").select("term", "component").distinct().withColumn("ok", F.lit(1))
+    rows = test.join(component, "node").join(reached, ["term", "component"], "left")
+    return rows.groupBy("term").agg(F.count("*").alias("n_test"), F.count_if(F.col("ok").isNull()).alias("n_stranded"))
+
+
+def edge_kind(interaction: Column, directed: Column) -> Column:
+    """The kind of an interaction by words in its type, the first that fits; else by direction."""
+    text = F.lower(interaction)
+    kinds = (("phosphorylation", "phosphorylation"), ("activat", "activation"), ("inhibit", "inhibition"), ("enzym", "enzymatic"))
+    out = F.when(directed, F.lit("spike_regulation")).otherwise(F.lit("physical"))
+    for word, kind in reversed(kinds):
+        out = F.when(text.contains(word), F.lit(kind)).otherwise(out)
+    return out

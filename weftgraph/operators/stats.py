@@ -162,3 +162,28 @@ def histogram(values: DataFrame, value: str, bins: int) -> DataFrame:
     place = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))
     rows = values.filter(F.col(value).isNotNull()).crossJoin(ends)
     return rows.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), (F.count("*") / F.first("total") / F.first(width)).alias("density"))
+
+
+def pair_values(values: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, source, node, value) for all ordered pairs of a set's nodes that have a value (source, node, value)."""
+    one, two = sets.select("rep", F.col("node").alias("source")).distinct(), sets.select("rep", "node").distinct()
+    return values.filter("source <> node").join(one, "source").join(two, ["rep", "node"]).select("rep", "source", "node", "value")
+
+
+def leave_one_out(values: DataFrame, positives: DataFrame, random: DataFrame) -> DataFrame:
+    """(node, total, pval): a positive's summed values to the other positives, against those of the drawn nodes.
+
+    values is (source, node, value) for positives as nodes; the p-value is (1 + drawn sums above) / drawn nodes."""
+    pos = positives.select("node").distinct()
+    sums = values.filter("source <> node").join(pos, "node", "left_semi").groupBy("source").agg(F.sum("value").alias("total"))
+    own = pos.withColumnRenamed("node", "source").join(sums, "source", "left").na.fill(0.0, ["total"])
+    drawn = random.select(F.col("node").alias("source")).distinct().join(sums, "source", "left").na.fill(0.0, ["total"])
+    grid = own.join(F.broadcast(drawn.select(F.col("total").alias("rand"))), F.lit(True))
+    out = grid.groupBy("source").agg(F.first("total").alias("total"), ((1 + F.count_if(F.col("rand") > F.col("total"))) / F.count("*")).alias("pval"))
+    return out.withColumnRenamed("source", "node")
+
+
+def combined_enrichment(rows: DataFrame, cutoff: float) -> DataFrame:
+    """(name, n_datasets, best): sets that are enriched in any dataset, by the number of datasets and least adjusted p."""
+    good = rows.filter(F.col("padj") < cutoff)
+    return good.groupBy("name").agg(F.count_distinct("dataset").alias("n_datasets"), F.min("padj").alias("best"))

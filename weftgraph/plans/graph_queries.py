@@ -134,6 +134,25 @@ QUERIES = [
         SELECT CAST(sum(size) AS BIGINT) AS n_nodes, count(*) AS n_components, max(size) AS max_size, quantile_cont(size, 0.75) AS p75, quantile_cont(size, 0.5) AS p50,
         quantile_cont(size, 0.25) AS p25, round(100.0 * max(size) / sum(size), 6) AS percent_largest, (SELECT count(*) FROM fraw) AS n_edges FROM s""",
     ),
+    Query(
+        "g12_stranded",
+        lambda t: (lambda c, y: G.stranded(c, y.filter("label > 0"), y.filter("label < 0")))(G.connected_components(_forest(t)), t.labels()),
+        f"""{_COMPONENT_SQL}, c AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+        l AS (SELECT p_type AS term, concat('P', p_partkey) AS node, CASE WHEN p_size <= 25 THEN 1 WHEN p_size > 40 THEN -1 END AS label FROM part),
+        ok AS (SELECT DISTINCT term, component FROM l JOIN c USING (node) WHERE label > 0)
+        SELECT l.term, count(*) AS n_test, count(*) FILTER (ok.term IS NULL) AS n_stranded FROM l JOIN c USING (node) LEFT JOIN ok ON ok.term = l.term AND ok.component = c.component WHERE label < 0 GROUP BY 1""",
+    ),
+    Query(
+        "g20_seed_degrees",
+        lambda t: G.degrees(edges(t)).join(_parts(t, "p_size <= 5"), "node", "left_semi"),
+        f"WITH {EDGES_SQL}, {_DEG_SQL} SELECT node, degree, strength FROM d WHERE node IN (SELECT concat('P', p_partkey) FROM part WHERE p_size <= 5)",
+    ),
+    Query(
+        "g23_edge_kinds",
+        lambda t: t.events.select("event_id", G.edge_kind(F.when(F.col("event_type") == "click", "Activating").when(F.col("event_type") == "purchase", "enzymatic reaction").otherwise(F.col("event_type")), F.col("event_id") % 2 == 0).alias("kind")),
+        """SELECT event_id, CASE WHEN event_type = 'click' THEN 'activation' WHEN event_type = 'purchase' THEN 'enzymatic'
+        WHEN event_id % 2 = 0 THEN 'spike_regulation' ELSE 'physical' END AS kind FROM events""",
+    ),
     Query("g13_hops", lambda t: _hops(t).select("source", "node", "hops"), f"{_HOPS_SQL} SELECT source, node, hops FROM dist"),
     Query(
         "g14_costs",

@@ -203,6 +203,19 @@ QUERIES = [
         lambda t: _six(S.wins(_pairs(t), ["c_mktsegment"]), "wins", "ties", "losses"),
         f"WITH {_PAIRS_SQL} SELECT c_mktsegment, round(avg(CASE WHEN x > y THEN 1.0 ELSE 0 END), 6) AS wins, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0 END), 6) AS ties, round(avg(CASE WHEN x < y THEN 1.0 ELSE 0 END), 6) AS losses FROM pairs GROUP BY 1",
     ),
+    Query(
+        "e13_split_by_mask",
+        lambda t: E.split_by_mask(t.labels(), t.part.filter("p_brand like 'Brand#1%'").select(F.concat(F.lit("P"), "p_partkey").alias("node")))[0],
+        f"WITH {LABELS_SQL} SELECT term, node, label FROM terms WHERE node NOT IN (SELECT concat('P', p_partkey) FROM part WHERE p_brand LIKE 'Brand#1%')",
+    ),
+    Query("t5_leave_one_out", lambda t: _six(S.leave_one_out(_columns(t), _seeds(t), t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("node"))), "total", "pval")),
+    Query("t7_seed_pairs", lambda t: _six(S.pair_values(_columns(t), _seeds(t).withColumn("rep", F.lit(0))), "value")),
+    Query(
+        "t15_combined_enrichment",
+        lambda t: _six(S.combined_enrichment(t.part.select(F.col("p_type").alias("dataset"), F.col("p_brand").alias("name"), (F.col("p_size") / 100).alias("padj")), 0.1), "best"),
+        "SELECT p_brand AS name, count(DISTINCT p_type) AS n_datasets, round(min(p_size / 100), 6) AS best FROM part WHERE p_size / 100 < 0.1 GROUP BY 1",
+    ),
+    Query("t17_random_positives", lambda t: _six(_rescored(t), "pval").select("node", "pval")),
     Query("x5_kendall_tau", lambda t: _six(S.kendall_tau(T.top_k(t.scores().filter("alg = 'price'"), ["alg"], 100).join(t.part.select(F.concat(F.lit("P"), "p_partkey").alias("node"), "p_partkey"), "node").select("alg", F.col("rank").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y")), ["alg"]), "tau")),
     Query(
         "t16_histogram",
@@ -227,3 +240,19 @@ def _cross_validation(t: Tables):
     held = split.select("term", "fold", "node", "label")
     tested = held.join(scores, ["term", "fold", "node"], "left").select("term", "node", "label", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
     return E.measures(E.curve(tested.select("term", "node", "score"), held.select("term", "node", "label"), ["term"]), ["term"])
+
+
+def _columns(t: Tables):
+    """(source, node, value): diffusion between nations, as columns of the seeds; the matrix is symmetric."""
+    columns = X.diffusion(_nations(t), _seeds(t), max_rounds=40)
+    return columns.filter("node like 'N%'").select(F.col("node").alias("source"), F.col("source").alias("node"), F.col("score").alias("value"))
+
+
+def _rescored(t: Tables):
+    """Scores of one term against those from degree-matched random positives: every random set is a key of one run."""
+    e = edges(t)
+    labels = t.labels().filter("term = 'PROMO' and label > 0")
+    sets = S.matched_sets(labels, S.uniform_bins(degrees(e).select("node", "degree").filter("node like 'P%'"), 10), 10)
+    random = X.propagate(e, sets.select("rep", "node", F.lit(1).alias("label")).distinct(), 0.95, 2, plus=True, keys=["rep"])
+    real = X.propagate(e, labels, 0.95, 2, plus=True)
+    return S.permutation_p(T.without_positives(real, labels).select("node", F.round("score", 9).alias("score")), random.select("node", F.round("score", 9).alias("score")))
