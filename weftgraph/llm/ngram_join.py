@@ -412,7 +412,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least key of each component, and every row without a key."""
+    """The document with the least key of each component, and every row without a key. Rows that share a key share its fate."""
     linked = link_documents(docs, key, text)
     later = linked.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     return docs.join(later, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
