@@ -22,7 +22,7 @@ def sample_negatives(positives: DataFrame, universe: DataFrame, factor: float, r
 def split_folds(labels: DataFrame, folds: int, rep: int = 1) -> DataFrame:
     """labels with a fold; positives and negatives are split apart, and a term with too few of either goes."""
     order = Window.partitionBy("term", "label").orderBy(draw("node", "term", rep), "node")
-    rows = labels.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    rows = labels.withColumn("fold", (F.row_number().over(order).cast("long") - 1) % folds)
     enough = labels.groupBy("term").agg(F.count_if(F.col("label") > 0).alias("p"), F.count_if(F.col("label") < 0).alias("n"))
     return rows.join(enough.filter((F.col("p") >= folds) & (F.col("n") >= folds)).select("term"), "term", "left_semi")
 
@@ -43,7 +43,7 @@ def curve(scores: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
 
     idx counts unlabelled nodes too, from 0. Keys without positives or without negatives go."""
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "node")
-    rows = scores.withColumn("idx", F.row_number().over(order) - 1).join(labels, [*keys, "node"])
+    rows = scores.withColumn("idx", F.row_number().over(order).cast("long") - 1).join(labels, [*keys, "node"])
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("tp", F.sum((F.col("label") > 0).cast("long")).over(run)).withColumn("fp", F.sum((F.col("label") < 0).cast("long")).over(run))
     totals = labels.groupBy(*keys).agg(F.count_if(F.col("label") > 0).alias("n_pos"), F.count_if(F.col("label") < 0).alias("n_neg"))

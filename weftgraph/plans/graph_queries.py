@@ -170,7 +170,7 @@ QUERIES = [
     Query(
         "g17_path_nodes",
         lambda t: G.path_nodes(_hops(t)).groupBy("target").agg(F.count("*").alias("n")),
-        f"{_HOPS_SQL} SELECT node AS target, min(hops) + 1 AS n FROM dist GROUP BY node",
+        f"{_HOPS_SQL} SELECT node AS target, CAST(min(hops) + 1 AS BIGINT) AS n FROM dist GROUP BY node",
     ),
     Query(
         "g21_without_class_pairs",

@@ -129,9 +129,9 @@ QUERIES = [
     ),
     Query(
         "k9_pivot_report",
-        lambda t: T.outer_ranks(_ranks(t), ["price", "size", "third"]),
+        lambda t: T.outer_ranks(_ranks(t), ["price", "size", "third"]).na.fill(0),
         f"""WITH {_RANKS_SQL} SELECT node, max(CASE WHEN alg = 'price' THEN rank END) AS price, max(CASE WHEN alg = 'size' THEN rank END) AS size,
-        max(CASE WHEN alg = 'third' THEN rank END) AS third FROM ranks GROUP BY node""",
+        coalesce(max(CASE WHEN alg = 'third' THEN rank END), 0) AS third FROM ranks GROUP BY node""",
     ),
     Query(
         "p1_in_list_filters",
