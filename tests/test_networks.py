@@ -175,3 +175,38 @@ def test_configured_runs(path, labels):
     assert [r[0] for r in runs.expand(settings)] == ["local", "fastsinksource", "fastsinksource"] and [r[0] for r in runs.expand(settings, ["RL"])] == ["rl"]
     got = runs.run_all(path, labels, graph.nodes_of(path), settings)
     assert {(r.alg, r.params) for r in got.select("alg", "params").distinct().collect()} == {("local", ""), ("fastsinksource", "-alpha0_5-rounds2"), ("fastsinksource", "-alpha0_9-rounds2")}
+
+
+def test_expected_steps_equal_dense_algebra(spark):
+    rows = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 1.0), ("a", "d", 3.0), ("d", "e", 1.0)]
+    both = rows + [(b, a, w) for a, b, w in rows]
+    names = "abcde"
+    w = np.zeros((5, 5))
+    for a, b, x in both:
+        w[names.index(a), names.index(b)] = x
+    d = 1 / np.sqrt(w.sum(0))
+    s = d[:, None] * w * d[None]
+    degree, state = s.sum(0), np.array([0.5, 0, 0.5, 0, 0])
+    sources = spark.createDataFrame([("a",), ("c",), ("unknown",)], "node string")
+    for row in propagate.expected_steps(spark.createDataFrame(both, "src string, dst string, weight double"), sources, [1.0, 3.0]).collect():
+        leave = 1 / (1 + row.alpha * degree)
+        x, stay, mean, square, n = state, 1 - leave @ state, 0.0, 0.0, 0
+        while True:
+            n, x = n + 1, (s / degree) @ x
+            gain = n * (leave @ x) * stay
+            mean, square, stay = mean + gain, square + n * gain, stay * (1 - leave @ x)
+            if gain < 1e-4:
+                break
+        assert row.rounds == n and abs(row.expected - mean) < 1e-9 and abs(row.variance - (square - mean**2)) < 1e-9
+
+
+def test_grid_layout_places_groups_in_rows(spark):
+    members = [("big", f"n{k}") for k in range(5)] + [("mid", "m1"), ("mid", "m2")] + [("one", "o")] + [("big", "n0")]
+    got = {(r.grp, r.node): (r.x, r.y) for r in tables.grid_layout(spark.createDataFrame(members, "grp string, node string")).collect()}
+    assert len(got) == 8
+    assert [got["big", f"n{k}"] for k in range(5)] == [(0, 0), (75, 0), (150, 0), (0, 55), (75, 55)]
+    assert [got["mid", m] for m in ("m1", "m2")] == [(255, 0), (330, 0)] and got["one", "o"] == (435, 0)
+    wide = [(f"g{k}", f"n{k}{j:03}") for k in range(2) for j in range(144)]
+    got = {(r.grp, r.node): (r.x, r.y) for r in tables.grid_layout(spark.createDataFrame(wide, "grp string, node string")).collect()}
+    assert got["g0", "n0143"] == (825, 605) and got["g1", "n1000"] == (0, 725)
+    assert tables.grid_layout(spark.createDataFrame([], "grp string, node string")).count() == 0

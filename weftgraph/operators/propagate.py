@@ -146,3 +146,44 @@ def contributors(columns: DataFrame, edges: DataFrame, targets: DataFrame, cutof
         F.max_by("source", F.struct("part", "source")).alias("top_source"),
         F.max_by("near", F.struct("part", "source")).alias("top_is_near"),
     )
+
+
+def fixed_scores(edges: DataFrame, labels: DataFrame, alpha: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, node, score): what fixed positives give to free nodes, alpha * P 1_pos. Nodes that no positive reaches have no row."""
+    keys = keys or ["term"]
+    ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
+    given = spread(row_normalise(edges), ones, keys).withColumn("score", alpha * F.col("score"))
+    return given.join(labels.select(*keys, "node"), [*keys, "node"], "left_anti")
+
+
+def expected_steps(edges: DataFrame, sources: DataFrame, alphas: list[float], tol: float = 1e-4, max_rounds: int = 1000) -> DataFrame:
+    """(alpha, expected, variance, rounds): transitions of a walk from a random source before it leaves the system.
+
+    A round moves the walk once for all alphas, which differ only in the chance of leaving; an alpha is done when a round
+    adds less than tol to its expectation. The driver holds four numbers for each alpha."""
+    s = cut(symmetric_normalise(edges))
+    degree = cut(s.groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("d")))
+    moves = cut(s.join(degree.withColumnRenamed("node", "dst"), "dst").select("src", "dst", (F.col("weight") / F.col("d")).alias("weight")))
+    named = sources.select("node").distinct().join(degree.select("node"), "node", "left_semi")
+    count = named.count()
+    walk = named.select(F.lit(0).alias("k"), "node", F.lit(1.0 / max(count, 1)).alias("score"))
+
+    def leaving(walk: DataFrame) -> list[float]:
+        chances = walk.join(degree, "node").agg(*[F.sum(F.col("score") / (1 + a * F.col("d"))) for a in alphas]).first()
+        return [c or 0.0 for c in chances]
+
+    stay = [1 - p for p in leaving(walk)]
+    mean, square, done = [0.0] * len(alphas), [0.0] * len(alphas), [0] * len(alphas)
+    for n in range(1, max_rounds):
+        if all(done):
+            break
+        walk = cut(spread(moves, walk, ["k"]))
+        for i, p in enumerate(leaving(walk)):
+            if not done[i]:
+                gain = n * p * stay[i]
+                mean[i] += gain
+                square[i] += n * gain
+                stay[i] *= 1 - p
+                done[i] = n if gain < tol else 0
+    rows = [(float(a), m, q - m * m, r or max_rounds) for a, m, q, r in zip(alphas, mean, square, done, strict=True)]
+    return edges.sparkSession.createDataFrame(rows, "alpha double, expected double, variance double, rounds int")

@@ -161,3 +161,59 @@ def publication_link(pub: Column) -> Column:
     for prefix, site in sites.items():
         out = F.when(key == prefix, F.concat(F.lit(f'<a href="{site}'), value, F.lit('">'), pub, F.lit("</a>"))).otherwise(out)
     return out
+
+
+def large_enough(labels: DataFrame) -> DataFrame:
+    """Labels of the terms with two positives and two negatives at least."""
+    n = lambda label: F.count_if(F.col("label") == label)
+    good = labels.groupBy("term").agg(n(1).alias("p"), n(-1).alias("n")).filter("p > 1 and n > 1")
+    return labels.join(good.select("term"), "term", "left_semi")
+
+
+def attach_evidence(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """Evidence (src, dst, ...) whose pair, in either direction, is an edge."""
+    ends = F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")
+    return evidence.select("*", *ends).join(edges.select(*ends).distinct(), ["u", "v"], "left_semi").drop("u", "v")
+
+
+def fix_ranks(scores: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """scores with `fixed`: the interval [score, score + width] meets neither neighbour's in score order; 0 is never fixed."""
+    order = Window.partitionBy(*keys).orderBy("score", "node")
+    apart = F.coalesce(F.lag("score").over(order) + width < F.col("score"), F.lit(True)) & F.coalesce(F.col("score") + width < F.lead("score").over(order), F.lit(True))
+    return scores.withColumn("fixed", apart & (F.col("score") > 0))
+
+
+#: Fixed values of the layout: a cell's width and height, gaps between groups and rows of groups, the width for each group of a row.
+CELL_X, CELL_Y, GROUP_GAP, ROW_GAP, GROUP_WIDTH = 75.0, 55.0, 30.0, 120.0, 400.0
+
+
+def grid_layout(members: DataFrame) -> DataFrame:
+    """(grp, node, x, y): each group a near-square grid of its nodes by name, the groups by falling size (ties by name) in rows.
+
+    Where a group begins follows from a fold over the table of groups, of which a picture has few; nodes are placed by windows."""
+    members = members.select("grp", "node").distinct()
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
+    line = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "grp"))).alias("groups"))
+    columns = lambda n: F.ceil(F.sqrt(n.cast("double"))).cast("double")
+    limit = GROUP_WIDTH * columns(F.size("groups"))
+    kind = "struct<x:double,y:double,low:double,placed:array<struct<grp:string,cols:double,x0:double,y0:double>>>"
+
+    def step(at: Column, g: Column) -> Column:
+        n = -g["minus"]
+        cols = columns(n)
+        bottom = F.greatest(at["low"], at["y"] + CELL_Y * (F.ceil(n / cols) - 1))
+        right = at["x"] + cols * CELL_X + GROUP_GAP
+        wrap = right > limit
+        one = F.array(F.struct(g["grp"].alias("grp"), cols.alias("cols"), at["x"].alias("x0"), at["y"].alias("y0")))
+        return F.struct(
+            F.when(wrap, 0.0).otherwise(right).alias("x"),
+            F.when(wrap, bottom + ROW_GAP).otherwise(at["y"]).alias("y"),
+            F.when(wrap, 0.0).otherwise(bottom).alias("low"),
+            F.concat(at["placed"], one).alias("placed"),
+        ).cast(kind)
+
+    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("low"), F.array().alias("placed")).cast(kind)
+    places = line.select(F.inline(F.aggregate("groups", start, step)["placed"]))
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("node")) - 1
+    rows = members.withColumn("j", nth).join(places, "grp")
+    return rows.select("grp", "node", (F.col("x0") + CELL_X * F.pmod("j", "cols")).alias("x"), (F.col("y0") + CELL_Y * F.floor(F.col("j") / F.col("cols"))).alias("y"))
