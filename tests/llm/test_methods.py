@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.llm import decontaminate, html_extract, language_id, ngram_join, piece_codec, quality_rules, secret_scan, sharding, url_filter, warc
@@ -222,3 +223,17 @@ def test_pipeline_equals_brute_force(spark, docs):
         spans = secret_scan.base_spans(raw)
         text = secret_scan.redact(raw, spans + novelty.spans(raw, spans))
         assert codec.decode(out[k].ids) == text and out[k].round_trip
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_stars_are_the_same_however_rows_are_batched(size):
+    rng = np.random.default_rng(5)
+    token = np.repeat(np.arange(12), [1, 1, 30, 2, 1, 9, 1, 40, 1, 3, 1, 1])
+    places = (rng.integers(0, 6, len(token)) << 32) | rng.choice([5, 10, 11, 12, 40, 44, 300], len(token))
+    order = np.lexsort((places, token))
+    columns = [token[order], places[order], rng.permutation(len(token))]
+    cut = lambda n: [pa.RecordBatch.from_arrays([pa.array(c[a : a + n]) for c in columns], names=["token", "place", "node"]) for a in range(0, len(token), n)]
+    rows = lambda n: sorted(tuple(r.values()) for b in ngram_join._stars(iter(cut(n))) for r in b.to_pylist())
+    whole = rows(len(token))
+    assert rows(size) == whole
+    assert len(whole) == 30 + 2 + 9 + 40 + 3 and len({r[2] for r in whole}) == len(whole)

@@ -256,20 +256,39 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, place, node) of shared tokens, each with the leader it is checked with and whether it may link.
 
     Rows come by token and place, so that the leader is the set with the fewest rarer shingles before the shared one: in
-    a cluster of edited copies, the one that is like most others. Rows of sets too small or large for it get the next."""
-    for token, place, node in _runs(batches):
+    a cluster of edited copies, the one that is like most others. Rows of sets too small or large for it get the next.
+
+    A token may have any number of rows. From one batch to the next only its leaders are held, whose sizes are pairwise
+    unlike and so are few; or its only row so far, which counts if another follows."""
+    held, old = None, 0
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if len(columns[0]) == 0:
+            continue
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        token, place, node = columns
+        new = np.arange(len(token)) >= old
         start = _starts(token)
         alone = start & np.append(start[1:], True)
-        token, place, node = (c[~alone] for c in (token, place, node))
+        last, leaders, single = token[-1], [], alone[-1]
+        if single:
+            held, old = [c[-1:] for c in columns], 0
+        token, place, node, new = (c[~alone] for c in (token, place, node, new))
         while len(token):
             p, n = place >> 32, place & 0xFFFFFFFF
             rows = np.arange(len(token))
             lead = np.maximum.accumulate(np.where(_starts(token), rows, 0))
             like = 100 * np.minimum(n, n[lead]) >= PERCENT * np.maximum(n, n[lead])
             may = (lead != rows) & _may_link(n[lead], p[lead], n, p)
-            columns = [c[like] for c in (token, place, node, node[lead], may)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "place", "node", "lead", "may"])
-            token, place, node = (c[~like] for c in (token, place, node))
+            if token[-1] == last:
+                leaders.append([c[lead[-1:]] for c in (token, place, node)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[like & new]) for c in (token, place, node, node[lead], may)], names=["token", "place", "node", "lead", "may"]
+            )
+            token, place, node, new = (c[~like] for c in (token, place, node, new))
+        if not single:
+            held, old = [np.concatenate(x) for x in zip(*leaders, strict=True)], len(leaders)
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,6 +416,10 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     within = members.select(F.col("head").alias("token"), F.col("n").alias("place"), "node", F.col("head").alias("lead"))
     rest = shared.select("token", "place", "node", "lead").union(spread).union(within).join(parts, "node", "left")
     rest = rest.select("token", "place", "node", "lead", F.coalesce("part", "node").alias("part"))
+    # Most shingles of a cluster of copies lie in one component by now; only the others' rows are brought together.
+    rest = materialize(rest, "rest")
+    mixed = rest.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    rest = rest.join(mixed.select("token"), "token", "left_semi")
     second = _parted(rest, "place", "node").mapInArrow(_rest, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
     second = materialize(second, "second-pairs")
     if second.limit(1).count():
