@@ -412,7 +412,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = components(links)
 
     others = members.filter("head <> node").select(F.col("head").alias("lead_node"), F.col("node").alias("member"))
-    spread = shared.join(others, shared.node == others.lead_node).select("token", "place", F.col("member").alias("node"), "lead")
+    # Round one checked a member with its head alone, and not with the leaders that the head was checked with.
+    spread = shared.join(others, shared.node == others.lead_node).select("token", "place", F.col("member").alias("node"), F.col("lead_node").alias("lead"))
     within = members.select(F.col("head").alias("token"), F.col("n").alias("place"), "node", F.col("head").alias("lead"))
     rest = shared.select("token", "place", "node", "lead").union(spread).union(within).join(parts, "node", "left")
     rest = rest.select("token", "place", "node", "lead", F.coalesce("part", "node").alias("part"))
