@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and novelty under a dictionary-primed zstandard compressor.
 
 Patterns find assignments, access key ids and long hex runs. Beyond them, a candidate is a long mixed token that stands
-soon after a word of a sensitive context. Its novelty is the marginal cost: the compressed bytes of its surroundings
+soon after a word of a sensitive context, or after a reported token that does. Its novelty is the marginal cost: the compressed bytes of its surroundings
 with it, less those without, under a compressor primed with identifiers and the surroundings' usual words. Tokens that
-the primed compressor can't shorten are reported as kind `novel`; ordinary words and identifiers cost little.
+the primed compressor can't shorten are reported as kind `novel`; ordinary words and identifiers cost little. A private
+key block with such a token is one span from its first character to its last, up to the END marker.
 
 Defined results: null and empty texts have no span. Offsets are code points, ends exclusive. Repeated rows get a row
 each. An empty table gives an empty table. Other columns stay as they are.
@@ -27,14 +28,17 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
-#: A candidate stands within so many bytes after a context word.
+#: A candidate begins within so many bytes after a context word or the last reported token.
 REACH = 48
 CONTEXT = re.compile(
     rb"(?i:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth_key|client_id)"
 )
 #: Each alternative of CONTEXT has one of these.
 HINTS = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization", b"client_id")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: The body of a private key block; one without an END marker is read token by token.
+KEY_BLOCK = re.compile(rb"PRIVATE KEY(?: BLOCK)?-----\s*+([^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+)-----END ")
 #: Bytes of surroundings on either side.
 AROUND = 256
 #: Compressed bytes that a byte of an incompressible candidate costs at least.
@@ -84,15 +88,26 @@ class Novelty:
             return []
         found, last = [], -1
         for word in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, max(word.end(), last), word.end() + REACH + 4096):
-                if m.start() - word.end() > REACH:
-                    break
-                last, token = m.end(), m[0]
-                mixed = any(48 <= c <= 57 for c in token) and any(c >= 65 for c in token)
-                if mixed and not any(a < m.end() and m.start() < b for _, a, b in taken) and self.cost(text, *m.span()) >= NOVEL * len(token):
+            near = word.end()
+            # The bound only tells where a candidate may begin; it ends where its token does.
+            while m := CANDIDATE.search(text, max(word.end(), last), near + REACH + LEAST):
+                m = CANDIDATE.match(text, m.start())
+                last = m.end()
+                if any(a < m.end() and m.start() < b for _, a, b in taken):
+                    near = last
+                elif self.novel(text, m):
                     found.append(("novel", *m.span()))
+                    near = last
+        for block in KEY_BLOCK.finditer(text) if b"PRIVATE KEY" in text else ():
+            a, b = block.start(1), block.start(1) + len(block[1].rstrip())
+            if any(self.novel(text, m) for m in CANDIDATE.finditer(text, a, b)):
+                found = [s for s in found if s[2] <= a or s[1] >= b] + [("novel", a, b)]
         return found
 
+    def novel(self, text: bytes, token: re.Match) -> bool:
+        mixed = any(48 <= c <= 57 for c in token[0]) and any(c >= 65 for c in token[0])
+        return mixed and self.cost(text, *token.span()) >= NOVEL * len(token[0])
+
 
 def _chars(text: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The same spans in code points, by start and kind."""
