@@ -1,6 +1,7 @@
 """URL filters: host rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-A URL has up to MAX_KEYS canonical keys: host suffixes times path prefixes, as in public browsing lists. The listed
+A URL has a canonical key for each of its host suffixes times each of its path prefixes, however many. A path and the
+folder of that name are not told apart: a listed path, with or without a final slash, covers itself and all below. The listed
 keys make a blocked Bloom filter (one 512-bit block for a key, one bit in each of its eight words) of bounded size.
 Keys that the filter passes are joined with the list by equality, which removes the false positives; distinct URLs are
 joined, so that a URL seen many times counts once.
@@ -22,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Host suffixes and path prefixes that a URL is looked up by.
-MAX_HOSTS, MAX_PATHS = 5, 4
 #: Bits for each listed key, and most 512-bit blocks: 64 MB. A longer list has more false positives, not more memory.
 KEY_BITS, MAX_BLOCKS = 16, 1 << 20
 ALLOW, BLOCK = "allow", "block"
@@ -55,21 +54,18 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def canonical_keys(host: Column, path: Column) -> Column:
-    """host/path keys, distinct: the host without `www.` and its parents, times the path, `/` and the folders between."""
+    """host/path keys, distinct: the host without `www.` and all its parents, times `/`, all folders and the path, each with
+    and without a final slash."""
     bare = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
     labels = F.split(bare, r"\.", -1)
     n = F.size(labels)
     hosts = F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(MAX_HOSTS - 1), F.greatest(n - 2, F.lit(0)))),
+        F.sequence(F.lit(0), n - 1),
         lambda k: F.array_join(F.slice(labels, k + 1, n), "."),
     )
-    clean = F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(?<=.)/$", "")
-    parts = F.split(clean, "/", -1)
-    folders = F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(MAX_PATHS - 1), F.greatest(F.size(parts) - 1, F.lit(1)))),
-        lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")),
-    )
-    paths = F.array_distinct(F.concat(folders, F.array(F.when(clean == "", F.lit("/")).otherwise(clean))))
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", ""), "/", -1)
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    paths = F.concat(F.filter(folders, lambda p: p != ""), F.transform(folders, lambda p: F.concat(p, F.lit("/"))))
     keys = F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
