@@ -1,6 +1,7 @@
 """Two-pass external shuffle, in built-in functions only.
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded hash. Pass two puts each bucket into a
+Pass one scatters the records uniformly into memory-sized buckets by a seeded hash of the key and all else that a record
+holds, so that the records of a frequent or null key are spread, too; only wholly equal ones share a bucket. Pass two puts each bucket into a
 fixed order, gives it a seeded Fisher-Yates shuffle, and deals the records out. A record's place in the whole order is
 the number of records in earlier buckets plus its place in its own; place p goes to shard p mod n as number p div n, so
 that shard sizes differ by one at most (law `rows`) and numbers have no gaps.
@@ -48,7 +49,7 @@ def shuffle_records(records: DataFrame, key: str, n_shards: int, n_buckets: int,
     names = records.columns
     shard, slot = fresh(records, "shard"), fresh(records, "slot")
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-    mix = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
+    mix = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), row)
     scattered = records.select(mix.alias("mix"), F.pmod(mix, F.lit(n_buckets)).cast("int").alias("bucket"), row.alias("row"))
     buckets = (
         scattered.repartitionById(n_buckets, F.col("bucket"))
@@ -86,16 +87,16 @@ def write_shards(records: DataFrame, key: str, path: str, n_shards: int, n_bucke
 
 
 def shard_plan(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The digest of a shuffle of docs: key, size, text_crc32, law, shard, slot, grown_shard."""
-    lean = docs.select(F.col(key).alias("key"), text_size(F.col(text)).alias("size"), text_crc32(F.col(text)).alias("text_crc32"))
-    # The digest carries no text, so that rows alone bound a bucket's memory.
-    dealt = shuffle_records(lean, "key", n_shards, bucket_count(docs.count(), 0))
+    """The digest of the shuffled docs: key, size, text_crc32, law, shard, slot, grown_shard."""
+    rows, held = docs.agg(F.count("*"), F.coalesce(F.sum(text_size(F.col(text))), F.lit(0))).first()
+    dealt = shuffle_records(docs, key, n_shards, bucket_count(rows, held))
+    shard, slot = dealt.columns[-2:]
     return dealt.select(
-        F.col("key").alias(key),
-        "size",
-        "text_crc32",
+        F.col(key),
+        text_size(F.col(text)).alias("size"),
+        text_crc32(F.col(text)).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        "shard",
-        "slot",
+        F.col(shard).alias("shard"),
+        F.col(slot).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
