@@ -141,14 +141,37 @@ def wins(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(share(F.col("x") > F.col("y")).alias("wins"), share(F.col("x") == F.col("y")).alias("ties"), share(F.col("x") < F.col("y")).alias("losses"))
 
 
+def inversions(y: np.ndarray) -> int:
+    """Pairs of y that stand in falling order, by merging sorted runs of doubled length."""
+    y = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    n, total, width, place = len(y), 0, 1, np.arange(len(y))
+    while width < n:
+        run = place // (2 * width)
+        left = (place // width) % 2 == 0
+        order = np.lexsort((~left, y, run))  # of equals, the left run's first
+        # Each of the right run passes those of its left run that stand after it.
+        ahead = np.cumsum(left[order])
+        ends = np.minimum((run + 1) * 2 * width, n) - 1
+        total += int((ahead[ends[order]] - ahead)[~left[order]].sum())
+        y, width = y[order], 2 * width
+    return total
+
+
 def kendall_tau(ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tau) of two rankings (x, y) of a small set of nodes, without ties."""
+    """(keys, tau) of two rankings (x, y) of nodes: concordant less discordant pairs, over all. A pair tied in either counts as
+    neither. One task reads a key's ranking, and sorts it."""
+
+    def tied(*columns: np.ndarray) -> int:
+        n = np.unique(np.stack(columns), axis=1, return_counts=True)[1].astype(object)
+        return (n * (n - 1) // 2).sum()
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
-        signs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
         n = len(x)
-        value = signs.sum() / (n * (n - 1)) if n > 1 else np.nan
+        pairs = n * (n - 1) // 2
+        # By x, and among equal x by y, what stands in order of y is not discordant.
+        both = pairs - tied(x) - tied(y) + tied(x, y) - 2 * inversions(y[np.lexsort((y, x))]) if n > 1 else 0
+        value = both / pairs if n > 1 else np.nan
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "tau": [value]})
 
     kinds = ", ".join(f"{k} {ranks.schema[k].dataType.simpleString()}" for k in keys)

@@ -35,6 +35,15 @@ def _nations(t: Tables):
     return raw.union(raw.select("dst", "src", "weight"))
 
 
+def _trade(t: Tables):
+    """The whole network of nations that trade with customers: every order and line item."""
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
+    pairs = o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"))
+    raw = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    return raw.union(raw.select("dst", "src", "weight"))
+
+
 _NATIONS_SQL = """nraw AS (SELECT concat('C', c_custkey % 400) AS src, concat('N', s_nationkey) AS dst, CAST(count(*) AS DOUBLE) AS weight
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE o_totalprice > 250000 GROUP BY 1, 2 HAVING count(*) >= 2),

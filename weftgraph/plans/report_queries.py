@@ -10,7 +10,7 @@ from weftgraph.operators import graph as G
 from weftgraph.operators import propagate as X
 from weftgraph.operators import stats as S
 from weftgraph.operators import tables as T
-from weftgraph.plans.graph_queries import _channels, _nations, _parts, _six, _suppliers, edges
+from weftgraph.plans.graph_queries import _channels, _parts, _six, _suppliers, _trade, edges
 from weftgraph.plans.query import Query
 from weftgraph.plans.score_queries import _BASE, _CURVE_SQL, _P_SQL, _points, _propagation_sql, _seeds
 from weftgraph.plans.table_queries import _RANKS_SQL, _WIDE_SQL, _ranks, _wide
@@ -204,7 +204,7 @@ QUERIES = [
         SELECT src, dst, weight, round(9 * (weight - min(weight) OVER ()) / (max(weight) OVER () - min(weight) OVER ()) + 1, 6) AS width FROM s"""),
     Query("g19_neighbours", lambda t: edges(t).filter("src = 'S1'").select(F.col("dst").alias("node")), f"WITH {EDGES_SQL} SELECT dst AS node FROM edges WHERE src = 'S1'"),
     Query("w1_added_channels", lambda t: G.add_networks(_channels(t).select("src", "dst", "weight")), f"WITH {EDGES_SQL} SELECT src, dst, weight FROM edges"),
-    Query("x14_expected_steps", lambda t: _six(X.expected_steps(_nations(t), _seeds(t), [1.0, 2.0, 4.0]), "expected", "variance")),
+    Query("x14_expected_steps", lambda t: _six(X.expected_steps(_trade(t), _seeds(t), [1.0, 2.0, 4.0]), "expected", "variance")),
     Query(
         "e9_degenerate_terms",
         lambda t: E.measures(E.curve(t.scores().filter("alg = 'price'").select(F.lit("PROMO").alias("term"), "node", "score").union(t.scores().filter("alg = 'size'").select(F.lit("none").alias("term"), "node", "score")), t.labels().filter("term = 'PROMO'"), ["term"]), ["term"]).select("term", "n_pos"),

@@ -10,7 +10,7 @@ from weftgraph.operators import propagate as X
 from weftgraph.operators import stats as S
 from weftgraph.operators import tables as T
 from weftgraph.operators.graph import degrees, nodes_of
-from weftgraph.plans.graph_queries import _nations, _six, edges
+from weftgraph.plans.graph_queries import _six, _trade, edges
 from weftgraph.plans.query import Query
 from weftgraph.sources.tables import EDGES_SQL, LABELS_SQL, SCORES_SQL, Tables
 
@@ -93,17 +93,17 @@ QUERIES = [
         f"""WITH {_X2_SQL} SELECT * FROM (SELECT term, node, row_number() OVER (PARTITION BY term ORDER BY score DESC, node) AS rank, score
         FROM (SELECT term, node, round(score, 6) AS score FROM result) WHERE score <> 0) WHERE rank <= 50""",
     ),
-    Query("x2_propagation_to_eps", lambda t: _six(X.propagate(_nations(t), _nation_labels(t), 0.8, 200, 1e-6, plus=True), "score")),
-    Query("x4_bounds", lambda t: _six(X.bounds(_nations(t), _nation_labels(t), 0.5)[0], "score")),
-    Query("x4_bound_rounds", lambda t: _six(X.bounds(_nations(t), _nation_labels(t), 0.5)[1], "ub")),
-    Query("x6_genemania", lambda t: _six(X.genemania(_nations(t), _nation_labels(t), nodes_of(_nations(t)), max_rounds=40), "score")),
-    Query("x7_regularised_laplacian", lambda t: _six(X.regularised_laplacian(_nations(t), _nation_labels(t), max_rounds=40), "score")),
+    Query("x2_propagation_to_eps", lambda t: _six(X.propagate(_trade(t), _nation_labels(t), 0.8, 200, 1e-6, plus=True), "score")),
+    Query("x4_bounds", lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.5)[0], "score")),
+    Query("x4_bound_rounds", lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.5)[1], "ub")),
+    Query("x6_genemania", lambda t: _six(X.genemania(_trade(t), _nation_labels(t), nodes_of(_trade(t)), max_rounds=40), "score")),
+    Query("x7_regularised_laplacian", lambda t: _six(X.regularised_laplacian(_trade(t), _nation_labels(t), max_rounds=40), "score")),
     Query("x8_logistic_regression", lambda t: _six(K.logistic(t.embeddings.select(F.col("vec_id").cast("string").alias("node"), "embedding", (F.col("label") == 0).cast("int").alias("y"))), "score")),
     Query("x9_svm", lambda t: _six(K.svm(t.embeddings.select(F.col("vec_id").cast("string").alias("node"), "embedding", (F.col("label") == 0).cast("int").alias("y"))), "score")),
-    Query("x11_diffusion_columns", lambda t: _six(X.diffusion(_nations(t), _seeds(t), max_rounds=40), "score")),
+    Query("x11_diffusion_columns", lambda t: _six(X.diffusion(_trade(t), _seeds(t), max_rounds=40), "score")),
     Query(
         "x12_contributors",
-        lambda t: (lambda e: _six(X.contributors(X.diffusion(e, _seeds(t), max_rounds=40), e, nodes_of(e).filter("node like 'C%'"), 0.3), "effective_diffusion"))(_nations(t)),
+        lambda t: (lambda e: _six(X.contributors(X.diffusion(e, _seeds(t), max_rounds=40), e, nodes_of(e).filter("node like 'C%'"), 0.3), "effective_diffusion"))(_trade(t)),
     ),
     Query(
         "e1_sample_negatives",
@@ -216,7 +216,7 @@ QUERIES = [
         "SELECT p_brand AS name, count(DISTINCT p_type) AS n_datasets, round(min(p_size / 100), 6) AS best FROM part WHERE p_size / 100 < 0.1 GROUP BY 1",
     ),
     Query("t17_random_positives", lambda t: _six(_rescored(t), "pval").select("node", "pval")),
-    Query("x5_kendall_tau", lambda t: _six(S.kendall_tau(T.top_k(t.scores().filter("alg = 'price'"), ["alg"], 100).join(t.part.select(F.concat(F.lit("P"), "p_partkey").alias("node"), "p_partkey"), "node").select("alg", F.col("rank").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y")), ["alg"]), "tau")),
+    Query("x5_kendall_tau", lambda t: _six(S.kendall_tau(T.top_k(t.scores().filter("alg = 'price'"), ["alg"], -1).join(t.part.select(F.concat(F.lit("P"), "p_partkey").alias("node"), "p_partkey"), "node").select("alg", F.col("rank").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y")), ["alg"]), "tau")),
     Query(
         "t16_histogram",
         lambda t: _six(S.histogram(t.orders, "o_totalprice", 20), "density"),
@@ -244,7 +244,7 @@ def _cross_validation(t: Tables):
 
 def _columns(t: Tables):
     """(source, node, value): diffusion between nations, as columns of the seeds; the matrix is symmetric."""
-    columns = X.diffusion(_nations(t), _seeds(t), max_rounds=40)
+    columns = X.diffusion(_trade(t), _seeds(t), max_rounds=40)
     return columns.filter("node like 'N%'").select(F.col("node").alias("source"), F.col("source").alias("node"), F.col("score").alias("value"))
 
 
