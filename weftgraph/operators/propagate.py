@@ -5,6 +5,8 @@ static plan up to STATIC rounds; longer runs cut the lineage every round."""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,12 @@ def propagate(
     return state.filter("score > 0").unionByName(ones)
 
 
-def bounds(edges: DataFrame, labels: DataFrame, alpha: float = 0.8, max_rounds: int = 20, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def bounds(edges: DataFrame, labels: DataFrame, alpha: float = 0.8, max_rounds: int = 1000, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Propagation without negatives until the bounds fix every rank: (scores, statistics of each round).
 
     After i rounds a score can still grow by alpha^i max(f) / (1 - alpha). A node is ranked when its interval meets neither
-    neighbour's in score order; a node without score never is."""
+    neighbour's in score order; a node without score never is, and rounds go on while nodes get their first one. Equal scores stay unranked: rounds end when no bound is large
+    enough to move any score, as doubles, or after max_rounds. The last round's statistics and a warning tell what is left."""
     keys = keys or ["term"]
     if not alpha < 1:
         raise ValueError("bounds need alpha < 1")
@@ -69,7 +72,7 @@ def bounds(edges: DataFrame, labels: DataFrame, alpha: float = 0.8, max_rounds:
     free = lambda s: s.join(fixed, [*keys, "node"], "left_anti")
     first = cut(free(spread(p, ones, keys)).withColumn("score", alpha * F.col("score")))
     top = first.groupBy(*keys).agg(F.max("score").alias("top"))
-    state, rows = first, None
+    state, rows, reached = first, None, 0
     order = Window.partitionBy(*keys).orderBy("score", "node")
     for k in range(1, max_rounds + 1):
         if k > 1:
@@ -78,10 +81,14 @@ def bounds(edges: DataFrame, labels: DataFrame, alpha: float = 0.8, max_rounds:
         gap = state.join(F.broadcast(top), keys).withColumn("ub", alpha**k / (1 - alpha) * F.col("top"))
         gap = gap.withColumn("before", F.lag("score").over(order)).withColumn("after", F.lead("score").over(order))
         open_ = (F.coalesce(F.col("before") + F.col("ub") >= F.col("score"), F.lit(False))) | F.coalesce(F.col("score") + F.col("ub") >= F.col("after"), F.lit(False))
-        one = cut(gap.groupBy(*keys).agg(F.sum(open_.cast("long")).alias("unranked"), F.first("ub").alias("ub")).withColumn("round", F.lit(k)))
-        rows = one if rows is None else rows.unionByName(one)
-        if not one.filter("unranked > 0").limit(1).count():
+        one = gap.groupBy(*keys).agg(F.sum(open_.cast("long")).alias("unranked"), F.first("ub").alias("ub"), F.min(F.when(F.col("score") > 0, F.col("score"))).alias("least"), F.count("*").alias("n"))
+        one = cut(one.withColumn("round", F.lit(k)))
+        rows = one.drop("least", "n") if rows is None else rows.unionByName(one.drop("least", "n"))
+        seen, (left, moving, reached) = reached, one.agg(F.sum("unranked"), F.max((F.col("unranked") > 0) & (F.col("ub") > F.col("least") * 2.0**-54)), F.sum("n")).first()
+        if reached == seen and not (left and moving) or not reached:
             break
+    if left:
+        warnings.warn(f"bounds: {left} nodes are unranked after {k} rounds", stacklevel=2)
     return state.unionByName(ones), rows
 
 

@@ -94,8 +94,8 @@ QUERIES = [
         FROM (SELECT term, node, round(score, 6) AS score FROM result) WHERE score <> 0) WHERE rank <= 50""",
     ),
     Query("x2_propagation_to_eps", lambda t: _six(X.propagate(_trade(t), _nation_labels(t), 0.8, 200, 1e-6, plus=True), "score")),
-    Query("x4_bounds", lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.5)[0], "score")),
-    Query("x4_bound_rounds", lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.5)[1], "ub")),
+    Query("x4_bounds", lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.8)[0], "score")),
+    Query("x4_bound_rounds", lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.8)[1], "ub")),
     Query("x6_genemania", lambda t: _six(X.genemania(_trade(t), _nation_labels(t), nodes_of(_trade(t)), max_rounds=40), "score")),
     Query("x7_regularised_laplacian", lambda t: _six(X.regularised_laplacian(_trade(t), _nation_labels(t), max_rounds=40), "score")),
     Query("x8_logistic_regression", lambda t: _six(K.logistic(t.embeddings.select(F.col("vec_id").cast("string").alias("node"), "embedding", (F.col("label") == 0).cast("int").alias("y"))), "score")),
