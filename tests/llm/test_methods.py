@@ -140,25 +140,11 @@ def test_shards_are_written(spark, tmp_path):
     assert sorted(r.doc_id for r in back) == list(range(300)) and {r.shard for r in back} == {0, 1, 2, 3}
 
 
-def test_wrapper_drops_the_template():
-    page = "<html><body><div><p>Same on all pages</p></div><div class=x><p>Text {0} of the page number {0}</p><p>Read on</p></div></body></html>"
-    made = html_extract.induce([page.format(f"{k} " * (k + 3)) for k in range(6)])
-    text = html_extract.main_text(page.format("z"), html_extract.Wrapper(made))
-    assert text == "Text z of the page number z"
-    assert html_extract.main_text("<body><main><p>Other</main>", html_extract.Wrapper(made)) == "Other"
-
-
-def test_tree_matching():
-    a, b = (html_extract.parse(h) for h in ("<div><p>1<b>x</b></p><ul><li>1<li>2</ul></div>", "<div><p>2</p><p>3</p><ul><li>1</ul></div>"))
-    size, pairs = html_extract.match_trees(a, b)
-    assert size == 5 and len(pairs) == 5
-
-
 def test_site_parts_go():
     html = """<html><body><header><h1>Site</h1></header><div id="main-menu"><a>x</a></div><main><article><header><h1>Title</h1></header>
     <p>One &amp; <b>t</b>wo<br>three</p><div class="cookie-notice">n</div><ul><li>a<li>b</ul><form>f<input></form><script>if (a<b) "</p>"</script>
     <section class="comments"><p>nice</p></section></article></main><aside>s</aside><div class="sidebar">q</div><div class="ad">buy</div><footer>f</footer></body>"""
-    assert html_extract.main_text(html, html_extract.Wrapper(None)) == "Title\nOne & two three\na\nb"
+    assert html_extract.main_text(html, None) == "Title\nOne & two three\na\nb"
 
 
 def test_bloom_passes_all_listed(spark):

@@ -1,42 +1,58 @@
 """Main text of web pages by wrapper induction.
 
-A bounded sample of each host's pages (SAMPLE, by a hash of their URLs) is parsed, and every page of it is aligned with
-the first by simple tree matching. Aligned nodes whose text stays the same are the host's template; slots whose text
-varies are content. The wrapper of a host is the path of the node that holds its varying text and the constant texts.
-Every page of the host is then read with that wrapper: the content node's blocks, in page order, without template texts
-and without parts that serve the site (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments).
-A page that has no node at the wrapper's path, and a host without a wrapper, is read by the page's own structure.
-
-Defined results: null and empty html give an empty text, as does a page of tags only. Pages with a null URL have no
-host and so no wrapper. Repeated rows get a row each. Truncated pages give the text up to their end; broken nesting is
-repaired as browsers do for paragraphs, lists and tables. An empty table gives an empty table.
+Induction reads every page of a host, whole. A page's block elements make a tree, in which alike siblings (blocks of one
+name that hold no blocks, and named boxes of one structure) count as one repeated node. Pages with equal trees share a
+layout; statistics of a layout's nodes are sums over its pages. The layouts of a host, the most frequent first, are aligned
+by simple tree matching and merged into one template tree: nodes that match add up, others are inserted. So a template has
+for each node on how many pages it stands, its characters and how many of them are links. Texts that stand at one path on
+nearly all pages that have the path are the host's constant texts; paths whose texts come from a small pool are recycled.
+
+A page is read with its host's template (or, if its host has few pages, with that of its domain): its tree is aligned
+with the template by the same matching. Constant texts are template. From the root, the reading follows the nodes that
+hold the varying, unlinked text, by what the template expects of them and not by this page alone; what stands beside them
+(menus, adverts, footers) is left out. Inside, lists of links that stand on most pages and boxes of recycled text go.
+Names of elements and classes decide only what such evidence can't: boxes named as comments, notices or adverts go, unless
+next to all of the expected text is in them. A page without a template is read by its own tree alone.
+
+Defined results: null and empty html give an empty text, as does a page that has template texts only. Pages with a null
+URL have no host and so no template. Pages whose three longest blocks are equal count as one in induction, so that copies
+of a page don't make its text a template. Repeated rows get a row each. Truncated pages give the text up to their end;
+broken nesting is repaired as browsers do for paragraphs, lists and tables. Layouts with equal page counts are merged in
+the order of their hash; of boxes with equal expectations the first leads. White space is all that Unicode calls so,
+no-break spaces included. Very long pages are read whole. Other columns of the input, whatever their names, are not
+carried. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._common import materialize, slices
 from weftgraph.llm.url_filter import host_of
 
-#: Pages of a host that its wrapper is induced from, and the most of a page that induction reads.
-SAMPLE, SAMPLE_CHARS = 8, 200_000
-#: A text is template if all sampled pages have it at the same place, and these are at least so many.
-LEAST_PAGES = 4
-#: Share of the varying text that the content node must hold.
-COVER = 0.98
-#: Deeper nodes are not aligned, and so many children of a node at most, in alignment only.
-DEPTH, WIDTH = 40, 150
-#: Wrappers are broadcast up to this size and joined by a shuffle beyond.
+#: Distinct pages that a host's template needs, and that a constant text stands on.
+LEAST_PAGES = 3
+#: Percent of the pages with a path that have a constant text there.
+CONSTANT = 90
+#: Texts at a path that are recycled: so many at least, and at most this percent of them distinct.
+POOL_TEXTS, POOL_PERCENT = 30, 20
+#: A box beside the leading one is read too, if it is expected to hold this percent of what that one does.
+BESIDE = 20
+#: Percent of links in a list of links, and of its parent's pages that one of the site's own lists stands on.
+LINKED, STANDING = 70, 80
+#: A box is read despite its name if it is expected to hold this percent of all text around it.
+NAMED = 90
+#: Deeper boxes count to the one at this depth; a wider row of boxes is grouped by name before it is aligned.
+DEPTH, WIDTH = 60, 100
+#: Templates are broadcast up to this size and joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(
@@ -58,8 +74,12 @@ _ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.items()}
 _BOUNDS = frozenset("article aside body button caption div footer form header html main nav section table td th li blockquote".split())
 
-#: Elements, roles and name parts of what serves the site and not the article.
-_CHROME_TAGS = frozenset("nav footer aside form button input label dialog menu head audio video map".split())
+#: Elements that hold no text of an article: forms and their parts, media, the page's head.
+_NO_TEXT = frozenset("form button input label dialog menu head audio video map".split())
+#: Elements that may be left out as a whole: boxes. Paragraphs, headings, list items and cells never are.
+_BOXES = frozenset("address aside center details div dl fieldset figure footer header hgroup nav ol section table ul menu dir main article".split())
+#: Elements, roles and name parts of boxes that serve the site, for where a template can't tell.
+_CHROME_TAGS = frozenset("nav footer aside".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _CHROME_NAMES = frozenset(
     "ad ads adbox adsense adslot advert adverts advertisement advertising advertorial alert banner bottombar breadcrumb breadcrumbs "
@@ -69,44 +89,46 @@ _CHROME_NAMES = frozenset(
     "skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
 _HEADER_NAMES = frozenset(("header", "heading", "head", "top"))
+_HEADINGS = frozenset(("h1", "h2"))
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PLAIN = re.compile(r"[^\w-]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "children", "chrome")
+    """An element; texts are str children. `skip`: it shows no text of its own; `named`, `headed`: by its names."""
 
-    def __init__(self, tag: str, name: str, parent: Node | None, chrome: bool):
-        self.tag, self.name, self.parent, self.children, self.chrome = tag, name, parent, [], chrome
+    __slots__ = ("tag", "label", "parent", "children", "skip", "named", "headed", "box")
 
+    def __init__(self, tag: str, label: str, parent: Node | None, skip: bool, named: bool, headed: bool):
+        self.tag, self.label, self.parent, self.children, self.skip, self.named, self.headed = tag, label, parent, [], skip, named, headed
+        self.box = None
 
-def _described(tag: str, attrs: str) -> tuple[str, bool]:
-    """The label of an element (tag and classes), and whether it serves the site."""
-    label, chrome = tag, tag in _CHROME_TAGS
+
+def _described(tag: str, attrs: str, parent: Node) -> Node:
+    label, skip, named, headed = tag, tag in _NO_TEXT, tag in _CHROME_TAGS, tag == "header"
     if attrs:
         for key, a, b, c, hidden in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if hidden or key == "aria-hidden" and value == "true":
-                chrome = True
+                skip = True
             elif key in ("class", "id"):
                 if key == "class":
-                    label = f"{tag}.{' '.join(sorted(value.split()))}"
-                if tag not in ("html", "body", "article", "main"):
+                    label = f"{tag}.{'.'.join(sorted({_PLAIN.sub('', x) for x in value.split()}))}"
+                if tag in _BOXES and tag not in ("article", "main"):
                     parts = _NAME.findall(_CAMEL.sub(" ", value).lower())
-                    if any(p in _CHROME_NAMES for p in parts):
-                        chrome = True
-                    elif tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and any(p in _HEADER_NAMES for p in parts):
-                        label = "header:" + label
+                    named = named or any(p in _CHROME_NAMES for p in parts)
+                    headed = headed or any(p in _HEADER_NAMES for p in parts)
             elif key == "role" and value.lower() in _CHROME_ROLES:
-                chrome = True
+                named = True
             elif key == "style" and "none" in value and re.search(r"display\s*:\s*none", value):
-                chrome = True
-    return label, chrome
+                skip = True
+    return Node(tag, label, parent, skip, named, headed)
 
 
 def parse(html: str) -> Node:
     """The tree of a page; texts are str children, as written."""
-    root = node = Node("", "", None, False)
+    root = node = Node("", "", None, False, False, False)
     at = 0
     for m in _TOKEN.finditer(html):
         start = m.start()
@@ -124,7 +146,7 @@ def parse(html: str) -> Node:
             if up is not None and up.parent is not None:
                 node = up.parent
             elif tag == "p":
-                node.children.append(Node("p", "p", node, False))
+                node.children.append(Node("p", "p", node, False, False, False))
             continue
         if tag in _ENDS:
             ends, bounds = _ENDS[tag]
@@ -143,8 +165,7 @@ def parse(html: str) -> Node:
                     break
                 up = up.parent
         attrs = m[4]
-        name, chrome = _described(tag, attrs) if attrs.strip(" /") else (tag, tag in _CHROME_TAGS)
-        child = Node(tag, name, node, chrome)
+        child = _described(tag, attrs if attrs.strip(" /") else "", node)
         node.children.append(child)
         if tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
             node = child
@@ -158,114 +179,233 @@ def _squeezed(pieces: list[str]) -> str:
     return " ".join((unescape(text) if "&" in text else text).split())
 
 
-def _has(node: Node, tags: tuple[str, ...]) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in tags:
-            return True
-        stack += [c for c in x.children if not isinstance(c, str)]
-    return False
-
-
-def _serves(node: Node, within: bool) -> bool:
-    """Whether a node is left out; within: inside an article, where a header with a title belongs to the text."""
-    if node.chrome:
-        return True
-    if node.tag == "header" or node.name.startswith("header:"):
-        return not (within and _has(node, ("h1", "h2")))
-    return node.tag in ("ul", "ol", "div", "table", "p", "section") and _linked(node)
-
-
-def _linked(node: Node) -> bool:
-    """Whether a list or box is mostly links, three or more."""
-    links = total = inside = 0
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
-    while stack:
-        x, link = stack.pop()
-        if isinstance(x, str):
-            n = len(x.strip())
-            total += n
-            inside += n if link else 0
-            if total - inside > 400:
-                return False
-        else:
-            own = link or x.tag == "a"
-            links += x.tag == "a"
-            stack += [(c, own) for c in x.children]
-    return links >= 3 and inside > 0.7 * total
-
-
-def blocks(node: Node, every: bool = False) -> Iterator[tuple[str, Node]]:
-    """The texts of a node's blocks in page order, each with the element it stands in; every: of the site's parts too."""
+def blocks(root: Node) -> Iterator[tuple[str, Node, int, int]]:
+    """The texts of a tree's blocks in page order: text, block element it stands in, characters of links, links."""
     pieces: list[str] = []
-    owner = node
-    inside = node
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    stack: list[tuple[Node, int, bool]] = [(node, 0, inside is not None)]
+    owner, linked, links = root, 0, 0
+    # (element, next child, its block element, whether inside a link)
+    stack: list[tuple[Node, int, Node, bool]] = [(root, 0, root, False)]
     while stack:
-        x, k, within = stack.pop()
+        x, k, block, link = stack.pop()
         children = x.children
         while k < len(children):
             c = children[k]
             k += 1
             if isinstance(c, str):
                 if not pieces:
-                    owner = x
+                    owner = block
                 pieces.append(c)
+                linked += len(c.strip()) if link else 0
                 continue
             tag = c.tag
             if tag == "br" or tag in ("td", "th"):
                 pieces.append(" ")
-            if not every and _serves(c, within):
-                if tag in _BLOCK or tag == "":
-                    if pieces and (text := _squeezed(pieces)):
-                        yield text, owner
-                    pieces = []
-                else:
+            if tag in _BLOCK:
+                if pieces and (text := _squeezed(pieces)):
+                    yield text, owner, linked, links
+                pieces, linked, links = [], 0, 0
+            if c.skip:
+                if tag not in _BLOCK:
                     pieces.append(" ")
                 continue
-            if tag in _BLOCK and pieces:
-                if text := _squeezed(pieces):
-                    yield text, owner
-                pieces = []
             if c.children:
-                stack.append((x, k, within))
-                stack.append((c, 0, within or tag in ("article", "main")))
+                links += tag == "a"
+                stack.append((x, k, block, link))
+                stack.append((c, 0, c if tag in _BLOCK else block, link or tag == "a"))
                 break
         else:
-            if x.tag in _BLOCK and pieces:
-                if text := _squeezed(pieces):
-                    yield text, owner
-                pieces = []
+            if x.tag in _BLOCK:
+                if pieces and (text := _squeezed(pieces)):
+                    yield text, owner, linked, links
+                pieces, linked, links = [], 0, 0
     if pieces and (text := _squeezed(pieces)):
-        yield text, owner
+        yield text, owner, linked, links
+
+
+class Box:
+    """A node of a page's block tree: one block element, or several that count as one repeated node."""
+
+    __slots__ = ("label", "tag", "named", "headed", "kids", "parent", "same", "place", "chars", "linked", "links", "n", "path")
 
+    def __init__(self, node: Node, parent: Box | None):
+        self.tag, self.named, self.headed, self.kids, self.parent = node.tag, node.named, node.headed, [], parent
+        self.label = node.label + ("!" if node.named else "") + ("^" if node.headed else "")
+        self.same, self.place, self.chars, self.linked, self.links, self.n, self.path = None, -1, 0, 0, 0, 0, ""
 
-def path_of(node: Node) -> str:
-    names = []
-    while node.parent is not None:
-        names.append(node.name)
-        node = node.parent
-    return "/".join(reversed(names))
 
+def _find(box: Box) -> Box:
+    while box.same is not None:
+        box = box.same
+    return box
 
-def _elements(node: Node) -> list[Node]:
-    return [c for c in node.children if not isinstance(c, str)][:WIDTH]
 
+def _structure(box: Box) -> list:
+    return [box.label, [_structure(k) for k in box.kids]]
 
-def match_trees(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest top-down, order-keeping alignment of equal names, and its pairs."""
-    if a.name != b.name:
+
+def _collapse(box: Box) -> str:
+    """Join alike children, bottom up; returns the box's structure as text."""
+    marks = [_collapse(k) for k in box.kids]
+    if len(box.kids) > 1:
+        wide = len(box.kids) > WIDTH
+        seen: dict[tuple, Box] = {}
+        kept, kept_marks = [], []
+        for kid, mark in zip(box.kids, marks, strict=True):
+            leaf = not kid.kids
+            alike = leaf or wide or "." in kid.label or kid.tag in ("li", "tr", "dd", "dt", "article", "section", "blockquote")
+            key = (kid.label, "" if leaf or wide else mark)
+            if alike and (first := seen.get(key)) is not None:
+                _join(first, kid)
+                continue
+            seen[key] = kid
+            kept.append(kid)
+            kept_marks.append(mark)
+        if len(kept) > WIDTH:  # names that differ from box to box: by element alone
+            seen, narrow = {}, []
+            for kid in kept:
+                if (first := seen.get((kid.tag,))) is not None:
+                    _join(first, kid)
+                else:
+                    seen[(kid.tag,)] = kid
+                    kid.label = kid.tag
+                    narrow.append(kid)
+            kept = narrow
+        if len(kept) < len(box.kids):
+            box.kids = kept
+            kept_marks = [_mark(k) for k in kept] if wide else kept_marks
+        marks = kept_marks
+    return f"{box.label}({','.join(marks)})"
+
+
+def _mark(box: Box) -> str:
+    return f"{box.label}({','.join(map(_mark, box.kids))})"
+
+
+def _join(first: Box, other: Box) -> None:
+    """other becomes part of first; their children are paired by name, in order."""
+    other.same = first
+    for name in ("chars", "linked", "links", "n"):
+        setattr(first, name, getattr(first, name) + getattr(other, name))
+    by_name: dict[str, Box] = {}
+    for k in first.kids:
+        by_name.setdefault(k.label, k)
+    for k in other.kids:
+        if (mine := by_name.get(k.label)) is not None:
+            _join(mine, k)
+        else:
+            k.parent = first
+            first.kids.append(k)
+            by_name[k.label] = k
+
+
+class Page:
+    """A page's block tree and its texts: (text, box, hash of the path and text)."""
+
+    def __init__(self, html: str):
+        tree = parse(html)
+        self.root = Box(tree, None)
+        tree.box = self.root
+        stack = [(c, self.root, 1) for c in reversed(tree.children) if not isinstance(c, str)]
+        while stack:
+            node, up, depth = stack.pop()
+            if node.skip:
+                continue
+            if node.tag in _BLOCK and depth <= DEPTH:
+                box = Box(node, up)
+                up.kids.append(box)
+                up, depth = box, depth + 1
+            node.box = up
+            stack += [(c, up, depth) for c in reversed(node.children) if not isinstance(c, str)]
+        found = []
+        for text, node, linked, links in blocks(tree):
+            box = node.box
+            box.chars += len(text)
+            box.linked += min(linked, len(text))
+            box.links += links
+            box.n += 1
+            found.append((text, box))
+        _collapse(self.root)
+        self.boxes: list[Box] = []
+        stack = [(self.root, "")]
+        while stack:
+            box, path = stack.pop()
+            box.place, box.path = len(self.boxes), f"{path}/{box.label}"
+            self.boxes.append(box)
+            stack += [(k, box.path) for k in reversed(box.kids)]
+        for box in self.boxes:
+            for k in box.kids:
+                k.parent = box
+        self.texts = [(text, _find(box)) for text, box in found]
+
+    def structure(self) -> str:
+        return json.dumps(_structure(self.root), separators=(",", ":"))
+
+
+def _hash(*parts: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class Part:
+    """A node of a template: its name, the pages that have it, and what its own blocks held on them."""
+
+    __slots__ = ("label", "pages", "chars", "linked", "n", "kids", "fixed", "_whole")
+
+    def __init__(self, label: str, pages: int = 0, chars: int = 0, linked: int = 0, n: int = 0, kids: list[Part] | None = None):
+        self.label, self.pages, self.chars, self.linked, self.n, self.kids = label, pages, chars, linked, n, kids or []
+        self.fixed, self._whole = 0.0, None
+
+    def _sums(self) -> tuple[float, int, int]:
+        """Worth, characters and link characters of the node and all below; held once the template is whole."""
+        if self._whole is None:
+            share = max(0.0, 1 - self.fixed)
+            worth, chars, linked = share * (self.chars - self.linked + self.linked / 20), self.chars, self.linked
+            for k in self.kids:
+                a, b, c = k._sums()
+                worth, chars, linked = worth + a, chars + b, linked + c
+            self._whole = worth, chars, linked
+        return self._whole
+
+    def mass(self) -> float:
+        return self._sums()[0]
+
+    def whole(self) -> tuple[int, int]:
+        return self._sums()[1:]
+
+    def packed(self) -> list:
+        return [self.label, self.pages, self.chars, self.linked, self.n, [k.packed() for k in self.kids]]
+
+    @staticmethod
+    def unpacked(x: list) -> Part:
+        return Part(*x[:5], [Part.unpacked(k) for k in x[5]])
+
+
+class Shape:
+    """A node of a layout, with its place in page order."""
+
+    __slots__ = ("label", "place", "kids")
+
+    def __init__(self, x: list, places: Iterator[int]):
+        self.label, self.place = x[0], next(places)
+        self.kids = [Shape(k, places) for k in x[1]]
+
+
+def _shape(structure: str) -> Shape:
+    return Shape(json.loads(structure), iter(range(1 << 62)))
+
+
+def match_trees(a, b) -> tuple[int, list]:
+    """Simple tree matching of two trees whose nodes have `label` and `kids`: the size of the largest top-down, order-keeping
+    alignment of nodes of equal names, and its pairs."""
+    if a.label != b.label:
         return 0, []
-    xs, ys = (_elements(a), _elements(b)) if depth < DEPTH else ([], [])
+    xs, ys = a.kids, b.kids
     table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     found = {}
     for i, x in enumerate(xs, 1):
         for j, y in enumerate(ys, 1):
-            if x.name == y.name:
-                found[i, j] = match_trees(x, y, depth + 1)
+            if x.label == y.label:
+                found[i, j] = match_trees(x, y)
                 table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + found[i, j][0])
             else:
                 table[i][j] = max(table[i - 1][j], table[i][j - 1])
@@ -281,114 +421,277 @@ def match_trees(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node,
     return 1 + table[len(xs)][len(ys)], pairs
 
 
-def induce(pages: list[str]) -> str:
-    """The wrapper of some pages of one host, as JSON: the content node's path and the template's texts by path."""
-    trees = [parse(p) for p in pages]
-    first = trees[0]
-    own = [{id(e): t for t, e in blocks(t0)} for t0 in trees]
-    same: Counter[int] = Counter()
-    at = {id(e): (path_of(e), t) for t, e in blocks(first)}
-    for other, texts in zip(trees[1:], own[1:], strict=True):
-        for a, b in match_trees(first, other)[1]:
-            same[id(a)] += id(a) in at and texts.get(id(b)) == at[id(a)][1]
-    constant = sorted({at[k] for k, n in same.items() if k in at and n == len(trees) - 1}) if len(trees) >= LEAST_PAGES else []
-    known = set(constant)
-    mass: Counter[str] = Counter()
-    for tree in trees:
-        for text, e in blocks(tree):
-            path = path_of(e)
-            if (path, text) not in known:
-                parts = path.split("/")
-                for k in range(1, len(parts) + 1):
-                    mass["/".join(parts[:k])] += len(text)
-    content = ""
-    if mass:
-        total = max(mass.values())
-        good = [p for p, n in mass.items() if n >= COVER * total]
-        named = [p for p in good if re.search(r"(^|/)(article|main)(\.[^/]*)?$", p)]
-        content = min(named, key=len) if named else max(good, key=len)
-        content = re.sub(r"(/(?:p|h\d|li|b|i|em|strong|span|a|blockquote|ul|ol)(\.[^/]*)?)+$", "", content)
-    return json.dumps({"content": content, "constant": constant}, ensure_ascii=False)
-
-
-class Wrapper:
-    def __init__(self, text: str | None):
-        made = json.loads(text) if text else {"content": "", "constant": []}
-        self.path = made["content"].split("/") if made["content"] else []
-        self.constant = {tuple(x) for x in made["constant"]}
-
-    def nodes(self, root: Node) -> list[Node]:
-        """The page's nodes at the content path, in page order."""
-        level = [root]
-        for name in self.path:
-            level = [c for n in level for c in n.children if not isinstance(c, str) and c.name == name]
-        return level if self.path else []
-
-
-def main_text(html: str | None, wrapper: Wrapper) -> str:
+class Template:
+    """The merged layouts of a site, its constant texts and its recycled paths."""
+
+    def __init__(self, root: Part | None = None, constant: set[int] | None = None, recycled: set[int] | None = None):
+        self.root, self.constant, self.recycled = root, constant or set(), recycled or set()
+        self.pages = root.pages if root else 0
+        self._held: dict[str, dict[int, Part]] = {}
+
+    @staticmethod
+    def read(text: str | None) -> Template | None:
+        if not text:
+            return None
+        made = json.loads(text)
+        root = Part.unpacked(json.loads(made["tree"]))
+        fixed: dict[int, int] = {}
+        for x in made.get("fixed") or []:
+            fixed[x["path"]] = fixed.get(x["path"], 0) + x["chars"]
+        if fixed:
+            at: dict[int, list[Part]] = {}
+            stack = [(root, "")]
+            while stack:
+                part, path = stack.pop()
+                path = f"{path}/{part.label}"
+                at.setdefault(_hash(path), []).append(part)
+                stack += [(k, path) for k in part.kids]
+            for path, chars in fixed.items():
+                total = sum(p.chars for p in at.get(path, []))
+                for part in at.get(path, []):
+                    part.fixed = min(1.0, chars / total) if total else 0.0
+        return Template(root, set(made.get("constant") or []), set(made.get("recycled") or []))
+
+    def merge(self, structure: str, pages: int, sums: list[tuple[int, int, int]]) -> None:
+        """Align a layout with the template and add its sums (characters, link characters, blocks by node)."""
+        shape = _shape(structure)
+        if self.root is None:
+            self.root = Part(shape.label)
+        pairs = {b.place: a for a, b in match_trees(self.root, shape)[1]}
+        stack = [shape]
+        while stack:
+            b = stack.pop()
+            a = pairs[b.place]
+            chars, linked, n = sums[b.place]
+            a.pages, a.chars, a.linked, a.n = a.pages + pages, a.chars + chars, a.linked + linked, a.n + n
+            at = 0
+            for kid in b.kids:
+                if (mine := pairs.get(kid.place)) is None:
+                    pairs[kid.place] = mine = Part(kid.label)
+                    a.kids.insert(at, mine)
+                    at += 1
+                else:
+                    at = next(i for i, k in enumerate(a.kids) if k is mine) + 1
+                stack.append(kid)
+        self.pages = self.root.pages
+
+    def aligned(self, page: Page) -> dict[int, Part]:
+        """The template's node for each place of the page's tree that has one."""
+        key = page.structure()
+        if key not in self._held:
+            if len(self._held) >= 500:
+                self._held.clear()
+            self._held[key] = {b.place: a for a, b in match_trees(self.root, _shape(key))[1]} if self.root else {}
+        return self._held[key]
+
+
+class Reading:
+    """Which boxes of a page are read, by what its template expects of them."""
+
+    def __init__(self, page: Page, template: Template | None):
+        self.page, self.template, self.known = page, template, template.aligned(page) if template else {}
+        own = [(b.chars - b.linked, b.linked, b.chars, b.links) for b in page.boxes]
+        sums = [list(x) for x in own]
+        for box in reversed(page.boxes):  # children come after their parents
+            if box.parent is not None:
+                up = sums[box.parent.place]
+                for i, x in enumerate(sums[box.place]):
+                    up[i] += x
+        self.sums, self.kept, self.headings = sums, set(), set()
+        for box in page.boxes:
+            if box.tag in _HEADINGS and box.n:
+                up = box
+                while up is not None and up.place not in self.headings:
+                    self.headings.add(up.place)
+                    up = up.parent
+        self._pick(page.root, False)
+
+    def expected(self, box: Box) -> float:
+        """Characters of text, links at a twentieth, that the box holds on a page that has it."""
+        part = self.known.get(box.place)
+        if part is not None and part.pages:
+            return part.mass() / part.pages
+        plain, linked = self.sums[box.place][:2]
+        return plain + linked / 20
+
+    def _list_of_links(self, box: Box, within: bool) -> bool:
+        """A list or box of links that stands on the site's pages, and inside a text has recycled links; without a template,
+        one outside of a text."""
+        _, linked, chars, links = self.sums[box.place]
+        if links < 3 or 100 * linked < LINKED * chars:
+            return False
+        part, up = self.known.get(box.place), self.known.get(box.parent.place) if box.parent is not None else None
+        if part is None or up is None or up.pages < LEAST_PAGES:
+            return not within
+        chars, linked = part.whole()
+        standing = 100 * part.pages >= STANDING * up.pages and 100 * linked >= LINKED * chars
+        return standing and (not within or self._recycled(box))
+
+    def _recycled(self, box: Box) -> bool:
+        stack = [box]
+        while stack:
+            x = stack.pop()
+            if x.n and _hash(x.path) in self.template.recycled:
+                return True
+            stack += x.kids
+        return False
+
+    def _site_part(self, box: Box, total: float, within: bool) -> bool:
+        if box.tag not in _BOXES:
+            return False
+        if self._list_of_links(box, within):
+            return True
+        by_name = box.named or box.headed and box.place not in self.headings
+        return by_name and 100 * self.expected(box) < NAMED * total
+
+    def _pick(self, root: Box, within: bool) -> None:
+        stack = [(root, within)]
+        while stack:
+            box, within = stack.pop()
+            self.kept.add(box.place)
+            within = within or box.tag in ("article", "main")
+            held = [k for k in box.kids if k.kids or k.tag in _BOXES]
+            worth = {k.place: self.expected(k) for k in box.kids}
+            whole = self.expected(box)
+            direct = whole - sum(worth[k.place] for k in held)
+            # Where most text stands in paragraphs and not in boxes, the text begins.
+            within = within or all(worth[k.place] <= direct for k in held)
+            live = [k for k in held if not self._site_part(k, whole, within)]
+            lead = max(live, key=lambda k: worth[k.place], default=None)
+            for k in box.kids:
+                if k not in held or k in live and (within or k is lead or self._beside(k, lead, worth)):
+                    stack.append((k, within))
+            if lead is not None and not within and 100 * self._own(box) < BESIDE * worth[lead.place]:
+                self.kept.discard(box.place)  # stray text beside the leading box; its children are judged by themselves
+
+    def _own(self, box: Box) -> float:
+        part = self.known.get(box.place)
+        return (part.chars - part.linked) / part.pages if part is not None and part.pages else box.chars - box.linked
+
+    def _beside(self, box: Box, lead: Box, worth: dict[int, float]) -> bool:
+        """Whether a box is read beside the leading one: it holds much, is of its kind, or has the title that the other lacks."""
+        if 100 * worth[box.place] >= BESIDE * worth[lead.place] and (self.template or lead.tag not in ("article", "main")):
+            return True
+        if box.label == lead.label and ("." in box.label or box.tag in ("article", "section", "table", "blockquote")):
+            return True
+        return box.place in self.headings and lead.place not in self.headings and box.place < lead.place
+
+
+def main_text(html: str | None, template: Template | None) -> str:
     if not html:
         return ""
-    root = parse(html)
-    nodes = wrapper.nodes(root)
-    found = [(t, e) for n in nodes for t, e in blocks(n)]
-    if not found:
-        best = [n for n in _find(root, ("article", "main"))] or [root]
-        found = [(t, e) for n in best for t, e in blocks(n)] or list(blocks(root))
-    kept = [t for t, e in found if not wrapper.constant or (path_of(e), t) not in wrapper.constant]
-    return "\n".join(kept or [t for t, _ in found])
-
-
-def _find(root: Node, tags: tuple[str, ...]) -> list[Node]:
-    """The outermost nodes of some tags, in page order."""
-    out, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        if x.tag in tags:
-            out.append(x)
-        else:
-            stack += [c for c in reversed(x.children) if not isinstance(c, str)]
-    return out
+    page = Page(html)
+    kept = Reading(page, template).kept
+    found = [(t, b) for t, b in page.texts if b.place in kept]
+    if template:
+        found = [
+            (t, b)
+            for t, b in found
+            if _hash(b.path, t) not in template.constant and not (template.recycled and b.tag in _BOXES and _hash(b.path) in template.recycled)
+        ]
+    return "\n".join(t for t, _ in found)
 
 
 def plain_text(html: str | None) -> str:
     """All text that a page shows, the site's parts included: one line for each block."""
-    return "\n".join(t for t, _ in blocks(parse(html), every=True)) if html else ""
+    return "\n".join(x[0] for x in blocks(parse(html))) if html else ""
+
 
+_SUMS = pa.list_(pa.struct([("k", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64()), ("n", pa.int64())]))
+_TEXTS = pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64()), ("chars", pa.int64())]))
+_FEATURES = "host string, ident bigint, sig bigint, tree string, sums array<struct<k:int,chars:bigint,linked:bigint,n:bigint>>, texts array<struct<path:bigint,h:bigint,chars:bigint>>"
 
-def induce_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper) for every host of pages."""
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(url).alias("url"), F.col(html).alias("html")).filter("host <> '' and html <> ''")
-    rows = rows.select("host", F.xxhash64("url").alias("h"), "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-    order = Window.partitionBy("host").orderBy("h", "url")
-    few = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k"])
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [induce(pdf.html.tolist())]})
+def page_features(pages: DataFrame) -> DataFrame:
+    """Of each page (host, html): its identity, layout, the sums of its nodes, and its texts as hashes."""
 
-    return few.select("host", "k", "html").groupBy("host").applyInPandas(run, "host string, wrapper string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2 << 20, "html"):
+            out = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = Page(html)
+                tree = page.structure()
+                longest = sorted({t for t, _ in page.texts}, key=lambda t: (-len(t), t))[:3]
+                sums = [{"k": b.place, "chars": b.chars, "linked": b.linked, "n": b.n} for b in page.boxes]
+                texts = {(_hash(b.path), _hash(b.path, t)): len(t) for t, b in page.texts}
+                out.append((host, _hash(*longest), _hash(tree), tree, sums, [{"path": p, "h": h, "chars": n} for (p, h), n in sorted(texts.items())]))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), _SUMS, _TEXTS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "ident", "sig", "tree", "sums", "texts"])
+
+    return pages.mapInArrow(run, _FEATURES)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(site, pages, tree) from rows of layouts (site, pages, tree, sums) in order of site; a worker holds one template."""
+    site, template = None, None
+
+    def done() -> pa.RecordBatch:
+        tree = json.dumps(template.root.packed(), separators=(",", ":"))
+        return pa.RecordBatch.from_arrays([pa.array([site]), pa.array([template.pages], pa.int64()), pa.array([tree])], names=["site", "pages", "tree"])
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[0] != site:
+                if template is not None:
+                    yield done()
+                site, template = row[0], Template()
+            template.merge(row[2], row[1], [(s["chars"], s["linked"], s["n"]) for s in row[3]])
+    if template is not None:
+        yield done()
+
+
+def site_of_domain(host):
+    """The name under which the hosts of a domain, its last two labels, have a template together."""
+    return F.concat(F.lit("*."), F.substring_index(host, ".", -2))
+
+
+def induce_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(site, pages, template) for every host and domain of pages, as JSON."""
+    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).filter("host <> '' and html <> ''")
+    distinct = page_features(rows).groupBy("host", "ident").agg(F.min(F.struct("sig", "tree", "sums", "texts")).alias("m"))
+    distinct = materialize(distinct.select("host", "m.*"), "page-features")
+    of_site = distinct.withColumn("site", F.explode(F.array("host", site_of_domain(F.col("host")))))
+
+    nodes = of_site.select("site", "sig", "tree", F.explode("sums").alias("s")).select("site", "sig", F.when(F.col("s.k") == 0, F.col("tree")).alias("tree"), "s.*")
+    nodes = nodes.groupBy("site", "sig", "k").agg(F.count("*").alias("pages"), F.max("tree").alias("tree"), *[F.sum(c).alias(c) for c in ("chars", "linked", "n")])
+    layouts = nodes.groupBy("site", "sig").agg(F.max("pages").alias("pages"), F.max("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("k", "chars", "linked", "n"))).alias("sums"))
+    layouts = layouts.repartition("site").sortWithinPartitions("site", F.desc("pages"), "sig").select("site", "pages", "tree", "sums")
+    trees = layouts.mapInArrow(_merged, "site string, pages bigint, tree string")
+
+    texts = of_site.select("site", F.explode("texts").alias("t")).select("site", "t.*").groupBy("site", "path", "h").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
+    paths = of_site.select("site", F.explode(F.array_distinct(F.transform("texts", lambda t: t["path"]))).alias("path")).groupBy("site", "path").agg(F.count("*").alias("pages"))
+    constant = texts.filter(F.col("n") >= LEAST_PAGES).join(paths, ["site", "path"]).filter(100 * F.col("n") >= CONSTANT * F.col("pages"))
+    constant = constant.groupBy("site").agg(
+        F.sort_array(F.collect_list("h")).alias("constant"),
+        F.sort_array(F.collect_list(F.struct("path", (F.col("n") * F.col("chars")).alias("chars")))).alias("fixed"),
+    )
+    pool = texts.groupBy("site", "path").agg(F.count("*").alias("d"), F.sum("n").alias("n")).filter((F.col("n") >= POOL_TEXTS) & (100 * F.col("d") <= POOL_PERCENT * F.col("n")))
+    pool = pool.groupBy("site").agg(F.sort_array(F.collect_list("path")).alias("recycled"))
+    whole = trees.join(constant, "site", "left").join(pool, "site", "left")
+    return whole.select("site", "pages", F.to_json(F.struct("tree", "constant", "fixed", "recycled")).alias("template"))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars."""
-    wrappers = materialize(induce_wrappers(pages, url, html), "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    if 4 * size <= BROADCAST_BYTES:
-        wrappers = F.broadcast(wrappers)
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    rows = rows.join(wrappers, "host", "left").select("key", "url", "html", "wrapper")
+    made = materialize(induce_templates(pages, url, html), "templates").filter(F.col("pages") >= LEAST_PAGES)
+    size = made.agg(F.sum(F.length("template") + F.length("site"))).first()[0] or 0
+    small = (lambda t: F.broadcast(t)) if 4 * size <= BROADCAST_BYTES else (lambda t: t)
+    rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
+    hosts = small(made.select(F.col("site").alias("host"), F.lit(True).alias("own")))
+    rows = rows.join(hosts, "host", "left").withColumn("site", F.when(F.col("own"), F.col("host")).otherwise(site_of_domain(F.col("host"))))
+    rows = rows.join(small(made.select("site", "template")), "site", "left").select("key", "url", "html", "template")
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str | None, Wrapper] = {}
+        held: dict[str | None, Template | None] = {}
         for batch in slices(batches, 4 << 20, "html"):
             texts = []
-            for html, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if wrapper not in made:
-                    if len(made) >= 1000:
-                        made.clear()
-                    made[wrapper] = Wrapper(wrapper)
-                texts.append(main_text(html, made[wrapper]))
+            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if template not in held:
+                    if len(held) >= 300:
+                        held.clear()
+                    held[template] = Template.read(template)
+                texts.append(main_text(html, held[template]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["key", "url", "text", "n_chars"]
             )
