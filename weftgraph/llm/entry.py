@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, html_extract, language_id, ngram_join, piece_codec, quality_rules, secret_scan, sharding, url_filter, warc
+from weftgraph.llm import decontaminate, html_extract, language_id, ngram_join, piece_codec, secret_scan, sharding, url_filter, warc
+from weftgraph.llm import quality_rules as Q
 
 RULES = [
     url_filter.Rule("block", "net"),
@@ -31,7 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": lambda s, d: language_id.language_digest(_read(s, d, "documents")),
         "op6_url_filter": lambda s, d: url_filter.judge_urls(_read(s, d, "pages"), RULES, s.createDataFrame([(k,) for k in LISTED], "key string")),
         "op7_decontamination": lambda s, d: decontaminate.overlap_digest(_read(s, d, "documents"), _read(s, d, "benchmark")),
-        "op8_quality_rules": lambda s, d: quality_rules.quality_verdicts(_read(s, d, "documents")),
+        "op8_quality_rules": lambda s, d: Q.quality_verdicts(_read(s, d, "documents")),
         "op9_sharding": lambda s, d: sharding.shard_plan(_read(s, d, "documents")),
         "op10_sentencepiece": lambda s, d: piece_codec.encode_digest(_read(s, d, "documents")),
     }
@@ -60,7 +61,8 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality_rules.BOILERPLATE)
+_PHRASES = " OR ".join(f"contains(lower(t), '{p}')" for p in Q.BOILERPLATE)
+_CLOSING = ", ".join("'" + c.replace("'", "''") + "'" for c in Q.CLOSING)
 _SPACES = "[ \\t\\n\\x0b\\x0c\\r]"
 OP8_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -74,25 +76,29 @@ twice AS (SELECT r, k FROM (
     SELECT r, k, count(*) OVER (PARTITION BY r, word, w1, w2, w3, w4, w5, w6, w7) AS n FROM windows WHERE w7 IS NOT NULL) WHERE n > 1),
 repeats AS (SELECT r, sum(least(8, coalesce(k - last, 8))) AS n FROM (
     SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS last FROM twice) GROUP BY r),
-lines AS (SELECT r, line, length(regexp_replace(line, '{_SPACES}', '', 'g')) AS solid,
-    length(line) AS n,
-    length(regexp_replace(line, '[^|›»•]', '', 'g')) AS bars,
-    length(regexp_replace(line, '[^#*$%&<>{{}}\\\\]', '', 'g')) AS marks,
-    length(regexp_replace(line, '[^!]', '', 'g')) AS shouts,
-    length(regexp_replace(line, '[^ \\t]', '', 'g')) AS gaps
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
-by_line AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines,
-    sum(CASE WHEN ({_PHRASES}) OR (bars >= 3 AND bars * 8 > gaps)
-      OR (marks >= 4 AND marks * 10 > n) OR (shouts >= 4 AND shouts * 20 > n) THEN solid ELSE 0 END) AS n_lost_chars
-  FROM lines WHERE solid > 0 GROUP BY r),
+cuts AS (SELECT r, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS l FROM docs)),
+lines AS (SELECT r, k, line, length(regexp_replace(line, '{_SPACES}', '', 'g')) AS solid, t, length(t) AS n,
+    length(regexp_replace(t, '[^|›»•]', '', 'g')) AS bars,
+    length(regexp_replace(t, '[^#*$%&<>{{}}\\\\]', '', 'g')) AS marks,
+    length(regexp_replace(t, '[^!]', '', 'g')) AS shouts,
+    length(regexp_replace(t, '[^ \\t]', '', 'g')) AS gaps
+  FROM (SELECT *, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS t FROM cuts)),
+items AS (SELECT *, solid > 0 AND gaps <= {Q.MENU_GAPS} AND right(t, 1) NOT IN ({_CLOSING}) AS item FROM lines),
+runs AS (SELECT *, k - row_number() OVER (PARTITION BY r, item ORDER BY k) AS run, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again FROM items),
+failing AS (SELECT *, solid > 0 AND (again OR (item AND count(*) OVER (PARTITION BY r, item, run) >= {Q.MENU_RUN}) OR ({_PHRASES})
+      OR (bars >= {Q.MENU_BARS} AND bars * 8 > gaps) OR (marks >= {Q.MARKS} AND marks * 10 > n) OR (shouts >= {Q.MARKS} AND shouts * 20 > n)
+      OR (gaps >= {Q.UNPUNCTUATED_GAPS} AND NOT regexp_matches(t, '[{Q.STOPS}]'))
+      OR (gaps <= {Q.MENU_GAPS} AND (t LIKE '%...' OR t LIKE '%…'))) AS fails FROM runs),
+by_line AS (SELECT r, count(*) FILTER (again AND solid > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
+    coalesce(sum(solid) FILTER (fails), 0) AS n_lost_chars FROM failing GROUP BY r),
 counts AS (SELECT d.doc_id, len(c.w) AS n_words,
     length(regexp_replace(d.text, '{_SPACES}', '', 'g')) AS word_chars,
     length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(l.n_lost_chars, 0) AS n_lost_chars
+    coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(l.n_failed_lines, 0) AS n_failed_lines, coalesce(l.n_lost_chars, 0) AS n_lost_chars
   FROM docs d JOIN cut c USING (r) LEFT JOIN by_line l USING (r) LEFT JOIN repeats p USING (r)),
-judged AS (SELECT *, (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM counts)
+judged AS (SELECT *, (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM counts)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND 100 * n_lost_chars <= {quality_rules.MAX_LOST_PERCENT} * word_chars AS kept, CAST(n_lost_chars AS BIGINT) AS n_lost_chars
+  NOT base_failed AND 100 * n_lost_chars <= {Q.MAX_LOST_PERCENT} * word_chars AS kept, CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(n_lost_chars AS BIGINT) AS n_lost_chars
 FROM judged
 """
