@@ -17,7 +17,7 @@ from weftgraph.llm.secret_scan import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules, without the lines that fail them."""
     return filter_quality(docs)
 
 
