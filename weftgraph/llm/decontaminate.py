@@ -1,21 +1,29 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over the words of all benchmark windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over the words of all benchmark items.
 
-Texts are lower-cased (A-Z) and cut into words; words that occur in the benchmark have numbers, all others are 0. The
-automaton holds every window of 13 words (an item with fewer words is one window) as a sequence of numbers and reads
-each document once. A word inside an occurrence is hit; hit words map back to code points of the original text.
+Texts are lower-cased (A-Z) and cut into words; a word that occurs in the benchmark has a code of a few symbols, all others
+share one that no item has. Every window of 13 words holds a run of 7 that begins at a multiple of 7 words in its item, so
+the automaton has these runs only (an item with fewer than 13 words is one pattern), about a node for each word. It reads each
+document once. A match is grown to both sides against its item; from 13 words on, all windows in it occur, and its words are
+hit. Hit words map back to code points of the original text.
 
-The benchmark is the stated query set. Automata are built from blocks of items of BLOCK_WORDS words at most, so that a
-worker's memory has a bound; a larger benchmark takes several blocks, each read over the same batches.
+The benchmark is the stated query set. It is cut into blocks of items, of BLOCK_WORDS words each, to bound a worker's
+automaton; a larger benchmark takes several blocks, which are read in turn over batches of BUFFER bytes. The driver holds the
+benchmark's texts compressed, and sends them so.
 
 Defined results: a null or empty text has no words, hits or items and is not contaminated. Null items and items without
-words have no window. Repeated items (equal item_id) count once in n_items; equal texts of two items count for both.
-Repeated documents get a row each. Empty documents give an empty table; an empty benchmark contaminates nothing.
+words have no window. An item with a null id hits words, but is not among the items found. Repeated items (equal item_id)
+count once in n_items; equal texts of two items count for both. Repeated documents get a row each. Texts of any length are
+read whole, one at a time. Other columns stay in `find_overlap`, whose result gets a trailing underscore where its name
+clashes. Empty documents give an empty table; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +33,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm._common import fresh, slices, utf8
 
 WINDOW = 13
-#: Words of benchmark text in one automaton.
-BLOCK_WORDS = 2_000_000
+#: Words of a run that the automaton finds: any window has one that begins at a multiple of it.
+RUN = (WINDOW + 1) // 2
+#: Words of benchmark text in one automaton, and bytes of documents that several are read over in turn.
+BLOCK_WORDS, BUFFER = 2_000_000, 32 << 20
+#: Symbols for each place of a word's code: few, so that no node of the automaton has many children.
+SYMBOLS = 512
 #: A document is contaminated from one hit word in so many words.
 SHARE = 20
 #: Words in a text as it is; A-Z is lower-cased after the cut.
@@ -42,60 +54,113 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The automaton of some items: [(item id as a string, words)]."""
+    """The automaton of some items: [(item id as a string or None, words)]."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         import ahocorasick
 
-        self.ids = sorted({name for name, _ in items})
+        self.ids = sorted({name for name, _ in items if name is not None})
         number = {name: k for k, name in enumerate(self.ids)}
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for name, words in items:
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for k in range(max(1, len(codes) - WINDOW + 1) if codes else 0):
-                found.setdefault(tuple(codes[k : k + WINDOW]), set()).add(number[name])
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, owners in found.items():
-            self.automaton.add_word(window, (len(window), tuple(owners)))
+        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
+        self.width = 1
+        while SYMBOLS**self.width < len(vocabulary):
+            self.width += 1
+        self.unknown = "\x00" * self.width
+        self.codes = {w: self._code(k) for w, k in vocabulary.items()}
+        self.owners = [number.get(name, -1) for name, _ in items]
+        self.texts = ["".join([self.codes[w] for w in words]) for _, words in items]
+        found: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, words) in enumerate(items):
+            if 0 < len(words) < WINDOW:
+                found.setdefault(self.texts[k], []).append((k, -1))
+            else:
+                for at in range(0, len(words) - RUN + 1, RUN):
+                    found.setdefault(self.texts[k][at * self.width : (at + RUN) * self.width], []).append((k, at))
+        self.empty = not found
+        self.automaton = ahocorasick.Automaton()
+        for pattern, places in found.items():
+            self.automaton.add_word(pattern, (len(pattern) // self.width, places))
         if found:
             self.automaton.make_automaton()
-        self.empty = not found
+
+    def _code(self, k: int) -> str:
+        """A symbol for each place; places have symbols of their own, so that matches begin at words only."""
+        out = []
+        for place in range(self.width):
+            out.append(chr(1 + place * SYMBOLS + k % SYMBOLS))
+            k //= SYMBOLS
+        return "".join(out)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """The hit runs of words (start, end exclusive), apart and in order, and the numbers of the items found."""
+        """The hit runs of words (start, end exclusive), and the numbers of the items found; -1 for those without an id."""
         runs: list[tuple[int, int]] = []
         owners: set[int] = set()
         if self.empty or not words:
             return runs, owners
-        get = self.vocabulary.get
-        codes = tuple([get(w, 0) for w in words])
-        if not any(codes):
-            return runs, owners
-        for end, (length, items) in self.automaton.iter(codes):
-            owners.update(items)
-            start = end + 1 - length
-            while runs and runs[-1][1] >= start:
-                start = min(start, runs.pop()[0])
-            runs.append((start, end + 1))
-        return runs, owners
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str, list[bytes]]]]:
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null").toLocalIterator()
-    blocks, held = [], BLOCK_WORDS
+        get, width, unknown = self.codes.get, self.width, self.unknown
+        text = "".join([get(w, unknown) for w in words])
+        grown: dict[tuple[int, int], int] = {}  # the end of the last run for each item and difference of places
+        for last, (length, places) in self.automaton.iter(text):
+            end = (last + 1) // width
+            start = end - length
+            for item, at in places:
+                if at < 0:
+                    runs.append((start, end))
+                    owners.add(self.owners[item])
+                    continue
+                lead = (item, start - at)
+                if grown.get(lead, -1) >= end:
+                    continue
+                own = self.texts[item]
+                a, b, n = start, end, len(own) // width
+                i, j = at, at + length
+                while a and i and text[(a - 1) * width : a * width] == own[(i - 1) * width : i * width]:
+                    a, i = a - 1, i - 1
+                while b < len(words) and j < n and text[b * width : (b + 1) * width] == own[j * width : (j + 1) * width]:
+                    b, j = b + 1, j + 1
+                grown[lead] = b
+                if b - a >= WINDOW:
+                    runs.append((a, b))
+                    owners.add(self.owners[item])
+        return _merge(runs), owners
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str) -> list[bytes]:
+    """Items [(id, text)] in blocks, pickled and compressed."""
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).filter("t is not null").toLocalIterator()
+    blocks: list[bytes] = []
+    block: list[tuple[str | None, bytes]] = []
+    held = 0
+
+    def close() -> None:
+        if block:
+            blocks.append(zlib.compress(pickle.dumps(block), 1))
+            block.clear()
+
     for row in rows:
-        words = words_of(row.t.encode())
-        if not words or row.i is None:
-            continue
-        if held + len(words) > BLOCK_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.i, words))
-        held += len(words)
+        raw = row.t.encode()
+        n = len(words_of(raw))
+        if n:
+            if held + n > BLOCK_WORDS:
+                close()
+                held = 0
+            block.append((row.i, raw))
+            held += n
+    close()
     return blocks
 
 
+#: The automaton that a worker built last, and its name: tasks that follow use it again.
+_built: list = [None, None]
+
+
+def _windows(name: str, block: bytes) -> Windows:
+    if _built[0] != name:
+        _built[:] = [None, None]
+        _built[:] = [name, Windows([(i, words_of(t)) for i, t in pickle.loads(zlib.decompress(block))])]
+    return _built[1]
+
+
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(runs):
@@ -113,38 +178,52 @@ FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<stru
 def find_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", name: str = "overlap") -> DataFrame:
     """docs with a struct: words, hit words, ids of the items found, and hit spans in code points of the text."""
     blocks = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, item, item_text))
+    own = uuid.uuid4().hex
     name = fresh(docs, name)
     schema = docs.select("*", F.lit(None).cast(FOUND).alias(name)).schema
     kind = pa.struct(
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     )
 
+    def read(batches: list[pa.RecordBatch], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found: list[dict[int, tuple[list, set]]] = [{} for _ in batches]
+        sizes: list[list[int]] = [[] for _ in batches]
+        for p, part in enumerate(parts or [b""]):
+            windows = _windows(f"{own}-{p}", part) if part else Windows([])
+            for k, batch in enumerate(batches):
+                data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+                data = data.tobytes()
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    words = words_of(data[a:b])
+                    if p == 0:
+                        sizes[k].append(len(words))
+                    runs, owners = windows.scan(words)
+                    if runs:
+                        held = found[k].setdefault(i, ([], set()))
+                        held[0].extend(runs)
+                        held[1].update(windows.ids[x] for x in owners if x >= 0)
+        for k, batch in enumerate(batches):
+            column, out = batch.column(batch.schema.get_field_index(text)), []
+            for i, n in enumerate(sizes[k]):
+                spans, hit, items = [], [], set()
+                if i in found[k]:
+                    hit, items = _merge(found[k][i][0]), found[k][i][1]
+                    at = [m.span() for m in WORD.finditer(column[i].as_py())]
+                    spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in hit]
+                out.append({"n_words": n, "n_hit": sum(b - a for a, b in hit), "items": sorted(items), "spans": spans})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = blocks.value
-        one = Windows(parts[0]) if len(parts) == 1 else None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in slices(batches, 4 << 20, text):
-            column = batch.column(batch.schema.get_field_index(text))
-            data, offsets = utf8(column)
-            data = data.tobytes()
-            cut = [words_of(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            runs: list[list[tuple[int, int]]] = [[] for _ in cut]
-            owners: list[set[str]] = [set() for _ in cut]
-            for part in parts:
-                windows = one or Windows(part)
-                for k, words in enumerate(cut):
-                    got, items = windows.scan(words)
-                    if got:
-                        runs[k] += got
-                        owners[k].update(windows.ids[i] for i in items)
-            out = []
-            for k, words in enumerate(cut):
-                hit = _merge(runs[k])
-                spans = []
-                if hit:
-                    at = [m.span() for m in WORD.finditer(column[k].as_py())]
-                    spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in hit]
-                out.append({"n_words": len(words), "n_hit": sum(b - a for a, b in hit), "items": sorted(owners[k]), "spans": spans})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index(text)).nbytes
+            if len(parts) < 2 or size >= BUFFER:
+                yield from read(held, parts)
+                held, size = [], 0
+        yield from read(held, parts)
 
     return docs.mapInArrow(run, schema)
 
@@ -156,7 +235,7 @@ def contaminated(overlap: str = "overlap"):
 
 def overlap_digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    found = find_overlap(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark)
+    found = find_overlap(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), benchmark)
     return found.select(
         F.col("key").alias(key),
         "overlap.n_words",
@@ -174,7 +253,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     return find_overlap(docs, benchmark, text, name=name).filter(~contaminated(name)).drop(name)
 
 
-def brute_force(text: str | None, items: list[tuple[str, str | None]]) -> tuple[int, int, int, str, bool]:
+def brute_force(text: str | None, items: list[tuple[str | None, str | None]]) -> tuple[int, int, int, str, bool]:
     """The digest of one document by comparing every window with every place; for tests."""
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     words, hit, owners = cut(text), set(), set()
@@ -185,5 +264,5 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]]) -> tuple[
             for at in range(len(words) - len(window) + 1):
                 if words[at : at + len(window)] == window:
                     hit.update(range(at, at + len(window)))
-                    owners.add(name)
+                    owners.update([name] if name is not None else [])
     return len(words), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit) and SHARE * len(hit) >= len(words)
