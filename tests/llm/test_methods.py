@@ -266,3 +266,17 @@ def test_stars_are_the_same_however_rows_are_batched(size):
     whole = rows(len(token))
     assert rows(size) == whole
     assert len(whole) == 30 + 2 + 9 + 40 + 3 and len({r[2] for r in whole}) == len(whole)
+
+
+def test_long_texts_are_predicted_by_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"{a} {b} " * (40 + k), lang) for k in range(60) for a, b, lang in (("der und die", "nicht", "de"), ("the and of", "was", "en"))], "doc_id long, text string, lang string")
+    net = language_id.train(language_id.sample(docs, docs.doc_id, docs.text, docs.lang))
+    long = spark.createDataFrame([(1, "the and of was " * 20_000), (2, "")], "doc_id long, text string")
+    row = language_id.identify(long, net).orderBy("doc_id").collect()
+    assert row[0].lang_pred == "en" and row[0].n_windows == -(-(300_000 - 3) // 509) and row[1].lang_pred == "und"
+    data = np.frombuffer(b"the and of was " * 200, np.uint8)
+    rows, _, size = language_id.windows_of(data, np.array([0, len(data)]))
+    assert (size[:-1] == 512).all() and rows.shape == (len(size), 512)
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="2 languages"):
+        language_id.sample(docs, docs.doc_id, docs.text, docs.lang)

@@ -7,10 +7,12 @@ prediction gathers rows of pair tables instead of multiplying. A text's predicti
 weighted by their bytes.
 
 Training takes at most SAMPLE texts of each language, chosen by a hash of their keys, and a stretch of STRETCH
-characters from a hashed place of each; prediction reads whole texts.
+characters from a hashed place of each; prediction reads whole texts, some windows at a time. More than MAX_LANGUAGES
+languages are an error.
 
-Defined results: a null text and one without a letter are `und` with score 0. Ties go to the language first by name.
-With no labelled rows at all, every text is `und`. Repeated rows get a row each. An empty table gives an empty table.
+Defined results: rows with a null text or language are not learned; a null text and one without a letter are `und` with score 0. Ties go to the language first by name.
+With no labelled rows at all, every text is `und`. Repeated rows get a row each. Very long texts are read whole. Other columns,
+whatever their names, are not carried. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import slices, utf8
+from weftgraph.llm._common import materialize, slices, utf8
 
-SAMPLE, STRETCH = 400, 1024
+#: Most labelled stretches that are learned for a language, their characters, and most languages that a net is built for.
+SAMPLE, STRETCH, MAX_LANGUAGES = 400, 1024, 5000
+#: Windows that are expanded at a time in prediction; a text of any length takes this much memory besides itself.
+CHUNK = 1024
 WINDOW, OVERLAP = 512, 3
 FILTERS = 16
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.02, 7
@@ -38,20 +43,29 @@ _CLASS = np.array([c - 97 if 97 <= c <= 122 else c - 65 if 65 <= c <= 90 else 26
 _PAD = CLASSES - 1
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte classes of all windows of some texts, the text of each window, and the bytes in it."""
+def plan_windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The start of all windows of some texts, the text of each window, and the bytes in it."""
     step = WINDOW - OVERLAP
     sizes = np.diff(offsets)
     counts = np.where(sizes > 0, np.maximum(1, -(-(sizes - OVERLAP) // step)), 0)
     owner = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[:-1][owner] + nth * step
-    size = np.minimum(offsets[1:][owner] - start, WINDOW)
-    codes = np.append(_CLASS[data], np.full(WINDOW, _PAD, np.int32))
-    at = start[:, None] + np.arange(WINDOW)
-    rows = codes[np.minimum(at, len(codes) - 1)]
+    return start, owner, np.minimum(offsets[1:][owner] - start, WINDOW)
+
+
+def window_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Byte classes of some windows, padded."""
+    at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(data) - 1, 0))
+    rows = _CLASS[data[at]]
     rows[np.arange(WINDOW) >= size[:, None]] = _PAD
-    return rows, owner, size
+    return rows
+
+
+def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte classes of all windows of some texts, the text of each window, and the bytes in it."""
+    start, owner, size = plan_windows(offsets)
+    return window_rows(data, start, size), owner, size
 
 
 class ByteNet:
@@ -143,8 +157,11 @@ def remainder(key: Column) -> Column:
 def sample(docs: DataFrame, key: Column, text: Column, lang: Column) -> DataFrame:
     """At most SAMPLE stretches of text for each language, spread over the rows by a hash of the key."""
     rows = docs.select(F.xxhash64(key).alias("h"), text.alias("text"), lang.alias("lang")).filter("text is not null and lang is not null")
-    share = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000))
-    rows = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 20)) * F.col("n") <= (1 << 20) * 2 * SAMPLE)
+    share = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = share.count()
+    if n > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages: the network is built for {MAX_LANGUAGES} at most")
+    rows = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 20)) * F.col("n") <= (1 << 20) * 2 * SAMPLE)
     start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - STRETCH, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", "h", F.substring("text", start, F.lit(STRETCH)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
@@ -188,8 +205,10 @@ def identify(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: st
             best, score, count = np.zeros(n, int), np.zeros(n), np.zeros(n, np.int64)
             if known.any():
                 total = np.zeros((n, len(net.languages)))
-                rows, owner, size = windows_of(data, offsets)
-                np.add.at(total, owner, net.predict(rows) * size[:, None])
+                start, owner, size = plan_windows(offsets)
+                for a in range(0, len(start), CHUNK):
+                    part = slice(a, a + CHUNK)
+                    np.add.at(total, owner[part], net.predict(window_rows(data, start[part], size[part])) * size[part, None])
                 count = np.bincount(owner, minlength=n)
                 total /= np.maximum(total.sum(1, keepdims=True), 1e-30)
                 best = total.argmax(1)
@@ -200,7 +219,7 @@ def identify(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: st
                 names=[key, "lang_pred", "score", "n_windows"],
             )
 
-    lean = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    lean = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     return lean.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_windows bigint")
 
 

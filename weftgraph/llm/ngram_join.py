@@ -12,7 +12,9 @@ positional filter and a parity bitmap filter first, none of which loses a link;
 
 Defined results: a null text and one without words have an empty set, link with nothing and are their own component. A
 text of fewer than five words is one shingle. Equal texts link if they have a word. Rows with a null or repeated key are
-judged by their texts; the component's id is its least key that is not null. An empty table gives an empty table.
+judged by their texts; the component's id is its least key that is not null. Texts of any length are read whole, in pieces.
+Ties have no choice to make: every link counts. Other columns, whatever their names, are not carried by `link_documents` and
+stay in `drop_near_copies`. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import materialize, slices, utf8
+from weftgraph.llm._common import fresh, materialize, slices, utf8
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
@@ -35,8 +38,10 @@ PERCENT = 80
 SKETCH, SKETCH_PARTS = 1 << 22, 64
 #: Partial sketches added in one task at a time.
 FAN_IN = 64
-#: Candidate keys are broadcast up to this many, and joined by a shuffle beyond.
-BROADCAST_KEYS = 2_000_000
+#: Candidate keys are broadcast up to this size, and joined by a shuffle beyond.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 20
 
 _RANDOM = np.random.default_rng(20_231)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,18 +63,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(size, np.uint64(b)))) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, modulo 2^64; those for a longer piece than usual are not kept."""
+    size = max(n, PIECE)
+    if _powers and len(_powers[0]) > size:
+        return _powers[0], _powers[1]
+    made = [np.cumprod(np.append(np.uint64(1), np.full(size, np.uint64(b)))) for b in (_BASE, _INVERSE)]
+    if size == PIECE:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of some texts, and the number of words before each text and at the end."""
+    """A hash of each word of some texts, and the number of words before each text and at the end.
+
+    Texts are read in pieces of PIECE bytes, cut between words, so that what it takes besides the texts and the hashes has a
+    bound; only a word longer than that makes a longer piece."""
     n = len(data)
-    if n == 0:
+    words, starts, at = [], [], 0
+    while at < n:
+        end = min(at + PIECE, n)
+        if end < n:
+            gaps = np.flatnonzero(_SEP[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                # No separator here: cut at the next text's begin, or at the next separator, which is looked for by pieces.
+                stop = int(offsets[np.searchsorted(offsets, at, side="right")]) if offsets[-1] > at else n
+                look = end
+                while look < stop and not _SEP[data[look : look + PIECE]].any():
+                    look += PIECE
+                if look < stop:
+                    look += int(np.argmax(_SEP[data[look : look + PIECE]]))
+                end = min(look, stop)
+        inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, side="right")] - at
+        one, start = _piece_hashes(data[at:end], inner)
+        words.append(one)
+        starts.append(start + at)
+        at = end
+    if not words:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    start = np.concatenate(starts)
+    return np.concatenate(words), np.searchsorted(start, offsets)
+
+
+def _piece_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in a piece; words end at offsets, too."""
+    n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     sep = _SEP[data]
@@ -78,8 +117,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end = np.flatnonzero(inside & (np.concatenate((sep[1:], [True])) | edge[1:])) + 1
     up, down = _tables(n)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * up[:n])))
-    words = _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return words, np.searchsorted(start, offsets)
+    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -186,8 +224,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _print(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def _documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """key, n, node (a hash of the set), grp (a hash of prefix and size), prefix (in the common order), bits (its bitmap)."""
+    """key, print (a hash of the text), n, node (a hash of the set), grp (a hash of prefix and size), prefix (in the common order), bits (its bitmap)."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -208,16 +250,18 @@ def _documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(n, pa.int64()),
                     pa.array(node, pa.int64()),
                     pa.array(group, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), _signed(flat)),
                     pa.array([_bitmap(x) for x in sets], pa.binary()),
                 ],
-                names=["key", "n", "node", "grp", "prefix", "bits"],
+                names=["key", "print", "n", "node", "grp", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(run, f"key {kind}, n bigint, node bigint, grp bigint, prefix array<bigint>, bits binary")
+    rows = docs.select("key", "text", _print(F.col("text")).alias("print"))
+    return rows.mapInArrow(run, f"key {kind}, print bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, bits binary")
 
 
 def _may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
@@ -338,8 +382,8 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> D
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(nodes.join(need, "node", "left_semi").select("node", "key"), f"{name}-wanted")
     known = wanted.select("key").filter("key is not null").distinct()
-    few = known.count() <= BROADCAST_KEYS
-    chosen = docs.join(F.broadcast(known) if few else known, "key", "left_semi")
+    size = known.agg(F.sum(F.octet_length(F.col("key").cast("string")) + 16)).first()[0] or 0
+    chosen = docs.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "key", "left_semi")
     if wanted.filter("key is null").limit(1).count():
         chosen = chosen.unionByName(docs.filter("key is null"))
 
@@ -390,6 +434,12 @@ def _parted(rows: DataFrame, *order: str) -> DataFrame:
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id (the least key of its component)."""
+    out = _linked(docs, key, text)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, print, n, part (a component, null for a text without words) and component_id of every row."""
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     levels = _levels(_sketch(docs.select("text")))
     made = materialize(_documents(docs, levels), "documents")
@@ -427,19 +477,45 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         more = _verify(docs, nodes, second, "second-links")
         parts = components(parts.select(F.col("node").alias("a"), F.col("part").alias("b")).union(more))
 
-    labelled = made.select("key", "n", "node").join(parts, "node", "left").select("key", "n", F.coalesce("part", "node").alias("part"))
+    labelled = made.select("key", "print", "n", "node").join(parts, "node", "left").select("key", "print", "n", F.when(F.col("n") > 0, F.coalesce("part", "node")).alias("part"))
     least = labelled.filter("n > 0").groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("size")).filter("size > 1")
     # Written apart, so that the join's large side is dealt by itself and a large component can be split.
     out = labelled.join(materialize(least.select("part", "least"), "least"), "part", "left")
     own = F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("key", "print", "n", "part", own.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least key of each component, and every row without a key. Rows that share a key share its fate."""
-    linked = link_documents(docs, key, text)
-    later = linked.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(later, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component: that with the least key that is not null, then the least hash of its text.
+
+    Rows are told apart by key and text, so that rows that share a key are judged each by its own text. Of rows with equal
+    key and text the least by its other columns stays (any, where these can't be ordered). Texts without words link with nothing, so that each of their rows stays."""
+    rows = materialize(_linked(docs, key, text), "linked-rows")
+    order = F.struct(F.col("key").isNull().alias("no"), "key", "print")
+    firsts = rows.filter("part is not null").groupBy("part").agg(F.min(order).alias("f"), F.count("*").alias("size")).filter("size > 1")
+    firsts = materialize(firsts.select("part", "f.key", "f.print"), "first-rows").select("part", F.col("key").alias("k"), F.col("print").alias("p"))
+    later = rows.join(firsts, "part").filter(~(F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p"))))
+    later = materialize(later.select("key", "print").distinct(), "later-rows")
+    twice = materialize(rows.filter("part is not null").groupBy("key", "print").agg(F.count("*").alias("size")).filter("size > 1").select("key", "print"), "equal-rows")
+    name = fresh(docs, "print")
+    marked = docs.withColumn(name, _print(F.col(f"`{text}`")))
+
+    def among(t: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        t = t.select(F.col("key").alias("_key"), F.col("print").alias("_print"))
+        return left.join(t, left[f"`{key}`"].eqNullSafe(t["_key"]) & (left[name] == t["_print"]), how)
+
+    kept = among(later, "left_anti", marked)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not twice.limit(1).count():
+        return kept.select(*columns)
+    several = among(twice, "left_semi", kept).withColumn(fresh(marked, "whole"), F.struct(*columns))
+    whole = several.columns[-1]
+    try:
+        one = several.groupBy(F.col(f"`{key}`").alias("k"), F.col(name).alias("p")).agg(F.min(whole).alias("r"))
+        one.schema  # noqa: B018  (asks for the analysis)
+    except AnalysisException:
+        one = several.groupBy(F.col(f"`{key}`").alias("k"), F.col(name).alias("p")).agg(F.first(whole).alias("r"))
+    return among(twice, "left_anti", kept).select(*columns).unionByName(one.select("r.*"))
 
 
 def brute_force(texts: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
