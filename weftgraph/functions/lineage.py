@@ -1,27 +1,41 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops: tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read again.
-
-    Later failures restart from the written table, and each round of a loop has a short plan. A temporary folder serves
-    only where the setting is absent and the session is local."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset and the session is local."""
     global _local
-    conf = df.sparkSession.sparkContext.getConf()
+    conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = _local = _local or tempfile.mkdtemp(prefix="weftgraph-")
-    path = f"{at.rstrip('/')}/weftgraph-{uuid.uuid4().hex}"
+    if at:
+        return at.rstrip("/")
+    master = conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    _local = _local or tempfile.mkdtemp(prefix="weftgraph-")
+    return _local
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: later failures restart from the written table.
+
+    Results may read the table as long as the application lives, so that its driver removes it when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with a short plan: each round of a loop begins from a written table."""
+    return materialize(df, "round")
