@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from weftgraph.functions.lineage import materialize as materialize
 
 #: Text handled at once by a Python worker; what an operator holds besides is a small multiple of it.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in local tests."""
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    global _LOCAL
-    if _LOCAL is None:
-        _LOCAL = tempfile.mkdtemp(prefix="weftgraph-")
-    return _LOCAL
-
-
-_LOCAL: str | None = None
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: later failures restart from the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,9 @@ where the vocabulary has none: such places part a text without changing its best
 looked up in a bounded cache.
 
 Defined results: a null text has null ids; an empty text has none. Unknown ids don't occur in encodings; decoding skips
-control ids and replaces broken UTF-8. Repeated rows get a row each. An empty table gives an empty table.
+control ids and replaces broken UTF-8. Repeated rows get a row each. Texts of any length are encoded whole, part by part.
+Other columns stay; a clashing result name gets a trailing underscore, and `encode_digest` carries the key only. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -169,7 +171,7 @@ def decode_ids(tokens: DataFrame, model: str | None = None, ids: str = "ids", na
 def encode_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """One row per document: key, n_chars, n_tokens, ids, and whether the ids decode to the text. Encoded and decoded in one pass."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model or default_model()))
-    lean = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    lean = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +201,20 @@ def brute_force(text: str, vocabulary: Vocabulary) -> list[int]:
     longest = max(map(len, scores))
     unknown = min(s for s, _ in scores.values()) - 10
     t = " " + text if text else ""
-    best: list[tuple[float, list[int]]] = [(0.0, [])]
+    best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]  # score, begin and ids of the last piece
     for end in range(1, len(t) + 1):
         top = None
         for start in range(max(0, end - longest), end):  # the longest first
             if t[start:end] in scores:
                 score, i = scores[t[start:end]]
                 if top is None or best[start][0] + score > top[0]:
-                    top = (best[start][0] + score, [*best[start][1], i])
+                    top = (best[start][0] + score, start, [i])
         if t[end - 1] not in scores:
-            other = (best[end - 1][0] + unknown, [*best[end - 1][1], *[vocabulary.bytes[b] for b in t[end - 1].encode()]])
+            other = (best[end - 1][0] + unknown, end - 1, [vocabulary.bytes[b] for b in t[end - 1].encode()])
             top = other if top is None or other[0] >= top[0] else top
         best.append(top)
-    return best[-1][1]
+    out, at = [], len(t)
+    while at:
+        out.append(best[at][2])
+        at = best[at][1]
+    return [i for ids in reversed(out) for i in ids]

@@ -7,7 +7,8 @@ the primed compressor can't shorten are reported as kind `novel`; ordinary words
 key block with such a token is one span from its first character to its last, up to the END marker.
 
 Defined results: null and empty texts have no span. Offsets are code points, ends exclusive. Repeated rows get a row
-each. An empty table gives an empty table. Other columns stay as they are.
+each. Texts and tokens of any length are read to their end. Where spans overlap they are reported each, and redacted as one.
+An empty table gives an empty table. Other columns stay as they are; a clashing result name gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def _joined(spans: Column) -> Column:
 
 def secret_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, n_novel."""
-    found = scan_secrets(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    found = scan_secrets(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda s: s["kind"] != "novel")
     return found.select(

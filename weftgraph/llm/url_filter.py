@@ -9,8 +9,9 @@ joined, so that a URL seen many times counts once.
 Rules come first: a rule fits its host and all subdomains if the path starts with the rule's path; the longest wins.
 
 Defined results: a null URL and one without `://` have an empty host and path, no rule and the verdict `allow`.
-Repeated rows get a row each. An empty table gives an empty table; with an empty list only the rules block. Names that
-clash with the result's are not carried.
+Repeated rows get a row each. Rules of equal length go by the order of their hosts' names. Very long URLs have all their
+keys, as many as labels times folders. An empty table gives an empty table; with an empty list only the rules block. Other
+columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
