@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near copies, benchmark passages, secrets, encoding.
 
 Each stage takes the documents that its predecessor kept, as reread from Parquet, and all but the last return the columns
-of documents.
+of documents, further ones included, whatever their names.
+
+Defined results: an empty table gives an empty table in every stage, and texts of any length are read whole. A null text has
+no words, so that the first stage rejects it; the others keep a null or empty text as it is, and the last gives null or no
+ids. Keys may be null or repeated: rows are judged by their own texts. Equal rows are one group of the second stage, which
+keeps the row with the least key, then the least hash of the text; elsewhere repeated rows get equal results.
 """
 
 from __future__ import annotations
