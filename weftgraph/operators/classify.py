@@ -11,6 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lineage import cut
+from weftgraph.operators.graph import symmetric_normalise
+from weftgraph.operators.propagate import spread
+
 
 def logistic(rows: DataFrame, c: float = 1.0, max_rounds: int = 100) -> DataFrame:
     """(node, score): the probability of class 1 of rows (node, embedding, y), trained on those with y.
@@ -24,9 +28,10 @@ def logistic(rows: DataFrame, c: float = 1.0, max_rounds: int = 100) -> DataFram
 
 
 def svm(rows: DataFrame, c: float = 1.0, rounds: int = 60) -> DataFrame:
-    """(node, score): the decision value of a linear machine with squared hinge loss.
+    """(node, score): the decision value of a linear machine with squared hinge loss, for ready features of up to some hundreds.
 
-    Each Newton step sums a gradient and a small Hessian over partitions; rows stay where they are."""
+    Each Newton step sums a gradient and a small Hessian (of the features' number squared, which the driver holds) over
+    partitions; rows stay where they are. Rows of a network are features for `network_scores`, which has no such bound."""
     data = rows.select("node", "y", F.col("embedding").cast("array<double>").alias("x"))
     known = data.filter("y is not null")
     first = known.first()
@@ -62,6 +67,50 @@ def svm(rows: DataFrame, c: float = 1.0, rounds: int = 60) -> DataFrame:
     return data.select("node", dot.alias("score"))
 
 
+def network_scores(
+    edges: DataFrame, labels: DataFrame, loss: str = "logistic", c: float = 1.0, tol: float = 1e-4, max_rounds: int = 100, nodes: DataFrame | None = None
+) -> DataFrame:
+    """(term, node, score) of a linear classifier for each term whose features are the rows of the symmetrically normalised
+    network: trained on labelled nodes, for all others (or for `nodes`) the probability of a positive (logistic) or the decision
+    value (svm, squared hinge). Training positives get 1; terms without any go.
+
+    Minimised is |w|^2 / 2 + c * the sum of losses, with a bias that is not penalised. A gradient takes two products with the
+    network, for all terms at once, and no step of it leaves Spark. The network's norm is 1 at most and so bounds all curvatures: fixed
+    steps converge at a rate that depends on c alone."""
+    if loss not in ("logistic", "svm"):
+        raise ValueError(f"no such loss: {loss}")
+    s = cut(symmetric_normalise(edges))
+    known = labels.select("term", "node", F.col("label").cast("double").alias("y"))
+    counts = known.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("p")).filter("p > 0")
+    known = cut(known.join(counts.select("term", "n"), "term"))
+    curve = (0.25 if loss == "logistic" else 2.0) * c
+    step = 1 / (1 + 2 * curve)
+    weights = known.select("term", "node", F.lit(0.0).alias("score")).limit(0)
+    bias = cut(counts.select("term", "n", F.lit(0.0).alias("bias")))
+    margin = lambda: F.col("y") * (F.coalesce("score", F.lit(0.0)) + F.col("bias"))
+    for _ in range(max_rounds):
+        at = known.join(spread(s, weights, ["term"]), ["term", "node"], "left").join(bias.select("term", "bias"), "term")
+        pull = F.col("y") / (1 + F.exp(margin())) if loss == "logistic" else 2 * F.col("y") * F.greatest(F.lit(0.0), 1 - margin())
+        pull = cut(at.select("term", "node", (c * pull).alias("score")))
+        change = spread(s, pull, ["term"]).withColumn("score", step * F.col("score")).unionByName(weights.withColumn("score", -step * F.col("score")))
+        both = change.withColumn("old", F.lit(0.0)).unionByName(weights.select("term", "node", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+        new = cut(both.groupBy("term", "node").agg(F.sum("score").alias("change"), F.sum("old").alias("old")))
+        moved = pull.groupBy("term").agg(F.sum("score").alias("g"))
+        bias = cut(bias.join(moved, "term", "left").select("term", "n", F.coalesce(F.col("g"), F.lit(0.0)).alias("g"), (F.col("bias") + F.coalesce("g", F.lit(0.0)) / (2 * curve * F.col("n"))).alias("bias")))
+        weights = new.select("term", "node", (F.col("old") + F.col("change")).alias("score"))
+        moves = new.select(F.abs("change").alias("m")).union(bias.select((F.abs("g") / F.col("n")).alias("m")))
+        far = moves.agg(F.max("m")).first()[0] or 0.0
+        bias = bias.drop("g")
+        if far <= tol:
+            break
+    universe = nodes.select("node").distinct() if nodes is not None else s.select(F.col("src").alias("node")).distinct()
+    asked = universe.join(bias.select("term", "bias"), F.lit(True)).join(known.select("term", "node"), ["term", "node"], "left_anti")
+    value = F.coalesce("score", F.lit(0.0)) + F.col("bias")
+    value = 1 / (1 + F.exp(-value)) if loss == "logistic" else value
+    found = asked.join(spread(s, weights, ["term"]), ["term", "node"], "left").select("term", "node", value.alias("score"))
+    return found.unionByName(known.filter("y > 0").select("term", "node", F.lit(1.0).alias("score")))
+
+
 def degree_clusters(degrees: DataFrame, bins: int, seed: int = 1) -> DataFrame:
     """(node, degree, bin): one-dimensional k-means of the degrees, bins from 1 by falling centre."""
     data = VectorAssembler(inputCols=["degree"], outputCol="features").transform(degrees.withColumn("degree", F.col("degree").cast("double")))

@@ -27,15 +27,33 @@ def split_folds(labels: DataFrame, folds: int, rep: int = 1) -> DataFrame:
     return rows.join(enough.filter((F.col("p") >= folds) & (F.col("n") >= folds)).select("term"), "term", "left_semi")
 
 
-def leave_group_out(labels: DataFrame, groups: DataFrame, least: int = 10) -> DataFrame:
-    """(group, term, node, label, train): for each group its nodes are tested and all others train; too small terms go."""
-    rows = labels.join(groups.select("node", F.col("group").alias("own")), "node")
-    pairs = rows.select("term", F.col("own").alias("group")).distinct()
-    grid = pairs.join(rows, "term").withColumn("train", F.col("own") != F.col("group"))
-    count = lambda label, train: F.count_if((F.col("label") == label) & (F.col("train") == F.lit(train)))
-    good = grid.groupBy("group", "term").agg(count(1, True).alias("a"), count(1, False).alias("b"), count(-1, True).alias("c"), count(-1, False).alias("d"))
+def leave_group_out(labels: DataFrame, groups: DataFrame, least: int = 10, oracle: bool = False, evaluation: DataFrame | None = None) -> DataFrame:
+    """(group, term, node, label, train): for each group its nodes are tested and all others train; too small terms go.
+
+    Tested labels are those of `evaluation`, if it is given. A node of several groups may be on both sides: then no training
+    positive is tested, and no training label is tested as a negative. oracle: no tested positive trains as a negative."""
+    own = lambda t: t.select("term", "node", "label").join(groups.select("node", F.col("group").alias("own")).distinct(), "node")
+    test = own(labels if evaluation is None else evaluation).withColumnRenamed("own", "group")
+    pairs = test.select("term", "group").distinct()
+    inside = groups.select("node", "group").distinct().withColumn("in", F.lit(True))
+    train = pairs.join(labels.select("term", "node", "label"), "term").join(inside, ["node", "group"], "left").filter("`in` is null").drop("in")
+    axis = ["group", "term", "node"]
+    test = test.join(train.filter("label > 0").select(*axis), axis, "left_anti")
+    if oracle:
+        hidden = test.filter("label > 0").select(*axis, F.lit(-1).alias("label"))
+        train = train.join(hidden, [*axis, "label"], "left_anti")
+    negatives = test.filter("label < 0").join(train.select(*axis), axis, "left_anti")
+    test = test.filter("label > 0").unionByName(negatives)
+    rows = train.select(*axis, "label").withColumn("train", F.lit(True)).unionByName(test.select(*axis, "label").withColumn("train", F.lit(False)))
+    count = lambda label, side: F.count_if((F.col("label") == label) & (F.col("train") == F.lit(side)))
+    good = rows.groupBy("group", "term").agg(count(1, True).alias("a"), count(1, False).alias("b"), count(-1, True).alias("c"), count(-1, False).alias("d"))
     good = good.filter((F.col("a") >= least) & (F.col("b") >= least) & (F.col("c") > 0) & (F.col("d") > 0))
-    return grid.join(good.select("group", "term"), ["group", "term"], "left_semi").select("group", "term", "node", "label", "train")
+    return rows.join(good.select("group", "term"), ["group", "term"], "left_semi").select("group", "term", "node", "label", "train")
+
+
+def skip_done(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs that have no results yet."""
+    return wanted.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def curve(scores: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

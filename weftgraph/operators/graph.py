@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import cut
+from weftgraph.functions.order import Ordered
 
 
 def sum_edges(raw: DataFrame) -> DataFrame:
@@ -20,12 +23,20 @@ def last_edges(raw: DataFrame, order: str, *keys: str) -> DataFrame:
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
-    """W + W' unless W is symmetric already; a self-loop doubles with the rest. W is written once and read thrice."""
-    edges = cut(edges)
-    swapped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    if not edges.exceptAll(swapped).limit(1).count():
-        return edges
-    return edges.unionByName(swapped).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    """W + W' unless W is symmetric already; a self-loop doubles with the rest. Repeated edges are summed.
+
+    One aggregate by unordered pair has both directions' sums, which also tell whether W is symmetric."""
+    forth = F.col("src") <= F.col("dst")
+    pairs = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(
+        F.sum(F.when(forth, F.col("weight"))).alias("forth"), F.sum(F.when(~forth, F.col("weight"))).alias("back")
+    )
+    same = pairs.filter("u <> v").agg(F.coalesce(F.bool_and(F.col("forth").eqNullSafe(F.col("back"))), F.lit(False)).alias("same"))
+    loops = F.when(F.col("u") == F.col("v"), F.col("forth"))
+    weight = F.when(F.col("same"), F.col("forth")).otherwise(F.coalesce("forth", F.lit(0.0)) + F.coalesce(F.col("back"), loops, F.lit(0.0)))
+    ways = F.when(F.col("u") == F.col("v"), F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")))).otherwise(
+        F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+    )
+    return pairs.crossJoin(F.broadcast(same)).select(F.explode(ways).alias("w"), weight.alias("weight")).select("w.src", "w.dst", "weight")
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -33,18 +44,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def index_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, idx): places 0..N-1 in lexicographic order, from range partitions and their counts, without a single task."""
-    n = max(1, nodes.sparkSession.sparkContext.defaultParallelism)
-    ranged = cut(nodes.select("node").distinct().repartitionByRange(n, "node").sortWithinPartitions("node").withColumn("part", F.spark_partition_id()))
-    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # a number for each partition
-    base, starts = 0, []
-    for part, count in counts:
-        starts += [F.lit(part), F.lit(base)]
-        base += count
-    if not starts:
-        return ranged.select("node", F.lit(0).cast("long").alias("idx"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1
-    return ranged.select("node", (F.element_at(F.create_map(*starts), F.col("part")) + local).cast("long").alias("idx"))
+    """(node, idx): places 0..N-1 in lexicographic order."""
+    return Ordered(nodes.select("node").distinct(), "node").rank("rank").table().select("node", (F.col("rank") - 1).alias("idx"))
 
 
 def unweighted(edges: DataFrame) -> DataFrame:
@@ -182,6 +183,12 @@ def closest_sources(reached: DataFrame) -> DataFrame:
     return reached.groupBy("node").agg(F.min(F.struct("dist", "source", "hops")).alias("b")).select("node", "b.source", "b.dist", "b.hops")
 
 
+def near_sources(reached: DataFrame, least: int = 2) -> DataFrame:
+    """(node, source, within): all sources within the node's least number of hops to any, or within `least` if that is more."""
+    nearest = reached.groupBy("node").agg(F.greatest(F.min("hops"), F.lit(least)).alias("within"))
+    return reached.join(nearest, "node").filter("hops <= within").select("node", "source", "within")
+
+
 def path_nodes(reached: DataFrame) -> DataFrame:
     """(node, target, step): the nodes on a shortest path to each node's nearest source, the least parent first."""
     near = reached.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("b")).select(F.col("node").alias("target"), F.col("b.source").alias("source"))
@@ -210,11 +217,34 @@ def stranded(component: DataFrame, train: DataFrame, test: DataFrame) -> DataFra
     return rows.groupBy("term").agg(F.count("*").alias("n_test"), F.count_if(F.col("ok").isNull()).alias("n_stranded"))
 
 
-def edge_kind(interaction: Column, directed: Column) -> Column:
-    """The kind of an interaction by words in its type, the first that fits; else by direction."""
-    text = F.lower(interaction)
-    kinds = (("phosphorylation", "phosphorylation"), ("activat", "activation"), ("inhibit", "inhibition"), ("enzym", "enzymatic"))
-    out = F.when(directed, F.lit("spike_regulation")).otherwise(F.lit("physical"))
-    for word, kind in reversed(kinds):
-        out = F.when(text.contains(word), F.lit(kind)).otherwise(out)
-    return out
+#: Sources whose types are words, the word of each kind in them, and the term that other sources use.
+WORD_SOURCES = ("KEGG", "SPIKE")
+KIND_WORDS = {"activation": ("activation",), "inhibition": ("inhibition",), "enzymatic": ("dephosphorylation", "ubiquitination", "methylation", "glycosylation")}
+PHOSPHORYLATION, PHOSPHORYLATION_TERM = "phosphorylation", "MI:0217"
+
+
+def edge_kinds(interaction: Column, directed: Column, source: Column) -> Column:
+    """The sorted kinds of an interaction (an array): undirected ones are physical; of directed ones those that the type's words
+    tell in sources of words (none for a type without any, a regulation for an empty type of the source that has such);
+    elsewhere phosphorylation by its term, or else enzymatic."""
+    text = F.lower(F.coalesce(interaction, F.lit("")))
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    words = [F.when(has(*found), F.lit(kind)) for kind, found in KIND_WORDS.items()]
+    words.append(F.when(has(PHOSPHORYLATION) & ~has(f"de{PHOSPHORYLATION}"), F.lit(PHOSPHORYLATION)))
+    by_term = F.when(F.contains(F.coalesce(interaction, F.lit("")), F.lit(PHOSPHORYLATION_TERM)), F.lit(PHOSPHORYLATION)).otherwise(F.lit("enzymatic"))
+    kinds = (
+        F.when(~directed, F.array(F.lit("physical")))
+        .when((source == "SPIKE") & (text == ""), F.array(F.lit("spike_regulation")))
+        .when(source.isin(*WORD_SOURCES), F.array_compact(F.array(*words)))
+        .otherwise(F.array(by_term))
+    )
+    return F.sort_array(kinds)
+
+
+def kinds_of_edges(evidence: DataFrame) -> DataFrame:
+    """(src, dst, kinds): the sorted kinds of all evidence (src, dst, interaction, directed, source) of an edge; undirected
+    evidence counts for both directions."""
+    kinds = evidence.select("src", "dst", "directed", edge_kinds(F.col("interaction"), F.col("directed"), F.col("source")).alias("k"))
+    back = kinds.filter("not directed").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "directed", "k")
+    rows = kinds.unionByName(back).select("src", "dst", F.explode_outer("k").alias("kind"))
+    return rows.groupBy("src", "dst").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import cut
 from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normalise
+from weftgraph.operators.stats import kendall_tau
 
 STATIC = 4
 
@@ -57,39 +58,84 @@ def propagate(
     return state.filter("score > 0").unionByName(ones)
 
 
-def bounds(edges: DataFrame, labels: DataFrame, alpha: float = 0.8, max_rounds: int = 1000, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Propagation without negatives until the bounds fix every rank: (scores, statistics of each round).
+def bounds(
+    edges: DataFrame, labels: DataFrame, alpha: float = 0.8, max_rounds: int = 1000, plus: bool = False, keys: list[str] | None = None, compare: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Propagation until the bounds fix every rank: (scores, statistics of each round). Negatives are fixed at 0 (plus: there are none).
 
     After i rounds a score can still grow by alpha^i max(f) / (1 - alpha). A node is ranked when its interval meets neither
-    neighbour's in score order; a node without score never is, and rounds go on while nodes get their first one. Equal scores stay unranked: rounds end when no bound is large
-    enough to move any score, as doubles, or after max_rounds. The last round's statistics and a warning tell what is left."""
+    neighbour's in score order; a node without score never is, and rounds go on while nodes get their first one. Equal scores
+    stay unranked: rounds end when no bound is large enough to move any score, as doubles, or after max_rounds. The last
+    round's statistics and a warning tell what is left.
+
+    Statistics: unranked nodes, the longest stretch of them in score order, the greatest change of a score in the round, the
+    bound `ub`; and with `compare` also tau, Kendall's of the round's order of nodes and the last round's."""
     keys = keys or ["term"]
     if not alpha < 1:
         raise ValueError("bounds need alpha < 1")
-    fixed = labels.filter("label > 0").select(*keys, "node")
+    fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node")
     p = cut(row_normalise(edges))
-    ones = fixed.withColumn("score", F.lit(1.0))
+    ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
     free = lambda s: s.join(fixed, [*keys, "node"], "left_anti")
     first = cut(free(spread(p, ones, keys)).withColumn("score", alpha * F.col("score")))
-    top = first.groupBy(*keys).agg(F.max("score").alias("top"))
-    state, rows, reached = first, None, 0
+    top = cut(first.groupBy(*keys).agg(F.max("score").alias("top")))
+    state, rows, states, reached, left = first.withColumn("change", F.col("score")), None, None, 0, 0
     order = Window.partitionBy(*keys).orderBy("score", "node")
     for k in range(1, max_rounds + 1):
         if k > 1:
-            new = free(spread(p, state, keys).withColumn("score", alpha * F.col("score")))
-            state = cut(new.unionByName(first).groupBy(*keys, "node").agg(F.sum("score").alias("score")))
-        gap = state.join(F.broadcast(top), keys).withColumn("ub", alpha**k / (1 - alpha) * F.col("top"))
-        gap = gap.withColumn("before", F.lag("score").over(order)).withColumn("after", F.lead("score").over(order))
+            new = free(spread(p, state, keys).withColumn("score", alpha * F.col("score"))).withColumn("old", F.lit(0.0))
+            both = new.unionByName(first.withColumn("old", F.lit(0.0))).unionByName(state.select(*keys, "node", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+            state = both.groupBy(*keys, "node").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+            state = cut(state.select(*keys, "node", "score", (F.col("score") - F.col("old")).alias("change")))
+        if compare:
+            one = state.select(*keys, "node", "score", F.lit(k).alias("round"))
+            states = one if states is None else states.unionByName(one)
+        gap = state.join(top, keys).withColumn("ub", alpha**k / (1 - alpha) * F.col("top"))
+        gap = gap.withColumn("before", F.lag("score").over(order)).withColumn("after", F.lead("score").over(order)).withColumn("place", F.row_number().over(order))
         open_ = (F.coalesce(F.col("before") + F.col("ub") >= F.col("score"), F.lit(False))) | F.coalesce(F.col("score") + F.col("ub") >= F.col("after"), F.lit(False))
-        one = gap.groupBy(*keys).agg(F.sum(open_.cast("long")).alias("unranked"), F.first("ub").alias("ub"), F.min(F.when(F.col("score") > 0, F.col("score"))).alias("least"), F.count("*").alias("n"))
-        one = cut(one.withColumn("round", F.lit(k)))
+        gap = gap.withColumn("open", open_)
+        run = F.col("place") - F.row_number().over(Window.partitionBy(*keys, "open").orderBy("score", "node"))
+        runs = gap.withColumn("run", run).groupBy(*keys, "open", "run").agg(
+            F.count("*").alias("n"), F.first("ub").alias("ub"), F.min(F.when(F.col("score") > 0, F.col("score"))).alias("least"), F.max("change").alias("change")
+        )
+        size = F.when(F.col("open"), F.col("n")).otherwise(F.lit(0))
+        one = runs.groupBy(*keys).agg(
+            F.sum(size).alias("unranked"), F.max(size).alias("stretch"), F.max("change").alias("change"), F.first("ub").alias("ub"), F.min("least").alias("least"), F.sum("n").alias("n")
+        )
+        said = Observation()
+        moving = F.max((F.col("unranked") > 0) & (F.col("ub") > F.col("least") * 2.0**-54))
+        one = cut(one.withColumn("round", F.lit(k)).observe(said, F.sum("unranked").alias("left"), moving.alias("moving"), F.sum("n").alias("reached")))
         rows = one.drop("least", "n") if rows is None else rows.unionByName(one.drop("least", "n"))
-        seen, (left, moving, reached) = reached, one.agg(F.sum("unranked"), F.max((F.col("unranked") > 0) & (F.col("ub") > F.col("least") * 2.0**-54)), F.sum("n")).first()
-        if reached == seen and not (left and moving) or not reached:
+        seen, told = reached, said.get
+        left, reached = told["left"], told["reached"]
+        if reached == seen and not (left and told["moving"]) or not reached:
             break
     if left:
         warnings.warn(f"bounds: {left} nodes are unranked after {k} rounds", stacklevel=2)
-    return state.unionByName(ones), rows
+    if compare:
+        last = state.select(*keys, "node", F.col("score").alias("y"))
+        taus = kendall_tau(states.withColumnRenamed("score", "x").join(last, [*keys, "node"]).select(*keys, "round", "x", "y"), [*keys, "round"])
+        rows = rows.join(taus, [*keys, "round"], "left")
+    return state.select(*keys, "node", "score").unionByName(ones), rows
+
+
+def conjugate_gradients(times, y: DataFrame, keys: list[str], tol: float, max_rounds: int) -> DataFrame:
+    """(keys, node, score): the solution of A x = y for all keys at once; times(v) is A v of (keys, node, score), A symmetric
+    and positive definite. A key is done when its residual's norm is tol or less."""
+    axis = [*keys, "node"]
+    state = cut(y.select(*axis, F.lit(0.0).alias("x"), F.col("score").alias("r"), F.col("score").alias("p")))
+    for _ in range(max_rounds):
+        q = times(state.select(*axis, F.col("p").alias("score")).filter("score <> 0")).withColumnRenamed("score", "q")
+        t = cut(state.join(q, axis, "full_outer").na.fill(0.0, ["q", "x", "r", "p"]))
+        a = t.groupBy(*keys).agg((F.sum(F.col("r") * F.col("r"))).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq"))
+        t = t.join(a, keys).withColumn("a", F.when(F.sqrt("rr") > tol, F.coalesce(F.try_divide("rr", "pq"), F.lit(0.0))).otherwise(0.0))
+        t = cut(t.select(*axis, (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p", "rr"))
+        new = cut(t.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("new"), F.first("rr").alias("old")))
+        state = t.drop("rr").join(new, keys)
+        state = cut(state.select(*axis, "x", "r", (F.col("r") + F.coalesce(F.try_divide("new", "old"), F.lit(0.0)) * F.col("p")).alias("p")))
+        if (new.agg(F.max(F.sqrt("new"))).first()[0] or 0.0) <= tol:
+            break
+    return state.select(*axis, F.col("x").alias("score"))
 
 
 def laplacian_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: float = 1e-5, max_rounds: int = 100, keys: list[str] | None = None) -> DataFrame:
@@ -102,22 +148,55 @@ def laplacian_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: flo
         part = spread(lap, v, keys).withColumn("score", alpha * F.col("score"))
         return part.unionByName(v.select(*axis, "score")).groupBy(*axis).agg(F.sum("score").alias("score"))
 
-    def full(t: DataFrame) -> DataFrame:
-        return t.na.fill(0.0, ["x", "r", "p"])
+    return conjugate_gradients(times, y, keys, tol, max_rounds)
 
-    state = cut(y.select(*axis, F.lit(0.0).alias("x"), F.col("score").alias("r"), F.col("score").alias("p")))
-    for _ in range(max_rounds):
-        q = times(state.select(*axis, F.col("p").alias("score")).filter("score <> 0")).withColumnRenamed("score", "q")
-        t = cut(full(state.join(q, axis, "full_outer").na.fill(0.0, ["q"])))
-        a = t.groupBy(*keys).agg((F.sum(F.col("r") * F.col("r"))).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq"))
-        t = t.join(F.broadcast(a), keys).withColumn("a", F.coalesce(F.try_divide("rr", "pq"), F.lit(0.0)))
-        t = cut(t.select(*axis, (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p", "rr"))
-        new = t.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("new"), F.first("rr").alias("old"))
-        state = t.drop("rr").join(F.broadcast(new), keys)
-        state = cut(state.select(*axis, "x", "r", (F.col("r") + F.coalesce(F.try_divide("new", "old"), F.lit(0.0)) * F.col("p")).alias("p")))
-        if (new.agg(F.max(F.sqrt("new"))).first()[0] or 0.0) <= tol:
-            break
-    return state.select(*axis, F.col("x").alias("score"))
+
+#: Names of the solvers that a run may ask for. One method serves them all, as all solve the same system.
+SOLVERS = ("spsolve", "bicg", "bicgstab", "cg", "cgs", "gmres", "lgmres", "minres", "qmr", "gcrotmk")
+
+
+def solve(
+    edges: DataFrame, labels: DataFrame, alpha: float = 1.0, solver: str = "cg", tol: float = 1e-5, max_rounds: int = 1000, plus: bool = False, lam: float = 0.0, keys: list[str] | None = None
+) -> DataFrame:
+    """The fixed point of `propagate`, (I - alpha P) s = alpha P 1_pos on the free nodes, by conjugate gradients.
+
+    P = W / d for a symmetric W, so that with u = sqrt(d) s the system is (I - alpha W / sqrt(d d')) u = sqrt(d) f, which is
+    symmetric and, below alpha 1 or where every node has a way to a fixed one, positive definite."""
+    if solver not in SOLVERS:
+        raise ValueError(f"no such solver: {solver}")
+    keys = keys or ["term"]
+    axis = [*keys, "node"]
+    fixed = (labels.filter("label > 0") if plus else labels).select(*axis)
+    ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score"))
+    total = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d"))
+    if lam:
+        total = total.crossJoin(F.broadcast(edges.agg(F.max("weight").alias("top")))).select("node", (F.col("d") + lam * F.col("top")).alias("d"))
+    root = cut(total.select("node", F.sqrt("d").alias("root")))
+    near = edges.join(root.withColumnRenamed("node", "src"), "src").join(root.select(F.col("node").alias("dst"), F.col("root").alias("other")), "dst")
+    near = cut(near.select("src", "dst", (F.col("weight") / F.col("root") / F.col("other")).alias("weight")))
+
+    def times(v: DataFrame) -> DataFrame:
+        part = spread(near, v, keys).withColumn("score", -alpha * F.col("score")).join(fixed, axis, "left_anti")
+        return part.unionByName(v.select(*axis, "score")).groupBy(*axis).agg(F.sum("score").alias("score"))
+
+    f = spread(near, ones.join(root, "node").select(*axis, F.col("root").alias("score")), keys)
+    f = f.join(fixed, axis, "left_anti").withColumn("score", alpha * F.col("score"))
+    u = conjugate_gradients(times, f, keys, tol, max_rounds)
+    return u.join(root, "node").select(*axis, (F.col("score") / F.col("root")).alias("score")).filter("score <> 0").unionByName(ones)
+
+
+def reachable(edges: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, node): free nodes that a positive reaches without passing a negative, by rounds of neighbours."""
+    keys = keys or ["term"]
+    axis = [*keys, "node"]
+    links = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    walls = labels.filter("label < 0").select(*axis)
+    seen = front = cut(labels.filter("label > 0").select(*axis).distinct())
+    while front.limit(1).count():
+        step = front.join(links.withColumnRenamed("src", "node"), "node").select(*keys, F.col("dst").alias("node")).distinct()
+        front = cut(step.join(walls, axis, "left_anti").join(seen, axis, "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return seen.join(labels.select(*axis), axis, "left_anti")
 
 
 def genemania(edges: DataFrame, labels: DataFrame, nodes: DataFrame, **more) -> DataFrame:
@@ -155,12 +234,18 @@ def contributors(columns: DataFrame, edges: DataFrame, targets: DataFrame, cutof
     )
 
 
-def fixed_scores(edges: DataFrame, labels: DataFrame, alpha: float, keys: list[str] | None = None) -> DataFrame:
-    """(keys, node, score): what fixed positives give to free nodes, alpha * P 1_pos. Nodes that no positive reaches have no row."""
+def fixed_scores(edges: DataFrame, labels: DataFrame, alpha: float, keys: list[str] | None = None, reached_only: bool = False) -> DataFrame:
+    """(keys, node, score): what fixed positives give to free nodes, alpha * P 1_pos. Nodes that no positive touches have no row.
+
+    reached_only: a row, if of 0, for every free node that a positive reaches once the negatives are gone, and for no other."""
     keys = keys or ["term"]
-    ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
+    axis = [*keys, "node"]
+    ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score"))
     given = spread(row_normalise(edges), ones, keys).withColumn("score", alpha * F.col("score"))
-    return given.join(labels.select(*keys, "node"), [*keys, "node"], "left_anti")
+    given = given.join(labels.select(*axis), axis, "left_anti")
+    if not reached_only:
+        return given
+    return reachable(edges, labels, keys).join(given, axis, "left").na.fill(0.0, ["score"])
 
 
 def expected_steps(edges: DataFrame, sources: DataFrame, alphas: list[float], tol: float = 1e-4, max_rounds: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from weftgraph.functions.order import Ordered
 from weftgraph.operators.evaluate import draw
 
 
@@ -56,15 +57,22 @@ def permutation_p(scores: DataFrame, random: DataFrame) -> DataFrame:
     return joined.groupBy("node").agg(F.first("score").alias("score"), F.avg((F.col("rand") >= F.col("score")).cast("double")).alias("pval"))
 
 
+def simple_sets(nodes: DataFrame, size: int, sets: int) -> DataFrame:
+    """(rep, node): for each set so many nodes, none twice, in the order of their draws."""
+    grid = nodes.select("node").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(sets))))
+    order = Window.partitionBy("rep").orderBy(draw("node", F.col("rep").cast("string")), "node")
+    return grid.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= size).select("rep", "node")
+
+
 def two_sample_ks(one: DataFrame, other: DataFrame, value: str) -> DataFrame:
     """One row: the greatest amount by which the first sample's distribution stands below the second's, and its
     asymptotic one-sided p-value."""
     both = one.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(other.select(F.col(value), F.lit(0), F.lit(1)))
     steps = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.sum("b").over(run) / F.sum("b").over(whole) - F.sum("a").over(run) / F.sum("a").over(whole)
-    out = steps.select(gap.alias("gap"), F.sum("a").over(whole).alias("m"), F.sum("b").over(whole).alias("n")).agg(F.greatest(F.max("gap"), F.lit(0.0)).alias("d"), F.first("m").alias("m"), F.first("n").alias("n"))
+    steps = Ordered(steps, "v").running_sum(F.col("a"), "run_a").running_sum(F.col("b"), "run_b").table()
+    sizes = F.broadcast(steps.agg(F.sum("a").alias("m"), F.sum("b").alias("n")))
+    gap = F.col("run_b") / F.col("n") - F.col("run_a") / F.col("m")
+    out = steps.crossJoin(sizes).agg(F.greatest(F.max(gap), F.lit(0.0)).alias("d"), F.first("m").alias("m"), F.first("n").alias("n"))
     return out.select("d", F.exp(-2 * F.col("d") * F.col("d") * F.col("m") * F.col("n") / (F.col("m") + F.col("n"))).alias("pval"))
 
 
@@ -93,23 +101,42 @@ def hypergeometric_sf(k: pd.Series, total: pd.Series, marked: pd.Series, drawn:
     return pd.Series(out, dtype="float64")
 
 
-def enrichment(chosen: DataFrame, sets: DataFrame, universe: DataFrame) -> DataFrame:
-    """(name, k, n, pval, padj): overlap of the chosen nodes with each set (name, node), with false discovery rates."""
-    inside = sets.join(universe.select("node").distinct(), "node", "left_semi").distinct()
+def enrichment(chosen: DataFrame, sets: DataFrame, universe: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, name, k, n, pval, padj, qval): overlap of the chosen nodes with each set (keys, name, node), with false discovery
+    rates and q-values, which are told for each of the keys (an ontology, say) by itself."""
+    keys = keys or []
+    inside = sets.select(*keys, "name", "node").join(universe.select("node").distinct(), "node", "left_semi").distinct()
     pick = chosen.select("node").distinct().join(universe.select("node").distinct(), "node", "left_semi").withColumn("hit", F.lit(1))
-    counts = inside.join(pick, "node", "left").groupBy("name").agg(F.count("hit").alias("k"), F.count("*").alias("n"))
+    counts = inside.join(pick, "node", "left").groupBy(*keys, "name").agg(F.count("hit").alias("k"), F.count("*").alias("n"))
     sizes = universe.agg(F.count_distinct("node").alias("total")).crossJoin(F.broadcast(pick.agg(F.count("*").alias("drawn"))))
     rows = counts.filter("k > 0").crossJoin(F.broadcast(sizes)).withColumn("pval", hypergeometric_sf("k", "total", "n", "drawn"))
-    return adjust(rows.select("name", "k", "n", "pval"), "name")
+    return adjust(rows.select(*keys, "name", "k", "n", "pval"), "name", keys)
+
+
+#: Share of the p-values above which they count as those of true null hypotheses.
+NULL_FROM = 0.05
 
 
-def adjust(rows: DataFrame, key: str) -> DataFrame:
-    """rows with padj: Benjamini and Hochberg's false discovery rate of pval; a table of tests, not of data."""
-    whole = Window.orderBy("pval", key)
-    m = F.count("*").over(Window.partitionBy())
-    rows = rows.withColumn("raw", F.col("pval") * m / F.row_number().over(whole))
-    later = whole.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumn("padj", F.least(F.lit(1.0), F.min("raw").over(later))).drop("raw")
+def adjust(rows: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
+    """rows with padj, Benjamini and Hochberg's false discovery rate of pval, and qval, that rate times the share of true null
+    hypotheses, as estimated from the p-values above NULL_FROM; within keys, if given."""
+    if keys:
+        whole = Window.partitionBy(*keys).orderBy("pval", key)
+        everything = Window.partitionBy(*keys)
+        rows = rows.withColumn("m_", F.count("*").over(everything)).withColumn("null_", F.count_if(F.col("pval") > NULL_FROM).over(everything))
+        rows = rows.withColumn("raw_", F.col("pval") * F.col("m_") / F.row_number().over(whole))
+        rows = rows.withColumn("low_", F.min("raw_").over(whole.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    else:
+        size = F.broadcast(rows.agg(F.count("*").alias("m_"), F.count_if(F.col("pval") > NULL_FROM).alias("null_")))
+        placed = Ordered(rows.crossJoin(size), "pval", key).rank("rank_")
+        rows = placed.following_min(F.col("pval") * F.col("m_") / F.col("rank_"), "low_").table().drop("rank_")
+    padj = F.least(F.lit(1.0), F.col("low_"))
+    share = F.least(F.lit(1.0), F.col("null_") / F.col("m_") / (1 - NULL_FROM))
+    return rows.withColumn("padj", padj).withColumn("qval", share * padj).drop("m_", "null_", "raw_", "low_")
+
+
+def significant(rows: DataFrame, p: float = 0.01, q: float = 0.05) -> DataFrame:
+    return rows.filter((F.col("padj") <= p) & (F.col("qval") <= q))
 
 
 def spearman(scores: DataFrame, key: str) -> DataFrame:
@@ -123,7 +150,8 @@ def spearman(scores: DataFrame, key: str) -> DataFrame:
 
 
 def signed_rank(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, w, z): Wilcoxon's signed rank sum of x - y without zeros, and its normal deviate with tie correction."""
+    """(keys, n, w, z, tied): Wilcoxon's signed rank sum of x - y without zeros, its normal deviate with tie correction, and the
+    sum of that correction, which is 0 without ties."""
     rows = pairs.withColumn("d", F.round(F.col("x") - F.col("y"), 9)).filter("d <> 0").withColumn("m", F.abs("d"))
     order, ties = Window.partitionBy(*keys).orderBy("m"), Window.partitionBy(*keys, "m")
     rows = rows.withColumn("t", F.count("*").over(ties)).withColumn("r", F.rank().over(order) + (F.col("t") - 1) / 2)
@@ -132,7 +160,37 @@ def signed_rank(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
     n = F.col("n")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tied") / 2) / 24)
-    return out.select(*keys, "n", "w", ((F.col("w") - n * (n + 1) / 4) / spread).alias("z"))
+    return out.select(*keys, "n", "w", ((F.col("w") - n * (n + 1) / 4) / spread).alias("z"), "tied")
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_p(n: pd.Series, w: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
+    """P(W >= w) for n pairs: exact without ties up to 50 pairs, else by the normal deviate."""
+    from math import erfc, floor, sqrt
+
+    out, known = [], {}
+    for m, x, t, d in zip(n, w, tied, z, strict=True):
+        m = int(m)
+        if t or m > 50:
+            out.append(erfc(d / sqrt(2)) / 2)
+            continue
+        if m not in known:
+            ways = np.ones(1)  # subsets of the ranks up to k, by their sum
+            for k in range(1, m + 1):
+                ways = np.append(ways, np.zeros(k)) + np.append(np.zeros(k), ways)
+            known[m] = ways / 2.0**m
+        out.append(min(1.0, float(known[m][max(0, floor(x)) :].sum())))
+    return pd.Series(out, dtype="float64")
+
+
+def signed_rank_tests(pairs: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+    """(keys, n, w, z, pval, corrected): one-sided tests of x > y for the keys with so many pairs at least, and their p-values
+    times the number of tests."""
+    enough = pairs.groupBy(*keys).agg(F.count("*").alias("pairs")).filter(F.col("pairs") >= least)
+    rows = signed_rank(pairs.join(enough.select(*keys), keys, "left_semi"), keys)
+    tests = F.broadcast(enough.agg(F.count("*").alias("tests")))
+    rows = rows.withColumn("pval", signed_rank_p("n", "w", "tied", "z")).crossJoin(tests)
+    return rows.select(*keys, "n", "w", "z", "pval", F.least(F.lit(1.0), F.col("pval") * F.col("tests")).alias("corrected"))
 
 
 def wins(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,20 +251,46 @@ def pair_values(values: DataFrame, sets: DataFrame) -> DataFrame:
     return values.filter("source <> node").join(one, "source").join(two, ["rep", "node"]).select("rep", "source", "node", "value")
 
 
+def box_summary(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, low, q1, median, q3, high, n_out): quartiles, the ends of the whiskers (the outermost values within one and a
+    half of the quartiles' distance from them), and the values beyond."""
+    part = lambda p, name: F.percentile(value, p).alias(name)
+    boxes = values.groupBy(*keys).agg(part(0.25, "q1"), part(0.5, "median"), part(0.75, "q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
+    rows = values.join(boxes, keys).withColumn("inside", inside)
+    kept = F.when(F.col("inside"), F.col(value))
+    return rows.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.min(kept).alias("low"), *[F.first(c).alias(c) for c in ("q1", "median", "q3")], F.max(kept).alias("high"), F.count_if(~F.col("inside")).alias("n_out")
+    )
+
+
 def leave_one_out(values: DataFrame, positives: DataFrame, random: DataFrame) -> DataFrame:
     """(node, total, pval): a positive's summed values to the other positives, against those of the drawn nodes.
 
-    values is (source, node, value) for positives as nodes; the p-value is (1 + drawn sums above) / drawn nodes."""
+    values is (source, node, value) for positives as nodes; the p-value is (1 + drawn sums above) / drawn nodes. Drawn sums are
+    counted along one order of all sums."""
     pos = positives.select("node").distinct()
     sums = values.filter("source <> node").join(pos, "node", "left_semi").groupBy("source").agg(F.sum("value").alias("total"))
-    own = pos.withColumnRenamed("node", "source").join(sums, "source", "left").na.fill(0.0, ["total"])
-    drawn = random.select(F.col("node").alias("source")).distinct().join(sums, "source", "left").na.fill(0.0, ["total"])
-    grid = own.join(F.broadcast(drawn.select(F.col("total").alias("rand"))), F.lit(True))
-    out = grid.groupBy("source").agg(F.first("total").alias("total"), ((1 + F.count_if(F.col("rand") > F.col("total"))) / F.count("*")).alias("pval"))
-    return out.withColumnRenamed("source", "node")
+    total = lambda t: t.select(F.col("node").alias("source")).distinct().join(sums, "source", "left").na.fill(0.0, ["total"])
+    own, drawn = total(pos), total(random)
+    steps = drawn.groupBy("total").agg(F.count("*").alias("n")).unionByName(own.select("total", F.lit(0).cast("long").alias("n")).distinct()).groupBy("total").agg(F.sum("n").alias("n"))
+    steps = Ordered(steps, "total").running_sum(F.col("n"), "up_to").table()
+    size = F.broadcast(drawn.agg(F.count("*").alias("m")))
+    out = own.join(steps.select("total", "up_to"), "total").crossJoin(size)
+    return out.select(F.col("source").alias("node"), "total", ((1 + F.col("m") - F.col("up_to")) / F.col("m")).alias("pval"))
+
 
+def combined_enrichment(rows: DataFrame, cutoff: float, descriptions: DataFrame | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """(name, n_datasets, best): sets that are enriched in any dataset, by the number of datasets and least adjusted p.
 
-def combined_enrichment(rows: DataFrame, cutoff: float) -> DataFrame:
-    """(name, n_datasets, best): sets that are enriched in any dataset, by the number of datasets and least adjusted p."""
+    descriptions (name, description) adds those; reference (name, padj) adds in_reference, and the reference's own enriched
+    sets, with no dataset."""
     good = rows.filter(F.col("padj") < cutoff)
-    return good.groupBy("name").agg(F.count_distinct("dataset").alias("n_datasets"), F.min("padj").alias("best"))
+    out = good.groupBy("name").agg(F.count_distinct("dataset").alias("n_datasets"), F.min("padj").alias("best"))
+    if reference is not None:
+        known = reference.filter(F.col("padj") < cutoff).select("name").distinct().withColumn("in_reference", F.lit(True))
+        out = out.join(known, "name", "full_outer").na.fill(0, ["n_datasets"]).na.fill(False, ["in_reference"])
+    if descriptions is not None:
+        out = out.join(descriptions.groupBy("name").agg(F.min("description").alias("description")), "name", "left")
+    return out

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.order import Ordered
+
 
 def keep_values(table: DataFrame, wanted: dict[str, list]) -> DataFrame:
     """Rows whose columns all hold one of the values given for them."""
@@ -60,7 +62,9 @@ def gene_sets(table: DataFrame, name: str, member: str, description: str) -> Dat
 
 
 def ranked(scores: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
-    """Ranks from 1 by falling score, ties by node."""
+    """Ranks from 1 by falling score, ties by node; without keys over the whole table, in ranges."""
+    if not keys:
+        return Ordered(scores, F.desc("score"), node).rank("rank").table()
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), node)).cast("long"))
 
 
@@ -72,7 +76,7 @@ def top_k(scores: DataFrame, keys: list[str], k: int | DataFrame, node: str = "n
     """The first k nodes with a score of each key; k is a number, -1 for all, or a table (keys, k)."""
     rows = ranked(scores.filter("score <> 0"), keys, node)
     if isinstance(k, DataFrame):
-        return rows.join(F.broadcast(k), keys).filter("rank <= k").drop("k")
+        return rows.join(k, keys).filter("rank <= k").drop("k")
     return rows if k < 0 else rows.filter(F.col("rank") <= k)
 
 
@@ -100,7 +104,7 @@ def expand_ks(ks: list[int], ranges: list[tuple[int, int, int]]) -> list[int]:
 
 def first_cover(members: DataFrame, places: DataFrame) -> DataFrame:
     """(node, term): the first term by place that covers the node."""
-    rows = members.join(F.broadcast(places), "term")
+    rows = members.join(places, "term")
     return rows.groupBy("node").agg(F.min_by("term", F.struct("place", "term")).alias("term"))
 
 
@@ -141,26 +145,82 @@ def mean_over_repetitions(scores: DataFrame, keys: list[str], repetitions: int)
     return scores.groupBy(*keys).agg((F.sum("score") / F.lit(repetitions)).alias("score"))
 
 
-def short_name(name: Column) -> Column:
-    """A name for display: no quotes; over 50 characters the first 15 and `[...]`."""
+def short_name(name: Column, width: int | None = 25) -> Column:
+    """A name for display: no quotes; over 50 characters the first 15 and `[...]`; over `width` broken into lines, each past the
+    width, after spaces, or after hyphens where there is no space."""
     bare = F.replace(name, F.lit("'"), F.lit(""))
-    return F.when(F.char_length(bare) > 50, F.concat(F.substring(bare, 1, 15), F.lit("[...]"))).otherwise(bare)
+    out = bare
+    if width is not None:
+        mark = F.when(F.contains(bare, F.lit(" ")), " ").otherwise("-")
+        pieces = F.split(bare, F.when(mark == " ", " ").otherwise("-"), -1)
+        last = F.size(pieces) - 1
+        ended = F.transform(pieces, lambda x, i: F.when(i < last, F.concat(x, mark)).otherwise(x))
+        # A break follows a piece that brings its line past the width, unless it is the last.
+        start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+
+        def step(at: Column, piece: Column) -> Column:
+            begun = F.when(F.char_length(at["line"]) > width, F.concat(at["done"], at["line"], F.lit("\n"))).otherwise(at["done"])
+            line = F.when(F.char_length(at["line"]) > width, piece).otherwise(F.concat(at["line"], piece))
+            return F.struct(begun.alias("done"), line.alias("line"))
+
+        wrapped = F.aggregate(ended, start, step, lambda at: F.concat(at["done"], at["line"]))
+        out = F.when((F.char_length(bare) > width) & bare.rlike("[ -]"), wrapped).otherwise(bare)
+    return F.when(F.char_length(bare) > 50, F.concat(F.substring(bare, 1, 15), F.lit("[...]"))).otherwise(out)
+
+
+#: Where publications of a kind stand, the site's name, and the name that the link shows.
+PUBLICATIONS = {
+    "pubmed": ("http://www.ncbi.nlm.nih.gov/pubmed/", "PubMed", "pmid"),
+    "doi": ("http://dx.doi.org/", "DOI", "doi"),
+    "omim": ("http://omim.org/entry/", "OMIM", "omim"),
+    "imex": ("http://www.ebi.ac.uk/intact/imex/main.xhtml?query=", "IMEX", "imex"),
+    "phosphosite": ("http://www.phosphosite.org/siteAction.action?id=", "PSP", "phosphosite"),
+    "netpath": ("http://www.netpath.org/reactions?path_id=", "NetPath", "netpath"),
+}
+#: Pathways have two pages; kinds whose hyphens mustn't break a line, and the hyphen that doesn't.
+PATHWAYS = (("http://www.kegg.jp/kegg-bin/show_pathway?", "map"), ("http://www.kegg.jp/dbget-bin/www_bget?pathway+", "evidence"))
+UNBROKEN, HYPHEN = ("doi", "imex"), "&#8209;"
+#: Pages of nodes.
+NODE_PAGES = {"uniprot": ("Uniprot ID", "http://www.uniprot.org/uniprot/", "UniProtKB"), "drugbank": ("DrugBank ID", "https://www.drugbank.ca/drugs/", "DrugBank")}
+
+
+def _link(url: Column, site: str, text: Column) -> Column:
+    return F.concat(F.lit('<a style="color:blue" href="'), url, F.lit(f'" target="{site}">'), text, F.lit("</a>"))
 
 
 def publication_link(pub: Column) -> Column:
-    """A link to a publication by the prefix of its id; other ids as they are."""
-    key, value = F.substring_index(pub, ":", 1), F.expr("1")
-    value = F.substring(pub, F.length(key) + 2, F.length(pub))
-    sites = {
-        "pubmed": "https://pubmed.ncbi.nlm.nih.gov/",
-        "doi": "https://doi.org/",
-        "omim": "https://omim.org/entry/",
-        "imex": "https://www.ebi.ac.uk/intact/imex/main.xhtml?query=",
-    }
-    out = pub
-    for prefix, site in sites.items():
-        out = F.when(key == prefix, F.concat(F.lit(f'<a href="{site}'), value, F.lit('">'), pub, F.lit("</a>"))).otherwise(out)
-    return out
+    """A link to a publication by the prefix of its id; other ids, and kinds without pages, give an empty text."""
+    kind, value = F.split_part(pub, F.lit(":"), F.lit(1)), F.split_part(pub, F.lit(":"), F.lit(2))
+    out = F.lit("")
+    for prefix, (site, name, shown) in PUBLICATIONS.items():
+        text = F.replace(value, F.lit("-"), F.lit(HYPHEN)) if prefix in UNBROKEN else value
+        out = F.when(kind == prefix, _link(F.concat(F.lit(site), value), name, F.concat(F.lit(f"{shown}:"), text))).otherwise(out)
+    pages = [_link(F.concat(F.lit(site), value), "KEGG", F.lit(name)) for site, name in PATHWAYS]
+    return F.when(kind == "kegg", F.concat_ws(",&nbsp", *pages)).otherwise(out)
+
+
+def _notes(notes: Column | None) -> Column:
+    """Names and values (a map) as lines, in order of the names."""
+    if notes is None:
+        return F.lit("")
+    rows = F.transform(F.sort_array(F.map_keys(notes)), lambda k: F.concat(F.lit("<b>"), k, F.lit("</b>: "), F.element_at(notes, k), F.lit("</br>")))
+    return F.when(F.coalesce(F.size(notes), F.lit(0)) > 0, F.concat(F.lit("<hr />"), F.array_join(rows, ""))).otherwise("")
+
+
+def node_popup(node: Column, kind: str = "uniprot", notes: Column | None = None) -> Column:
+    """The text shown for a node: a link to its page, if its kind has one, and notes (a map)."""
+    head = F.concat(node, F.lit("</br>"))
+    if kind in NODE_PAGES:
+        title, site, name = NODE_PAGES[kind]
+        head = F.concat(F.lit(f"<b>{title}</b>: "), _link(F.concat(F.lit(site), node), name, node), F.lit("<br>"))
+    return F.concat(head, _notes(notes))
+
+
+def edge_popup(src: Column, dst: Column, names: tuple[Column, Column] | None = None, notes: Column | None = None) -> Column:
+    """The text shown for an edge: its ends, their names where both have one, and notes (a map)."""
+    pair = lambda a, b: F.concat(F.lit("<b>"), a, F.lit(" - "), b, F.lit("</b></br>"))
+    named = F.coalesce(pair(*names), F.lit("")) if names else F.lit("")
+    return F.concat(pair(src, dst), named, _notes(notes))
 
 
 def large_enough(labels: DataFrame) -> DataFrame:
@@ -217,3 +277,103 @@ def grid_layout(members: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("grp").orderBy("node")) - 1
     rows = members.withColumn("j", nth).join(places, "grp")
     return rows.select("grp", "node", (F.col("x0") + CELL_X * F.pmod("j", "cols")).alias("x"), (F.col("y0") + CELL_Y * F.floor(F.col("j") / F.col("cols"))).alias("y"))
+
+
+def columns_at(table: DataFrame, *places: int) -> DataFrame:
+    """Columns by their places from 0."""
+    return table.select(*[F.col(f"`{table.columns[k]}`") for k in places])
+
+
+def constant_weight(edges: DataFrame, weight: float = 1) -> DataFrame:
+    """Distinct edges, all of one weight."""
+    return edges.select("src", "dst").distinct().withColumn("weight", F.lit(weight))
+
+
+def approved(drugs: DataFrame, groups: str, group: str, *needed: str) -> DataFrame:
+    """Rows whose list of groups (parted by `|`) has the group, and whose needed columns are filled."""
+    rows = drugs.filter(F.array_contains(F.split(F.col(groups), r"\|"), group))
+    return rows.dropna(subset=list(needed)) if needed else rows
+
+
+def below_false_discovery(rows: DataFrame, rate: Column, cutoff: float) -> DataFrame:
+    return rows.filter(rate <= cutoff)
+
+
+def labels_of(labels: DataFrame, term: str, label: int) -> DataFrame:
+    """(node): a term's positives (1) or negatives (-1)."""
+    return labels.filter((F.col("term") == term) & (F.col("label") == label)).select("node")
+
+
+def aligned_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, term, label) for all nodes; 0 and no term for those without a label."""
+    return nodes.join(labels, "node", "left").select("node", "term", F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def joined_list(column: str, separator: str, distinct: bool = False) -> Column:
+    """The sorted values of a group as one text."""
+    values = F.collect_set(column) if distinct else F.collect_list(column)
+    return F.array_join(F.sort_array(values).cast("array<string>"), separator)
+
+
+def attach_lists(rows: DataFrame, key: str, value: str, name: str, separator: str = "|", distinct: bool = False) -> DataFrame:
+    """(key, n, name): the number of a key's values, and the sorted values as one text."""
+    count = F.count_distinct(value) if distinct else F.count("*")
+    return rows.groupBy(key).agg(count.alias("n"), joined_list(value, separator, distinct).alias(name))
+
+
+def groups_of_nodes(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(grp, n, first): the groups of some nodes, their number of them and the least."""
+    return groups.join(nodes.select("node").distinct(), "node").groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
+def pairs_of(scores: DataFrame, key: str = "alg") -> DataFrame:
+    """(node, one, two, x, y): for each node its scores by each pair of keys."""
+    one = scores.select("node", F.col(key).alias("one"), F.col("score").alias("x"))
+    return one.join(scores.select("node", F.col(key).alias("two"), F.col("score").alias("y")), "node").filter("one < two").select("node", "one", "two", "x", "y")
+
+
+def submatrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst, weight, a, b): edges between labelled nodes, with both labels."""
+    ends = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+    return edges.join(ends("src", "a"), "src").join(ends("dst", "b"), "dst").select("src", "dst", "weight", "a", "b")
+
+
+def reach_of_members(outer: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(outer, term, n): edges from an outer node's partners (outer, src) to the members of a term."""
+    return outer.join(edges.select("src", F.col("dst").alias("node")).distinct(), "src").join(members, "node").groupBy("outer", "term").agg(F.count("*").alias("n"))
+
+
+def count_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def overview(rows: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
+    """(key, median, n) of a value."""
+    return rows.groupBy(key).agg(F.round(F.median(value), digits).alias("median"), F.count("*").alias("n"))
+
+
+def distinct_by(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count_distinct(value).alias(name))
+
+
+def mean_by(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.avg(value).alias(name))
+
+
+def sum_by(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum(value).alias(name))
+
+
+def pivoted(scores: DataFrame, keys: list[str], key: str = "alg") -> DataFrame:
+    """One row for each node, a column with its score for each of the keys."""
+    return scores.groupBy("node").pivot(key, keys).agg(F.first("score")).select("node", *keys)
+
+
+def prefix_of(name: Column, separator: str = ".") -> Column:
+    """The part of a name before the separator: the group that some ids begin with."""
+    return F.split_part(name, F.lit(separator), F.lit(1))
+
+
+def places_by(rows: DataFrame, value: str, node: str) -> DataFrame:
+    """rows with `place` from 1 by falling value, ties by node, in ranges of the whole table."""
+    return Ordered(rows, F.desc(value), node).rank("place").table()

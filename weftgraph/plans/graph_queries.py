@@ -11,7 +11,7 @@ from weftgraph.sources.tables import EDGES_SQL, Tables
 
 
 def edges(t: Tables):
-    return G.symmetrise(G.sum_edges(t.raw_edges()))
+    return G.symmetrise(t.raw_edges())
 
 
 def _six(df, *columns):
@@ -26,15 +26,6 @@ def _suppliers(t: Tables, where: str):
     return t.supplier.filter(where).select(F.concat(F.lit("S"), "s_suppkey").alias("node"))
 
 
-def _nations(t: Tables):
-    """A sparse network: nations that trade above a value, through customers and orders."""
-    o = t.orders.filter("o_totalprice > 250000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
-    pairs = o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("c_custkey") % 400).alias("a"), "s_nationkey")
-    raw = pairs.groupBy(F.concat(F.lit("C"), "a").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("weight")).filter("weight >= 2")
-    return raw.union(raw.select("dst", "src", "weight"))
-
-
 def _trade(t: Tables):
     """The whole network of nations that trade with customers: every order and line item."""
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -44,34 +35,54 @@ def _trade(t: Tables):
     return raw.union(raw.select("dst", "src", "weight"))
 
 
-_NATIONS_SQL = """nraw AS (SELECT concat('C', c_custkey % 400) AS src, concat('N', s_nationkey) AS dst, CAST(count(*) AS DOUBLE) AS weight
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE o_totalprice > 250000 GROUP BY 1, 2 HAVING count(*) >= 2),
-nedges AS (SELECT * FROM nraw UNION ALL SELECT dst, src, weight FROM nraw)"""
+_TRADE_SQL = """traw AS (SELECT concat('C', c_custkey) AS src, concat('N', s_nationkey) AS dst, CAST(count(*) AS DOUBLE) AS weight
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+tedges AS (SELECT * FROM traw UNION ALL SELECT dst, src, weight FROM traw)"""
 
 
 def _forest(t: Tables):
-    """A network of many components: consecutive line items of small orders."""
-    one = t.lineitem.filter("l_linenumber <= 2 and l_partkey % 7 = 0").select(F.concat(F.lit("O"), "l_orderkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    """A network of many components: customers and all their orders."""
+    one = t.orders.select(F.concat(F.lit("O"), "o_orderkey").alias("src"), F.concat(F.lit("C"), "o_custkey").alias("dst"), F.lit(1.0).alias("weight"))
     return one.union(one.select("dst", "src", "weight"))
 
 
-_FOREST_SQL = """fraw AS (SELECT DISTINCT concat('O', l_orderkey) AS src, concat('P', l_partkey) AS dst FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 7 = 0),
+def _order_labels(t: Tables):
+    """(term, node, label): orders of a priority, positive if they are finished and negative if open."""
+    label = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", -1)
+    return t.orders.select(F.col("o_orderpriority").alias("term"), F.concat(F.lit("O"), "o_orderkey").alias("node"), label.alias("label")).filter("label is not null")
+
+
+_FOREST_SQL = """fraw AS (SELECT concat('O', o_orderkey) AS src, concat('C', o_custkey) AS dst FROM orders),
 fedges AS (SELECT * FROM fraw UNION ALL SELECT dst, src FROM fraw)"""
-# Both ends of an edge of this network reach the least name of their part of it; orders stand before parts.
 _COMPONENT_SQL = f"""WITH RECURSIVE {_FOREST_SQL},
 reach AS (SELECT src AS node, src AS root FROM fedges UNION SELECT e.dst, r.root FROM reach r JOIN fedges e ON e.src = r.node WHERE r.root <= e.dst)"""
 
 
+def _starts(t: Tables):
+    return t.spark.createDataFrame([("N1",), ("N2",), ("N3",)], "node string")
+
+
 def _hops(t: Tables):
-    e = _nations(t).withColumn("cost", F.lit(1.0))
-    return G.distances(e, t.spark.createDataFrame([("N1",), ("N2",), ("N3",)], "node string"))
+    return G.distances(_trade(t).withColumn("cost", F.lit(1.0)), _starts(t))
+
 
+def _paths(t: Tables):
+    """Cheapest paths of the trade network, by the logarithm of weights."""
+    e = _trade(t)
+    cost = e.crossJoin(F.broadcast(e.agg(F.max("weight").alias("top")))).select("src", "dst", G.cost_ln(F.col("weight"), F.col("top")).alias("cost"))
+    return G.distances(cost, _starts(t))
 
-_HOPS_SQL = f"""WITH RECURSIVE {_NATIONS_SQL},
+
+_HOPS_SQL = f"""WITH RECURSIVE {_TRADE_SQL},
 walk AS (SELECT s AS source, s AS node, 0 AS hops FROM (SELECT unnest(['N1', 'N2', 'N3']) AS s)
-  UNION SELECT source, dst, hops + 1 FROM walk JOIN nedges ON src = node WHERE hops < 8),
+  UNION SELECT source, dst, hops + 1 FROM walk JOIN tedges ON src = node WHERE hops < 8),
 dist AS (SELECT source, node, min(hops) AS hops FROM walk GROUP BY 1, 2)"""
+# An edge of no cost from each node to itself keeps what a round has found.
+_PATHS_SQL = f"""{_HOPS_SQL}, cost AS (SELECT src, dst, -ln(weight / (greatest((SELECT max(weight) FROM tedges), 1) + 1)) AS cost FROM tedges
+  UNION ALL SELECT n, n, 0.0 FROM (SELECT src AS n FROM tedges UNION SELECT unnest(['N1', 'N2', 'N3']))),
+relaxed AS (SELECT 0 AS k, s AS source, s AS node, 0.0::DOUBLE AS dist FROM (SELECT unnest(['N1', 'N2', 'N3']) AS s)
+  UNION ALL SELECT max(k) + 1, source, dst, min(dist + cost) FROM relaxed JOIN cost ON src = node WHERE k < 12 GROUP BY source, dst),
+cheap AS (SELECT source, node, round(dist, 9) AS dist FROM relaxed WHERE k = 12)"""
 
 
 def _channels(t: Tables):
@@ -86,6 +97,16 @@ cnorm AS (SELECT e.channel, e.src, e.dst, weight / sqrt(a.d * b.d) AS weight FRO
 
 _DEG_SQL = "d AS (SELECT src AS node, count(*) AS degree, sum(weight) AS strength FROM edges GROUP BY 1)"
 
+def _interaction():
+    """Types of interactions, for the events' numbers."""
+    kinds = ("Phosphorylation", "dephosphorylation", "activation,phosphorylation", "", "MI:0217(phosphorylation reaction)", "inhibition; ubiquitination", "binding")
+    return F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % 7 + 1).cast("int"))
+
+
+def _source():
+    return F.element_at(F.array(*[F.lit(k) for k in ("KEGG", "SPIKE", "other", "more")]), (F.col("event_id") % 4 + 1).cast("int"))
+
+
 QUERIES = [
     Query("s1_edge_list", edges, f"WITH {EDGES_SQL} SELECT src, dst, weight FROM edges"),
     Query(
@@ -136,7 +157,7 @@ QUERIES = [
     Query("g10_components", lambda t: G.connected_components(_forest(t)), f"{_COMPONENT_SQL} SELECT node, min(root) AS component FROM reach GROUP BY node"),
     Query(
         "g11_network_statistics",
-        lambda t: (lambda e: G.network_statistics(e, G.connected_components(e), _parts(t, "p_size <= 25")))(_forest(t)).select(
+        lambda t: (lambda e: G.network_statistics(e, G.connected_components(e), _order_labels(t).filter("label > 0")))(_forest(t)).select(
             "n_nodes", "n_components", "max_size", "p75", "p50", "p25", F.round("percent_largest", 6).alias("percent_largest"), "n_edges"
         ),
         f"""{_COMPONENT_SQL}, c AS (SELECT node, min(root) AS component FROM reach GROUP BY node), s AS (SELECT component, count(*) AS size FROM c GROUP BY 1)
@@ -145,9 +166,9 @@ QUERIES = [
     ),
     Query(
         "g12_stranded",
-        lambda t: (lambda c, y: G.stranded(c, y.filter("label > 0"), y.filter("label < 0")))(G.connected_components(_forest(t)), t.labels()),
+        lambda t: (lambda c, y: G.stranded(c, y.filter("label > 0"), y.filter("label < 0")))(G.connected_components(_forest(t)), _order_labels(t)),
         f"""{_COMPONENT_SQL}, c AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
-        l AS (SELECT p_type AS term, concat('P', p_partkey) AS node, CASE WHEN p_size <= 25 THEN 1 WHEN p_size > 40 THEN -1 END AS label FROM part),
+        l AS (SELECT o_orderpriority AS term, concat('O', o_orderkey) AS node, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN -1 END AS label FROM orders),
         ok AS (SELECT DISTINCT term, component FROM l JOIN c USING (node) WHERE label > 0)
         SELECT l.term, count(*) AS n_test, count(*) FILTER (ok.term IS NULL) AS n_stranded FROM l JOIN c USING (node) LEFT JOIN ok ON ok.term = l.term AND ok.component = c.component WHERE label < 0 GROUP BY 1""",
     ),
@@ -156,11 +177,46 @@ QUERIES = [
         lambda t: G.degrees(edges(t)).join(_parts(t, "p_size <= 5"), "node", "left_semi"),
         f"WITH {EDGES_SQL}, {_DEG_SQL} SELECT node, degree, strength FROM d WHERE node IN (SELECT concat('P', p_partkey) FROM part WHERE p_size <= 5)",
     ),
+    Query(
+        "a14_component_sizes",
+        lambda t: G.connected_components(_forest(t)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(20),
+        f"{_COMPONENT_SQL}, c AS (SELECT node, min(root) AS component FROM reach GROUP BY node) SELECT component, count(*) AS size FROM c GROUP BY 1 ORDER BY size DESC, component LIMIT 20",
+    ),
     Query(
         "g23_edge_kinds",
-        lambda t: t.events.select("event_id", G.edge_kind(F.when(F.col("event_type") == "click", "Activating").when(F.col("event_type") == "purchase", "enzymatic reaction").otherwise(F.col("event_type")), F.col("event_id") % 2 == 0).alias("kind")),
-        """SELECT event_id, CASE WHEN event_type = 'click' THEN 'activation' WHEN event_type = 'purchase' THEN 'enzymatic'
-        WHEN event_id % 2 = 0 THEN 'spike_regulation' ELSE 'physical' END AS kind FROM events""",
+        lambda t: t.events.select("event_id", F.array_join(G.edge_kinds(_interaction(), F.col("event_id") % 5 > 0, _source()), "|").alias("kinds")),
+        """WITH e AS (SELECT event_id, event_id % 5 > 0 AS directed, CASE event_id % 4 WHEN 0 THEN 'KEGG' WHEN 1 THEN 'SPIKE' WHEN 2 THEN 'other' ELSE 'more' END AS source,
+          CASE event_id % 7 WHEN 0 THEN 'Phosphorylation' WHEN 1 THEN 'dephosphorylation' WHEN 2 THEN 'activation,phosphorylation' WHEN 3 THEN '' WHEN 4 THEN 'MI:0217(phosphorylation reaction)'
+            WHEN 5 THEN 'inhibition; ubiquitination' ELSE 'binding' END AS i FROM events),
+        k AS (SELECT event_id, unnest(CASE WHEN NOT directed THEN ['physical'] WHEN source = 'SPIKE' AND i = '' THEN ['spike_regulation']
+          WHEN source IN ('KEGG', 'SPIKE') THEN [CASE WHEN i LIKE '%activation%' THEN 'activation' END, CASE WHEN i LIKE '%inhibition%' THEN 'inhibition' END,
+            CASE WHEN i LIKE '%dephosphorylation%' OR i LIKE '%ubiquitination%' THEN 'enzymatic' END,
+            CASE WHEN lower(i) LIKE '%phosphorylation%' AND i NOT LIKE '%dephosphorylation%' THEN 'phosphorylation' END]
+          WHEN i LIKE '%MI:0217%' THEN ['phosphorylation'] ELSE ['enzymatic'] END) AS kind FROM e)
+        SELECT e.event_id, coalesce(string_agg(kind, '|' ORDER BY kind), '') AS kinds FROM e LEFT JOIN k ON k.event_id = e.event_id GROUP BY 1""",
+    ),
+    Query(
+        "g13_weighted_paths",
+        lambda t: _six(_paths(t), "dist").select("source", "node", "dist"),
+        f"{_PATHS_SQL} SELECT source, node, round(dist, 6) AS dist FROM cheap",
+    ),
+    Query(
+        "g16_closest_by_cost",
+        lambda t: G.closest_sources(_paths(t).withColumn("dist", F.round("dist", 9))).select("node", "source").join(_hops(t).select("source", "node", "hops"), ["source", "node"]),
+        f"{_PATHS_SQL}, best AS (SELECT node, source FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dist, source) AS r FROM cheap) WHERE r = 1) SELECT source, node, hops FROM best JOIN dist USING (source, node)",
+    ),
+    Query(
+        "g16_near_sources",
+        lambda t: G.near_sources(_hops(t)),
+        f"{_HOPS_SQL}, n AS (SELECT node, greatest(min(hops), 2) AS within FROM dist GROUP BY 1) SELECT node, source, within FROM dist JOIN n USING (node) WHERE hops <= within",
+    ),
+    Query(
+        "g17_nodes_of_paths",
+        lambda t: G.path_nodes(_hops(t)),
+        f"""{_HOPS_SQL}, near AS (SELECT node AS target, source FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, source) AS r FROM dist) WHERE r = 1),
+        par AS (SELECT d.source, d.node, min(e.src) AS parent FROM dist d JOIN tedges e ON e.dst = d.node JOIN dist q ON q.source = d.source AND q.node = e.src AND q.hops = d.hops - 1 GROUP BY 1, 2),
+        up AS (SELECT target, source, target AS node, 0 AS step FROM near UNION ALL SELECT u.target, u.source, p.parent, u.step + 1 FROM up u JOIN par p ON p.source = u.source AND p.node = u.node)
+        SELECT target, source, node, step FROM up""",
     ),
     Query("g13_hops", lambda t: _hops(t).select("source", "node", "hops"), f"{_HOPS_SQL} SELECT source, node, hops FROM dist"),
     Query(

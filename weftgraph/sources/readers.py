@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.functions.lineage import materialize
+
 #: The columns of a multi-channel network file, and the groups that they can be asked for by.
 CHANNELS = [
     "neighborhood",
@@ -156,6 +158,47 @@ def split_by_group(edges: DataFrame, group: Column, path: str) -> None:
     edges.withColumn("group", group).filter("group is not null").write.partitionBy("group").csv(path, sep="\t", compression="gzip")
 
 
+def within_groups(edges: DataFrame, mapping: DataFrame, groups: DataFrame, cutoff: float, wanted: list[str] | None = None) -> DataFrame:
+    """Edges (src, dst, weight, ...) from a weight on, with both ends mapped (from_id, to_id; one image each) and both images in one
+    group (node, group): the edges' columns, `group` and the ends' own group `own`, told by their first part."""
+    one = mapping.join(groups.withColumnRenamed("node", "to_id"), "to_id").select("from_id", "to_id", "group")
+    ends = lambda end: one.select(F.col("from_id").alias(end), F.col("to_id").alias(f"new_{end}"), F.col("group").alias(f"group_{end}"))
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    rows = edges.filter(F.col("weight") >= cutoff).join(ends("src"), "src").join(ends("dst"), "dst").filter("group_src = group_dst")
+    rows = rows.filter(F.col("group_src").isin(wanted)) if wanted is not None else rows
+    return rows.select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), *rest, F.col("group_src").alias("group"))
+
+
+def group_counters(edges: DataFrame, group: Column) -> DataFrame:
+    """(group, edges, nodes): edges of each group and distinct nodes in them."""
+    rows = edges.select(group.alias("group"), F.explode(F.array("src", "dst")).alias("node"))
+    return rows.groupBy("group").agg((F.count("*") / 2).cast("long").alias("edges"), F.count_distinct("node").alias("nodes"))
+
+
+def split_by_mapping(edges: DataFrame, mapping: DataFrame, groups: DataFrame, path: str, cutoff: float, wanted: list[str] | None = None) -> DataFrame:
+    """Write the edges within groups, a compressed folder for each; returns counters before, by the prefix of the ends' ids, and
+    after: (group, edges_before, nodes_before, edges, nodes)."""
+    kept = materialize(within_groups(edges, mapping, groups, cutoff, wanted), "within-groups")
+    kept.write.partitionBy("group").csv(path, sep="\t", compression="gzip")
+    before = group_counters(edges.filter(F.col("weight") >= cutoff), F.split_part("src", F.lit("."), F.lit(1)))
+    before = before.select("group", F.col("edges").alias("edges_before"), F.col("nodes").alias("nodes_before"))
+    return before.join(group_counters(kept, F.col("group")), "group", "full_outer").na.fill(0)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """A network as lines of two nodes and a weight."""
+    edges.select("src", "dst", "weight").write.csv(path, sep="\t")
+
+
+def cached(spark: SparkSession, path: str, make, forced: bool = False) -> DataFrame:
+    """A table kept at a path: made and written once, read from then on, and made anew if forced."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if forced or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Ranked scores (term, node, score) as text, four digits, the best first within each term; zeros aren't written."""
     rows = scores.filter("score <> 0").repartitionByRange("term", F.desc("score")).sortWithinPartitions("term", F.desc("score"), "node")
