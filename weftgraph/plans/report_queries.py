@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import evaluate as E
@@ -63,10 +62,10 @@ QUERIES = [
     ),
     Query("k2_network_lines", lambda t: G.undirected(edges(t)).select(F.concat_ws("\t", "src", "dst", F.col("weight").cast("long").cast("string")).alias("line")),
         f"WITH {EDGES_SQL} SELECT DISTINCT concat(least(src, dst), chr(9), greatest(src, dst), chr(9), CAST(weight AS BIGINT)) AS line FROM edges"),
-    Query("p2_columns", lambda t: t.nation.select(*[t.nation.columns[k] for k in (1, 2)]), "SELECT n_name, n_regionkey FROM nation"),
+    Query("p2_columns", lambda t: T.columns_at(t.nation, 1, 2), "SELECT n_name, n_regionkey FROM nation"),
     Query("p4_combined_cutoffs", lambda t: _wide(t).filter("combined >= 50").select("src", "dst", (F.col("combined") > 50).alias("above")),
         f"WITH {_WIDE_SQL} SELECT src, dst, combined > 50 AS above FROM wide WHERE combined >= 50"),
-    Query("p6_constant_weight", lambda t: t.raw_edges().select("src", "dst").distinct().withColumn("weight", F.lit(1)),
+    Query("p6_constant_weight", lambda t: T.constant_weight(t.raw_edges()),
         "SELECT DISTINCT concat('S', l_suppkey) AS src, concat('P', l_partkey) AS dst, 1 AS weight FROM lineitem"),
     Query("p7_chosen_terms", lambda t: t.labels().join(F.broadcast(t.spark.createDataFrame([(x,) for x in _TERMS], "term string")), "term", "left_semi"),
         f"WITH {LABELS_SQL} SELECT term, node, label FROM terms WHERE term IN {_TERMS}"),
@@ -93,7 +92,7 @@ QUERIES = [
         WHERE rank <= 200 GROUP BY node HAVING count(*) FILTER (alg <> 'size') > 0"""),
     Query("p18_terms_of_two_lists", lambda t: t.labels().join(F.broadcast(t.spark.createDataFrame([("PROMO",)], "term string").union(t.spark.createDataFrame([("SMALL",), ("PROMO",)], "term string")).distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")),
         f"WITH {LABELS_SQL} SELECT term, count(*) AS n FROM terms WHERE term IN {_TERMS} GROUP BY 1"),
-    Query("p19_positives_of_term", lambda t: t.labels().filter("term = 'PROMO' and label > 0").select("node"), f"WITH {LABELS_SQL} SELECT node FROM terms WHERE term = 'PROMO' AND label > 0"),
+    Query("p19_positives_of_term", lambda t: T.labels_of(t.labels(), "PROMO", 1), f"WITH {LABELS_SQL} SELECT node FROM terms WHERE term = 'PROMO' AND label > 0"),
     Query(
         "p20_large_terms",
         lambda t: T.large_enough(t.part.select(F.col("p_brand").alias("term"), F.concat(F.lit("P"), "p_partkey").alias("node"), F.when(F.col("p_size") <= 25, 1).otherwise(-1).alias("label"))).groupBy("term").agg(F.count("*").alias("n")),
@@ -104,7 +103,7 @@ QUERIES = [
         "SELECT concat('P', p_partkey) AS node FROM part WHERE p_size <= 25 AND p_partkey IN (SELECT l_partkey FROM lineitem)"),
     Query(
         "j8_aligned_labels",
-        lambda t: G.nodes_of(t.raw_edges()).join(t.labels(), "node", "left").select("node", "term", F.coalesce("label", F.lit(0)).alias("label")),
+        lambda t: T.aligned_labels(G.nodes_of(t.raw_edges()), t.labels()),
         f"WITH {LABELS_SQL}, n AS (SELECT concat('S', l_suppkey) AS node FROM lineitem UNION SELECT concat('P', l_partkey) FROM lineitem) SELECT n.node, term, coalesce(label, 0) AS label FROM n LEFT JOIN terms ON n.node = terms.node",
     ),
     Query(
@@ -113,11 +112,11 @@ QUERIES = [
         f"""WITH {_RANKS_SQL} SELECT node, max(CASE WHEN alg = 'price' THEN rank END) AS price, max(CASE WHEN alg = 'size' THEN rank END) AS size, max(CASE WHEN alg = 'third' THEN rank END) AS third
         FROM ranks WHERE rank <= 100 GROUP BY node""",
     ),
-    Query("j12_groups_of_nodes", lambda t: _brands(t).join(t.labels().select("node").distinct(), "node").groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("first")),
+    Query("j12_groups_of_nodes", lambda t: T.groups_of_nodes(_brands(t), t.labels()),
         f"WITH {LABELS_SQL}, {_BRAND_SQL} SELECT grp, count(*) AS n, min(node) AS first FROM brand WHERE node IN (SELECT node FROM terms) GROUP BY 1"),
     Query(
         "j13_pairs_of_algorithms",
-        lambda t: (lambda s: s.alias("a").join(s.alias("b"), F.expr("a.node = b.node and a.alg < b.alg")).select("a.node", F.col("a.alg").alias("one"), F.col("b.alg").alias("two"), F.col("a.score").alias("x"), F.col("b.score").alias("y")))(t.scores()),
+        lambda t: T.pairs_of(t.scores()),
         f"WITH {SCORES_SQL} SELECT a.node, a.alg AS one, b.alg AS two, a.score AS x, b.score AS y FROM scores a JOIN scores b ON a.node = b.node AND a.alg < b.alg",
     ),
     Query(
@@ -130,16 +129,13 @@ QUERIES = [
         f"WITH {EDGES_SQL}, {_P_SQL}, {SCORES_SQL} SELECT alg, src AS node, round(sum(weight * score), 6) AS score FROM p JOIN scores ON node = dst GROUP BY 1, 2"),
     Query(
         "j18_submatrices",
-        lambda t: (lambda y: G.add_networks(edges(t)).join(y.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(y.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst"))(
-            _parts(t, "p_size <= 25").withColumn("label", F.lit(1)).union(_suppliers(t, "s_nationkey < 10").withColumn("label", F.lit(-1)))
-        ).select("src", "dst", "weight", "a", "b"),
+        lambda t: T.submatrix(edges(t), _parts(t, "p_size <= 25").withColumn("label", F.lit(1)).union(_suppliers(t, "s_nationkey < 10").withColumn("label", F.lit(-1)))),
         f"""WITH {EDGES_SQL}, y AS (SELECT concat('P', p_partkey) AS node, 1 AS label FROM part WHERE p_size <= 25 UNION ALL SELECT concat('S', s_suppkey), -1 FROM supplier WHERE s_nationkey < 10)
         SELECT src, dst, weight, a.label AS a, b.label AS b FROM edges JOIN y a ON a.node = src JOIN y b ON b.node = dst""",
     ),
     Query(
         "j19_reach_of_members",
-        lambda t: t.supplier.select(F.concat(F.lit("N"), "s_nationkey").alias("outer"), F.concat(F.lit("S"), "s_suppkey").alias("src")).join(t.raw_edges().select("src", F.col("dst").alias("node")).distinct(), "src").join(t.labels().filter("label > 0"), "node")
-        .groupBy("outer", "term").agg(F.count("*").alias("n")),
+        lambda t: T.reach_of_members(t.supplier.select(F.concat(F.lit("N"), "s_nationkey").alias("outer"), F.concat(F.lit("S"), "s_suppkey").alias("src")), t.raw_edges(), t.labels().filter("label > 0")),
         f"""WITH {LABELS_SQL}, e AS (SELECT DISTINCT l_suppkey, concat('P', l_partkey) AS node FROM lineitem) SELECT concat('N', s_nationkey) AS outer, term, count(*) AS n
         FROM supplier JOIN e ON s_suppkey = l_suppkey JOIN terms USING (node) WHERE label > 0 GROUP BY 1, 2""",
     ),
@@ -148,14 +144,14 @@ QUERIES = [
         lambda t: t.part.groupBy("p_brand").agg(F.expr("listagg(p_type, '|') WITHIN GROUP (ORDER BY p_partkey)").alias("types"), F.expr("listagg(p_name, ',') WITHIN GROUP (ORDER BY p_partkey)").alias("names")),
         "SELECT p_brand, string_agg(p_type, '|' ORDER BY p_partkey) AS types, string_agg(p_name, ',' ORDER BY p_partkey) AS names FROM part GROUP BY 1",
     ),
-    Query("a7_positives_of_groups", lambda t: t.labels().filter("label > 0").join(_brands(t), "node").groupBy("grp").agg(F.count("*").alias("n")),
+    Query("a7_positives_of_groups", lambda t: T.count_by(t.labels().filter("label > 0").join(_brands(t), "node"), "grp"),
         f"WITH {LABELS_SQL}, {_BRAND_SQL} SELECT grp, count(*) AS n FROM terms JOIN brand USING (node) WHERE label > 0 GROUP BY 1"),
-    Query("a8_positives_of_terms", lambda t: t.labels().filter("label > 0").groupBy("term").agg(F.count("*").alias("n")), f"WITH {LABELS_SQL} SELECT term, count(*) AS n FROM terms WHERE label > 0 GROUP BY 1"),
+    Query("a8_positives_of_terms", lambda t: T.count_by(t.labels().filter("label > 0"), "term"), f"WITH {LABELS_SQL} SELECT term, count(*) AS n FROM terms WHERE label > 0 GROUP BY 1"),
     Query("a10_median_of_algorithms", lambda t: t.scores().groupBy("alg").agg(F.round(F.median("score"), 6).alias("median")), f"WITH {SCORES_SQL} SELECT alg, round(median(score), 6) AS median FROM scores GROUP BY 1"),
     Query("a15_weight_range", lambda t: edges(t).agg(F.min("weight").alias("low"), F.max("weight").alias("high")), f"WITH {EDGES_SQL} SELECT min(weight) AS low, max(weight) AS high FROM edges"),
-    Query("a20_summed_times", lambda t: t.events.groupBy(F.concat_ws("-", "event_type", F.col("user_id") % 3).alias("run")).agg(F.round(F.sum("value"), 4).alias("seconds")),
+    Query("a20_summed_times", lambda t: T.sum_by(t.events.withColumn("run", F.concat_ws("-", "event_type", F.col("user_id") % 3)), ["run"], "value", "seconds").withColumn("seconds", F.round("seconds", 4)),
         "SELECT concat(event_type, '-', user_id % 3) AS run, round(sum(value), 4) AS seconds FROM events GROUP BY 1"),
-    Query("a21_values_of_members", lambda t: T.explode_cell(t.part.select("p_type", "p_retailprice", F.col("p_name").alias("member")), "member", " ").groupBy("p_type", "member").agg(F.round(F.avg("p_retailprice"), 6).alias("value")),
+    Query("a21_values_of_members", lambda t: T.explode_cell(t.part.select("p_type", "p_retailprice", F.col("p_name").alias("member")), "member", " ").transform(T.mean_by, ["p_type", "member"], "p_retailprice", "value").withColumn("value", F.round("value", 6)),
         "SELECT p_type, member, round(avg(p_retailprice), 6) AS value FROM (SELECT p_type, p_retailprice, unnest(string_split(p_name, ' ')) AS member FROM part) GROUP BY 1, 2"),
     Query("r1_ranks_in_order", lambda t: _ranks(t).filter("rank <= 100"), f"WITH {_RANKS_SQL} SELECT alg, node, score, rank FROM ranks WHERE rank <= 100"),
     Query(
@@ -166,7 +162,7 @@ QUERIES = [
     Query("r8_least_column", lambda t: _ranks(t).filter("alg <> 'third'").groupBy("node").agg(F.min_by("alg", F.struct("rank", "alg")).alias("alg")),
         f"WITH {_RANKS_SQL} SELECT node, alg FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY rank, alg) AS k FROM ranks WHERE alg <> 'third') WHERE k = 1"),
     Query("r10_grid_layout", lambda t: T.grid_layout(_brands(t))),
-    Query("r11_terms_by_positives", lambda t: t.labels().filter("label > 0").groupBy("term").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "term")).cast("long")),
+    Query("r11_terms_by_positives", lambda t: T.places_by(T.count_by(t.labels().filter("label > 0"), "term"), "n", "term"),
         f"WITH {LABELS_SQL} SELECT term, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, term) AS place FROM terms WHERE label > 0 GROUP BY 1"),
     Query(
         "r12_fixed_ranks",
@@ -182,7 +178,7 @@ QUERIES = [
         f"""WITH {_CURVE_SQL}, m AS (SELECT alg, max(CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END) AS fmax, sum(CASE WHEN label > 0 THEN prec ELSE 0 END) / max(n_pos) AS avgp FROM curve GROUP BY 1)
         SELECT alg, 'fmax' AS measure, round(fmax, 6) AS value FROM m UNION ALL SELECT alg, 'avgp', round(avgp, 6) FROM m""",
     ),
-    Query("m3_pivoted_scores", lambda t: t.scores().groupBy("node").pivot("alg", ["price", "size"]).agg(F.first("score")).select("node", "price", "size"),
+    Query("m3_pivoted_scores", lambda t: T.pivoted(t.scores(), ["price", "size"]),
         f"WITH {SCORES_SQL} SELECT node, max(CASE WHEN alg = 'price' THEN score END) AS price, max(CASE WHEN alg = 'size' THEN score END) AS size FROM scores GROUP BY 1"),
     Query("m4_exploded_cells", lambda t: T.explode_cell(t.events.select("event_id", F.concat_ws("; ", "event_type", "user_id").alias("cell")), "cell", "; "),
         "SELECT event_id, unnest([event_type, CAST(user_id AS VARCHAR)]) AS cell FROM events"),

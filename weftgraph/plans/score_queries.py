@@ -270,7 +270,7 @@ QUERIES = [
     ),
     Query(
         "e16_skip_done",
-        lambda t: t.part.select("p_brand", "p_type").distinct().join(t.part.filter("p_size = 1").select("p_brand", "p_type").distinct(), ["p_brand", "p_type"], "left_anti"),
+        lambda t: E.skip_done(t.part, t.part.filter("p_size = 1"), ["p_brand", "p_type"]),
         "SELECT DISTINCT p_brand, p_type FROM part EXCEPT SELECT p_brand, p_type FROM part WHERE p_size = 1",
     ),
     Query("t1_uniform_bins", lambda t: S.uniform_bins(degrees(edges(t)).select("node", "degree"), 10), f"WITH RECURSIVE {_DEGREES_SQL.format(more='', where='')}, {_BINS_SQL} SELECT node, degree, bin FROM binned"),

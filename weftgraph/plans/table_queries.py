@@ -58,6 +58,12 @@ def _overall(t: Tables):
     return T.ranked(rows, []).withColumnRenamed("rank", "overall")
 
 
+def _publication():
+    """Ids of publications of all kinds, for the documents' numbers."""
+    kinds = ("pubmed", "doi", "omim", "imex", "phosphosite", "netpath", "kegg", "mint", "unknown")
+    return F.concat(F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 9 + 1).cast("int")), F.lit(":10-"), F.col("doc_id"))
+
+
 QUERIES = [
     Query(
         "s2_multi_file_edges",
@@ -81,7 +87,7 @@ QUERIES = [
     ),
     Query(
         "s6_split_by_prefix",
-        lambda t: t.pages.select(F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("."), F.lit(1)).alias("taxon")).groupBy("taxon").agg(F.count("*").alias("n")),
+        lambda t: T.count_by(t.pages.select(T.prefix_of(F.split_part("url", F.lit("/"), F.lit(3))).alias("taxon")), "taxon"),
         "SELECT split_part(split_part(url, '/', 3), '.', 1) AS taxon, count(*) AS n FROM pages GROUP BY 1",
     ),
     Query(
@@ -188,7 +194,7 @@ QUERIES = [
     ),
     Query(
         "j11_attach_lists",
-        lambda t: t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("o_orderkey")).cast("array<string>"), "|").alias("orders")),
+        lambda t: T.attach_lists(t.orders, "o_custkey", "o_orderkey", "orders"),
         "SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1",
     ),
     Query(
@@ -203,7 +209,7 @@ QUERIES = [
     ),
     Query(
         "a5_targets_per_key",
-        lambda t: t.lineitem.groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("n"), F.array_join(F.sort_array(F.collect_set("l_partkey")).cast("array<string>"), "|").alias("parts")),
+        lambda t: T.attach_lists(t.lineitem, "l_orderkey", "l_partkey", "parts", distinct=True),
         "SELECT l_orderkey, count(DISTINCT l_partkey) AS n, string_agg(DISTINCT l_partkey, '|' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1",
     ),
     Query(
@@ -222,12 +228,12 @@ QUERIES = [
     ),
     Query(
         "a9_results_overview",
-        lambda t: t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.count("*").alias("n")),
+        lambda t: T.overview(t.events, "event_type", "value"),
         "SELECT event_type, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY 1",
     ),
     Query(
         "a12_enrichment_count",
-        lambda t: t.part.groupBy("p_name").agg(F.count_distinct("p_type").alias("n_types")),
+        lambda t: T.distinct_by(t.part, "p_name", "p_type", "n_types"),
         "SELECT p_name, count(DISTINCT p_type) AS n_types FROM part GROUP BY 1",
     ),
     Query(
@@ -316,14 +322,20 @@ QUERIES = [
     ),
     Query(
         "m5_merged_lists",
-        lambda t: t.part.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_name")), "/").alias("names")),
+        lambda t: t.part.groupBy("p_brand").agg(T.joined_list("p_name", "/", distinct=True).alias("names")),
         "SELECT p_brand, string_agg(DISTINCT p_name, '/' ORDER BY p_name) AS names FROM part GROUP BY 1",
     ),
     Query(
         "f_display_names",
-        lambda t: t.documents.select("doc_id", T.short_name(F.substring("text", 1, 80)).alias("name"), T.publication_link(F.concat(F.lit("pubmed:"), F.col("doc_id"))).alias("link")),
-        """SELECT doc_id, CASE WHEN length(replace(substring(text, 1, 80), chr(39), '')) > 50 THEN concat(substring(replace(substring(text, 1, 80), chr(39), ''), 1, 15), '[...]')
-        ELSE replace(substring(text, 1, 80), chr(39), '') END AS name,
-        concat('<a href="https://pubmed.ncbi.nlm.nih.gov/', doc_id, '">pubmed:', doc_id, '</a>') AS link FROM documents""",
+        lambda t: t.documents.select("doc_id", T.short_name(F.coalesce("text", F.lit("")), None).alias("name"), T.publication_link(_publication()).alias("link")),
+        """SELECT doc_id, CASE WHEN length(replace(text, chr(39), '')) > 50 THEN concat(substring(replace(text, chr(39), ''), 1, 15), '[...]') ELSE replace(text, chr(39), '') END AS name, link FROM (SELECT doc_id, coalesce(text, '') AS text, 
+          CASE doc_id % 9 WHEN 0 THEN concat('<a style="color:blue" href="http://www.ncbi.nlm.nih.gov/pubmed/', v, '" target="PubMed">pmid:', v, '</a>')
+          WHEN 1 THEN concat('<a style="color:blue" href="http://dx.doi.org/', v, '" target="DOI">doi:', replace(v, '-', '&#8209;'), '</a>')
+          WHEN 2 THEN concat('<a style="color:blue" href="http://omim.org/entry/', v, '" target="OMIM">omim:', v, '</a>')
+          WHEN 3 THEN concat('<a style="color:blue" href="http://www.ebi.ac.uk/intact/imex/main.xhtml?query=', v, '" target="IMEX">imex:', replace(v, '-', '&#8209;'), '</a>')
+          WHEN 4 THEN concat('<a style="color:blue" href="http://www.phosphosite.org/siteAction.action?id=', v, '" target="PSP">phosphosite:', v, '</a>')
+          WHEN 5 THEN concat('<a style="color:blue" href="http://www.netpath.org/reactions?path_id=', v, '" target="NetPath">netpath:', v, '</a>')
+          WHEN 6 THEN concat('<a style="color:blue" href="http://www.kegg.jp/kegg-bin/show_pathway?', v, '" target="KEGG">map</a>,&nbsp<a style="color:blue" href="http://www.kegg.jp/dbget-bin/www_bget?pathway+', v, '" target="KEGG">evidence</a>')
+          ELSE '' END AS link FROM (SELECT *, concat('10-', doc_id) AS v FROM documents))""",
     ),
 ]

@@ -205,6 +205,12 @@ def write_scores(scores: DataFrame, path: str) -> None:
     rows.select(F.col("term").alias("#term"), F.col("node").alias("prot"), F.format_string("%.4e", F.col("score")).alias("score")).write.csv(path, sep="\t", header=True)
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(term, node, score) of written scores."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema="term string, node string, score double", enforceSchema=True)
+    return rows.select("term", "node", "score")
+
+
 def append_results(rows: DataFrame, path: str, *by: str) -> None:
     """Results added to a table partitioned by run; writers need no lock."""
     rows.write.mode("append").partitionBy(*by).parquet(path)
