@@ -93,10 +93,10 @@ def test_network_classifiers_are_optimal(net, marks, loss):
         weight, bias = weight + 0.05 * (x.T @ g - weight), bias + 0.05 * g.sum()
     want = s @ weight + bias
     want = 1 / (1 + np.exp(-want)) if loss == "logistic" else want
-    got = _by_node(classify.network_scores(edges, marks[0].filter("term = 't'"), loss, tol=1e-6))
+    got = _by_node(classify.network_scores(edges, marks[0].filter("term = 't'"), loss))
     for k in range(30):
         if k not in at:
-            assert abs(got[f"n{k:02}"] - want[k]) < 1e-3
+            assert abs(got[f"n{k:02}"] - want[k]) < 2e-3
         else:
             assert got.get(f"n{k:02}") == (1.0 if y[at.index(k)] > 0 else None)
 

@@ -51,7 +51,7 @@ _NORMAL_SQL = """ts AS (SELECT e.src, e.dst, e.weight / sqrt(a.d * b.d) AS w FRO
 tc AS (SELECT dst AS node, 1 + sum(w) AS c FROM ts GROUP BY 1)"""
 
 
-def _laplace_sql(y: str, rounds: int = 1500) -> str:
+def _laplace_sql(y: str, rounds: int = 300) -> str:
     """(I + L) f = y on the trade network, for every key of y (key, node, score): customers, which touch nations only, are
     eliminated, and the nations' system is iterated."""
     return f"""WITH RECURSIVE {_NATION_SQL}, {_NORMAL_SQL}, y AS ({y}),
