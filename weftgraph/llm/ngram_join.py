@@ -376,14 +376,19 @@ def _close(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return materialize(joined.mapInArrow(check, "a bigint, b bigint"), f"{name}-close")
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if its size is in the bound, so that documents stay where they are."""
+    size = keys.agg(F.sum(F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 16)).first()[0] or 0
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
+
+
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold; nodes has size, bitmap and a document's key for each node."""
     pairs = _close(nodes, pairs, name)
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(nodes.join(need, "node", "left_semi").select("node", "key"), f"{name}-wanted")
     known = wanted.select("key").filter("key is not null").distinct()
-    size = known.agg(F.sum(F.octet_length(F.col("key").cast("string")) + 16)).first()[0] or 0
-    chosen = docs.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "key", "left_semi")
+    chosen = docs.join(_sent(known), "key", "left_semi")
     if wanted.filter("key is null").limit(1).count():
         chosen = chosen.unionByName(docs.filter("key is null"))
 
@@ -497,6 +502,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     later = rows.join(firsts, "part").filter(~(F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p"))))
     later = materialize(later.select("key", "print").distinct(), "later-rows")
     twice = materialize(rows.filter("part is not null").groupBy("key", "print").agg(F.count("*").alias("size")).filter("size > 1").select("key", "print"), "equal-rows")
+    later, twice = _sent(later), _sent(twice)
     name = fresh(docs, "print")
     marked = docs.withColumn(name, _print(F.col(f"`{text}`")))
 
