@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, html_extract, language_id, ngram_join, piece_codec, secret_scan, sharding, url_filter, warc
+from weftgraph.llm import decontaminate, html_extract, language_id, ngram_join, piece_codec, secret_scan, sessions, sharding, url_filter, warc
 from weftgraph.llm import quality_rules as Q
 
 RULES = [
@@ -35,11 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": lambda s, d: Q.quality_verdicts(_read(s, d, "documents")),
         "op9_sharding": lambda s, d: sharding.shard_plan(_read(s, d, "documents")),
         "op10_sentencepiece": lambda s, d: piece_codec.encode_digest(_read(s, d, "documents")),
+        "op11_gap_sessions": lambda s, d: sessions.sessions(_read(s, d, "clicks")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL, "op11_gap_sessions": OP11_SQL}
 
 
 OP6_SQL = f"""
@@ -102,3 +103,38 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND 100 * n_lost_chars <= {Q.MAX_LOST_PERCENT} * word_chars AS kept, CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(n_lost_chars AS BIGINT) AS n_lost_chars
 FROM judged
 """
+
+#: Only the length rule needs rounds, as many as one run of clicks with neither gap nor final click has sessions.
+OP11_SQL = """
+WITH RECURSIVE clean AS (
+  SELECT click_id, client_id, epoch_us(ts) AS us, epoch_us(arrived_at) AS arrived, coalesce(value >= 60 AND kind = 'purchase', false) AS final,
+         coalesce(CASE WHEN isnan(value) THEN 0 ELSE CAST(floor(100 * value + 0.5) AS BIGINT) END, 0) AS cents
+  FROM clicks WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY us, client_id, arrived NULLS FIRST, final, cents) = 1),
+timely AS (
+  SELECT *, row_number() OVER o AS rn, lag(us) OVER o AS last_us, lag(final) OVER o AS last_final
+  FROM clean WHERE NOT coalesce(arrived - us > 3600000000, false) WINDOW o AS (PARTITION BY client_id ORDER BY us, click_id)),
+marked AS (
+  SELECT *, CASE WHEN last_final THEN 'end' WHEN us - last_us >= 300000000 THEN 'gap' END AS reason FROM timely),
+runs AS (
+  SELECT *, count(*) FILTER (rn = 1 OR reason IS NOT NULL) OVER (PARTITION BY client_id ORDER BY rn) AS run FROM marked),
+starts AS (
+  SELECT client_id, run, rn, us FROM runs WHERE rn = 1 OR reason IS NOT NULL
+  UNION ALL
+  SELECT r.client_id, r.run, min(r.rn), min(r.us) FROM starts s JOIN runs r ON r.client_id = s.client_id AND r.run = s.run AND r.us > s.us + 7200000000
+  GROUP BY r.client_id, r.run),
+cut AS (
+  SELECT r.*, s.rn IS NOT NULL AS starting, coalesce(r.reason, 'length') AS why FROM runs r LEFT JOIN starts s ON s.client_id = r.client_id AND s.rn = r.rn),
+numbered AS (SELECT *, count(*) FILTER (starting) OVER (PARTITION BY client_id ORDER BY rn) AS k FROM cut),
+made AS (
+  SELECT client_id, k, arg_min(click_id, rn) AS session_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_clicks, sum(cents) AS cents,
+         arg_max(final, rn) AS final, arg_min(why, rn) AS why, sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY rn)) AS path_sha256
+  FROM numbered GROUP BY client_id, k),
+ended AS (SELECT *, lead(start_us) OVER o AS next_us, lead(why) OVER o AS next_why FROM made WINDOW o AS (PARTITION BY client_id ORDER BY k)),
+late AS (
+  SELECT e.client_id, e.k, count(*) AS n FROM clean c JOIN ended e ON e.client_id = c.client_id AND c.us >= e.start_us AND (e.next_us IS NULL OR c.us < e.next_us)
+  WHERE c.arrived - c.us > 3600000000 GROUP BY e.client_id, e.k)
+SELECT client_id, session_id, start_us, end_us, CAST(n_clicks AS BIGINT) AS n_clicks, CAST(coalesce(n, 0) AS BIGINT) AS n_late, CAST(cents AS BIGINT) AS value_cents,
+  coalesce(next_why, CASE WHEN final THEN 'end' ELSE 'none' END) AS closed_by, path_sha256
+FROM ended LEFT JOIN late USING (client_id, k)
+"""
