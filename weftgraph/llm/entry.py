@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, html_extract, language_id, ngram_join, piece_codec, secret_scan, sessions, sharding, url_filter, warc
+from weftgraph.llm import decontaminate, fingerprints, html_extract, language_id, ngram_join, piece_codec, secret_scan, sessions, sharding, url_filter, warc
 from weftgraph.llm import quality_rules as Q
 
 RULES = [
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": lambda s, d: sharding.shard_plan(_read(s, d, "documents")),
         "op10_sentencepiece": lambda s, d: piece_codec.encode_digest(_read(s, d, "documents")),
         "op11_gap_sessions": lambda s, d: sessions.sessions(_read(s, d, "clicks")),
+        "op12_fingerprints": lambda s, d: fingerprints.fingerprint_digest(_read(s, d, "documents")),
     }
 
 
