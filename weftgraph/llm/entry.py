@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, fingerprints, html_extract, language_id, ngram_join, piece_codec, secret_scan, sessions, sharding, url_filter, warc
+from weftgraph.llm import decontaminate, fingerprints, hard_negatives, html_extract, language_id, ngram_join, piece_codec, secret_scan, sessions, sharding, url_filter, warc
 from weftgraph.llm import quality_rules as Q
 
 RULES = [
@@ -37,11 +38,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sentencepiece": lambda s, d: piece_codec.encode_digest(_read(s, d, "documents")),
         "op11_gap_sessions": lambda s, d: sessions.sessions(_read(s, d, "clicks")),
         "op12_fingerprints": lambda s, d: fingerprints.fingerprint_digest(_read(s, d, "documents")),
+        "op13_hard_negatives": lambda s, d: hard_negatives.mine(hard_negatives.shifted(_read(s, d, "embeddings")), F.col("vec_id") % 100 == 0),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL, "op11_gap_sessions": OP11_SQL}
+    return {"op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL, "op11_gap_sessions": OP11_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 OP6_SQL = f"""
@@ -139,3 +141,21 @@ SELECT client_id, session_id, start_us, end_us, CAST(n_clicks AS BIGINT) AS n_cl
   coalesce(next_why, CASE WHEN final THEN 'end' ELSE 'none' END) AS closed_by, path_sha256
 FROM ended LEFT JOIN late USING (client_id, k)
 """
+
+OP13_SQL = """
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS key, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM clean a JOIN clean b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, key, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, key) <= 5)
+SELECT p.anchor_id, p.key AS positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, n.key AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 80 * p.score AND 100 * p.score
+WINDOW o AS (PARTITION BY p.anchor_id, p.key ORDER BY n.score DESC, n.key)
+QUALIFY row_number() OVER o <= 5
+"""
