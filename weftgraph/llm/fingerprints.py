@@ -187,12 +187,13 @@ def _key(number: int | None, own: int) -> tuple:
 def _runs(docs: DataFrame, runs: int) -> list[tuple]:
     """Keys of rows, ascending, the last one that of the greatest: each is the first, in descending order, of a run of neighbours.
 
-    A fixed number of keys is drawn by hash, so that any key's rows are in proportion; they steer the cut, never the result."""
+    About a fixed number of distinct keys is drawn by hash, so that any key's rows are in proportion; they steer the cut,
+    never the result."""
     keys = docs.select("key", "own")
-    drawn = keys.orderBy(F.xxhash64("key", "own"), "key", "own").limit(KEYS).collect()
-    most = keys.agg(F.max(F.struct(F.col("key").isNotNull().alias("some"), "key", "own")).alias("m")).first().m
+    n, most = keys.agg(F.count("*"), F.max(F.struct(F.col("key").isNotNull().alias("some"), "key", "own"))).first()
     if most is None:
         return []
+    drawn = keys.filter(F.pmod(F.xxhash64("key", "own"), F.lit(1 << 30)) < int(min(1, KEYS / n) * (1 << 30))).distinct().collect()
     found = sorted({_key(r.key, r.own) for r in drawn})
     step = max(1, -(-len(found) // runs))
     return sorted({*found[step - 1 :: step], _key(most.key, most.own)})
