@@ -91,7 +91,7 @@ items AS (SELECT *, solid > 0 AND gaps <= {Q.MENU_GAPS} AND right(t, 1) NOT IN (
 runs AS (SELECT *, k - row_number() OVER (PARTITION BY r, item ORDER BY k) AS run, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again FROM items),
 failing AS (SELECT *, solid > 0 AND (again OR (item AND count(*) OVER (PARTITION BY r, item, run) >= {Q.MENU_RUN}) OR ({_PHRASES})
       OR (bars >= {Q.MENU_BARS} AND bars * 8 > gaps) OR (marks >= {Q.MARKS} AND marks * 10 > n) OR (shouts >= {Q.MARKS} AND shouts * 20 > n)
-      OR (gaps >= {Q.UNPUNCTUATED_GAPS} AND NOT regexp_matches(t, '[{Q.STOPS}]'))
+      OR (gaps >= {Q.UNPUNCTUATED_GAPS} AND NOT regexp_matches(t, '{Q.STOPS}'))
       OR (gaps <= {Q.MENU_GAPS} AND (t LIKE '%...' OR t LIKE '%…'))) AS fails FROM runs),
 by_line AS (SELECT r, count(*) FILTER (again AND solid > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
     coalesce(sum(solid) FILTER (fails), 0) AS n_lost_chars FROM failing GROUP BY r),
