@@ -35,6 +35,7 @@ WINDOW, OVERLAP = 512, 3
 FILTERS = 16
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.02, 7
 UNKNOWN = "und"
+#: Letters and, as they count as word characters, numerals such as a half or a Roman eight.
 _LETTER = re.compile(r"[^\W\d_]")
 
 #: ASCII letters 0-25, digits 26, white space 27, other ASCII 28, bytes from 0x80 by themselves, padding last.
@@ -154,9 +155,15 @@ def remainder(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)), F.lit(0))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the categories of letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def sample(docs: DataFrame, key: Column, text: Column, lang: Column) -> DataFrame:
     """At most SAMPLE stretches of text for each language, spread over the rows by a hash of the key."""
-    rows = docs.select(F.xxhash64(key).alias("h"), text.alias("text"), lang.alias("lang")).filter("text is not null and lang is not null")
+    # With the text, so that rows which share a key are spread as well.
+    rows = docs.select(F.xxhash64(key, text).alias("h"), text.alias("text"), lang.alias("lang")).filter("text is not null and lang is not null")
     share = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     n = share.count()
     if n > MAX_LANGUAGES:
@@ -201,7 +208,7 @@ def identify(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: st
             data, offsets = utf8(batch.column(1))
             n = batch.num_rows
             raw = data.tobytes()
-            known = np.array([net is not None and _LETTER.search(raw[a:b].decode()) is not None for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)
+            known = np.array([net is not None and has_letter(raw[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)
             best, score, count = np.zeros(n, int), np.zeros(n), np.zeros(n, np.int64)
             if known.any():
                 total = np.zeros((n, len(net.languages)))
