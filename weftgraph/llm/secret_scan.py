@@ -2,7 +2,7 @@
 
 Patterns find assignments, access key ids and long hex runs. Beyond them, a candidate is a long mixed token that stands
 soon after a word of a sensitive context, or after a reported token that does. Its novelty is the marginal cost: the compressed bytes of its surroundings
-with it, less those without, under a compressor primed with identifiers and the surroundings' usual words. Tokens that
+with it, less those without, under a compressor primed with usual identifiers. Tokens that
 the primed compressor can't shorten are reported as kind `novel`; ordinary words and identifiers cost little. A private
 key block with such a token is one span from its first character to its last, up to the END marker.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +39,8 @@ CONTEXT = re.compile(
 HINTS = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization", b"client_id")
 LEAST = 20
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
-#: The body of a private key block; one without an END marker is read token by token.
-KEY_BLOCK = re.compile(rb"PRIVATE KEY(?: BLOCK)?-----\s*+([^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+)-----END ")
+#: Marks of private key blocks; a block without an END mark is read token by token.
+KEY_MARK = re.compile(rb"PRIVATE KEY(?: BLOCK)?-----\s*+|-----(BEGIN|END) ")
 #: Bytes of surroundings on either side.
 AROUND = 256
 #: Compressed bytes that a byte of an incompressible candidate costs at least.
@@ -68,6 +69,37 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _apart(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that overlapping spans make, in order."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a span overlaps one of some runs in order."""
+    k = bisect_left(starts, b) - 1
+    return k >= 0 and ends[k] > a
+
+
+def key_blocks(text: bytes) -> list[tuple[int, int]]:
+    """Private key blocks from the first character after their mark to the last before the END mark, in one pass."""
+    found, begun = [], None
+    for m in KEY_MARK.finditer(text) if b"PRIVATE KEY" in text else ():
+        if m[1] is None:
+            begun = m.end() if begun is None else begun
+        else:
+            if m[1] == b"END" and begun is not None:
+                found.append((begun, begun + len(text[begun : m.start()].rstrip())))
+            begun = None
+    return found
+
+
 class Novelty:
     """Marginal compressed bytes of a token among its surroundings."""
 
@@ -88,21 +120,22 @@ class Novelty:
         if not any(h in lower for h in HINTS):
             return []
         found, last = [], -1
+        starts, ends = _apart(taken)
         for word in CONTEXT.finditer(text):
             near = word.end()
             # The bound only tells where a candidate may begin; it ends where its token does.
             while m := CANDIDATE.search(text, max(word.end(), last), near + REACH + LEAST):
                 m = CANDIDATE.match(text, m.start())
                 last = m.end()
-                if any(a < m.end() and m.start() < b for _, a, b in taken):
+                if _meets(starts, ends, *m.span()):
                     near = last
                 elif self.novel(text, m):
                     found.append(("novel", *m.span()))
                     near = last
-        for block in KEY_BLOCK.finditer(text) if b"PRIVATE KEY" in text else ():
-            a, b = block.start(1), block.start(1) + len(block[1].rstrip())
-            if any(self.novel(text, m) for m in CANDIDATE.finditer(text, a, b)):
-                found = [s for s in found if s[2] <= a or s[1] >= b] + [("novel", a, b)]
+        whole = [(a, b) for a, b in key_blocks(text) if any(self.novel(text, m) for m in CANDIDATE.finditer(text, a, b))]
+        if whole:
+            starts, ends = [a for a, _ in whole], [b for _, b in whole]
+            found = [s for s in found if not _meets(starts, ends, *s[1:])] + [("novel", a, b) for a, b in whole]
         return found
 
     def novel(self, text: bytes, token: re.Match) -> bool:
