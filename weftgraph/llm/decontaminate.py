@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z) and cut into words; a word that occurs in the benchmark has a code of a few symbols, all others
 share one that no item has. Every window of 13 words holds a run of 7 that begins at a multiple of 7 words in its item, so
 the automaton has these runs only (an item with fewer than 13 words is one pattern), about a node for each word. It reads each
-document once. A match is grown to both sides against its item; from 13 words on, all windows in it occur, and its words are
-hit. Hit words map back to code points of the original text.
+document once. A match is compared with the six words on either side of it in its items; from 13 words on, all windows in it
+occur, and its words are hit. A run's places in an item with the same words around them are one, so that repetition in items
+or texts costs no more. Hit words map back to code points of the original text.
 
 The benchmark is the stated query set. It is cut into blocks of items, of BLOCK_WORDS words each, to bound a worker's
 automaton; a larger benchmark takes several blocks, which are read in turn over batches of BUFFER bytes. The driver holds the
@@ -67,22 +68,35 @@ class Windows:
             self.width += 1
         self.unknown = "\x00" * self.width
         self.codes = {w: self._code(k) for w, k in vocabulary.items()}
-        self.owners = [number.get(name, -1) for name, _ in items]
-        self.texts = ["".join([self.codes[w] for w in words]) for _, words in items]
-        found: dict[str, list[tuple[int, int]]] = {}
+        # A window reaches RUN - 1 words beyond a run of it at most, so that places with like words around them are one.
+        found: dict[str, dict[tuple[int, str, str], None]] = {}
         for k, (_, words) in enumerate(items):
+            text = "".join([self.codes[w] for w in words])
             if 0 < len(words) < WINDOW:
-                found.setdefault(self.texts[k], []).append((k, -1))
+                found.setdefault(text, {})[number.get(items[k][0], -1), None, None] = None
             else:
                 for at in range(0, len(words) - RUN + 1, RUN):
-                    found.setdefault(self.texts[k][at * self.width : (at + RUN) * self.width], []).append((k, at))
+                    left, right = text[max(0, at - RUN + 1) * self.width : at * self.width], text[(at + RUN) * self.width : (at + 2 * RUN - 1) * self.width]
+                    found.setdefault(text[at * self.width : (at + RUN) * self.width], {})[number.get(items[k][0], -1), left, right] = None
         self.empty = not found
         self.automaton = ahocorasick.Automaton()
         for pattern, places in found.items():
-            self.automaton.add_word(pattern, (len(pattern) // self.width, places))
+            self.automaton.add_word(pattern, (len(pattern) // self.width, self._widest(list(places))))
         if found:
             self.automaton.make_automaton()
 
+    def _widest(self, places: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
+        """Places less those at an item's ends whose words around them another place of the same item has as well."""
+        full = (RUN - 1) * self.width
+        short = [x for x in places if x[1] is not None and (len(x[1]) < full or len(x[2]) < full)]
+        if not short or len(places) == 1:
+            return places
+        by_owner: dict[int, list[tuple[int, str, str]]] = {}
+        for x in places:
+            by_owner.setdefault(x[0], []).append(x)
+        within = {x for x in short for y in by_owner[x[0]] if x != y and y[1] is not None and y[1].endswith(x[1]) and y[2].startswith(x[2])}
+        return [x for x in places if x not in within]
+
     def _code(self, k: int) -> str:
         """A symbol for each place; places have symbols of their own, so that matches begin at words only."""
         out = []
@@ -99,32 +113,47 @@ class Windows:
             return runs, owners
         get, width, unknown = self.codes.get, self.width, self.unknown
         text = "".join([get(w, unknown) for w in words])
-        grown: dict[tuple[int, int], int] = {}  # the end of the last run for each item and difference of places
+        last_run = (0, 0)
         for last, (length, places) in self.automaton.iter(text):
             end = (last + 1) // width
             start = end - length
-            for item, at in places:
-                if at < 0:
-                    runs.append((start, end))
-                    owners.add(self.owners[item])
-                    continue
-                lead = (item, start - at)
-                if grown.get(lead, -1) >= end:
-                    continue
-                own = self.texts[item]
-                a, b, n = start, end, len(own) // width
-                i, j = at, at + length
-                while a and i and text[(a - 1) * width : a * width] == own[(i - 1) * width : i * width]:
-                    a, i = a - 1, i - 1
-                while b < len(words) and j < n and text[b * width : (b + 1) * width] == own[j * width : (j + 1) * width]:
-                    b, j = b + 1, j + 1
-                grown[lead] = b
-                if b - a >= WINDOW:
-                    runs.append((a, b))
-                    owners.add(self.owners[item])
+            for owner, left, right in places:
+                a, b = start, end
+                if left is not None:
+                    a -= _same_end(text, left, start * width, width)
+                    b += _same_begin(text, right, end * width, width)
+                    if b - a < WINDOW:
+                        continue
+                owners.add(owner)
+                if a > last_run[1] or a < last_run[0]:
+                    runs.append(last_run)
+                    last_run = (a, b)
+                elif b > last_run[1]:
+                    last_run = (last_run[0], b)
+        runs = [r for r in [*runs, last_run] if r[1] > r[0]]
         return _merge(runs), owners
 
 
+def _same_begin(text: str, part: str, at: int, width: int) -> int:
+    """How many of the first words of a part stand at a place."""
+    if text.startswith(part, at):
+        return len(part) // width
+    n = 0
+    while text.startswith(part[n * width : (n + 1) * width], at + n * width):
+        n += 1
+    return n
+
+
+def _same_end(text: str, part: str, at: int, width: int) -> int:
+    """How many of the last words of a part stand before a place."""
+    if at >= len(part) and text.startswith(part, at - len(part)):
+        return len(part) // width
+    n, size = 0, len(part)
+    while at > n * width and text.startswith(part[size - (n + 1) * width : size - n * width], at - (n + 1) * width):
+        n += 1
+    return n
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[bytes]:
     """Items [(id, text)] in blocks, pickled and compressed."""
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).filter("t is not null").toLocalIterator()
