@@ -1,6 +1,7 @@
 """URL filters: host rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-A URL has a canonical key for each of its host suffixes times each of its path prefixes, however many. A path and the
+A URL has a canonical key for each of its host suffixes times each of its path prefixes, up to the labels and folders
+that a listed key has at most: longer ones can't be listed. A path and the
 folder of that name are not told apart: a listed path, with or without a final slash, covers itself and all below. The listed
 keys make a blocked Bloom filter (one 512-bit block for a key, one bit in each of its eight words) of bounded size.
 Keys that the filter passes are joined with the list by equality, which removes the false positives; distinct URLs are
@@ -9,8 +10,8 @@ joined, so that a URL seen many times counts once.
 Rules come first: a rule fits its host and all subdomains if the path starts with the rule's path; the longest wins.
 
 Defined results: a null URL and one without `://` have an empty host and path, no rule and the verdict `allow`.
-Repeated rows get a row each. Rules of equal length go by the order of their hosts' names. Very long URLs have all their
-keys, as many as labels times folders. An empty table gives an empty table; with an empty list only the rules block. Other
+Repeated rows get a row each. Rules of equal length go by the order of their hosts' names. Very long URLs have as many keys as the
+list's depth asks for, whatever their length. An empty table gives an empty table; with an empty list only the rules block. Other
 columns, whatever their names, are not carried.
 """
 
@@ -20,8 +21,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits for each listed key, and most 512-bit blocks: 64 MB. A longer list has more false positives, not more memory.
@@ -54,20 +56,22 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return rule, verdict
 
 
-def canonical_keys(host: Column, path: Column) -> Column:
-    """host/path keys, distinct: the host without `www.` and all its parents, times `/`, all folders and the path, each with
-    and without a final slash."""
+def canonical_keys(host: Column, path: Column, labels: int | None = None, folders: int | None = None) -> Column:
+    """host/path keys: the host without `www.` and all its parents, times `/`, all folders and the path, each with
+    and without a final slash; of those, the ones with so many labels and folders at most."""
     bare = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
-    labels = F.split(bare, r"\.", -1)
-    n = F.size(labels)
+    names = F.split(bare, r"\.", -1)
+    n = F.size(names)
+    first = F.lit(0) if labels is None else F.greatest(F.lit(0), n - labels)
     hosts = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.array_join(F.slice(labels, k + 1, n), "."),
+        F.sequence(first, n - 1),
+        lambda k: F.array_join(F.slice(names, k + 1, n), "."),
     )
     parts = F.split(F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", ""), "/", -1)
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    paths = F.concat(F.filter(folders, lambda p: p != ""), F.transform(folders, lambda p: F.concat(p, F.lit("/"))))
-    keys = F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+    most = F.size(parts) if folders is None else F.least(F.size(parts), F.lit(folders + 1))
+    heads = F.transform(F.sequence(F.lit(1), most), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    paths = F.concat(F.filter(heads, lambda p: p != ""), F.transform(heads, lambda p: F.concat(p, F.lit("/"))))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
@@ -83,7 +87,11 @@ class BlockedBloom:
     """A blocked Bloom filter of the string column `key`; its size is bounded by MAX_BLOCKS."""
 
     def __init__(self, listed: DataFrame):
-        n = listed.count()
+        path = F.regexp_extract("key", r"(?s)^[^/]*(.*)$", 1)
+        parts = F.size(F.split(F.regexp_extract("key", "^[^/]*", 0), r"\.", -1)), F.size(F.split(path, "/", -1)) - 1
+        # Nothing listed has more labels or folders than these, so that no longer key of a URL can be listed.
+        n, labels, folders = listed.agg(F.count("*"), F.max(parts[0]), F.max(parts[1])).first()
+        self.labels, self.folders = labels or 0, folders or 0
         self.blocks = max(1, min(MAX_BLOCKS, -(-n * KEY_BITS // 512)))
         hashes = listed.select(F.pmod(F.xxhash64("key"), F.lit(self.blocks)).alias("block"), F.xxhash64("key", F.lit(1)).alias("h"))
         rows = hashes.groupBy("block").agg(*[F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(h, {6 * w}), 64) as int))")).alias(f"w{w}") for w in range(8)])
@@ -91,6 +99,19 @@ class BlockedBloom:
         for row in rows.toLocalIterator():
             self.words[row["block"]] = row[1:]
 
+    def holds(self, key: Column) -> Column:
+        """Whether a string may be among the keys: never false for one that is."""
+        held, blocks = SparkSession.active().sparkContext.broadcast(self.words.view(np.uint64)), self.blocks
+
+        def check(at: pd.Series, h: pd.Series) -> pd.Series:
+            block, bits = at.to_numpy(), h.to_numpy().view(np.uint64)
+            hit = np.ones(len(block), bool)
+            for w in range(8):
+                hit &= (held.value[block, w] >> ((bits >> np.uint64(6 * w)) & np.uint64(63))) & np.uint64(1) == 1
+            return pd.Series(hit)
+
+        return F.pandas_udf(check, "boolean")(F.pmod(F.xxhash64(key), F.lit(blocks)), F.xxhash64(key, F.lit(1)))
+
     def possible(self, keyed: DataFrame) -> DataFrame:
         """The rows (url, keys) of which a key may be listed."""
         held, blocks = keyed.sparkSession.sparkContext.broadcast(self.words.view(np.uint64)), self.blocks
@@ -120,7 +141,7 @@ def listed_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFr
     """The distinct URLs of pages that have a listed key; listed has the column `key`."""
     bloom = BlockedBloom(listed)
     urls = pages.select(F.col(url).alias("url"))
-    keyed = urls.withColumn("keys", canonical_keys(host_of(F.col("url")), path_of(F.col("url"))))
+    keyed = urls.withColumn("keys", canonical_keys(host_of(F.col("url")), path_of(F.col("url")), bloom.labels, bloom.folders))
     possible = bloom.possible(keyed).dropDuplicates(["url"])
     return possible.select("url", F.explode("keys").alias("key")).join(listed.select("key").distinct(), "key").select("url").distinct()
 
