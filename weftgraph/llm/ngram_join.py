@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._common import fresh, materialize, slices, utf8
+from weftgraph.llm.url_filter import BlockedBloom
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
@@ -38,8 +39,6 @@ PERCENT = 80
 SKETCH, SKETCH_PARTS = 1 << 22, 64
 #: Partial sketches added in one task at a time.
 FAN_IN = 64
-#: Candidate keys are broadcast up to this size, and joined by a shuffle beyond.
-BROADCAST_BYTES = 32 << 20
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -376,10 +375,9 @@ def _close(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return materialize(joined.mapInArrow(check, "a bigint, b bigint"), f"{name}-close")
 
 
-def _sent(keys: DataFrame) -> DataFrame:
-    """A written table of keys, to be broadcast if its size is in the bound, so that documents stay where they are."""
-    size = keys.agg(F.sum(F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 16)).first()[0] or 0
-    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
+def _name(key: Column, *more: Column) -> Column:
+    """A key, and what else tells a row, as a string that is never null."""
+    return F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), key.isNull().cast("string"), *[x.cast("string") for x in more])
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -388,7 +386,8 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> D
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(nodes.join(need, "node", "left_semi").select("node", "key"), f"{name}-wanted")
     known = wanted.select("key").filter("key is not null").distinct()
-    chosen = docs.join(_sent(known), "key", "left_semi")
+    # A few documents more than are wanted do no harm here, so that the filter is enough and no document moves.
+    chosen = docs.filter(BlockedBloom(known.select(_name(F.col("key")).alias("key"))).holds(_name(F.col("key"))))
     if wanted.filter("key is null").limit(1).count():
         chosen = chosen.unionByName(docs.filter("key is null"))
 
@@ -502,13 +501,19 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     later = rows.join(firsts, "part").filter(~(F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p"))))
     later = materialize(later.select("key", "print").distinct(), "later-rows")
     twice = materialize(rows.filter("part is not null").groupBy("key", "print").agg(F.count("*").alias("size")).filter("size > 1").select("key", "print"), "equal-rows")
-    later, twice = _sent(later), _sent(twice)
     name = fresh(docs, "print")
     marked = docs.withColumn(name, _print(F.col(f"`{text}`")))
 
     def among(t: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        """The rows that are (left_semi) or aren't (left_anti) in a table of keys and prints. Rows that a filter of bounded
+        size passes are joined with it; the others are certain, and stay where they are."""
+        may = fresh(left, "may")
+        told = BlockedBloom(t.select(_name(F.col("key"), F.col("print")).alias("key"))).holds(_name(F.col(f"`{key}`"), F.col(name)))
+        left = left.withColumn(may, told)
         t = t.select(F.col("key").alias("_key"), F.col("print").alias("_print"))
-        return left.join(t, left[f"`{key}`"].eqNullSafe(t["_key"]) & (left[name] == t["_print"]), how)
+        possible = left.filter(may)
+        joined = possible.join(t, possible[f"`{key}`"].eqNullSafe(t["_key"]) & (possible[name] == t["_print"]), how)
+        return (joined if how == "left_semi" else joined.unionByName(left.filter(~F.col(may)))).drop(may)
 
     kept = among(later, "left_anti", marked)
     columns = [F.col(f"`{c}`") for c in docs.columns]
