@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._common import fresh, materialize, slices, utf8
-from weftgraph.llm.url_filter import BlockedBloom
+from weftgraph.llm.url_filter import BlockedBloom, hits
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
@@ -385,18 +385,18 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> D
     pairs = _close(nodes, pairs, name)
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(nodes.join(need, "node", "left_semi").select("node", "key"), f"{name}-wanted")
-    known = wanted.select("key").filter("key is not null").distinct()
-    # A few documents more than are wanted do no harm here, so that the filter is enough and no document moves.
-    chosen = docs.filter(BlockedBloom(known.select(_name(F.col("key")).alias("key"))).holds(_name(F.col("key"))))
-    if wanted.filter("key is null").limit(1).count():
-        chosen = chosen.unionByName(docs.filter("key is null"))
+    bloom = BlockedBloom(wanted.select(_name(F.col("key")).alias("key")).distinct())
+    held = docs.sparkSession.sparkContext.broadcast(bloom.words.view(np.uint64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = shingle_sets(*utf8(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([_identity(x, 11) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "shingles"])
+        """Sets of the documents that the filter passes: a few more than are wanted do no harm, and no document moves."""
+        for batch in batches:
+            batch = batch.filter(pa.array(hits(held.value, batch.column(1).to_numpy(), batch.column(2).to_numpy())))
+            for part in slices([batch]):
+                made = shingle_sets(*utf8(part.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array([_identity(x, 11) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "shingles"])
 
-    made = chosen.select("text").mapInArrow(sets, "node bigint, shingles binary")
+    made = docs.select("text", *bloom.hashes(_name(F.col("key")))).mapInArrow(sets, "node bigint, shingles binary")
     made = materialize(made.dropDuplicates(["node"]), f"{name}-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +82,14 @@ def canonical(url: Column) -> Column:
     return F.concat(bare, F.when(clean == "", F.lit("/")).otherwise(clean))
 
 
+def hits(words: np.ndarray, block: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether all bits of some hashes are set in their blocks."""
+    bits, hit = h.view(np.uint64), np.ones(len(block), bool)
+    for w in range(8):
+        hit &= (words[block, w] >> ((bits >> np.uint64(6 * w)) & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
 class BlockedBloom:
     """A blocked Bloom filter of the string column `key`; its size is bounded by MAX_BLOCKS."""
 
@@ -99,18 +106,18 @@ class BlockedBloom:
         for row in rows.toLocalIterator():
             self.words[row["block"]] = row[1:]
 
+    def hashes(self, key: Column) -> tuple[Column, Column]:
+        """A string's block, and the hash that tells its bits."""
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks)), F.xxhash64(key, F.lit(1))
+
     def holds(self, key: Column) -> Column:
         """Whether a string may be among the keys: never false for one that is."""
-        held, blocks = SparkSession.active().sparkContext.broadcast(self.words.view(np.uint64)), self.blocks
+        held = SparkSession.active().sparkContext.broadcast(self.words.view(np.uint64))
 
-        def check(at: pd.Series, h: pd.Series) -> pd.Series:
-            block, bits = at.to_numpy(), h.to_numpy().view(np.uint64)
-            hit = np.ones(len(block), bool)
-            for w in range(8):
-                hit &= (held.value[block, w] >> ((bits >> np.uint64(6 * w)) & np.uint64(63))) & np.uint64(1) == 1
-            return pd.Series(hit)
+        def check(at: pa.Array, h: pa.Array) -> pa.Array:
+            return pa.array(hits(held.value, at.to_numpy(), h.to_numpy()))
 
-        return F.pandas_udf(check, "boolean")(F.pmod(F.xxhash64(key), F.lit(blocks)), F.xxhash64(key, F.lit(1)))
+        return F.arrow_udf(check, "boolean")(*self.hashes(key))
 
     def possible(self, keyed: DataFrame) -> DataFrame:
         """The rows (url, keys) of which a key may be listed."""
@@ -126,11 +133,7 @@ class BlockedBloom:
             for batch in batches:
                 at, h = batch.column(2), batch.column(3)
                 sizes = np.diff(at.offsets.to_numpy())
-                block, bits = at.flatten().to_numpy(), h.flatten().to_numpy().view(np.uint64)
-                hit = np.ones(len(block), bool)
-                for w in range(8):
-                    place = (bits >> np.uint64(6 * w)) & np.uint64(63)
-                    hit &= (held.value[block, w] >> place) & np.uint64(1) == 1
+                hit = hits(held.value, at.flatten().to_numpy(), h.flatten().to_numpy())
                 rows = np.unique(np.repeat(np.arange(len(sizes)), sizes)[hit])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["url", "keys"]).take(pa.array(rows))
 
