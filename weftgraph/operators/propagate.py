@@ -1,19 +1,23 @@
 """Label propagation, Laplacian diffusion and their relatives: every term, fold and repetition is a key of one table.
 
-A product of the network with all score vectors is one join and one sum (`spread`). Fixed numbers of rounds are one
-static plan up to STATIC rounds; longer runs cut the lineage every round."""
+A product of the network with all score vectors is one join and one sum (`spread`). STATIC rounds of propagation at most are one
+plan of such products. Longer runs multiply in blocks (`blocks`), whose making costs about as much as that many rounds: edges
+stay where they were written, and scores of many keys travel as dense rows. Loops cut the lineage every round."""
 
 from __future__ import annotations
 
 import warnings
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import cut
+from weftgraph.operators.blocks import Blocks, Lanes, by_place, cells_of, pack_scores, places_of, unpack_scores
 from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normalise
 from weftgraph.operators.stats import kendall_tau
 
+#: Rounds of propagation that are one plan.
 STATIC = 4
 
 
@@ -36,26 +40,43 @@ def propagate(
     """Propagation from fixed positives: s <- alpha * (P s + P 1_pos) on free nodes, from 0, for `rounds` rounds, or until no
     score grows by more than eps. Positives end at 1; negatives are fixed at 0 (plus: there are none)."""
     keys = keys or ["term"]
-    fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node", "label")
+    fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node").distinct()
+    ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score")).distinct()
     p = cut(row_normalise(edges, lam))
-    ones = fixed.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
-    free = lambda s: s.join(fixed.select(*keys, "node"), [*keys, "node"], "left_anti")
-    first = free(spread(p, ones, keys)).withColumn("score", alpha * F.col("score"))
-    if rounds > STATIC or eps:
-        first = cut(first)
-    state = first
+    if rounds <= STATIC and not eps:
+        free = lambda s: s.join(fixed, [*keys, "node"], "left_anti").withColumn("score", alpha * F.col("score"))
+        state = first = free(spread(p, ones, keys))
+        for _ in range(1, rounds):
+            state = free(spread(p, state, keys)).unionByName(first).groupBy(*keys, "node").agg(F.sum("score").alias("score"))
+        return state.filter("score > 0").unionByName(ones)
+    net, lanes = Blocks(p), Lanes(labels, keys)
+    walls = cut(pack_scores(fixed.withColumn("score", F.lit(1.0)), net, lanes))
+    state = first = cut(net.sums(_next(alpha), net.products(cut(pack_scores(ones, net, lanes))), (0, walls), more=("gain",)))
     for _ in range(1, rounds):
-        new = spread(p, state, keys).withColumn("score", alpha * F.col("score"))
-        new = free(new).unionByName(first).groupBy(*keys, "node").agg(F.sum("score").alias("score"))
-        if rounds > STATIC or eps:
-            new = cut(new)
-        if eps:
-            gain = new.alias("n").join(state.withColumnRenamed("score", "old"), [*keys, "node"], "left").agg(F.max(F.col("score") - F.coalesce("old", F.lit(0.0)))).first()[0]
-            state = new
-            if gain is None or gain <= eps:
-                break
-        state = new
-    return state.filter("score > 0").unionByName(ones)
+        kept = [(0, walls), (1, first), *([(2, state)] if eps else [])]
+        state = cut(net.sums(_next(alpha), net.products(state), *kept, more=("gain",)))
+        if eps and (state.agg(F.max("gain")).first()[0] or 0.0) <= eps:
+            break
+    return unpack_scores(state, net, lanes).filter("score > 0").unionByName(ones)
+
+
+def _next(alpha: float):
+    """A block's next scores: alpha times the sums, nothing on fixed nodes (kind 0), and what fixed ones give (1); the greatest
+    growth from the scores before (2)."""
+
+    def finish(kept: dict, places, sums):
+        cells = alpha * sums
+        if 1 in kept:
+            places, cells = by_place(np.concatenate([places, places_of(kept[1])]), np.concatenate([cells, cells_of(kept[1])]))
+        if 0 in kept:
+            _, here, there = np.intersect1d(places, places_of(kept[0]), assume_unique=True, return_indices=True)
+            cells[here] = np.where(cells_of(kept[0])[there] > 0, 0.0, cells[here])
+        grown = cells
+        if 2 in kept:
+            grown = by_place(np.concatenate([places, places_of(kept[2])]), np.concatenate([cells, -cells_of(kept[2])]))[1]
+        return places, cells, float(grown.max(initial=0.0))
+
+    return finish
 
 
 def bounds(

@@ -179,6 +179,11 @@ QUERIES = [
         f"WITH {_BASE} SELECT term, p.src AS node, round(sum(p.weight), 6) AS score FROM p JOIN terms t ON t.node = p.dst WHERE label > 0 GROUP BY 1, 2",
     ),
     Query("x2_propagation", lambda t: _six(X.propagate(edges(t), t.labels(), 0.95, 3), "score"), f"WITH {_X2_SQL} SELECT term, node, round(score, 6) AS score FROM result"),
+    Query(
+        "x2_propagation_ten_rounds",
+        lambda t: _six(X.propagate(edges(t), t.labels(), 0.95, 10), "score"),
+        f"WITH {_BASE}, {_propagation_sql(0.95, 10)} SELECT term, node, round(score, 6) AS score FROM result",
+    ),
     Query(
         "x2_propagation_topk",
         lambda t: T.top_k(_six(X.propagate(edges(t), t.labels(), 0.95, 3), "score"), ["term"], 50).select("term", "node", "rank", "score"),
