@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -20,8 +22,10 @@ def logistic(rows: DataFrame, c: float = 1.0, max_rounds: int = 100) -> DataFram
     """(node, score): the probability of class 1 of rows (node, embedding, y), trained on those with y.
 
     Without standardisation or elastic net, so that the strength of the penalty is 1 / (c n) as in the usual form."""
-    data = rows.select("node", "y", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    known = data.filter("y is not null").withColumn("y", F.col("y").cast("double"))
+    vectors = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    data = rows.select("node", "y", vectors)
+    # Written first: the fit reads a plain table, whatever the plan of the rows holds.
+    known = cut(rows.filter("y is not null").select(F.col("y").cast("double").alias("y"), F.col("embedding").cast("array<double>").alias("embedding"))).select("y", vectors)
     n = known.count()
     model = LogisticRegression(labelCol="y", regParam=1 / (c * max(1, n)), standardization=False, elasticNetParam=0.0, maxIter=max_rounds).fit(known)
     return model.transform(data).select("node", F.element_at(vector_to_array("probability"), 2).alias("score"))
@@ -103,6 +107,8 @@ def network_scores(
         bias = bias.drop("g")
         if far <= tol:
             break
+    else:
+        warnings.warn(f"network_scores: the last round still moved scores by {far:.3g}", stacklevel=2)
     universe = nodes.select("node").distinct() if nodes is not None else s.select(F.col("src").alias("node")).distinct()
     asked = universe.join(bias.select("term", "bias"), F.lit(True)).join(known.select("term", "node"), ["term", "node"], "left_anti")
     value = F.coalesce("score", F.lit(0.0)) + F.col("bias")

@@ -2,21 +2,60 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lineage import materialize
+from weftgraph.functions.order import Ordered
+
 
 def draw(*parts: Column | str) -> Column:
     """A reproducible random order: the digest of a key's parts."""
     return F.md5(F.concat_ws("|", *[F.lit(p) if isinstance(p, int) else p for p in parts]).cast("binary"))
 
 
+#: Rounds of a permutation; each adds to one half of a place a digest of the other.
+FEISTEL = 4
+
+
+def permuted(place: Column, count: Column, *salt: Column | str) -> Column:
+    """A place of 0 to rows * columns - 1 under a permutation told by the salt; rows = ceil(sqrt(count)), and columns as many
+    as hold count places, so that fewer than rows of the results are count or more."""
+    rows = F.ceil(F.sqrt(count)).cast("long")
+    columns = F.ceil(count / rows).cast("long")
+    halves = F.struct((place / columns).cast("long").alias("a"), F.pmod(place, columns).alias("b"))
+    mixed = lambda half, k: F.conv(F.substring(draw(half.cast("string"), *salt, k), 1, 8), 16, 10).cast("long")
+
+    def step(k: int):
+        if k % 2:
+            return lambda h: F.struct(h["a"].alias("a"), F.pmod(h["b"] + mixed(h["a"], k), columns).alias("b"))
+        return lambda h: F.struct(F.pmod(h["a"] + mixed(h["b"], k), rows).alias("a"), h["b"].alias("b"))
+
+    for k in range(FEISTEL):
+        halves = F.element_at(F.transform(F.array(halves), step(k)), 1)
+    return F.element_at(F.transform(F.array(halves), lambda h: h["a"] * columns + h["b"]), 1)
+
+
 def sample_negatives(positives: DataFrame, universe: DataFrame, factor: float, rep: int = 1) -> DataFrame:
-    """(term, node): int(factor * n+) nodes of the universe for each term, none of its positives, none twice."""
-    wanted = F.broadcast(positives.groupBy("term").agg(F.floor(factor * F.count("*")).alias("k")))
-    grid = universe.select("node").distinct().join(wanted, F.lit(True)).join(positives.select("term", "node"), ["term", "node"], "left_anti")
-    order = Window.partitionBy("term").orderBy(draw("node", "term", rep), "node")
-    return grid.withColumn("n", F.row_number().over(order)).filter("n <= k").select("term", "node")
+    """(term, node): int(factor * n+) nodes of the universe for each term, none of its positives, none twice.
+
+    Nodes have places in the order of their names; a term draws them by a permutation of its own, and needs no more draws than
+    it has negatives and positives and than the permutation leaves its range (the square root of the nodes' number at most). The
+    nodes that no term draws are not looked at."""
+    places = Ordered(universe.select("node").distinct(), "node").rank("place").table()
+    places = materialize(places.select("node", (F.col("place") - 1).cast("long").alias("place")), "places")
+    n = places.count()
+    own = positives.select("term", "node").distinct()
+    wanted = own.groupBy("term").agg(F.floor(factor * F.count("*")).alias("k"), F.count("*").alias("p"))
+    rows = max(1, math.isqrt(max(0, n - 1)) + 1 if n else 1)
+    size = rows * -(-n // rows)
+    draws = F.least(F.lit(size), F.col("k") + F.col("p") + (size - n))
+    drawn = wanted.filter("k > 0").select("term", "k", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)).alias("turn")) if n else wanted.select("term", "k", F.lit(0).cast("long").alias("turn")).limit(0)
+    drawn = drawn.withColumn("place", permuted(F.col("turn"), F.lit(n), "term", rep)).join(places, "place").join(own, ["term", "node"], "left_anti")
+    order = Window.partitionBy("term").orderBy("turn")
+    return drawn.withColumn("n", F.row_number().over(order)).filter("n <= k").select("term", "node")
 
 
 def split_folds(labels: DataFrame, folds: int, rep: int = 1) -> DataFrame:

@@ -154,11 +154,58 @@ def conjugate_gradients(times, y: DataFrame, keys: list[str], tol: float, max_ro
         new = cut(t.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("new"), F.first("rr").alias("old")))
         state = t.drop("rr").join(new, keys)
         state = cut(state.select(*axis, "x", "r", (F.col("r") + F.coalesce(F.try_divide("new", "old"), F.lit(0.0)) * F.col("p")).alias("p")))
-        if (new.agg(F.max(F.sqrt("new"))).first()[0] or 0.0) <= tol:
+        left = new.agg(F.max(F.sqrt("new"))).first()[0] or 0.0
+        if left <= tol:
             break
+    else:
+        warnings.warn(f"conjugate_gradients: a residual of {left:.3g} is left after {max_rounds} rounds", stacklevel=2)
     return state.select(*axis, F.col("x").alias("score"))
 
 
+def stabilised_gradients(times, y: DataFrame, keys: list[str], tol: float, max_rounds: int) -> DataFrame:
+    """(keys, node, score): the solution of A x = y for all keys at once by stabilised two-sided gradients; A need not be
+    symmetric. times(v) is A v of (keys, node, score). A key is done when its residual's norm is tol or less; one whose
+    recurrence breaks down (a divisor near 0) begins anew from its residual. A warning tells the residual that is left."""
+    axis, dot = [*keys, "node"], lambda a, b: F.sum(F.col(a) * F.col(b))
+    of = lambda name: F.col(name).alias("score")
+    over = lambda a, b: F.coalesce(F.when(F.abs(b) > 1e-300, a / b), F.lit(0.0))
+    state = cut(y.select(*axis, F.lit(0.0).alias("x"), of("score").alias("r"), of("score").alias("q"), of("score").alias("p")))
+    left = None
+    for _ in range(max_rounds):
+        v = times(state.select(*axis, of("p")).filter("score <> 0")).withColumnRenamed("score", "v")
+        t = cut(state.join(v, axis, "full_outer").na.fill(0.0, ["x", "r", "q", "p", "v"]))
+        a = t.groupBy(*keys).agg(dot("q", "r").alias("rho"), dot("q", "v").alias("qv"), dot("r", "r").alias("rr"))
+        a = a.select(*keys, "rho", F.when(F.sqrt("rr") > tol, over(F.col("rho"), F.col("qv"))).otherwise(0.0).alias("a"))
+        s = cut(t.join(a, keys).withColumn("s", F.col("r") - F.col("a") * F.col("v")))
+        u = times(s.select(*axis, of("s")).filter("score <> 0")).withColumnRenamed("score", "u")
+        s = cut(s.join(u, axis, "full_outer").na.fill(0.0, ["x", "r", "q", "p", "v", "s", "u"]).drop("rho", "a").join(a, keys))
+        w = s.groupBy(*keys).agg(dot("u", "s").alias("us"), dot("u", "u").alias("uu"))
+        s = s.join(w.select(*keys, over(F.col("us"), F.col("uu")).alias("w")), keys)
+        s = s.withColumn("x", F.col("x") + F.col("a") * F.col("p") + F.when(F.col("a") != 0, F.col("w") * F.col("s")).otherwise(0.0))
+        s = cut(s.withColumn("r", F.when(F.col("a") != 0, F.col("s") - F.col("w") * F.col("u")).otherwise(F.col("r"))))
+        b = s.groupBy(*keys).agg(dot("q", "r").alias("next"), dot("r", "r").alias("rr"), F.first("rho").alias("rho"), F.first("a").alias("a"), F.first("w").alias("w"))
+        # Where q has become orthogonal to the residual, or a step was nothing, the recurrence begins anew.
+        dead = (F.abs("next") < 1e-14 * F.col("rr")) | (F.col("a") == 0) | (F.col("w") == 0)
+        b = cut(b.select(*keys, "rr", dead.alias("dead"), F.when(dead, 0.0).otherwise(over(F.col("next"), F.col("rho")) * over(F.col("a"), F.col("w"))).alias("b")))
+        s = s.drop("rho", "a").join(b, keys)
+        p = F.col("r") + F.col("b") * (F.col("p") - F.col("w") * F.col("v"))
+        state = cut(s.select(*axis, "x", "r", F.when(F.col("dead"), F.col("r")).otherwise(F.col("q")).alias("q"), F.when(F.col("dead"), F.col("r")).otherwise(p).alias("p")))
+        left = b.agg(F.max(F.sqrt("rr"))).first()[0] or 0.0
+        if left <= tol:
+            break
+    else:
+        warnings.warn(f"stabilised_gradients: a residual of {left} is left after {max_rounds} rounds", stacklevel=2)
+    return state.select(*axis, of("x"))
+
+
+def is_symmetric(edges: DataFrame) -> bool:
+    """Whether each edge has one of the same weight the other way."""
+    whole = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    back = whole.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back"))
+    far = F.abs(F.col("w") - F.coalesce("back", F.lit(0.0))) > 1e-9 * F.abs("w")
+    return not whole.join(back, ["src", "dst"], "left").filter(far).limit(1).count()
+
+
 def laplacian_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: float = 1e-5, max_rounds: int = 100, keys: list[str] | None = None) -> DataFrame:
     """(I + alpha L) f = y by conjugate gradients, all keys at once; S is normalised symmetrically first."""
     keys = keys or ["term"]
@@ -172,16 +219,18 @@ def laplacian_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: flo
     return conjugate_gradients(times, y, keys, tol, max_rounds)
 
 
-#: Names of the solvers that a run may ask for. One method serves them all, as all solve the same system.
+#: Names of the solvers that a run may ask for, and those of them that a symmetric system alone allows.
+SYMMETRIC = ("cg", "minres")
 SOLVERS = ("spsolve", "bicg", "bicgstab", "cg", "cgs", "gmres", "lgmres", "minres", "qmr", "gcrotmk")
 
 
 def solve(
     edges: DataFrame, labels: DataFrame, alpha: float = 1.0, solver: str = "cg", tol: float = 1e-5, max_rounds: int = 1000, plus: bool = False, lam: float = 0.0, keys: list[str] | None = None
 ) -> DataFrame:
-    """The fixed point of `propagate`, (I - alpha P) s = alpha P 1_pos on the free nodes, by conjugate gradients.
+    """The fixed point of `propagate`, (I - alpha P) s = alpha P 1_pos on the free nodes.
 
-    P = W / d for a symmetric W, so that with u = sqrt(d) s the system is (I - alpha W / sqrt(d d')) u = sqrt(d) f, which is
+    Names of SYMMETRIC use conjugate gradients, and a network that isn't symmetric is an error; the others use stabilised
+    two-sided gradients, on P as it is, for directed networks too. For the former, P = W / d for a symmetric W, so that with u = sqrt(d) s the system is (I - alpha W / sqrt(d d')) u = sqrt(d) f, which is
     symmetric and, below alpha 1 or where every node has a way to a fixed one, positive definite."""
     if solver not in SOLVERS:
         raise ValueError(f"no such solver: {solver}")
@@ -189,6 +238,18 @@ def solve(
     axis = [*keys, "node"]
     fixed = (labels.filter("label > 0") if plus else labels).select(*axis)
     ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score"))
+    if solver not in SYMMETRIC:
+        p = cut(row_normalise(edges, lam))
+        free = lambda v: v.withColumn("score", alpha * F.col("score")).join(fixed, axis, "left_anti")
+
+        def directed(v: DataFrame) -> DataFrame:
+            moved = free(spread(p, v, keys)).withColumn("score", -F.col("score"))
+            return moved.unionByName(v.select(*axis, "score")).groupBy(*axis).agg(F.sum("score").alias("score"))
+
+        found = stabilised_gradients(directed, free(spread(p, ones, keys)), keys, tol, max_rounds)
+        return found.filter("score <> 0").unionByName(ones)
+    if not is_symmetric(edges):
+        raise ValueError(f"{solver} needs a symmetric network")
     total = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d"))
     if lam:
         total = total.crossJoin(F.broadcast(edges.agg(F.max("weight").alias("top")))).select("node", (F.col("d") + lam * F.col("top")).alias("d"))
@@ -221,11 +282,18 @@ def reachable(edges: DataFrame, labels: DataFrame, keys: list[str] | None = None
 
 
 def genemania(edges: DataFrame, labels: DataFrame, nodes: DataFrame, **more) -> DataFrame:
-    """Targets 1 and -1, and (n+ - n-) / (n+ + n-) for the unlabelled nodes of every term."""
+    """Targets 1 and -1, and (n+ - n-) / (n+ + n-) for the unlabelled nodes of every term.
+
+    A solution is linear in its targets: that of ones everywhere is solved once, for all terms, and scaled by a term's bias;
+    what labelled nodes differ from the bias are a term's only targets. Nodes times terms are the result's rows alone."""
     bias = labels.groupBy("term").agg((F.sum("label") / F.count("*")).cast("double").alias("bias"))
-    grid = nodes.select("node").join(F.broadcast(bias), F.lit(True))
-    y = grid.join(labels, ["term", "node"], "left").select("term", "node", F.coalesce(F.col("label").cast("double"), "bias").alias("score"))
-    return laplacian_solve(edges, y, **more)
+    every = nodes.select("node").distinct()
+    rest = labels.join(bias, "term").select(F.lit(False).alias("ones"), "term", "node", (F.col("label") - F.col("bias")).alias("score")).join(every, "node", "left_semi")
+    ones = every.select(F.lit(True).alias("ones"), F.lit("").cast(labels.schema["term"].dataType).alias("term"), "node", F.lit(1.0).alias("score"))
+    f = cut(laplacian_solve(edges, ones.unionByName(rest), keys=["ones", "term"], **more))
+    grid = f.filter("ones").select("node", F.col("score").alias("one")).join(bias, F.lit(True))
+    own = f.filter("not ones").select("term", "node", "score")
+    return grid.join(own, ["term", "node"], "left").select("term", "node", (F.col("bias") * F.col("one") + F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 def regularised_laplacian(edges: DataFrame, labels: DataFrame, **more) -> DataFrame:

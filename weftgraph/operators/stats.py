@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from weftgraph.functions.lineage import materialize
 from pyspark.sql.types import DoubleType
 
 from weftgraph.functions.order import Ordered
@@ -215,25 +217,54 @@ def inversions(y: np.ndarray) -> int:
     return total
 
 
-def kendall_tau(ranks: DataFrame, keys: list[str]) -> DataFrame:
+#: Ranges that a ranking is cut into by either value, and rows of a ranking that stays whole.
+RANGES, WHOLE = 128, 20_000
+
+
+def kendall_tau(ranks: DataFrame, keys: list[str], ranges: int = RANGES, whole: int = WHOLE) -> DataFrame:
     """(keys, tau) of two rankings (x, y) of nodes: concordant less discordant pairs, over all. A pair tied in either counts as
-    neither. One task reads a key's ranking, and sorts it."""
+    neither; a single row has no tau.
+
+    Discordant pairs are counted in ranges of x, in ranges of y, and by the counts of both. A pair in one range of x is seen
+    there; of pairs in two ranges of x, one in one range of y is seen there, and the others follow from how many rows each pair
+    of ranges has. Ranges lie between the quantiles of a ranking, and a quantile's own value is a range by itself, in which no
+    pair is discordant: no task reads more than a share of a ranking, however many ties it has."""
+    rows = ranks.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    ends = lambda name: F.when(F.col("n") > whole, F.array_distinct(f"{name}s")).otherwise(F.array().cast("array<double>")).alias(f"{name}s")
+    own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("x", shares, 10 * ranges).alias("xs"), F.percentile_approx("y", shares, 10 * ranges).alias("ys"))
+    own = materialize(own.select(*keys, "n", ends("x"), ends("y")), "quantiles")
+    place = lambda name: (2 * F.size(F.filter(f"{name}s", lambda e: e < F.col(name))) + F.array_contains(f"{name}s", F.col(name)).cast("int")).alias(f"{name}_range")
+    placed = materialize(rows.join(own, keys).select(*keys, "x", "y", place("x"), place("y")), "placed")
+    kinds = ", ".join(f"{k} {ranks.schema[k].dataType.simpleString()}" for k in keys)
 
-    def tied(*columns: np.ndarray) -> int:
-        n = np.unique(np.stack(columns), axis=1, return_counts=True)[1].astype(object)
-        return (n * (n - 1) // 2).sum()
+    def counted(first: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            y = pdf.y.to_numpy()[np.lexsort((pdf.y.to_numpy(), pdf[first].to_numpy()))]
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "pairs": [inversions(y)]})
 
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
-        n = len(x)
-        pairs = n * (n - 1) // 2
-        # By x, and among equal x by y, what stands in order of y is not discordant.
-        both = pairs - tied(x) - tied(y) + tied(x, y) - 2 * inversions(y[np.lexsort((y, x))]) if n > 1 else 0
-        value = both / pairs if n > 1 else np.nan
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "tau": [value]})
+        return run
 
-    kinds = ", ".join(f"{k} {ranks.schema[k].dataType.simpleString()}" for k in keys)
-    return ranks.groupBy(*keys).applyInPandas(tau, f"{kinds}, tau double")
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((pdf.x_range.max() + 1, pdf.y_range.max() + 2), np.int64)
+        counts[pdf.x_range, pdf.y_range] = pdf.n
+        later = counts[::-1].cumsum(0)[::-1] - counts  # of higher ranges of x
+        lower = later.cumsum(1) - later  # and lower ranges of y
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "pairs": [int((counts * lower).sum())]})
+
+    schema = f"{kinds}, pairs bigint"
+    found = placed.filter("x_range % 2 = 0").groupBy(*keys, "x_range").applyInPandas(counted("x"), schema)
+    found = found.unionByName(placed.filter("y_range % 2 = 0").groupBy(*keys, "y_range").applyInPandas(counted("x_range"), schema))
+    found = found.unionByName(placed.groupBy(*keys, "x_range", "y_range").agg(F.count("*").alias("n")).groupBy(*keys).applyInPandas(across, schema))
+
+    def tied(*columns: str) -> DataFrame:
+        return placed.groupBy(*keys, *columns).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
+
+    parts = found.withColumn("by", -2 * F.col("pairs"))
+    for table, sign in ((tied("x"), -1), (tied("y"), -1), (tied("x", "y"), 1)):
+        parts = parts.unionByName(table.withColumn("by", sign * F.col("pairs")))
+    whole_ = own.select(*keys, F.expr("n * (n - 1) div 2").alias("all"))
+    return whole_.join(parts.groupBy(*keys).agg(F.sum("by").alias("by")), keys).select(*keys, F.try_divide(F.col("all") + F.col("by"), F.col("all")).alias("tau"))
 
 
 def histogram(values: DataFrame, value: str, bins: int) -> DataFrame:
@@ -245,6 +276,28 @@ def histogram(values: DataFrame, value: str, bins: int) -> DataFrame:
     return rows.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), (F.count("*") / F.first("total") / F.first(width)).alias("density"))
 
 
+def density(values: DataFrame, value: str, points: int = 64, width: float | None = None) -> DataFrame:
+    """(point, at, density): a Gaussian kernel density at equal steps from the least to the greatest value.
+
+    Values are binned linearly first: each gives its weight to the two points beside it, by its distance. The points' weights,
+    of which there are as many as points, are then convolved with the kernel. width: the kernel's deviation, by default the
+    values' times n^(-1/5)."""
+    rows = values.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.coalesce(F.stddev("v"), F.lit(0.0)).alias("sd"))
+    spread = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)) if width is None else F.lit(float(width))
+    ends = F.broadcast(ends.filter("hi > lo").select("lo", "n", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"), spread.alias("h")))
+    at = (F.col("v") - F.col("lo")) / F.col("step")
+    below = F.least(F.floor(at), F.lit(points - 2)).cast("int")
+    placed = rows.crossJoin(ends).select(F.explode(F.array(F.struct(below.alias("bin"), (1 - (at - below)).alias("w")), F.struct((below + 1).alias("bin"), (at - below).alias("w")))).alias("b"))
+    weights = placed.groupBy("b.bin").agg(F.sum("b.w").alias("w"))
+    grid = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("point")).crossJoin(ends)
+    far = (F.col("point") - F.col("bin")) * F.col("step") / F.col("h")
+    kernel = F.exp(-far * far / 2) / (F.sqrt(2 * F.pi()) * F.col("h") * F.col("n"))
+    # points x points numbers, whatever the number of values.
+    summed = grid.join(F.broadcast(weights), F.lit(True)).groupBy("point").agg(F.first(F.col("lo") + F.col("point") * F.col("step")).alias("at"), F.sum(F.col("w") * kernel).alias("density"))
+    return summed.select("point", "at", "density")
+
+
 def pair_values(values: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, source, node, value) for all ordered pairs of a set's nodes that have a value (source, node, value)."""
     one, two = sets.select("rep", F.col("node").alias("source")).distinct(), sets.select("rep", "node").distinct()

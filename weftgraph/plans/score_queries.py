@@ -167,6 +167,24 @@ cum AS (SELECT *, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER o AS tp, sum(C
 curve AS (SELECT *, tp / (tp + fp) AS prec, tp / n_pos AS rec FROM cum WHERE n_pos > 0 AND n_neg > 0),
 {_MEASURES_SQL.format(key="term")}, CAST(max(n_pos) AS BIGINT) AS n_pos FROM curve c JOIN area USING (term) GROUP BY 1"""
 
+
+
+def _feistel_sql(k: int) -> str:
+    """One round of the permutation that negatives are drawn by."""
+    mixed = lambda half: f"CAST(concat('0x', substr(md5(concat({half}, '|', term, '|1|{k}')), 1, 8)) AS BIGINT)"
+    moved = f"a, (b + {mixed('a')}) % c AS b" if k % 2 else f"(a + {mixed('b')}) % r AS a, b"
+    return f"h{k + 1} AS (SELECT term, k, n, r, c, turn, {moved} FROM h{k})"
+
+
+def _directed(t: Tables):
+    """The trade network with weights that differ by direction."""
+    return _trade(t).withColumn("weight", F.col("weight") * (F.expr("cast(substring(dst, 2) as int) % 3") + 1))
+
+
+_DIRECTED_SQL = _fixed_point_sql(0.8, 160, "true").replace("tedges AS (", "tedges0 AS (", 1).replace(
+    ", tlab AS (", ", tedges AS (SELECT src, dst, weight * (CAST(substr(dst, 2) AS INT) % 3 + 1) AS weight FROM tedges0), tlab AS (", 1
+)
+
 QUERIES = [
     Query(
         "x1_local",
@@ -201,6 +219,8 @@ QUERIES = [
         lambda t: _six(X.solve(_trade(t), _nation_labels(t), 0.8, "bicgstab", 1e-12), "score"),
         f"{_fixed_point_sql(0.8, 160, 'true')} SELECT term, node, round(score, 6) AS score FROM st WHERE k = 160 AND score > 0",
     ),
+    Query("x3_directed", lambda t: _six(X.solve(_directed(t), _nation_labels(t), 0.8, "bicgstab", 1e-12), "score"), f"{_DIRECTED_SQL} SELECT term, node, round(score, 6) AS score FROM st WHERE k = 160 AND score > 0"),
+    Query("x3_symmetric", lambda t: _six(X.solve(_trade(t), _nation_labels(t), 0.8, "cg", 1e-12), "score"), f"{_fixed_point_sql(0.8, 160, 'true')} SELECT term, node, round(score, 6) AS score FROM st WHERE k = 160 AND score > 0"),
     Query(
         "x4_bounds",
         lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.8)[0], "score"),
@@ -233,10 +253,14 @@ QUERIES = [
     ),
     Query(
         "e1_sample_negatives",
-        lambda t: E.sample_negatives(t.labels().filter("label > 0 and term in ('PROMO', 'SMALL')"), t.labels(), 0.5),
-        f"""WITH {LABELS_SQL}, pos AS (SELECT term, node FROM terms WHERE label > 0 AND term IN ('PROMO', 'SMALL')), k AS (SELECT term, floor(0.5 * count(*)) AS k FROM pos GROUP BY 1)
-        SELECT term, node FROM (SELECT k.term, u.node, k, row_number() OVER (PARTITION BY k.term ORDER BY md5(concat(u.node, '|', k.term, '|1')), u.node) AS n
-        FROM (SELECT DISTINCT node FROM terms) u CROSS JOIN k WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.term = k.term AND pos.node = u.node)) WHERE n <= k""",
+        lambda t: E.sample_negatives(t.labels().filter("label > 0"), t.labels(), 0.5),
+        f"""WITH {LABELS_SQL}, pos AS (SELECT term, node FROM terms WHERE label > 0), u AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS place FROM (SELECT DISTINCT node FROM terms)),
+        m AS (SELECT n, r, CAST(ceil(n / r) AS BIGINT) AS c FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS r FROM (SELECT count(*) AS n FROM u))),
+        k AS (SELECT term, CAST(floor(0.5 * count(*)) AS BIGINT) AS k, count(*) AS p FROM pos GROUP BY 1),
+        h0 AS (SELECT term, k, n, r, c, turn, turn // c AS a, turn % c AS b FROM (SELECT *, unnest(range(0, least(r * c, k + p + r * c - n))) AS turn FROM k, m)),
+        {", ".join(_feistel_sql(k) for k in range(E.FEISTEL))},
+        d AS (SELECT h.term, k, turn, u.node FROM h{E.FEISTEL} h JOIN u ON u.place = a * c + b WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.term = h.term AND pos.node = u.node))
+        SELECT term, node FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY turn) AS i FROM d) WHERE i <= k""",
     ),
     Query("e2_curve", lambda t: _six(_points(t), "prec", "rec", "fpr").select("alg", "node", "idx", "prec", "rec", "fpr"), f"WITH {_CURVE_SQL} SELECT alg, node, idx, round(prec, 6) AS prec, round(rec, 6) AS rec, round(fpr, 6) AS fpr FROM curve"),
     Query(
@@ -390,6 +414,15 @@ QUERIES = [
     Query("x5_bound_taus", lambda t: _six(X.bounds(_trade(t), _nation_labels(t).filter("term = 'R1'"), 0.5, compare=True)[1], "tau").select("term", "round", "tau")),
     Query("x5_kendall_tau", lambda t: _six(S.kendall_tau(T.top_k(t.scores().filter("alg = 'price'"), ["alg"], -1).join(t.part.select(F.concat(F.lit("P"), "p_partkey").alias("node"), "p_partkey"), "node").select("alg", F.col("rank").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y")), ["alg"]), "tau"), """WITH r AS (SELECT p_partkey AS y, row_number() OVER (ORDER BY p_retailprice DESC, concat('P', p_partkey)) AS x FROM part WHERE p_retailprice <> 0)
         SELECT 'price' AS alg, round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / ((SELECT count(*) FROM r) * ((SELECT count(*) FROM r) - 1)), 6) AS tau FROM r a, r b"""),
+    Query(
+        "t16_density",
+        lambda t: _six(S.density(t.orders.withColumn("o_totalprice", F.col("o_totalprice") / 1e5), "o_totalprice", 40), "at", "density"),
+        """WITH v AS (SELECT o_totalprice / 1e5 AS v FROM orders), e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 39 AS step, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v),
+        b AS (SELECT (v - lo) / step AS p, least(floor((v - lo) / step), 38) AS k FROM v, e),
+        w AS (SELECT bin, sum(w) AS w FROM (SELECT k AS bin, 1 - (p - k) AS w FROM b UNION ALL SELECT k + 1, p - k FROM b) GROUP BY 1)
+        SELECT CAST(g AS INT) AS point, round(max(lo + g * step), 6) AS at, round(sum(w * exp(-pow((g - bin) * step / h, 2) / 2) / (sqrt(2 * pi()) * h * n)), 6) AS density
+        FROM (SELECT unnest(range(0, 40)) AS g), w, e GROUP BY 1""",
+    ),
     Query(
         "t16_histogram",
         lambda t: _six(S.histogram(t.orders, "o_totalprice", 20), "density"),
