@@ -15,6 +15,7 @@ from weftgraph.plans.query import Query
 from weftgraph.plans.table_queries import _RANKS_SQL, _WIDE_SQL, _wide
 from weftgraph.sources import readers as R
 from weftgraph.sources.tables import EDGES_SQL, SCORES_SQL, Tables
+from weftgraph.streaming.edges import keep_edges
 
 
 def _path(t: Tables, name: str) -> str:
@@ -55,8 +56,39 @@ def _channel_file(t: Tables):
 
 
 def _groups(t: Tables):
-    names = [(k, x) for k, x in enumerate(R.channels("core,textmining,nontransferred"))]
-    return t.spark.createDataFrame(names, "place long, channel string")
+    """Edges of each channel that three groups of a written file's channels resolve to."""
+    held = {"experiments": "A", "database": "N", "textmining": "R"}
+    columns = [F.col(held[c]) if c in held else F.lit(0.0) for c in R.CHANNELS]
+    path = _lines(t, "groups", _wide(t), "src", "dst", *columns, "combined")
+    found = R.read_channels(t.spark, path, "core,textmining,nontransferred", 0)[0].groupBy("channel").agg(F.count("*").alias("n"))
+    names = t.spark.createDataFrame([(k, x) for k, x in enumerate(R.channels("core,textmining,nontransferred"))], "place long, channel string")
+    return names.join(found, "channel", "left").na.fill(0, ["n"]).select("place", "channel", "n")
+
+
+def _resumed(t: Tables):
+    """Sums of a ranking for each run: half of the runs are written, one is cut off, and a second start does the rest."""
+    path, wanted = _path(t, "runs"), ["price", "size", "third"]
+
+    def run(name: str) -> DataFrame:
+        return t.scores().filter(F.col("alg") == name).groupBy("alg").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+    R.write_run(run("price"), path, "price")
+    R.write_run(run("size"), path, "size")
+    R.write_run(run("size").withColumn("n", F.lit(-1).cast("long")), path, "third")  # as if cut off: what it left doesn't count
+    mark = t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=third/_SUCCESS")
+    mark.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(mark, False)
+    for name in R.open_runs(t.spark, path, wanted):
+        R.write_run(run(name), path, name)
+    R.write_run(run("price"), path, "price")  # tried again, it counts once
+    return R.read_runs(t.spark, path).select("run", "alg", "n", "total")
+
+
+def _streamed(t: Tables):
+    """The network that a stream of events leaves, started twice on one checkpoint."""
+    path, checkpoint = _path(t, "stream"), _path(t, "stream-checkpoint")
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parque[t]")  # a pattern, as the table may be one file
+    keep_edges(events, path, checkpoint)
+    return keep_edges(events, path, checkpoint)
 
 
 def _split(t: Tables):
@@ -162,9 +194,12 @@ QUERIES = [
     Query(
         "s4_channel_groups",
         _groups,
-        """SELECT CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS place, unnest(c) AS channel
-        FROM (SELECT ['neighborhood', 'fusion', 'cooccurence', 'coexpression', 'experiments', 'database', 'textmining', 'homology'] AS c)""",
+        f"""WITH {_WIDE_SQL}, n AS (SELECT channel, count(*) AS n FROM (SELECT unnest(['experiments', 'database', 'textmining']) AS channel, unnest([A, N, R]) AS weight FROM wide) WHERE weight > 0 GROUP BY 1)
+        SELECT CAST(place AS BIGINT) AS place, g.channel, coalesce(n, 0) AS n FROM (SELECT generate_subscripts(c, 1) - 1 AS place, unnest(c) AS channel
+        FROM (SELECT ['neighborhood', 'fusion', 'cooccurence', 'coexpression', 'experiments', 'database', 'textmining', 'homology'] AS c)) g LEFT JOIN n ON n.channel = g.channel""",
     ),
+    Query("e16_resumed_runs", _resumed, f"WITH {SCORES_SQL} SELECT alg AS run, alg, count(*) AS n, round(sum(score), 4) AS total FROM scores GROUP BY alg"),
+    Query("stream_kept_edges", _streamed, "SELECT concat('U', user_id) AS src, event_type AS dst, CAST(count(*) AS DOUBLE) AS weight FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2"),
     Query("s5_split_by_mapping", _split, _SPLIT_SQL),
     Query("s7_label_file", _label_table, "SELECT CAST(doc_id AS VARCHAR) AS node, 'quality' AS term, quality AS label FROM labels WHERE quality <> 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'toxic', toxic FROM labels WHERE toxic <> 0"),
     Query("s8_label_list_file", _label_list, "SELECT p_type AS term, concat('P', p_partkey) AS node, CASE WHEN p_size <= 25 THEN 1 ELSE -1 END AS label FROM part WHERE p_size <= 25 OR p_size > 40"),

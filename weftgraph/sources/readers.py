@@ -216,6 +216,37 @@ def append_results(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path that were written to their end, whatever the store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    found = [x.getPath() for x in store.listStatus(at) if x.isDirectory()]
+    return sorted(x.getName() for x in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def write_run(rows: DataFrame, path: str, run: str) -> None:
+    """The results of one run; written again, they replace themselves. A run counts once its folder has its marker."""
+    if not run or not all(c.isalnum() or c in "-_." for c in run):
+        raise ValueError(f"no name of a run: {run!r}")
+    rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/run={run}")
+
+
+def open_runs(spark: SparkSession, path: str, wanted: list[str]) -> list[str]:
+    """The wanted runs that have no results, or were cut off while these were written."""
+    done = {name.removeprefix("run=") for name in committed(spark, path)}
+    return [x for x in dict.fromkeys(wanted) if x not in done]
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Results of all whole runs, with the column `run`; those of runs that were cut off don't count."""
+    names = committed(spark, path)
+    if not names:
+        raise ValueError(f"no whole run in {path}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for name in names]).withColumn("run", F.col("run").cast("string"))
+
+
 def read_results(spark: SparkSession, path: str, **wanted) -> DataFrame:
     """Results of all runs, or of those whose partition columns have the values asked for; repeated rows count once."""
     rows = spark.read.parquet(path)
