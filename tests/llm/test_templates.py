@@ -1,5 +1,6 @@
 """Wrapper induction: alignment against brute force, templates of hosts with several layouts, and what is left out by them."""
 
+import json
 import random
 from itertools import combinations
 
@@ -111,10 +112,70 @@ def test_names_are_not_needed(spark):
 def test_layouts_merge_alike_in_any_order_of_rows(spark):
     rng = random.Random(8)
     rows = [(f"http://a.example.com/{k}", (_plain if k % 3 else _classed)(rng, k)[0]) for k in range(30)]
+    rows.append(("http://b.example.com/", _plain(rng, 0)[0]))  # a small host, which has its domain's template
     one, two = (sorted(map(tuple, html_extract.induce_templates(spark.createDataFrame(x, "url string, html string").repartition(n)).collect())) for x, n in ((rows, 1), (rows[::-1], 7)))
     assert one == two and len(one) == 2
 
 
+def _article(rng, shared, k):
+    text = [_sentence(rng, 40), shared, _sentence(rng, 40)]
+    page = f"<html><body><ul><li><a href=/>Home</a><li><a href=/a>About</a><li><a href=/b>Contact</a></ul><article><h1>Dish {k}</h1><p>{'</p><p>'.join(text)}</p></article><div>All rights reserved</div></body></html>"
+    return page, "\n".join([f"Dish {k}", *text])
+
+
+def test_shared_paragraphs_are_text(spark):
+    """A paragraph that articles share stays, on one host, on hosts of one registry, and on many pages of a host with others."""
+    rng, shared, rows, want = random.Random(2), "Whisk the eggs with the sugar until they are pale and thick.", [], {}
+    hosts = ["www.cook.com"] * 3 + ["h3.co.uk", "h4.co.uk", "h5.co.uk"] + ["big.cook.test"] * 30
+    for k, host in enumerate(hosts):
+        html, want[f"http://{host}/{k}"] = _article(rng, shared, k)
+        rows.append((f"http://{host}/{k}", html))
+    for k in range(10):
+        html, want[f"http://big.cook.test/o{k}"] = _article(rng, _sentence(rng, 12), k)
+        rows.append((f"http://big.cook.test/o{k}", html))
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.url: r.text for r in html_extract.extract_pages(pages).collect()} == want
+
+
+def test_domains_of_hosts(spark):
+    hosts = {"a.b.example.com": "example.com", "h3.co.uk": "h3.co.uk", "x.h3.co.uk": "h3.co.uk", "me.github.io": "me.github.io", "example.de": "example.de", "10.0.0.1": "10.0.0.1", "co.example.org": "example.org", "localhost": "localhost"}
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", html_extract.site_of_domain(F.col("host")).alias("site")).collect()
+    assert {r.host: r.site for r in got} == {h: f"*.{d}" for h, d in hosts.items()}
+
+
+def test_layouts_merged_in_parts(spark):
+    """Any number of parts gives the sums of one; pages and characters are not lost or counted twice."""
+    rng = random.Random(5)
+    rows = [(f"http://a.example.com/{k}", (_plain if k % 3 else _classed)(rng, k)[0]) for k in range(40)]
+    rows += [(f"http://a.example.com/x{k}", f"<body><div class=k{k}><h1>{_sentence(rng)}</h1><p>{_sentence(rng)}</p></div></body>") for k in range(20)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+
+    def sums(merged):
+        (row,) = html_extract.induce_templates(pages, merged=merged).collect()
+        made, total, stack = json.loads(row.template), [0, 0, 0], []
+        stack.append(json.loads(made["tree"]))
+        while stack:
+            _, n, *held, kids = stack.pop()
+            total = [a + b for a, b in zip(total, held, strict=True)]
+            stack += kids
+        return row.pages, total, made["constant"], made["fixed"], made.get("recycled")
+
+    assert sums(1000) == sums(7) == sums(1) and sums(1000)[0] == 60
+
+
+def test_large_hosts_have_seats(spark, monkeypatch):
+    """A host whose pages are read at many seats has its template at each, null and repeated keys included."""
+    rng = random.Random(6)
+    made = [_plain(rng, k) for k in range(30)]
+    rows = [(k if k % 4 else None, f"http://large.example.com/{k}", made[k][0]) for k in range(30)] + [(7, None, made[0][0]), (7, "http://alone.test/", "<p>One"), (7, "http://large.example.com/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("template", F.lit("other")).withColumn("host", F.lit(1))
+    whole = sorted(map(str, html_extract.extract_pages(pages).collect()))
+    monkeypatch.setattr(html_extract, "SEAT_PAGES", 3)
+    assert sorted(map(str, html_extract.extract_pages(pages).collect())) == whole and len(whole) == 33
+    texts = {r.url: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert all(texts[f"http://large.example.com/{k}"] == made[k][1] for k in range(30)) and texts["http://alone.test/"] == "One" and texts["http://large.example.com/x"] == ""
+
+
 def test_wide_and_deep_pages_are_read_whole():
     text = [f"w{k} and more" for k in range(3000)]
     wide = "<body>" + "".join(f'<div class="c{"x" * (k % 9)}{chr(97 + k % 26)}"><p>{t}</div>' for k, t in enumerate(text))

@@ -4,11 +4,13 @@ Induction reads every page of a host, whole. A page's block elements make a tree
 name that hold no blocks, and named boxes of one structure) count as one repeated node. Pages with equal trees share a
 layout; statistics of a layout's nodes are sums over its pages. The layouts of a host, the most frequent first, are aligned
 by simple tree matching and merged into one template tree: nodes that match add up, others are inserted. So a template has
-for each node on how many pages it stands, its characters and how many of them are links. Texts that stand at one path on
-nearly all pages that have the path are the host's constant texts; paths whose texts come from a small pool are recycled.
+for each node on how many pages it stands, its characters and how many of them are links. A slot (the blocks at one path) is
+constant if nearly all its texts are the same on nearly all pages that have it, and varying otherwise. Texts of constant slots
+are template, from five pages on. A text in a varying slot is content, also if pages share it, unless it stands on twenty
+pages and on nearly all of the site's. Paths whose texts come from a small pool are recycled.
 
-A page is read with its host's template (or, if its host has few pages, with that of its domain): its tree is aligned
-with the template by the same matching. Constant texts are template. From the root, the reading follows the nodes that
+A page is read with its host's template (or, if its host has fewer than three distinct pages, with that of its domain): its
+tree is aligned with the template by the same matching. From the root, the reading follows the nodes that
 hold the varying, unlinked text, by what the template expects of them and not by this page alone; what stands beside them
 (menus, adverts, footers) is left out. Inside, lists of links that stand on most pages and boxes of recycled text go.
 Names of elements and classes decide only what such evidence can't: boxes named as comments, notices or adverts go, unless
@@ -38,9 +40,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm._common import materialize, slices
 from weftgraph.llm.url_filter import host_of
 
-#: Distinct pages that a host's template needs, and that a constant text stands on.
-LEAST_PAGES = 3
-#: Percent of the pages with a path that have a constant text there.
+#: Distinct pages that a host's template needs, and that a constant text stands on; to be left out inside of a text it stands
+#: on more: in a slot of its own, and in a slot of texts that vary.
+LEAST_PAGES, SLOT_PAGES, VARYING_PAGES = 3, 5, 20
+#: Percent of the pages with a path that have a constant text there, and of a constant slot's texts that are constant.
 CONSTANT = 90
 #: Texts at a path that are recycled: so many at least, and at most this percent of them distinct.
 POOL_TEXTS, POOL_PERCENT = 30, 20
@@ -52,8 +55,13 @@ LINKED, STANDING = 70, 80
 NAMED = 90
 #: Deeper boxes count to the one at this depth; a wider row of boxes is grouped by name before it is aligned.
 DEPTH, WIDTH = 60, 100
-#: Templates are broadcast up to this size and joined by a shuffle beyond.
-BROADCAST_BYTES = 32 << 20
+#: Layouts of a site that one task merges; their templates are merged then.
+MERGED = 1000
+#: A host with more pages than this, and than one in 10,000 of all, is read at several seats.
+SEAT_PAGES, LARGE_HOSTS = 200, 10_000
+#: Labels below a country's that registries share out, and names below which everybody may have a host.
+REGISTRY_LABELS = "ac co com edu go gob gouv gov ne net nom or org sch".split()
+SHARED_NAMES = "appspot.com blogspot.com github.io gitlab.io herokuapp.com livejournal.com netlify.app tumblr.com weebly.com wordpress.com".split()
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -394,6 +402,16 @@ def _shape(structure: str) -> Shape:
     return Shape(json.loads(structure), iter(range(1 << 62)))
 
 
+def layout_part(structure: str, pages: int, sums: list[tuple[int, int, int]]) -> Part:
+    """A layout of so many pages as a template; sums are the characters, link characters and blocks of its nodes in page order."""
+    places = iter(sums)
+
+    def made(x: list) -> Part:
+        return Part(x[0], pages, *next(places), [made(k) for k in x[1]])
+
+    return made(json.loads(structure))
+
+
 def match_trees(a, b) -> tuple[int, list]:
     """Simple tree matching of two trees whose nodes have `label` and `kids`: the size of the largest top-down, order-keeping
     alignment of nodes of equal names, and its pairs."""
@@ -452,27 +470,24 @@ class Template:
                     part.fixed = min(1.0, chars / total) if total else 0.0
         return Template(root, set(made.get("constant") or []), set(made.get("recycled") or []))
 
-    def merge(self, structure: str, pages: int, sums: list[tuple[int, int, int]]) -> None:
-        """Align a layout with the template and add its sums (characters, link characters, blocks by node)."""
-        shape = _shape(structure)
+    def merge(self, other: Part) -> None:
+        """Align another template's tree, or a layout's, with this one: nodes that match add up, others are inserted."""
         if self.root is None:
-            self.root = Part(shape.label)
-        pairs = {b.place: a for a, b in match_trees(self.root, shape)[1]}
-        stack = [shape]
+            self.root = Part(other.label)
+        pairs = {id(b): a for a, b in match_trees(self.root, other)[1]}
+        stack = [other]
         while stack:
             b = stack.pop()
-            a = pairs[b.place]
-            chars, linked, n = sums[b.place]
-            a.pages, a.chars, a.linked, a.n = a.pages + pages, a.chars + chars, a.linked + linked, a.n + n
+            a = pairs[id(b)]
+            a.pages, a.chars, a.linked, a.n = a.pages + b.pages, a.chars + b.chars, a.linked + b.linked, a.n + b.n
             at = 0
             for kid in b.kids:
-                if (mine := pairs.get(kid.place)) is None:
-                    pairs[kid.place] = mine = Part(kid.label)
-                    a.kids.insert(at, mine)
+                if (mine := pairs.get(id(kid))) is None:
+                    a.kids.insert(at, kid)
                     at += 1
                 else:
                     at = next(i for i, k in enumerate(a.kids) if k is mine) + 1
-                stack.append(kid)
+                    stack.append(kid)
         self.pages = self.root.pages
 
     def aligned(self, page: Page) -> dict[int, Part]:
@@ -622,79 +637,120 @@ def page_features(pages: DataFrame) -> DataFrame:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, pages, tree) from rows of layouts (site, pages, tree, sums) in order of site; a worker holds one template."""
-    site, template = None, None
+    """(site, seat, pages, tree) from rows in order of site and seat: layouts (site, seat, pages, tree, sums), or templates, without
+    sums. A worker holds one template."""
+    of, template = None, None
 
     def done() -> pa.RecordBatch:
         tree = json.dumps(template.root.packed(), separators=(",", ":"))
-        return pa.RecordBatch.from_arrays([pa.array([site]), pa.array([template.pages], pa.int64()), pa.array([tree])], names=["site", "pages", "tree"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([of[0]]), pa.array([of[1]], pa.int32()), pa.array([template.pages], pa.int64()), pa.array([tree])], names=["site", "seat", "pages", "tree"]
+        )
 
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[0] != site:
+        for site, seat, pages, tree, sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (site, seat) != of:
                 if template is not None:
                     yield done()
-                site, template = row[0], Template()
-            template.merge(row[2], row[1], [(s["chars"], s["linked"], s["n"]) for s in row[3]])
+                of, template = (site, seat), Template()
+            template.merge(Part.unpacked(json.loads(tree)) if sums is None else layout_part(tree, pages, [(s["chars"], s["linked"], s["n"]) for s in sums]))
     if template is not None:
         yield done()
 
 
 def site_of_domain(host):
-    """The name under which the hosts of a domain, its last two labels, have a template together."""
-    return F.concat(F.lit("*."), F.substring_index(host, ".", -2))
+    """The name under which the small hosts of a domain have a template together: the host's last two labels, or three below
+    names that registries or hosting services share out. An address of numbers is its own domain."""
+    registry = rf"(^|\.)({'|'.join(REGISTRY_LABELS)})\.[a-z][a-z]$"
+    shared = rf"(^|\.)({'|'.join(x.replace('.', '[.]') for x in SHARED_NAMES)})$"
+    name = F.when(host.rlike(r"^[0-9.:\[\]]+$"), host).when(host.rlike(registry) | host.rlike(shared), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.concat(F.lit("*."), name)
+
 
+def induce_templates(pages: DataFrame, url: str = "url", html: str = "html", merged: int = MERGED) -> DataFrame:
+    """(site, pages, template) for every host of LEAST_PAGES distinct pages, and every domain that has smaller hosts, as JSON.
 
-def induce_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(site, pages, template) for every host and domain of pages, as JSON."""
+    A site of over `merged` layouts is merged in parts of about so many, and the parts' templates then.
+    """
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).filter("host <> '' and html <> ''")
     distinct = page_features(rows).groupBy("host", "ident").agg(F.min(F.struct("sig", "tree", "sums", "texts")).alias("m"))
     distinct = materialize(distinct.select("host", "m.*"), "page-features")
-    of_site = distinct.withColumn("site", F.explode(F.array("host", site_of_domain(F.col("host")))))
+    hosts = distinct.groupBy("host").agg((F.count("*") >= LEAST_PAGES).alias("own")).withColumn("domain", site_of_domain(F.col("host")))
+    small = hosts.filter(~F.col("own")).select("domain").distinct().withColumn("needed", F.lit(True))
+    sites = F.array_compact(F.array(F.when(F.col("own"), F.col("host")), F.when(F.col("needed"), F.col("domain"))))
+    sites = hosts.join(small, "domain", "left").select("host", F.explode(sites).alias("site"))
+    of_site = distinct.join(sites, "host")
 
     nodes = of_site.select("site", "sig", "tree", F.explode("sums").alias("s")).select("site", "sig", F.when(F.col("s.k") == 0, F.col("tree")).alias("tree"), "s.*")
     nodes = nodes.groupBy("site", "sig", "k").agg(F.count("*").alias("pages"), F.max("tree").alias("tree"), *[F.sum(c).alias(c) for c in ("chars", "linked", "n")])
     layouts = nodes.groupBy("site", "sig").agg(F.max("pages").alias("pages"), F.max("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("k", "chars", "linked", "n"))).alias("sums"))
-    layouts = layouts.repartition("site").sortWithinPartitions("site", F.desc("pages"), "sig").select("site", "pages", "tree", "sums")
-    trees = layouts.mapInArrow(_merged, "site string, pages bigint, tree string")
+    layouts = materialize(layouts, "layouts")
+    parts = layouts.groupBy("site").agg(F.ceil(F.count("*") / merged).alias("parts"), F.sum("pages").alias("all_pages"))
+    layouts = layouts.join(parts, "site").withColumn("seat", F.pmod("sig", "parts").cast("int"))
+    layouts = layouts.repartition("site", "seat").sortWithinPartitions("site", "seat", F.desc("pages"), "sig").select("site", "seat", "pages", "tree", "sums")
+    trees = layouts.mapInArrow(_merged, "site string, seat int, pages bigint, tree string")
+    trees = trees.repartition("site").sortWithinPartitions("site", F.desc("pages"), "seat").select("site", F.lit(0).alias("seat"), "pages", "tree", F.lit(None).cast("array<int>").alias("sums"))
+    trees = trees.mapInArrow(_merged, "site string, seat int, pages bigint, tree string").select("site", "pages", "tree")
 
     texts = of_site.select("site", F.explode("texts").alias("t")).select("site", "t.*").groupBy("site", "path", "h").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
     paths = of_site.select("site", F.explode(F.array_distinct(F.transform("texts", lambda t: t["path"]))).alias("path")).groupBy("site", "path").agg(F.count("*").alias("pages"))
-    constant = texts.filter(F.col("n") >= LEAST_PAGES).join(paths, ["site", "path"]).filter(100 * F.col("n") >= CONSTANT * F.col("pages"))
+    pool = texts.groupBy("site", "path").agg(F.count("*").alias("d"), F.sum("n").alias("n"))
+    # Texts on nearly all pages of their path, of which a path has few: over CONSTANT percent of its pages each.
+    often = texts.filter(F.col("n") >= LEAST_PAGES).join(paths, ["site", "path"]).filter(100 * F.col("n") >= CONSTANT * F.col("pages"))
+    slots = often.groupBy("site", "path").agg(F.sum("n").alias("fixed_n"), F.collect_list(F.struct("h", F.col("n").alias("on"), "chars")).alias("texts"))
+    slots = slots.join(pool, ["site", "path"]).join(parts, "site").withColumn("own", 100 * F.col("fixed_n") >= CONSTANT * F.col("n"))
+    constant = slots.select("site", "path", "own", "all_pages", F.explode("texts").alias("t")).select("site", "path", "own", "all_pages", "t.*")
+    everywhere = (F.col("on") >= VARYING_PAGES) & (100 * F.col("on") >= CONSTANT * F.col("all_pages"))
+    constant = constant.filter(F.col("own") | everywhere)
     constant = constant.groupBy("site").agg(
-        F.sort_array(F.collect_list("h")).alias("constant"),
-        F.sort_array(F.collect_list(F.struct("path", (F.col("n") * F.col("chars")).alias("chars")))).alias("fixed"),
+        F.sort_array(F.collect_list(F.when(F.col("on") >= SLOT_PAGES, F.col("h")))).alias("constant"),
+        F.sort_array(F.collect_list(F.struct("path", (F.col("on") * F.col("chars")).alias("chars")))).alias("fixed"),
     )
-    pool = texts.groupBy("site", "path").agg(F.count("*").alias("d"), F.sum("n").alias("n")).filter((F.col("n") >= POOL_TEXTS) & (100 * F.col("d") <= POOL_PERCENT * F.col("n")))
+    pool = pool.filter((F.col("n") >= POOL_TEXTS) & (100 * F.col("d") <= POOL_PERCENT * F.col("n")))
     pool = pool.groupBy("site").agg(F.sort_array(F.collect_list("path")).alias("recycled"))
     whole = trees.join(constant, "site", "left").join(pool, "site", "left")
     return whole.select("site", "pages", F.to_json(F.struct("tree", "constant", "fixed", "recycled")).alias("template"))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: key, url, text, n_chars."""
-    made = materialize(induce_templates(pages, url, html), "templates").filter(F.col("pages") >= LEAST_PAGES)
-    size = made.agg(F.sum(F.length("template") + F.length("site"))).first()[0] or 0
-    small = (lambda t: F.broadcast(t)) if 4 * size <= BROADCAST_BYTES else (lambda t: t)
-    rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
-    hosts = small(made.select(F.col("site").alias("host"), F.lit(True).alias("own")))
-    rows = rows.join(hosts, "host", "left").withColumn("site", F.when(F.col("own"), F.col("host")).otherwise(site_of_domain(F.col("host"))))
-    rows = rows.join(small(made.select("site", "template")), "site", "left").select("key", "url", "html", "template")
-    kind = pages.schema[key].dataType.simpleString()
+    """One row per page: key, url, text, n_chars.
+
+    Pages are sorted by host, each host's template before its pages, so that a template is sent once for a host. Large hosts,
+    LARGE_HOSTS at most by their definition, are spread over seats of equal size, with the template at each.
+    """
+    made = materialize(induce_templates(pages, url, html).filter(F.col("pages") >= LEAST_PAGES), "templates")
+    host = host_of(F.col(f"`{url}`"))
+    counts = materialize(pages.select(host.alias("host")).groupBy("host").count(), "hosts")
+    limit = max(SEAT_PAGES, (counts.agg(F.sum("count")).first()[0] or 0) // LARGE_HOSTS)
+    counts = counts.withColumn("seats", F.ceil(F.col("count") / limit).cast("int"))
+    of_host = counts.join(made.select(F.col("site").alias("host"), F.col("template").alias("of_host")), "host", "left").withColumn("site", site_of_domain(F.col("host")))
+    of_host = of_host.join(made.select("site", F.col("template").alias("of_domain")), "site", "left").withColumn("template", F.coalesce("of_host", "of_domain"))
+    first = of_host.filter("template is not null and host <> ''").select("host", F.explode(F.sequence(F.lit(0), F.col("seats") - 1)).alias("seat"), "template")
+
+    rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host.alias("host"))
+    rows = rows.join(F.broadcast(counts.filter(F.col("seats") > 1).select("host", "seats")), "host", "left")
+    rows = rows.withColumn("seat", F.floor(F.rand(7) * F.coalesce("seats", F.lit(1))).cast("int")).drop("seats").withColumn("template", F.lit(None).cast("string"))
+    kind = pages.schema[key].dataType
+    first = first.select(F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "seat", "template")
+    rows = rows.withColumn("page", F.lit(1)).unionByName(first.withColumn("page", F.lit(0)))
+    rows = rows.repartition("host", "seat").sortWithinPartitions("host", "seat", "page").select("key", "url", "html", "host", "page", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, Template | None] = {}
+        at, template, packed = None, None, None
         for batch in slices(batches, 4 << 20, "html"):
-            texts = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if template not in held:
-                    if len(held) >= 300:
-                        held.clear()
-                    held[template] = Template.read(template)
-                texts.append(main_text(html, held[template]))
+            texts, is_page = [], []
+            for html, host, page, given in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
+                is_page.append(page == 1)
+                if page == 0:
+                    at = host
+                    if given != packed:
+                        template, packed = Template.read(given), given
+                else:
+                    texts.append(main_text(html, template if host == at else None))
+            here = batch.filter(pa.array(is_page))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["key", "url", "text", "n_chars"]
+                [here.column(0), here.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["key", "url", "text", "n_chars"]
             )
 
-    out = rows.mapInArrow(run, f"key {kind}, url string, text string, n_chars bigint")
+    out = rows.mapInArrow(run, f"key {kind.simpleString()}, url string, text string, n_chars bigint")
     return out.select(F.col("key").alias(key), "url", "text", "n_chars")
