@@ -170,8 +170,9 @@ def test_large_hosts_have_seats(spark, monkeypatch):
     rows = [(k if k % 4 else None, f"http://large.example.com/{k}", made[k][0]) for k in range(30)] + [(7, None, made[0][0]), (7, "http://alone.test/", "<p>One"), (7, "http://large.example.com/x", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("template", F.lit("other")).withColumn("host", F.lit(1))
     whole = sorted(map(str, html_extract.extract_pages(pages).collect()))
-    monkeypatch.setattr(html_extract, "SEAT_PAGES", 3)
-    assert sorted(map(str, html_extract.extract_pages(pages).collect())) == whole and len(whole) == 33
+    for name, value in (("SHARED_CHARS", 0), ("SEAT_PAGES", 3)):  # no template is shared; nor has a host one seat only
+        monkeypatch.setattr(html_extract, name, value)
+        assert sorted(map(str, html_extract.extract_pages(pages).collect())) == whole and len(whole) == 33
     texts = {r.url: r.text for r in html_extract.extract_pages(pages).collect()}
     assert all(texts[f"http://large.example.com/{k}"] == made[k][1] for k in range(30)) and texts["http://alone.test/"] == "One" and texts["http://large.example.com/x"] == ""
 

@@ -57,7 +57,9 @@ NAMED = 90
 DEPTH, WIDTH = 60, 100
 #: Layouts of a site that one task merges; their templates are merged then.
 MERGED = 1000
-#: A host with more pages than this, and than one in 10,000 of all, is read at several seats.
+#: Templates that every worker is given, those of the hosts with the most pages: so many, of so many characters each, at most.
+SHARED_HOSTS, SHARED_CHARS = 4_000, 8_000
+#: Of the other hosts one with more pages than this, and than one in 10,000 of all, is read at several seats.
 SEAT_PAGES, LARGE_HOSTS = 200, 10_000
 #: Labels below a country's that registries share out, and names below which everybody may have a host.
 REGISTRY_LABELS = "ac co com edu go gob gouv gov ne net nom or org sch".split()
@@ -715,42 +717,63 @@ def induce_templates(pages: DataFrame, url: str = "url", html: str = "html", mer
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars.
 
-    Pages are sorted by host, each host's template before its pages, so that a template is sent once for a host. Large hosts,
-    LARGE_HOSTS at most by their definition, are spread over seats of equal size, with the template at each.
+    The templates of the hosts with the most pages, a set of bounded size, go to every worker, and these hosts' pages stay where
+    they are. All other pages are sorted by host, each host's template before its pages, so that it is sent once for a host.
+    Large hosts among them, LARGE_HOSTS at most by their definition, are spread over seats, with the template at each.
     """
     made = materialize(induce_templates(pages, url, html).filter(F.col("pages") >= LEAST_PAGES), "templates")
     host = host_of(F.col(f"`{url}`"))
-    counts = materialize(pages.select(host.alias("host")).groupBy("host").count(), "hosts")
-    limit = max(SEAT_PAGES, (counts.agg(F.sum("count")).first()[0] or 0) // LARGE_HOSTS)
-    counts = counts.withColumn("seats", F.ceil(F.col("count") / limit).cast("int"))
-    of_host = counts.join(made.select(F.col("site").alias("host"), F.col("template").alias("of_host")), "host", "left").withColumn("site", site_of_domain(F.col("host")))
-    of_host = of_host.join(made.select("site", F.col("template").alias("of_domain")), "site", "left").withColumn("template", F.coalesce("of_host", "of_domain"))
-    first = of_host.filter("template is not null and host <> ''").select("host", F.explode(F.sequence(F.lit(0), F.col("seats") - 1)).alias("seat"), "template")
+    counts = pages.select(host.alias("host")).filter("host <> ''").groupBy("host").count().withColumn("site", site_of_domain(F.col("host")))
+    of_host = counts.join(made.select(F.col("site").alias("host"), F.col("template").alias("of_host")), "host", "left")
+    of_host = of_host.join(made.select("site", F.col("template").alias("of_domain")), "site", "left")
+    of_host = materialize(of_host.select("host", "count", F.coalesce("of_host", "of_domain").alias("template")), "hosts")
+    shared = {r.host: r.template for r in of_host.filter(F.length("template") <= SHARED_CHARS).orderBy(F.desc("count"), "host").limit(SHARED_HOSTS).select("host", "template").collect()}
+    spark = pages.sparkSession
+    given = spark.sparkContext.broadcast(shared)
+    near = F.broadcast(spark.createDataFrame([(h, True) for h in shared], "host string, near boolean"))
 
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host.alias("host"))
-    rows = rows.join(F.broadcast(counts.filter(F.col("seats") > 1).select("host", "seats")), "host", "left")
-    rows = rows.withColumn("seat", F.floor(F.rand(7) * F.coalesce("seats", F.lit(1))).cast("int")).drop("seats").withColumn("template", F.lit(None).cast("string"))
+    rows = rows.join(near, "host", "left").withColumn("near", (F.col("host") == "") | F.coalesce("near", F.lit(False)))
     kind = pages.schema[key].dataType
+    limit = max(SEAT_PAGES, (of_host.agg(F.sum("count")).first()[0] or 0) // LARGE_HOSTS)
+    others = of_host.join(near, "host", "left_anti").withColumn("seats", F.ceil(F.col("count") / limit).cast("int"))
+    first = others.filter("template is not null").select("host", F.explode(F.sequence(F.lit(0), F.col("seats") - 1)).alias("seat"), "template")
     first = first.select(F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "seat", "template")
-    rows = rows.withColumn("page", F.lit(1)).unionByName(first.withColumn("page", F.lit(0)))
-    rows = rows.repartition("host", "seat").sortWithinPartitions("host", "seat", "page").select("key", "url", "html", "host", "page", "template")
+    far = rows.filter("not near").join(F.broadcast(others.filter(F.col("seats") > 1).select("host", "seats")), "host", "left")
+    far = far.withColumn("seat", F.floor(F.rand(7) * F.coalesce("seats", F.lit(1))).cast("int")).drop("seats", "near").withColumn("template", F.lit(None).cast("string"))
+    far = far.withColumn("page", F.lit(1)).unionByName(first.withColumn("page", F.lit(0)))
+    far = far.repartition("host", "seat").sortWithinPartitions("host", "seat", "page").select("key", "url", "html", "host", "page", "template")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "url", "text", "n_chars"])
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Template | None] = {}
+        for batch in slices(batches, 4 << 20, "html"):
+            texts = []
+            for html, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if host not in held:
+                    if len(held) >= 300:
+                        held.clear()
+                    held[host] = Template.read(given.value.get(host))
+                texts.append(main_text(html, held[host]))
+            yield read(batch, texts)
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, template, packed = None, None, None
         for batch in slices(batches, 4 << 20, "html"):
             texts, is_page = [], []
-            for html, host, page, given in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
+            for html, host, page, text in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
                 is_page.append(page == 1)
                 if page == 0:
                     at = host
-                    if given != packed:
-                        template, packed = Template.read(given), given
+                    if text != packed:
+                        template, packed = Template.read(text), text
                 else:
                     texts.append(main_text(html, template if host == at else None))
-            here = batch.filter(pa.array(is_page))
-            yield pa.RecordBatch.from_arrays(
-                [here.column(0), here.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["key", "url", "text", "n_chars"]
-            )
+            yield read(batch.filter(pa.array(is_page)), texts)
 
-    out = rows.mapInArrow(run, f"key {kind.simpleString()}, url string, text string, n_chars bigint")
+    result = f"key {kind.simpleString()}, url string, text string, n_chars bigint"
+    out = rows.filter("near").select("key", "url", "html", "host").mapInArrow(in_place, result).unionByName(far.mapInArrow(in_order, result))
     return out.select(F.col("key").alias(key), "url", "text", "n_chars")
