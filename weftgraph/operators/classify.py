@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,48 @@ def svm(rows: DataFrame, c: float = 1.0, rounds: int = 60) -> DataFrame:
     return data.select("node", dot.alias("score"))
 
 
+def _draws(size: int, places: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal deviates (size x places) and phases, from digests of their places, so that every engine can draw the same."""
+    digest = lambda *key: hashlib.md5("|".join(map(str, (seed, *key))).encode()).hexdigest()
+    share = lambda text: int(text, 16) / 2**32
+    pairs = [[(share(h[:8]) + 2.0**-33, share(h[8:16])) for h in (digest(j, k) for k in range(places))] for j in range(size)]
+    u = np.array(pairs).reshape(size, places, 2)
+    return np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1]), np.array([2 * np.pi * share(digest(j, "phase")[:8]) for j in range(size)])
+
+
+def kernel_features(rows: DataFrame, gamma: float, size: int = 256, seed: int = 1) -> DataFrame:
+    """rows with `embedding` replaced by `size` random Fourier features of the kernel exp(-gamma |x - y|^2).
+
+    Products of two rows' features estimate their kernel with a standard error of sqrt(1 / size) at most, whatever the number of rows,
+    so that a linear machine on them stands for a kernel machine, whose matrix of all pairs is never made. A row whose vector is
+    null, of another length than the first, or holds a null or no finite number has null features."""
+    seen = rows.filter("embedding is not null").select(F.size("embedding").alias("n")).first()
+    places = seen.n if seen else 0
+    spread_of, phase = _draws(size, places, seed)
+    matrix = np.sqrt(2 * gamma) * spread_of.T
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = pd.Series([None] * len(batch), dtype=object)
+            good = [k for k, x in enumerate(batch) if x is not None and len(x) == places and np.isfinite(np.asarray(x, float)).all()]
+            if good:
+                made = np.sqrt(2 / size) * np.cos(np.stack([np.asarray(batch.iloc[k], float) for k in good]) @ matrix + phase)
+                for k, x in zip(good, made, strict=True):
+                    out.iat[k] = x
+            yield out
+
+    return rows.withColumn("embedding", features(F.col("embedding").cast("array<double>")))
+
+
+def kernel_machine(rows: DataFrame, gamma: float, c: float = 1.0, size: int = 256, seed: int = 1) -> DataFrame:
+    """(node, score) of rows (node, embedding, y): `svm` with the kernel exp(-gamma |x - y|^2), by `kernel_features`.
+
+    Rows without features (see there) train nothing and get no score."""
+    made = cut(kernel_features(rows.select("node", "embedding", "y"), gamma, size, seed).filter("embedding is not null"))
+    return svm(made, c)
+
+
 def network_scores(
     edges: DataFrame, labels: DataFrame, loss: str = "logistic", c: float = 1.0, tol: float = 1e-4, max_rounds: int = 100, nodes: DataFrame | None = None
 ) -> DataFrame:

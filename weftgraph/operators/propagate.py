@@ -6,6 +6,7 @@ stay where they were written, and scores of many keys travel as dense rows. Loop
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
@@ -267,6 +268,90 @@ def solve(
     return u.join(root, "node").select(*axis, (F.col("score") / F.col("root")).alias("score")).filter("score <> 0").unionByName(ones)
 
 
+def spectral_bound(g: DataFrame, rounds: int = 4) -> float:
+    """A bound of the eigenvalues' sizes of a network without negative weights: the greatest growth of any node of a positive
+    vector v, (G v)_i / v_i, is one for each v. Some steps towards the leading vector make it sharper; the least is returned."""
+    v = cut(g.select(F.col("src").alias("node")).union(g.select("dst")).distinct().withColumn("score", F.lit(1.0)))
+    least = math.inf
+    for _ in range(rounds):
+        grown = v.join(spread(g, v, []).withColumnRenamed("score", "more"), "node", "left").na.fill(0.0, ["more"])
+        grown = cut(grown.select("node", "score", "more"))
+        least = min(least, grown.agg(F.max(F.col("more") / F.col("score"))).first()[0] or 0.0)
+        v = grown.select("node", (F.col("score") + F.col("more")).alias("score"))
+    return least
+
+
+def semi_iterate(g: DataFrame, given: DataFrame, keys: list[str], bound: float, tol: float = 1e-9, max_rounds: int = 1000, walls: DataFrame | None = None) -> DataFrame:
+    """(keys, node, score): x = G x + given for all keys at once, x 0 on walls (keys, node), by Chebyshev's semi-iteration.
+
+    G must be similar to a symmetric matrix, with eigenvalues in [-bound, bound], bound below 1. A round mixes G x + given with
+    the scores of the round before the last, x <- w (G x + given) + (1 - w) old; w follows from the bound alone. So a round is one
+    product in blocks and one written table: no sums over all nodes, nothing through the driver. The error falls by
+    r = bound / (1 + sqrt(1 - bound^2)) a round, where plain rounds fall by the bound (at 0.95: 0.72), and the number of rounds
+    for an error of tol of the solution's norm is known beforehand. A warning tells what max_rounds leaves of it.
+
+    Nodes without an edge keep what is given; null scores count as 0."""
+    if not 0 <= bound < 1:
+        raise ValueError(f"semi_iterate needs a bound from 0 to below 1, not {bound}")
+    given = cut(given.select(*keys, "node", F.col("score").cast("double").alias("score")).na.fill(0.0, ["score"]))
+    net, lanes = Blocks(g), Lanes(given, keys)
+    shrink = bound / (1 + math.sqrt(1 - bound * bound))
+    wanted = max(1, math.ceil(math.log(tol / 2) / math.log(shrink))) if shrink > 0 else 1
+    if wanted > max_rounds:
+        warnings.warn(f"semi_iterate: an error of {2 * shrink**max_rounds:.3g} of the solution may be left after {max_rounds} rounds", stacklevel=2)
+    first = state = cut(pack_scores(given, net, lanes))
+    fixed = [] if walls is None else [(0, cut(pack_scores(walls.select(*keys, "node", F.lit(1.0).alias("score")), net, lanes)))]
+    old, weight = None, 1.0
+    for k in range(1, min(wanted, max_rounds) + 1):
+        weight = 1 / (1 - bound * bound / 2) if k == 1 else 1 / (1 - bound * bound * weight / 4)
+        kept = [*fixed, (1, first), *([(2, old)] if old is not None else [])]
+        old, state = state, cut(net.sums(_mixed(weight), net.products(state), *kept))
+    alone = given.join(net.index.select("node"), "node", "left_anti").groupBy(*keys, "node").agg(F.sum("score").alias("score"))
+    return unpack_scores(state, net, lanes).unionByName(alone.filter("score <> 0"))
+
+
+def _mixed(weight: float):
+    """A block's next scores: weight times the sums off the walls (kind 0) and what is given (1), and the rest of the last but one (2)."""
+
+    def finish(kept: dict, places, sums):
+        parts = [(places, weight * sums), *[(places_of(kept[k]), share * cells_of(kept[k])) for k, share in ((1, weight), (2, 1 - weight)) if k in kept]]
+        if 0 in kept:
+            _, here, there = np.intersect1d(places, places_of(kept[0]), assume_unique=True, return_indices=True)
+            parts[0][1][here] = np.where(cells_of(kept[0])[there] > 0, 0.0, parts[0][1][here])
+        return by_place(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+
+    return finish
+
+
+def settle(edges: DataFrame, labels: DataFrame, alpha: float = 0.95, tol: float = 1e-9, max_rounds: int = 1000, plus: bool = False, lam: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+    """The fixed point of `propagate` on a symmetric network without negative weights by `semi_iterate`: rows of alpha P sum to
+    alpha at most, which bounds its eigenvalues. At alpha 0.95 an error of 1e-9 takes 67 rounds; plain ones take 404."""
+    keys = keys or ["term"]
+    axis = [*keys, "node"]
+    if not is_symmetric(edges):
+        raise ValueError("settle needs a symmetric network")
+    fixed = (labels.filter("label > 0") if plus else labels).select(*axis).distinct()
+    ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score")).distinct()
+    g = cut(row_normalise(edges, lam).withColumn("weight", alpha * F.col("weight")))
+    given = spread(g, ones, keys).join(fixed, axis, "left_anti")
+    return semi_iterate(g, given, keys, alpha, tol, max_rounds, fixed).filter("score <> 0").unionByName(ones)
+
+
+def preconditioned_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: float = 1e-9, max_rounds: int = 1000, keys: list[str] | None = None) -> DataFrame:
+    """(I + alpha L) f = y as `laplacian_solve`, preconditioned by its diagonal and solved by `semi_iterate`.
+
+    With D the diagonal and N the rest, f = D^-1 N f + D^-1 y, whose eigenvalues lie below 1: a row of N sums to less than its D."""
+    keys = keys or ["term"]
+    if not is_symmetric(edges):
+        raise ValueError("preconditioned_solve needs a symmetric network")
+    lap = cut(laplacian(symmetric_normalise(edges)))
+    diagonal = cut(lap.filter("src = dst").select(F.col("src").alias("node"), (1 + alpha * F.col("weight")).alias("d")))
+    g = lap.filter("src <> dst").join(diagonal, F.col("src") == F.col("node")).select("src", "dst", (-alpha * F.col("weight") / F.col("d")).alias("weight"))
+    g = cut(g.filter("weight <> 0"))
+    given = y.join(diagonal, "node", "left").select(*keys, "node", (F.col("score") / F.coalesce("d", F.lit(1.0))).alias("score"))
+    return semi_iterate(g, given, keys, spectral_bound(g), tol, max_rounds)
+
+
 def reachable(edges: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, node): free nodes that a positive reaches without passing a negative, by rounds of neighbours."""
     keys = keys or ["term"]

@@ -185,6 +185,16 @@ _DIRECTED_SQL = _fixed_point_sql(0.8, 160, "true").replace("tedges AS (", "tedge
     ", tlab AS (", ", tedges AS (SELECT src, dst, weight * (CAST(substr(dst, 2) AS INT) % 3 + 1) AS weight FROM tedges0), tlab AS (", 1
 )
 
+def _vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").cast("string").alias("node"), "embedding", (F.col("label") == 0).cast("int").alias("y"))
+
+
+_FEATURES_SQL = """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS node, embedding FROM embeddings WHERE embedding IS NOT NULL),
+h AS (SELECT j, k, md5(concat('1|', j, '|', k)) AS h FROM (SELECT unnest(range(32)) AS j), (SELECT unnest(range((SELECT max(len(embedding)) FROM e))) AS k)),
+w AS (SELECT j, list(sqrt(-2 * ln(CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE + power(2.0, -33))) * cos(2 * pi() * CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) / 4294967296.0::DOUBLE) ORDER BY k) AS w,
+  2 * pi() * CAST(concat('0x', substr(md5(concat('1|', j, '|phase')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS phase FROM h GROUP BY j)
+SELECT node, CAST(j AS INT) AS place, round(sqrt(2.0 / 32) * cos(list_dot_product(CAST(embedding AS DOUBLE[]), w) + phase), 6) AS value FROM e, w"""
+
 QUERIES = [
     Query(
         "x1_local",
@@ -221,6 +231,7 @@ QUERIES = [
     ),
     Query("x3_directed", lambda t: _six(X.solve(_directed(t), _nation_labels(t), 0.8, "bicgstab", 1e-12), "score"), f"{_DIRECTED_SQL} SELECT term, node, round(score, 6) AS score FROM st WHERE k = 160 AND score > 0"),
     Query("x3_symmetric", lambda t: _six(X.solve(_trade(t), _nation_labels(t), 0.8, "cg", 1e-12), "score"), f"{_fixed_point_sql(0.8, 160, 'true')} SELECT term, node, round(score, 6) AS score FROM st WHERE k = 160 AND score > 0"),
+    Query("x3_semi_iteration", lambda t: _six(X.settle(_trade(t), _nation_labels(t), 0.8, 1e-10), "score"), f"{_fixed_point_sql(0.8, 160, 'true')} SELECT term, node, round(score, 6) AS score FROM st WHERE k = 160 AND score > 0"),
     Query(
         "x4_bounds",
         lambda t: _six(X.bounds(_trade(t), _nation_labels(t), 0.8)[0], "score"),
@@ -238,6 +249,17 @@ QUERIES = [
         lambda t: _four(X.regularised_laplacian(_trade(t), _nation_labels(t), tol=1e-9), "score"),
         f"{_laplace_sql('SELECT term AS key, node, 1.0 AS score FROM tlab WHERE label > 0')} SELECT key AS term, node, round(score, 4) AS score FROM f",
     ),
+    Query(
+        "x15_preconditioned",
+        lambda t: _four(X.preconditioned_solve(_trade(t), _nation_labels(t).filter("label > 0").select("term", "node", F.lit(1.0).alias("score")), tol=1e-10), "score"),
+        f"{_laplace_sql('SELECT term AS key, node, 1.0 AS score FROM tlab WHERE label > 0')} SELECT key AS term, node, round(score, 4) AS score FROM f",
+    ),
+    Query(
+        "x10_kernel_features",
+        lambda t: _six(K.kernel_features(_vectors(t), 0.5, 32).select("node", F.posexplode("embedding").alias("place", "value")), "value"),
+        _FEATURES_SQL,
+    ),
+    Query("x10_kernel_machine", lambda t: _six(K.kernel_machine(_vectors(t), 0.5), "score")),
     Query("x8_network_regression", lambda t: K.network_scores(_trade(t), _nation_labels(t), "logistic").withColumn("score", F.round("score", 3))),
     Query("x9_network_svm", lambda t: K.network_scores(_trade(t), _nation_labels(t), "svm").withColumn("score", F.round("score", 3))),
     Query("x8_logistic_regression", lambda t: _six(K.logistic(t.embeddings.select(F.col("vec_id").cast("string").alias("node"), "embedding", (F.col("label") == 0).cast("int").alias("y"))), "score")),
