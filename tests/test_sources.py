@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.sources import readers
+from weftgraph.sources import drugs, graphs, readers
 from weftgraph.streaming.edges import windowed_edges
 
 
@@ -93,3 +93,50 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     key = lambda t: sorted((str(r.start), r.src, r.dst, r.weight) for r in t.collect())
     assert key(spark.table("edges_now")) == key(windowed_edges(events, "1 day"))
+
+
+def test_drug_dump(spark, tmp_path):
+    protein = lambda ids, more="": f"<target><organism>Humans</organism><known-action>yes</known-action><actions><action>a</action><action>b</action></actions>{more}<polypeptide><external-identifiers>" + "".join(
+        f"<external-identifier><resource>{r}</resource><identifier>{i}</identifier></external-identifier>" for r, i in ids
+    ) + "</external-identifiers></polypeptide></target>"
+    cited = "<references><articles><article><pubmed-id>1</pubmed-id><citation>x</citation></article><article><pubmed-id/><citation>y</citation></article><article><pubmed-id>2</pubmed-id><citation>z</citation></article></articles></references>"
+    full = (
+        '<drug type="small molecule"><drugbank-id>old</drugbank-id><drugbank-id primary="true">D1</drugbank-id><name>n</name><groups><group>approved</group><group>x</group></groups>'
+        '<atc-codes><atc-code code="A1"><level code="A">l</level></atc-code></atc-codes><categories><category><category>c</category></category></categories>'
+        "<calculated-properties><property><kind>InChI</kind><value>1S</value></property></calculated-properties>"
+        '<synonyms><synonym language="English">s</synonym><synonym language="German">g</synonym></synonyms><products><product><name>b</name></product><product><name>n</name></product></products>'
+        f"<targets>{protein([('UniProtKB', 'P1'), ('other', 'o')], cited)}{protein([('UniProtKB', 'P2'), ('UniProtKB', 'P3')])}</targets><enzymes/></drug>"
+    )
+    bare = '<drug type="biotech"><drugbank-id primary="true">D2</drugbank-id></drug>'
+    path = _file(tmp_path, "dump.xml", f"<drugs>{full}{bare}</drugs>")
+    table = {r.drug_id: r for r in drugs.read_drug_table(spark, path).collect()}
+    one, two = table["D1"], table["D2"]
+    assert (one.type, one.groups, one.atc_codes, one.categories, one.inchi, one.inchikey, one.aliases) == ("small molecule", "approved|x", "A1", "c", "1S", None, ["b", "n", "s"])
+    assert (two.name, two.groups, two.inchi, two.aliases) == (None, "", None, [])
+    assert [tuple(r) for r in drugs.read_drug_proteins(spark, path).collect()] == [("D1", "n", "target", "Humans", "yes", "a|b", "P1", "1|2", "x|z")]
+    assert [r.drug_id for r in drugs.approved_small_molecules(drugs.read_drug_table(spark, path)).collect()] == ["D1"]
+
+
+def test_graph_elements(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", True, None), ("a", "b", None, "text"), ("b", "c", None, None), ("a", None, None, None)], "src string, dst string, directed boolean, popup string")
+    nodes = spark.createDataFrame([("a", "same", "g"), ("b", "same", None), ("d", None, None), (None, "x", None)], "node string, label string, parent string")
+    styles = spark.createDataFrame([("a", None, "color", "red"), ("a", None, "width", "60"), ("a", None, "width", "50"), ("a", "b", "color", "blue"), ("a", "b", "arrow", "vee"), ("b", "a", "width", "9"), ("c", None, "border-color", None)], "item string, other string, style string, value string")
+    path = str(tmp_path / "graph")
+    graphs.write_graph(graphs.graph_elements(edges, nodes, styles), path)
+    got = {r.id: r for r in graphs.read_graph(spark, path).collect()}
+    assert set(got) == {"a", "b", "c", "d", "a-b", "b-c"}
+    assert [got[x].label for x in "abcd"] == ["same", "same-b", "c", "d"] and got["a"].parent == "g" and got["a"].popup == "a"
+    assert got["a"].style == {"background-color": "red", "border-color": "red", "height": "45", "shape": "ellipse", "width": "60"} and got["c"].style["border-color"] == "#D8D8D8"
+    assert (got["a-b"].source, got["a-b"].target, got["a-b"].directed, got["a-b"].popup) == ("same", "same-b", True, "text")
+    assert got["a-b"].style == {"arrow": "vee", "line-color": "blue", "line-style": "solid", "width": "1.5"} and got["b-c"].style["width"] == "1.5" and not got["b-c"].directed
+    empty = graphs.graph_elements(edges.limit(0), nodes.limit(0), styles.limit(0))
+    assert empty.collect() == []
+
+
+def test_graph_that_fails_leaves_nothing(spark, tmp_path):
+    bad = spark.range(8).select(F.lit("a").alias("src"), F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("dst"))
+    none = spark.createDataFrame([], "item string, other string, style string, value string")
+    with pytest.raises(Exception, match="broken"):
+        graphs.write_graph(graphs.graph_elements(bad, spark.createDataFrame([], "node string"), none), str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="no whole graph"):
+        graphs.read_graph(spark, str(tmp_path / "bad"))

@@ -13,6 +13,8 @@ from weftgraph.operators import tables as T
 from weftgraph.plans.graph_queries import edges
 from weftgraph.plans.query import Query
 from weftgraph.plans.table_queries import _RANKS_SQL, _WIDE_SQL, _wide
+from weftgraph.sources import drugs as D
+from weftgraph.sources import graphs as V
 from weftgraph.sources import readers as R
 from weftgraph.sources.tables import EDGES_SQL, SCORES_SQL, Tables
 from weftgraph.streaming.edges import keep_edges
@@ -179,7 +181,81 @@ def _kept(t: Tables):
     return out.withColumn("made", F.lit(len(made)))
 
 
+def _dump(t: Tables) -> str:
+    """Parts as an XML dump of drugs: suppliers of returned lines are their targets, those of accepted lines their enzymes."""
+    path, number = _path(t, "dump"), F.col("l_suppkey")
+    article = F.struct(F.when(number % 4 > 0, number.cast("string")).alias("pubmed-id"), F.concat(F.lit("On "), number).alias("citation"))
+    known = lambda name: F.struct(F.lit("UniProtKB").alias("resource"), name.alias("identifier"))
+    other = F.struct(F.lit("other").alias("resource"), F.lit("x").alias("identifier"))
+    ids = F.array(known(F.concat(F.lit("S"), number)), other)
+    ids = F.when(number % 5 == 0, F.concat(ids, F.array(known(F.lit("second"))))).otherwise(ids)
+    protein = F.struct(
+        F.when(number % 3 > 0, "Humans").alias("organism"), F.lit("yes").alias("known-action"), F.struct(F.array(F.lit("inhibitor"), F.lit("binder")).alias("action")).alias("actions"),
+        F.struct(F.struct(F.array(article).alias("article")).alias("articles")).alias("references"), F.array(F.struct(F.struct(ids.alias("external-identifier")).alias("external-identifiers"))).alias("polypeptide"),
+    )
+    acts = t.lineitem.filter("l_returnflag in ('A', 'R')").select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+    of = lambda flag: F.collect_list(F.when(F.col("l_returnflag") == flag, protein))
+    acts = acts.groupBy("l_partkey").agg(F.struct(of("R").alias("target")).alias("targets"), F.struct(of("A").alias("enzyme")).alias("enzymes"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    groups = F.array_compact(F.array(F.when(size <= 25, "approved"), F.when(size % 3 == 0, "investigational")))
+    inchi = F.array_compact(F.array(F.when(key % 7 > 0, F.struct(F.lit("InChI").alias("kind"), F.concat(F.lit("1S/"), key).alias("value")))))
+    synonyms = [F.struct(F.lit(v).alias("_VALUE") if k else F.upper("p_brand").alias("_VALUE"), F.lit(lang).alias("_language")) for k, (v, lang) in enumerate([("", "English"), ("Name", "German")])]
+    drugs = t.part.join(acts, key == F.col("l_partkey"), "left").select(
+        F.when(F.col("p_type") == "SMALL", "small molecule").otherwise("biotech").alias("_type"),
+        F.array(F.struct(F.lit("old").alias("_VALUE"), F.lit("false").alias("_primary")), F.struct(F.concat(F.lit("P"), key).alias("_VALUE"), F.lit("true").alias("_primary"))).alias("drugbank-id"),
+        F.col("p_name").alias("name"), F.struct(groups.alias("group")).alias("groups"), F.struct(F.array(F.struct(F.col("p_brand").alias("_code"))).alias("atc-code")).alias("atc-codes"),
+        F.struct(inchi.alias("property")).alias("calculated-properties"), F.struct(F.array(*synonyms).alias("synonym")).alias("synonyms"), "targets", "enzymes",
+    )
+    drugs.write.format("xml").option("rowTag", "drug").option("rootTag", "drugs").save(path)
+    return path
+
+
+def _drugs(t: Tables):
+    return D.read_drug_table(t.spark, _dump(t)).select("drug_id", "name", "type", "groups", "atc_codes", "inchi", F.array_join("aliases", "|").alias("aliases"))
+
+
+_DRUGS_SQL = """d AS (SELECT concat('P', p_partkey) AS drug_id, p_name AS name, CASE WHEN p_type = 'SMALL' THEN 'small molecule' ELSE 'biotech' END AS type,
+concat_ws('|', CASE WHEN p_size <= 25 THEN 'approved' END, CASE WHEN p_size % 3 = 0 THEN 'investigational' END) AS groups, p_brand AS atc_codes,
+CASE WHEN p_partkey % 7 > 0 THEN concat('1S/', p_partkey) END AS inchi, concat_ws('|', least(p_name, upper(p_brand)), greatest(p_name, upper(p_brand))) AS aliases FROM part)"""
+
+
+def _graph(t: Tables):
+    """The trade of parts and suppliers as a styled graph, written and read again."""
+    part, supplier = F.concat(F.lit("P"), "p_partkey"), F.concat(F.lit("S"), "s_suppkey")
+    nodes = t.part.select(part.alias("node"), F.col("p_brand").alias("label"), F.lit(None).cast("string").alias("parent"))
+    nodes = nodes.union(t.supplier.select(supplier.alias("node"), F.col("s_name").alias("label"), F.concat(F.lit("N"), "s_nationkey").alias("parent")))
+    weights = t.raw_edges().groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    look = lambda name, value: F.struct(F.lit(name).alias("style"), value.alias("value"))
+    styles = t.part.select(part.alias("item"), F.lit(None).cast("string").alias("other"), F.inline(F.array(look("color", F.when(F.col("p_size") <= 15, "#FF0000")), look("shape", F.when(F.col("p_type") == "SMALL", "rectangle")))))
+    styles = styles.union(weights.select("src", "dst", F.lit("width"), F.when(F.col("weight") >= 40, "3")))
+    path = _path(t, "graph")
+    V.write_graph(V.graph_elements(weights, nodes, styles), path)
+    look = F.array_join(F.transform(F.array_sort(F.map_entries("style")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return V.read_graph(t.spark, path).withColumn("style", look)
+
+
 QUERIES = [
+    Query("s15_drug_table", _drugs, f"WITH {_DRUGS_SQL} SELECT * FROM d"),
+    Query("p12_approved_small_molecules", lambda t: D.approved_small_molecules(_drugs(t)).select("drug_id", "name"), f"WITH {_DRUGS_SQL} SELECT drug_id, name FROM d WHERE contains(groups, 'approved') AND inchi IS NOT NULL AND type = 'small molecule'"),
+    Query(
+        "s15_drug_proteins",
+        lambda t: D.read_drug_proteins(t.spark, _dump(t)),
+        """SELECT DISTINCT concat('P', l_partkey) AS drug_id, p_name AS name, CASE l_returnflag WHEN 'R' THEN 'target' ELSE 'enzyme' END AS category, CASE WHEN l_suppkey % 3 > 0 THEN 'Humans' END AS organism, 'yes' AS known_action,
+        'inhibitor|binder' AS actions, concat('S', l_suppkey) AS uniprot_id, CASE WHEN l_suppkey % 4 > 0 THEN CAST(l_suppkey AS VARCHAR) END AS pubmed_ids, CASE WHEN l_suppkey % 4 > 0 THEN concat('On ', l_suppkey) END AS citations
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('A', 'R') AND l_suppkey % 5 > 0""",
+    ),
+    Query(
+        "k10_graph_file",
+        _graph,
+        """WITH w AS (SELECT concat('S', l_suppkey) AS s, concat('P', l_partkey) AS p, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2),
+        n0 AS (SELECT concat('P', p_partkey) AS node, p_brand AS label, NULL AS parent, CASE WHEN p_size <= 15 THEN '#FF0000' ELSE '#D8D8D8' END AS color, CASE WHEN p_type = 'SMALL' THEN 'rectangle' ELSE 'ellipse' END AS shape FROM part
+          UNION ALL SELECT concat('S', s_suppkey), s_name, concat('N', s_nationkey), '#D8D8D8', 'ellipse' FROM supplier),
+        n AS (SELECT * REPLACE (CASE WHEN node = min(node) OVER (PARTITION BY label) THEN label ELSE concat(label, '-', node) END AS label) FROM n0)
+        SELECT 'nodes' AS "group", node AS id, label, parent, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BOOLEAN) AS directed, node AS popup,
+          concat('background-color=', color, ';border-color=', color, ';height=45;shape=', shape, ';width=45') AS style FROM n
+        UNION ALL SELECT 'edges', concat(s, '-', p), NULL, NULL, a.label, b.label, false, concat(s, '-', p), concat('line-color=#D8D8D8;line-style=solid;width=', CASE WHEN weight >= 40 THEN '3' ELSE '1.5' END)
+        FROM w JOIN n a ON a.node = s JOIN n b ON b.node = p""",
+    ),
     Query("s1_edge_file", _network, f"WITH {EDGES_SQL} SELECT src, dst, weight FROM edges"),
     Query(
         "s2_edge_files",
