@@ -207,17 +207,29 @@ def is_symmetric(edges: DataFrame) -> bool:
     return not whole.join(back, ["src", "dst"], "left").filter(far).limit(1).count()
 
 
-def laplacian_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: float = 1e-5, max_rounds: int = 100, keys: list[str] | None = None) -> DataFrame:
-    """(I + alpha L) f = y by conjugate gradients, all keys at once; S is normalised symmetrically first."""
+def laplacian_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: float = 1e-5, max_rounds: int = 1000, keys: list[str] | None = None) -> DataFrame:
+    """(I + alpha L) f = y, all keys at once; S, of a symmetric network, is normalised symmetrically first. A key's residual is of norm tol or less.
+
+    With D the diagonal and N the rest, f = D^-1 N f + D^-1 y, whose eigenvalues lie below 1: a row of N sums to less than its D.
+    `semi_iterate` solves that in blocks. Negative weights give no such bound; then conjugate gradients solve the system."""
     keys = keys or ["term"]
-    lap = cut(laplacian(symmetric_normalise(edges)))
     axis = [*keys, "node"]
+    lap = cut(laplacian(symmetric_normalise(edges)))
+    diagonal = cut(lap.filter("src = dst").select(F.col("src").alias("node"), (1 + alpha * F.col("weight")).alias("d")))
+    g = lap.filter("src <> dst").join(diagonal, F.col("src") == F.col("node")).select("src", "dst", (-alpha * F.col("weight") / F.col("d")).alias("weight"))
+    g = cut(g.filter("weight <> 0"))
+    if g.filter("weight < 0").limit(1).count():
 
-    def times(v: DataFrame) -> DataFrame:
-        part = spread(lap, v, keys).withColumn("score", alpha * F.col("score"))
-        return part.unionByName(v.select(*axis, "score")).groupBy(*axis).agg(F.sum("score").alias("score"))
+        def times(v: DataFrame) -> DataFrame:
+            part = spread(lap, v, keys).withColumn("score", alpha * F.col("score"))
+            return part.unionByName(v.select(*axis, "score")).groupBy(*axis).agg(F.sum("score").alias("score"))
 
-    return conjugate_gradients(times, y, keys, tol, max_rounds)
+        return conjugate_gradients(times, y, keys, tol, max_rounds)
+    given = cut(y.join(diagonal, "node", "left").select(*axis, F.col("score").cast("double").alias("score"), F.coalesce("d", F.lit(1.0)).alias("d")))
+    norm = given.groupBy(*keys).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm")).agg(F.max("norm")).first()[0] or 0.0
+    net = Blocks(g)
+    given = given.select(*axis, (F.col("score") / F.col("d")).alias("score"))
+    return semi_iterate(g, given, keys, spectral_bound(g, net=net), tol / max(1.0, norm), max_rounds, net=net)
 
 
 #: Names of the solvers that a run may ask for, and those of them that a symmetric system alone allows.
@@ -268,20 +280,30 @@ def solve(
     return u.join(root, "node").select(*axis, (F.col("score") / F.col("root")).alias("score")).filter("score <> 0").unionByName(ones)
 
 
-def spectral_bound(g: DataFrame, rounds: int = 4) -> float:
+def spectral_bound(g: DataFrame, rounds: int = 4, net: Blocks | None = None) -> float:
     """A bound of the eigenvalues' sizes of a network without negative weights: the greatest growth of any node of a positive
-    vector v, (G v)_i / v_i, is one for each v. Some steps towards the leading vector make it sharper; the least is returned."""
-    v = cut(g.select(F.col("src").alias("node")).union(g.select("dst")).distinct().withColumn("score", F.lit(1.0)))
+    vector v, (G v)_i / v_i, is one for each v. Some steps towards the leading vector make it sharper; the least is returned.
+
+    net: the network's blocks, if there are some."""
+    net = net or Blocks(g)
+    ones = net.index.select(F.lit(0).alias("key"), "node", F.lit(1.0).alias("score"))
+    v = cut(pack_scores(ones, net, Lanes(ones, ["key"])))
     least = math.inf
     for _ in range(rounds):
-        grown = v.join(spread(g, v, []).withColumnRenamed("score", "more"), "node", "left").na.fill(0.0, ["more"])
-        grown = cut(grown.select("node", "score", "more"))
-        least = min(least, grown.agg(F.max(F.col("more") / F.col("score"))).first()[0] or 0.0)
-        v = grown.select("node", (F.col("score") + F.col("more")).alias("score"))
+        v = cut(net.sums(_grown, net.products(v), (0, v), more=("growth",)))
+        least = min(least, v.agg(F.max("growth")).first()[0] or 0.0)
     return least
 
 
-def semi_iterate(g: DataFrame, given: DataFrame, keys: list[str], bound: float, tol: float = 1e-9, max_rounds: int = 1000, walls: DataFrame | None = None) -> DataFrame:
+def _grown(kept: dict, places, sums):
+    """A block's next vector, that of before (kind 0) and its product, and the greatest growth of any of its nodes."""
+    own, cells = places_of(kept[0]), cells_of(kept[0])
+    more = np.zeros_like(cells)
+    more[np.searchsorted(own, places)] = sums
+    return own, cells + more, float((more / cells).max(initial=0.0))
+
+
+def semi_iterate(g: DataFrame, given: DataFrame, keys: list[str], bound: float, tol: float = 1e-9, max_rounds: int = 1000, walls: DataFrame | None = None, net: Blocks | None = None) -> DataFrame:
     """(keys, node, score): x = G x + given for all keys at once, x 0 on walls (keys, node), by Chebyshev's semi-iteration.
 
     G must be similar to a symmetric matrix, with eigenvalues in [-bound, bound], bound below 1. A round mixes G x + given with
@@ -290,11 +312,11 @@ def semi_iterate(g: DataFrame, given: DataFrame, keys: list[str], bound: float,
     r = bound / (1 + sqrt(1 - bound^2)) a round, where plain rounds fall by the bound (at 0.95: 0.72), and the number of rounds
     for an error of tol of the solution's norm is known beforehand. A warning tells what max_rounds leaves of it.
 
-    Nodes without an edge keep what is given; null scores count as 0."""
+    Nodes without an edge keep what is given; null scores count as 0. net: the blocks of G, if there are some."""
     if not 0 <= bound < 1:
         raise ValueError(f"semi_iterate needs a bound from 0 to below 1, not {bound}")
     given = cut(given.select(*keys, "node", F.col("score").cast("double").alias("score")).na.fill(0.0, ["score"]))
-    net, lanes = Blocks(g), Lanes(given, keys)
+    net, lanes = net or Blocks(g), Lanes(given, keys)
     shrink = bound / (1 + math.sqrt(1 - bound * bound))
     wanted = max(1, math.ceil(math.log(tol / 2) / math.log(shrink))) if shrink > 0 else 1
     if wanted > max_rounds:
@@ -338,18 +360,10 @@ def settle(edges: DataFrame, labels: DataFrame, alpha: float = 0.95, tol: float
 
 
 def preconditioned_solve(edges: DataFrame, y: DataFrame, alpha: float = 1.0, tol: float = 1e-9, max_rounds: int = 1000, keys: list[str] | None = None) -> DataFrame:
-    """(I + alpha L) f = y as `laplacian_solve`, preconditioned by its diagonal and solved by `semi_iterate`.
-
-    With D the diagonal and N the rest, f = D^-1 N f + D^-1 y, whose eigenvalues lie below 1: a row of N sums to less than its D."""
-    keys = keys or ["term"]
+    """(I + alpha L) f = y as `laplacian_solve`, of a network that is shown to be symmetric first."""
     if not is_symmetric(edges):
         raise ValueError("preconditioned_solve needs a symmetric network")
-    lap = cut(laplacian(symmetric_normalise(edges)))
-    diagonal = cut(lap.filter("src = dst").select(F.col("src").alias("node"), (1 + alpha * F.col("weight")).alias("d")))
-    g = lap.filter("src <> dst").join(diagonal, F.col("src") == F.col("node")).select("src", "dst", (-alpha * F.col("weight") / F.col("d")).alias("weight"))
-    g = cut(g.filter("weight <> 0"))
-    given = y.join(diagonal, "node", "left").select(*keys, "node", (F.col("score") / F.coalesce("d", F.lit(1.0))).alias("score"))
-    return semi_iterate(g, given, keys, spectral_bound(g), tol, max_rounds)
+    return laplacian_solve(edges, y, alpha, tol, max_rounds, keys)
 
 
 def reachable(edges: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:

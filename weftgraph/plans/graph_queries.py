@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lineage import materialize
 from weftgraph.operators import combine as C
 from weftgraph.operators import graph as G
 from weftgraph.plans.query import Query
@@ -27,11 +28,11 @@ def _suppliers(t: Tables, where: str):
 
 
 def _trade(t: Tables):
-    """The whole network of nations that trade with customers: every order and line item."""
+    """The whole network of nations that trade with customers: every order and line item, counted and written once."""
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
     pairs = o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"))
-    raw = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    raw = materialize(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "trade")
     return raw.union(raw.select("dst", "src", "weight"))
 
 
