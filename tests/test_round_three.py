@@ -64,3 +64,10 @@ def test_laplacian_of_negative_weights_is_solved_too(spark, star):
     y = spark.createDataFrame([("t", "h0", 1.0)], "term string, node string, score double")
     lap = X.laplacian(star.withColumn("weight", F.lit(1.0)))
     assert lap.count() and X.laplacian_solve(star, y, -0.1, 1e-9).count() == 22
+
+
+def test_few_rounds_are_multiplied_in_blocks(spark, star, monkeypatch):
+    monkeypatch.setattr(X, "spread", _refuse)
+    labels = spark.createDataFrame([("t", "h0", 1)], "term string, node string, label int")
+    got = {r.node: r.score for r in X.propagate(star, labels, 0.5, 2).collect()}
+    assert got["h0"] == 1.0 and got["v3"] == 0.25 and got["h1"] == pytest.approx(0.125)

@@ -19,7 +19,7 @@ from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normal
 from weftgraph.operators.stats import kendall_tau
 
 #: Rounds of propagation that are one plan.
-STATIC = 4
+STATIC = 1
 
 
 def spread(edges: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
