@@ -71,3 +71,16 @@ def test_few_rounds_are_multiplied_in_blocks(spark, star, monkeypatch):
     labels = spark.createDataFrame([("t", "h0", 1)], "term string, node string, label int")
     got = {r.node: r.score for r in X.propagate(star, labels, 0.5, 2).collect()}
     assert got["h0"] == 1.0 and got["v3"] == 0.25 and got["h1"] == pytest.approx(0.125)
+
+
+def test_logistic_reaches_the_minimum(spark):
+    """To more digits than a fit by the JVM's optimiser reached, which also failed where its task could not be sent."""
+    from weftgraph.operators import classify
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 3)), rng.integers(0, 2, 60)
+    rows = [(str(k), [float(v) for v in x[k]], int(y[k]) if k < 50 else None) for k in range(60)]
+    got = {r.node: r.score for r in classify.logistic(spark.createDataFrame(rows, "node string, embedding array<double>, y int"), 2.0).collect()}
+    p = np.array([got[str(k)] for k in range(60)])
+    w = np.linalg.lstsq(np.column_stack([x, np.ones(60)]), np.log(p / (1 - p)), rcond=None)[0]
+    assert np.abs(np.r_[w[:3], 0] + 2.0 * np.column_stack([x, np.ones(60)])[:50].T @ (p - y)[:50]).max() < 1e-8
