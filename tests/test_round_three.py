@@ -84,3 +84,11 @@ def test_logistic_reaches_the_minimum(spark):
     p = np.array([got[str(k)] for k in range(60)])
     w = np.linalg.lstsq(np.column_stack([x, np.ones(60)]), np.log(p / (1 - p)), rcond=None)[0]
     assert np.abs(np.r_[w[:3], 0] + 2.0 * np.column_stack([x, np.ones(60)])[:50].T @ (p - y)[:50]).max() < 1e-8
+
+
+def test_a_line_of_thirty_words_needs_a_stop():
+    from weftgraph.llm import quality_rules
+
+    words = " ".join(f"word{k}" for k in range(30))
+    assert quality_rules.brute_force(f"{words}\n{words} more.")[1] == [f"{words} more."]
+    assert quality_rules.brute_force(f"{words}.\n{words} more.")[1] == [f"{words}.", f"{words} more."]
