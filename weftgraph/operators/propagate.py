@@ -1,7 +1,7 @@
 """Label propagation, Laplacian diffusion and their relatives: every term, fold and repetition is a key of one table.
 
 A product of the network with all score vectors is one join and one sum (`spread`). STATIC rounds of propagation at most are one
-plan of such products. Longer runs multiply in blocks (`blocks`), whose making costs about as much as that many rounds: edges
+plan of such products. Longer runs multiply in blocks (`blocks`), as a joined row for every edge and key is too much to move: edges
 stay where they were written, and scores of many keys travel as dense rows. Loops cut the lineage every round."""
 
 from __future__ import annotations
