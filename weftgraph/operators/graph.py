@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.lineage import cut
+from weftgraph.functions.lineage import cut, materialize
 from weftgraph.functions.order import Ordered
 
 
@@ -159,23 +162,43 @@ def cost_log10(weight: Column, top: Column) -> Column:
     return -F.log10(weight / top * 0.7)
 
 
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (source, node, dist, parent) the least of each source and node in a batch, so that a hub's many rows become few where they are made."""
+    for batch in batches:
+        if batch.num_rows:
+            source, node, dist, parent = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((parent, dist, node, source))
+            source, node = source[order], node[order]
+            yield batch.take(pa.array(order[np.concatenate(([True], (source[1:] != source[:-1]) | (node[1:] != node[:-1])))]))
+
+
 def distances(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(source, node, dist, hops, parent): cheapest paths by relaxation; edges carry `cost`. Parents are the least node."""
-    state = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")))
+    """(source, node, dist, hops, parent): cheapest paths by relaxation; edges carry `cost`, those without one are none. Parents are the least node.
+
+    Nodes are numbered in the order of their names, so that the least number is the least name. A round's rows all have as many hops
+    as there were rounds; they are reduced by batches before they are sorted or sent."""
+    axis = ["source", "node"]
+    named = materialize(index_nodes(nodes_of(edges).union(sources.select("node"))), "names")
+    one, two = named.select(F.col("node").alias("src"), F.col("idx").alias("a")), named.select(F.col("node").alias("dst"), F.col("idx").alias("b"))
+    steps = edges.filter("cost is not null").join(one, "src").join(two, "dst").select("a", "b", F.col("cost").cast("double").alias("cost"))
+    steps = materialize(steps.repartition("b").sortWithinPartitions("b"), "steps")
+    start = sources.select("node").distinct().join(named, "node").select(F.col("idx").alias("source"), F.col("idx").alias("node"))
+    state = cut(start.select(*axis, F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent")))
     frontier, k = state, 0
     while rounds is None or k < rounds:
         k += 1
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst", "cost"), "node").select(
-            "source", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent")
-        )
-        best = lambda t: t.groupBy("source", "node").agg(F.min(F.struct("dist", "hops", "parent")).alias("b")).select("source", "node", "b.*")
-        old = state.select("source", "node", F.col("dist").alias("old"), F.col("hops").alias("old_hops"))
-        better = best(step).join(old, ["source", "node"], "left").filter("old is null or dist < old - 1e-12 or (abs(dist - old) <= 1e-12 and hops < old_hops)")
+        step = frontier.join(steps, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("a").alias("parent"))
+        step = step.mapInArrow(_nearest, "source bigint, node bigint, dist double, parent bigint")
+        best = step.groupBy(*axis).agg(F.min(F.struct("dist", "parent")).alias("b")).select(*axis, "b.dist", F.lit(k).alias("hops"), "b.parent")
+        old = state.select(*axis, F.col("dist").alias("old"), F.col("hops").alias("old_hops"))
+        better = best.join(old, axis, "left").filter("old is null or dist < old - 1e-12 or (abs(dist - old) <= 1e-12 and hops < old_hops)")
         frontier = cut(better.drop("old", "old_hops"))
         if not frontier.limit(1).count():
             break
-        state = cut(best(state.unionByName(frontier)))
-    return state
+        state = cut(state.join(frontier.select(*axis), axis, "left_anti").unionByName(frontier))
+    name = lambda c: named.select(F.col("idx").alias(c), F.col("node").alias(f"{c}_name"))
+    told = state.join(name("source"), "source").join(name("node"), "node").join(name("parent"), "parent", "left")
+    return told.select(F.col("source_name").alias("source"), F.col("node_name").alias("node"), "dist", "hops", F.col("parent_name").alias("parent"))
 
 
 def closest_sources(reached: DataFrame) -> DataFrame:

@@ -27,12 +27,20 @@ def _suppliers(t: Tables, where: str):
     return t.supplier.filter(where).select(F.concat(F.lit("S"), "s_suppkey").alias("node"))
 
 
+#: Line items of a task that brings them to their orders or counts them, on average.
+TASK_LINES = 1 << 20
+
+
 def _trade(t: Tables):
-    """The whole network of nations that trade with customers: every order and line item, counted and written once."""
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    """The whole network of nations that trade with customers: every order and line item, counted and written once.
+
+    Tasks are as many as the line items ask for, and count by numbers, so that a task's memory does not grow with the tables."""
+    n = max(t.spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // TASK_LINES))
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
     s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
-    pairs = o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"))
-    raw = materialize(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "trade")
+    pairs = o.repartition(n, "o_orderkey").join(s.repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    counts = pairs.select("c_custkey", "s_nationkey").repartition(n, "c_custkey").groupBy("c_custkey", "s_nationkey").agg(F.count("*").cast("double").alias("weight"))
+    raw = materialize(counts.select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "s_nationkey").alias("dst"), "weight"), "trade")
     return raw.union(raw.select("dst", "src", "weight"))
 
 
