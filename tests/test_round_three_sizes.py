@@ -50,3 +50,16 @@ def test_trade_is_counted_by_numbers(spark, monkeypatch):
     assert total == 2 * t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).count()
     n = -(-t.lineitem.count() // 100)
     assert f"hashpartitioning(c_custkey#" in plans[0] and f", {n})" in plans[0] and "keys=[src" not in plans[0]
+
+
+def test_join_reads_small_batches(spark, monkeypatch):
+    """A worker of the join gets a thousand rows at once, not ten thousand sets, and the session's setting is as before."""
+    from weftgraph.llm import ngram_join as N
+
+    name, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", [], N.materialize
+    before = spark.conf.get(name)
+    monkeypatch.setattr(N, "materialize", lambda df, at: seen.append(int(spark.conf.get(name))) or keep(df, at))
+    texts = [(k, " ".join(f"w{(k // 2) * 7 + j}" for j in range(40)) + (" more" if k % 2 else "")) for k in range(12)]
+    got = sorted(tuple(r) for r in N.link_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == N.brute_force(texts) and seen and max(seen) == 1000
+    assert spark.conf.get(name) == before and N.PIECE <= 1 << 18

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._common import fresh, materialize, slices, utf8
+from weftgraph.llm._common import fresh, materialize, slices, small_batches, utf8
 from weftgraph.llm.url_filter import BlockedBloom, hits
 
 SHINGLE = 5
@@ -39,8 +39,8 @@ PERCENT = 80
 SKETCH, SKETCH_PARTS = 1 << 22, 64
 #: Partial sketches added in one task at a time.
 FAN_IN = 64
-#: Bytes of text that are hashed at a time.
-PIECE = 1 << 20
+#: Bytes of text that are hashed at a time, and of sets that are compared at a time.
+PIECE, COMPARED = 1 << 18, 1 << 20
 
 _RANDOM = np.random.default_rng(20_231)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,7 +158,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, PIECE):
             sets = shingle_sets(*utf8(batch.column(0)))
             if sets:
                 np.add.at(counts, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
@@ -234,7 +234,7 @@ def _documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = held.value
-        for batch in slices(batches):
+        for batch in slices(batches, PIECE):
             sets = shingle_sets(*utf8(batch.column(1)))
             n, node, group, prefix = [], [], [], []
             for x in sets:
@@ -392,7 +392,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> D
         """Sets of the documents that the filter passes: a few more than are wanted do no harm, and no document moves."""
         for batch in batches:
             batch = batch.filter(pa.array(hits(held.value, batch.column(1).to_numpy(), batch.column(2).to_numpy())))
-            for part in slices([batch]):
+            for part in slices([batch], PIECE):
                 made = shingle_sets(*utf8(part.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array([_identity(x, 11) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "shingles"])
 
@@ -400,7 +400,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> D
     made = materialize(made.dropDuplicates(["node"]), f"{name}-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8 << 20, "y"):
+        for batch in slices(batches, COMPARED, "y"):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -443,7 +443,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, print, n, part (a component, null for a text without words) and component_id of every row."""
+    """key, print, n, part (a component, null for a text without words) and component_id of every row.
+
+    All rounds are written here, in batches that are small in bytes."""
+    with small_batches(docs.sparkSession):
+        return _rounds(docs, key, text)
+
+
+def _rounds(docs: DataFrame, key: str, text: str) -> DataFrame:
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     levels = _levels(_sketch(docs.select("text")))
     made = materialize(_documents(docs, levels), "documents")
