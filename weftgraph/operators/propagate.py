@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.lineage import cut
 from weftgraph.operators.blocks import Blocks, Lanes, by_place, cells_of, pack_scores, places_of, unpack_scores
 from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normalise
+from weftgraph.operators.spokes import fixed_point, spokes_of
 from weftgraph.operators.stats import kendall_tau
 
 #: Rounds of propagation that are one plan.
@@ -244,13 +245,17 @@ def solve(
 
     Names of SYMMETRIC use conjugate gradients, and a network that isn't symmetric is an error; the others use stabilised
     two-sided gradients, on P as it is, for directed networks too. For the former, P = W / d for a symmetric W, so that with u = sqrt(d) s the system is (I - alpha W / sqrt(d d')) u = sqrt(d) f, which is
-    symmetric and, below alpha 1 or where every node has a way to a fixed one, positive definite."""
+    symmetric and, below alpha 1 or where every node has a way to a fixed one, positive definite.
+    Of a network of hubs and spokes the hubs' system is solved alone (see `spokes`)."""
     if solver not in SOLVERS:
         raise ValueError(f"no such solver: {solver}")
     keys = keys or ["term"]
     axis = [*keys, "node"]
     fixed = (labels.filter("label > 0") if plus else labels).select(*axis)
     ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score"))
+    net = spokes_of(edges, labels, keys)
+    if net and (net.symmetric or solver not in SYMMETRIC):
+        return fixed_point(net, alpha, "cg" if solver in SYMMETRIC else "bicgstab", tol, max_rounds, plus, lam).unionByName(ones)
     if solver not in SYMMETRIC:
         p = cut(row_normalise(edges, lam))
         free = lambda v: v.withColumn("score", alpha * F.col("score")).join(fixed, axis, "left_anti")
@@ -350,8 +355,12 @@ def settle(edges: DataFrame, labels: DataFrame, alpha: float = 0.95, tol: float
     alpha at most, which bounds its eigenvalues. At alpha 0.95 an error of 1e-9 takes 67 rounds; plain ones take 404."""
     keys = keys or ["term"]
     axis = [*keys, "node"]
-    if not is_symmetric(edges):
+    net = spokes_of(edges, labels, keys)
+    if not (net.symmetric if net else is_symmetric(edges)):
         raise ValueError("settle needs a symmetric network")
+    if net:
+        ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score")).distinct()
+        return fixed_point(net, alpha, "semi", tol, max_rounds, plus, lam).unionByName(ones)
     fixed = (labels.filter("label > 0") if plus else labels).select(*axis).distinct()
     ones = labels.filter("label > 0").select(*axis, F.lit(1.0).alias("score")).distinct()
     g = cut(row_normalise(edges, lam).withColumn("weight", alpha * F.col("weight")))
