@@ -87,3 +87,60 @@ def test_other_networks_are_not_hubs_and_spokes(spark, net):
     assert P.spokes_of(ring, ring_labels, ["term"]) is None
     assert P.spokes_of(edges.withColumn("weight", -F.col("weight")), labels, ["term"]) is None
     assert P.spokes_of(edges, labels.limit(0), ["term"]) is None
+
+
+def _rounds(names, w, alpha, last, plus):
+    """Statistics of rounds by one sort of all scores: {(term, round): (unranked, stretch, change, ub)}, scores of each."""
+    p, out, states = alpha * w / w.sum(1)[:, None], {}, {}
+    for term in ("t", "u", "w"):
+        ones, fixed = _sides(term, plus)
+        x = np.array([float(n in ones) for n in names])
+        has, free = x > 0, np.array([n not in fixed for n in names])
+        old, top = np.zeros(len(names)), None
+        for k in range(1, last + 1):
+            has = ((w > 0).astype(float) @ has > 0) & free | np.array([n in ones for n in names])
+            x = np.where(free, p @ x, [float(n in ones) for n in names])
+            mine = has & free
+            if not mine.any():
+                break
+            top = x[mine].max() if top is None else top
+            ub, v = alpha**k / (1 - alpha) * top, np.sort(x[mine])
+            near = v[:-1] + ub >= v[1:]
+            open_ = np.concatenate((near, [False])) | np.concatenate(([False], near))
+            stretch = max(map(len, "".join("x" if o else " " for o in open_).split()), default=0)
+            out[term, k] = int(open_.sum()), stretch, (x - old)[mine].max(), ub
+            states[term, k] = {n: x[i] for i, n in enumerate(names) if mine[i]}
+            old = x
+    return out, states
+
+
+@pytest.mark.filterwarnings("ignore:bounds")
+@pytest.mark.parametrize(("plus", "ranges", "ordered"), [(False, 1 << 20, 1 << 21), (True, 12, 1)])
+def test_bounds_are_told_by_hubs(spark, monkeypatch, plus, ranges, ordered):
+    """Scores that differ much more than doubles do, so that no order depends on how sums were rounded; in one range and in many."""
+    monkeypatch.setattr(X, "spread", _refuse)
+    monkeypatch.setattr(P, "RANGE", ranges)
+    monkeypatch.setattr(P, "ORDERED", ordered)
+    monkeypatch.setattr(P, "TILE", 16)
+    rng, rows = random.Random(8), []
+    for v in range(60):
+        rows += [(f"h{h}", f"v{v}", rng.random()) for h in rng.sample(range(5), rng.choice([2, 3, 4]))]
+    rows += [("h0", "h1", 0.7), ("h8", "far", 1.0), ("h8", "v1", 0.3)]
+    edges = spark.createDataFrame(rows + [(b, a, x) for a, b, x in rows], "src string, dst string, weight double")
+    edges = edges.filter("src not in ('h8', 'far') and dst not in ('h8', 'far')")
+    labels = spark.createDataFrame(LABELS, "term string, node string, label int")
+    names, w = _dense(edges)
+    scores, told = X.bounds(edges, labels, 0.5, 30, plus=plus, compare=True)
+    got = {(r.term, r["round"]): r for r in told.collect()}
+    want, states = _rounds(names, w, 0.5, max(r["round"] for r in got.values()), plus)
+    assert got.keys() == want.keys() and len({k for _, k in got}) >= 20
+    for key, (unranked, stretch, change, ub) in want.items():
+        r = got[key]
+        assert (r.unranked, r.stretch) == (unranked, stretch), (key, r, want[key])
+        assert abs(r.change - change) < 1e-12 and abs(r.ub - ub) < 1e-12
+        last = states[key[0], max(k for t, k in want if t == key[0])]
+        x, y = (np.array([s[n] for n in sorted(states[key])]) for s in (states[key], last))
+        pairs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+        assert abs(r.tau - pairs.sum() / (len(x) * (len(x) - 1))) < 1e-9
+    last = {(t, n): v for t in ("t", "u", "w") for n, v in states.get((t, max((k for s, k in want if s == t), default=0)), {}).items()}
+    _same(_scores(scores), last | {(t, n): 1.0 for t, n, y in LABELS if y > 0}, 1e-12)

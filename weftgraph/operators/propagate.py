@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.lineage import cut
 from weftgraph.operators.blocks import Blocks, Lanes, by_place, cells_of, pack_scores, places_of, unpack_scores
 from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normalise
-from weftgraph.operators.spokes import fixed_point, spokes_of
+from weftgraph.operators.spokes import bounded, fixed_point, spokes_of
 from weftgraph.operators.stats import kendall_tau
 
 #: Rounds of propagation that are one plan.
@@ -92,10 +92,14 @@ def bounds(
     round's statistics and a warning tell what is left.
 
     Statistics: unranked nodes, the longest stretch of them in score order, the greatest change of a score in the round, the
-    bound `ub`; and with `compare` also tau, Kendall's of the round's order of nodes and the last round's."""
+    bound `ub`; and with `compare` also tau, Kendall's of the round's order of nodes and the last round's. On hubs and spokes many
+    rounds are told in one pass (see `spokes`)."""
     keys = keys or ["term"]
     if not alpha < 1:
         raise ValueError("bounds need alpha < 1")
+    net = spokes_of(edges, labels, keys)
+    if net:
+        return _bounds_of_spokes(net, labels, alpha, max_rounds, plus, keys, compare)
     fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node")
     p = cut(row_normalise(edges))
     ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
@@ -142,6 +146,18 @@ def bounds(
     return state.select(*keys, "node", "score").unionByName(ones), rows
 
 
+def _bounds_of_spokes(net, labels: DataFrame, alpha: float, max_rounds: int, plus: bool, keys: list[str], compare: bool) -> tuple[DataFrame, DataFrame]:
+    rounds, k, left, found = bounded(net, alpha, max_rounds, plus)
+    if left:
+        warnings.warn(f"bounds: {left} nodes are unranked after {k} rounds", stacklevel=3)
+    rows = net.spark.createDataFrame(found, f"{net.kinds}, unranked long, stretch long, change double, ub double, round int")
+    if compare:
+        rows = rows.join(kendall_tau(rounds.history(k), [*keys, "round"]), [*keys, "round"], "left")
+    ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score"))
+    state = net.scores(rounds.x[k - 1], rounds.x[k], alpha, reached=(rounds.has[k - 1], rounds.has[k] & ~rounds.fixed))
+    return state.unionByName(ones), rows
+
+
 def conjugate_gradients(times, y: DataFrame, keys: list[str], tol: float, max_rounds: int) -> DataFrame:
     """(keys, node, score): the solution of A x = y for all keys at once; times(v) is A v of (keys, node, score), A symmetric
     and positive definite. A key is done when its residual's norm is tol or less."""
