@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.operators import classify as K
 from weftgraph.operators import propagate as X
 from weftgraph.operators import spokes as P
 
@@ -144,3 +145,34 @@ def test_bounds_are_told_by_hubs(spark, monkeypatch, plus, ranges, ordered):
         assert abs(r.tau - pairs.sum() / (len(x) * (len(x) - 1))) < 1e-9
     last = {(t, n): v for t in ("t", "u", "w") for n, v in states.get((t, max((k for s, k in want if s == t), default=0)), {}).items()}
     _same(_scores(scores), last | {(t, n): 1.0 for t, n, y in LABELS if y > 0}, 1e-12)
+
+
+@pytest.mark.parametrize("loss", ["logistic", "svm"])
+def test_machines_are_trained_on_hubs(net, monkeypatch, loss):
+    """The same gradient steps as on all nodes, to the same round."""
+    monkeypatch.setattr(K, "spread", _refuse)
+    edges, labels = net
+    got = _scores(K.network_scores(edges, labels, loss, 2.0, 0.05))
+    names, w = _dense(edges)
+    s, want, terms = w / np.sqrt(np.outer(w.sum(1), w.sum(1))), {}, {}
+    curve, far = (0.25 if loss == "logistic" else 2.0) * 2.0, np.inf
+    for term in ("t", "u"):
+        rows = [(names.index(n) if n in names else -1, y) for t, n, y in LABELS if t == term]
+        terms[term] = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.zeros(len(names)), 0.0
+    rounds = 0
+    while far > 0.05:
+        far, rounds = 0.0, rounds + 1
+        for term, (at, y, x, bias) in terms.items():
+            margin = y * (np.where(at < 0, 0.0, (s @ x)[at]) + bias)
+            pull = 2.0 * (y / (1 + np.exp(margin)) if loss == "logistic" else 2 * y * np.maximum(0.0, 1 - margin))
+            v = np.zeros(len(names))
+            np.add.at(v, at[at >= 0], pull[at >= 0])
+            change = (s @ v - x) / (1 + 2 * curve)
+            terms[term] = at, y, x + change, bias + pull.sum() / (2 * curve * len(y))
+            far = max(far, np.abs(change).max(), abs(pull.sum()) / len(y))
+    for term, (at, y, x, bias) in terms.items():
+        v = s @ x + bias
+        want |= {(term, n): (1 / (1 + np.exp(-v[k])) if loss == "logistic" else v[k]) for k, n in enumerate(names) if k not in at}
+        want |= {(term, n): 1.0 for t, n, y in LABELS if t == term and y > 0}
+    assert 2 < rounds < 100
+    _same(got, want, 1e-9)

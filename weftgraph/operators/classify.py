@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.lineage import cut
 from weftgraph.operators.graph import symmetric_normalise
 from weftgraph.operators.propagate import spread
+from weftgraph.operators.spokes import machine, spokes_of
 
 
 def logistic(rows: DataFrame, c: float = 1.0, max_rounds: int = 100) -> DataFrame:
@@ -159,13 +160,20 @@ def network_scores(
 
     Minimised is |w|^2 / 2 + c * the sum of losses, with a bias that is not penalised. A gradient takes two products with the
     network, for all terms at once, and no step of it leaves Spark. The network's norm is 1 at most and so bounds all curvatures: fixed
-    steps converge at a rate that depends on c alone."""
+    steps converge at a rate that depends on c alone. On hubs and spokes a round is one of the labelled nodes (see `spokes`)."""
     if loss not in ("logistic", "svm"):
         raise ValueError(f"no such loss: {loss}")
-    s = cut(symmetric_normalise(edges))
     known = labels.select("term", "node", F.col("label").cast("double").alias("y"))
     counts = known.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("p")).filter("p > 0")
     known = cut(known.join(counts.select("term", "n"), "term"))
+    net = spokes_of(edges, known.select("term", "node", F.col("y").alias("label")), ["term"])
+    if net and net.symmetric:
+        products, biases, far, _ = machine(net, loss, c, tol, max_rounds)
+        if far > tol:
+            warnings.warn(f"network_scores: the last round still moved scores by {far:.3g}", stacklevel=2)
+        bias = net.spark.createDataFrame(biases, f"{net.kinds}, bias double")
+        return _machine_scores(edges, known, products, bias, loss, nodes)
+    s = cut(symmetric_normalise(edges))
     curve = (0.25 if loss == "logistic" else 2.0) * c
     step = 1 / (1 + 2 * curve)
     weights = known.select("term", "node", F.lit(0.0).alias("score")).limit(0)
@@ -188,11 +196,16 @@ def network_scores(
             break
     else:
         warnings.warn(f"network_scores: the last round still moved scores by {far:.3g}", stacklevel=2)
-    universe = nodes.select("node").distinct() if nodes is not None else s.select(F.col("src").alias("node")).distinct()
+    return _machine_scores(s, known, spread(s, weights, ["term"]), bias, loss, nodes)
+
+
+def _machine_scores(edges: DataFrame, known: DataFrame, products: DataFrame, bias: DataFrame, loss: str, nodes: DataFrame | None) -> DataFrame:
+    """What the products with the weights make of the nodes that weren't trained on, and 1 for training positives."""
+    universe = nodes.select("node").distinct() if nodes is not None else edges.select(F.col("src").alias("node")).distinct()
     asked = universe.join(bias.select("term", "bias"), F.lit(True)).join(known.select("term", "node"), ["term", "node"], "left_anti")
     value = F.coalesce("score", F.lit(0.0)) + F.col("bias")
     value = 1 / (1 + F.exp(-value)) if loss == "logistic" else value
-    found = asked.join(spread(s, weights, ["term"]), ["term", "node"], "left").select("term", "node", value.alias("score"))
+    found = asked.join(products, ["term", "node"], "left").select("term", "node", value.alias("score"))
     return found.unionByName(known.filter("y > 0").select("term", "node", F.lit(1.0).alias("score")))
 
 
