@@ -63,3 +63,18 @@ def test_join_reads_small_batches(spark, monkeypatch):
     got = sorted(tuple(r) for r in N.link_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == N.brute_force(texts) and seen and max(seen) == 1000
     assert spark.conf.get(name) == before and N.PIECE <= 1 << 18
+
+
+def test_graph_elements_are_made_by_many_tasks(spark, monkeypatch):
+    """Tasks grow in number with the edges, and no join brings a label's nodes together."""
+    from weftgraph.sources import graphs as V
+
+    monkeypatch.setattr(V, "TASK_EDGES", 10)
+    edges = spark.createDataFrame([(f"a{k}", f"b{k % 7}") for k in range(200)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"a{k}", "same") for k in range(200)], "node string, label string")
+    made = V.graph_elements(edges, nodes, spark.createDataFrame([("a1", None, "color", "#FF0000")], "item string, other string, style string, value string"))
+    plan = _plan(made)
+    assert "hashpartitioning(src#" in plan and ", 20)" in plan
+    assert not [line for line in plan.splitlines() if "Join" in line and "label#" in line.split("Join", 1)[1].split(",")[0]]
+    labels = [r.label for r in made.filter("group = 'nodes'").orderBy("id").collect()]
+    assert labels[:2] == ["same", "same-a1"] and len(set(labels)) == 207

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 NODE_STYLES = {"shape": "ellipse", "width": "45", "height": "45"}
 EDGE_STYLES = {"width": "1.5", "line-style": "solid"}
 COLOR = "#D8D8D8"
+#: Edges of a task, on average.
+TASK_EDGES = 1 << 18
 ELEMENT = "group string, id string, label string, parent string, source string, target string, directed boolean, popup string, style map<string,string>"
 
 
-def _given(styles: DataFrame, *by: str) -> DataFrame:
+def _given(styles: DataFrame, tasks: int, *by: str) -> DataFrame:
     """A map of styles for each item; of a style given twice, the greatest value."""
-    one = styles.filter("style is not null and value is not null").groupBy(*by, "style").agg(F.max("value").alias("value"))
+    one = styles.filter("style is not null and value is not null").repartition(tasks, *by).groupBy(*by, "style").agg(F.max("value").alias("value"))
     return one.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("style", "value"))).alias("given"))
 
 
@@ -34,17 +36,20 @@ def graph_elements(edges: DataFrame, nodes: DataFrame, styles: DataFrame) -> Dat
 
     Ends of edges that `nodes` lacks are nodes too, without a label. A node without a label is called by its name. Of nodes with one
     label the first by name keeps it, others get their name behind it, so that no two nodes are drawn as one. Without a text a node shows
-    its name, an edge its ends. Rows of null ends or nodes go; repeated ones count once, with the greatest values."""
+    its name, an edge its ends. Rows of null ends or nodes go; repeated ones count once, with the greatest values.
+
+    Tasks are as many as the edges ask for, and nodes of a label never meet in one: that a node is its label's first is told by its name."""
     has = lambda df, *names: df.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in names if c not in df.columns])
     edges, nodes = has(edges, ("directed", "boolean"), ("popup", "string")), has(nodes, ("label", "string"), ("popup", "string"), ("parent", "string"))
-    edges = edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.max("directed").alias("directed"), F.max("popup").alias("popup"))
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_EDGES))
+    edges = edges.filter("src is not null and dst is not null").repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.max("directed").alias("directed"), F.max("popup").alias("popup"))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).select("node", *[F.lit(None).cast("string").alias(c) for c in ("label", "popup", "parent")])
     nodes = nodes.select("node", "label", "popup", "parent").unionByName(ends).filter("node is not null")
-    nodes = nodes.groupBy("node").agg(*[F.max(c).alias(c) for c in ("label", "popup", "parent")]).withColumn("label", F.coalesce("label", "node"))
+    nodes = nodes.repartition(tasks, "node").groupBy("node").agg(*[F.max(c).alias(c) for c in ("label", "popup", "parent")]).withColumn("label", F.coalesce("label", "node"))
     first = nodes.groupBy("label").agg(F.min("node").alias("first"))
-    shown = F.when(F.col("node") == F.col("first"), F.col("label")).otherwise(F.concat_ws("-", "label", "node"))
-    named = nodes.join(first, "label").select("node", shown.alias("label"), "popup", "parent")
-    style = named.join(_given(styles.filter("other is null"), "item"), F.col("node") == F.col("item"), "left")
+    shown = F.when(F.col("first").isNotNull(), F.col("label")).otherwise(F.concat_ws("-", "label", "node"))
+    named = nodes.join(first.select("first"), F.col("node") == F.col("first"), "left").select("node", shown.alias("label"), "popup", "parent")
+    style = named.join(_given(styles.filter("other is null"), tasks, "item"), F.col("node") == F.col("item"), "left")
     color = F.coalesce(F.get(F.map_values(F.map_filter("given", lambda k, _: k == "color")), F.lit(0)), F.lit(COLOR))
     node_style = _over({**{k: F.lit(v) for k, v in NODE_STYLES.items()}, "background-color": color, "border-color": color}, F.col("given"))
     null = lambda kind: F.lit(None).cast(kind)
@@ -52,9 +57,10 @@ def graph_elements(edges: DataFrame, nodes: DataFrame, styles: DataFrame) -> Dat
         F.lit("nodes").alias("group"), F.col("node").alias("id"), "label", "parent", null("string").alias("source"), null("string").alias("target"), null("boolean").alias("directed"),
         F.coalesce("popup", "node").alias("popup"), node_style.alias("style"),
     )
-    lines = edges.join(_given(styles.filter("other is not null"), "item", "other"), (F.col("src") == F.col("item")) & (F.col("dst") == F.col("other")), "left")
+    lines = edges.join(_given(styles.filter("other is not null"), tasks, "item", "other"), (F.col("src") == F.col("item")) & (F.col("dst") == F.col("other")), "left")
     names = named.select("node", "label")
-    lines = lines.join(names.select(F.col("node").alias("src"), F.col("label").alias("source")), "src").join(names.select(F.col("node").alias("dst"), F.col("label").alias("target")), "dst")
+    lines = lines.repartition(tasks, "src").join(names.select(F.col("node").alias("src"), F.col("label").alias("source")), "src")
+    lines = lines.repartition(tasks, "dst").join(names.select(F.col("node").alias("dst"), F.col("label").alias("target")), "dst")
     edge_style = _over({**{k: F.lit(v) for k, v in EDGE_STYLES.items()}, "line-color": color}, F.col("given"))
     pair = F.concat_ws("-", "src", "dst")
     return points.unionByName(lines.select(
