@@ -78,3 +78,51 @@ def test_graph_elements_are_made_by_many_tasks(spark, monkeypatch):
     assert not [line for line in plan.splitlines() if "Join" in line and "label#" in line.split("Join", 1)[1].split(",")[0]]
     labels = [r.label for r in made.filter("group = 'nodes'").orderBy("id").collect()]
     assert labels[:2] == ["same", "same-a1"] and len(set(labels)) == 207
+
+
+def test_rounds_multiply_what_the_last_one_added(spark, monkeypatch):
+    """On a network of two sides a round has scores of one side only, and so half of the edges' work; scores as by hand."""
+    import numpy as np
+
+    from weftgraph.operators import blocks as B
+    from weftgraph.operators import propagate as X
+
+    rng = random.Random(3)
+    rows = [(f"s{a}", f"p{b}", float(rng.choice([1, 2, 5]))) for a in range(6) for b in range(30) if (a + b) % 3]
+    edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src string, dst string, weight double")
+    labels = {(f"t{b % 2}", f"p{b}"): 1 if b % 5 else -1 for b in range(0, 30, 3)}
+    sides, keep = [], B.Blocks.products
+
+    def products(net, state):
+        found = state.join(net.index, "block").select("node").distinct().collect()
+        sides.append({r.node[0] for r in found})
+        return keep(net, state)
+
+    monkeypatch.setattr(B.Blocks, "products", products)
+    monkeypatch.setattr(X, "MOST_PARTS", 3)
+    got = {(r.term, r.node): r.score for r in X.propagate(edges, spark.createDataFrame([(*k, v) for k, v in labels.items()], "term string, node string, label int"), 0.95, 10).collect()}
+    assert sides == [{"p"}, {"s"}] * 5
+    names = [f"s{a}" for a in range(6)] + [f"p{b}" for b in range(30)]
+    w = np.zeros((36, 36))
+    for a, b, x in rows:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = x
+    p, want = w / w.sum(1)[:, None], {}
+    for t in ("t0", "t1"):
+        fixed = np.array([(t, n) in labels for n in names])
+        ones = np.array([labels.get((t, n), 0) > 0 for n in names], float)
+        first = s = np.where(fixed, 0, 0.95 * p @ ones)
+        for _ in range(9):
+            s = np.where(fixed, 0, 0.95 * p @ s) + first
+        want |= {(t, n): x for n, x in zip(names, s + ones, strict=True) if x > 0}
+    assert got.keys() == want.keys() and max(abs(got[k] - x) for k, x in want.items()) < 1e-12
+
+
+def test_edge_rows_are_as_long_as_they_may_be(spark):
+    """Arrow's batches of ten thousand rows don't cut the edges that are multiplied at once; few lanes make blocks larger."""
+    from weftgraph.operators import blocks as B
+
+    edges = spark.range(60000).selectExpr("concat('a', id % 20000) as src", "concat('b', id % 7) as dst", "1.0 as weight")
+    net = B.Blocks(edges)
+    longest = spark.table(net._table).agg(F.max(F.length("weights") / 8)).first()[0]
+    assert longest > 20000  # 60,000 edges from one block of seven nodes, in rows of 32,768
+    assert net.seats.agg(F.sum("seats")).first()[0] == 1

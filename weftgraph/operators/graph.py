@@ -33,7 +33,8 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     pairs = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(
         F.sum(F.when(forth, F.col("weight"))).alias("forth"), F.sum(F.when(~forth, F.col("weight"))).alias("back")
     )
-    same = pairs.filter("u <> v").agg(F.coalesce(F.bool_and(F.col("forth").eqNullSafe(F.col("back"))), F.lit(False)).alias("same"))
+    # Not a filter: that would be read before the pairs are summed, which then would be done twice.
+    same = pairs.agg(F.coalesce(F.bool_and(F.when(F.col("u") != F.col("v"), F.col("forth").eqNullSafe(F.col("back")))), F.lit(False)).alias("same"))
     loops = F.when(F.col("u") == F.col("v"), F.col("forth"))
     weight = F.when(F.col("same"), F.col("forth")).otherwise(F.coalesce("forth", F.lit(0.0)) + F.coalesce(F.col("back"), loops, F.lit(0.0)))
     ways = F.when(F.col("u") == F.col("v"), F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")))).otherwise(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation, Window
@@ -19,8 +20,8 @@ from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normal
 from weftgraph.operators.spokes import bounded, fixed_point, spokes_of
 from weftgraph.operators.stats import kendall_tau
 
-#: Rounds of propagation that are one plan.
-STATIC = 1
+#: Rounds of propagation that are one plan, and rounds whose scores are summed at once.
+STATIC, MOST_PARTS = 1, 16
 
 
 def spread(edges: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,24 +45,41 @@ def propagate(
     keys = keys or ["term"]
     fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node").distinct()
     ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score")).distinct()
-    p = cut(row_normalise(edges, lam))
     if rounds <= STATIC and not eps:
+        p = cut(row_normalise(edges, lam))
         free = lambda s: s.join(fixed, [*keys, "node"], "left_anti").withColumn("score", alpha * F.col("score"))
         state = first = free(spread(p, ones, keys))
         for _ in range(1, rounds):
             state = free(spread(p, state, keys)).unionByName(first).groupBy(*keys, "node").agg(F.sum("score").alias("score"))
         return state.filter("score > 0").unionByName(ones)
-    net, lanes = Blocks(p), Lanes(labels, keys)
+    lanes = Lanes(labels, keys)
+    net = Blocks(cut(edges), width=lanes.width, lam=lam)
     walls = cut(pack_scores(fixed.withColumn("score", F.lit(1.0)), net, lanes))
     state = first = cut(net.sums(_next(alpha), net.products(cut(pack_scores(ones, net, lanes))), (0, walls), more=("gain",)))
-    for _ in range(1, rounds):
-        kept = [(0, walls), (1, first), *([(2, state)] if eps else [])]
-        state = cut(net.sums(_next(alpha), net.products(state), *kept, more=("gain",)))
-        if eps and (state.agg(F.max("gain")).first()[0] or 0.0) <= eps:
-            break
+    if not eps:
+        state = _grown_by(first, lambda step: net.sums(_next(alpha), net.products(step), (0, walls), more=("gain",)), rounds, net)
+    else:
+        for _ in range(1, rounds):
+            state = cut(net.sums(_next(alpha), net.products(state), (0, walls), (1, first), (2, state), more=("gain",)))
+            if (state.agg(F.max("gain")).first()[0] or 0.0) <= eps:
+                break
     return unpack_scores(state, net, lanes).filter("score > 0").unionByName(ones)
 
 
+def _grown_by(first: DataFrame, following, rounds: int, net: Blocks) -> DataFrame:
+    """The sum of what each round adds to the scores. What a round adds follows from what the last one added, and lies where that
+    leads: on a network of two sides on one side only, so that a round multiplies half of the edges."""
+    columns = ["block", "chunk", "places", "cells"]
+    whole = lambda parts: cut(net.sums(lambda kept, places, cells: (places, cells), reduce(DataFrame.unionByName, parts)))
+    step, parts = first, [first.select(*columns)]
+    for _ in range(1, rounds):
+        step = cut(following(step))
+        parts.append(step.select(*columns))
+        if len(parts) > MOST_PARTS:
+            parts = [whole(parts)]
+    return whole(parts) if len(parts) > 1 else parts[0]
+
+
 def _next(alpha: float):
     """A block's next scores: alpha times the sums, nothing on fixed nodes (kind 0), and what fixed ones give (1); the greatest
     growth from the scores before (2)."""
