@@ -26,7 +26,19 @@ def last_edges(raw: DataFrame, order: str, *keys: str) -> DataFrame:
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
-    """W + W' unless W is symmetric already; a self-loop doubles with the rest. Repeated edges are summed.
+    """W + W' unless W is symmetric already; a self-loop doubles with the rest. Repeated edges are summed."""
+    return both_ways(symmetric_pairs(edges))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Each edge of a table that has it once, and its reverse; a self-loop once."""
+    forth, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = F.when(F.col("src") == F.col("dst"), F.array(forth)).otherwise(F.array(forth, back))
+    return pairs.select(F.explode(ways).alias("w"), "weight").select("w.src", "w.dst", "weight")
+
+
+def symmetric_pairs(edges: DataFrame) -> DataFrame:
+    """The edges of `symmetrise`, each once, the lesser name first.
 
     One aggregate by unordered pair has both directions' sums, which also tell whether W is symmetric."""
     forth = F.col("src") <= F.col("dst")
@@ -37,10 +49,7 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     same = pairs.agg(F.coalesce(F.bool_and(F.when(F.col("u") != F.col("v"), F.col("forth").eqNullSafe(F.col("back")))), F.lit(False)).alias("same"))
     loops = F.when(F.col("u") == F.col("v"), F.col("forth"))
     weight = F.when(F.col("same"), F.col("forth")).otherwise(F.coalesce("forth", F.lit(0.0)) + F.coalesce(F.col("back"), loops, F.lit(0.0)))
-    ways = F.when(F.col("u") == F.col("v"), F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")))).otherwise(
-        F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
-    )
-    return pairs.crossJoin(F.broadcast(same)).select(F.explode(ways).alias("w"), weight.alias("weight")).select("w.src", "w.dst", "weight")
+    return pairs.crossJoin(F.broadcast(same)).select(F.col("u").alias("src"), F.col("v").alias("dst"), weight.alias("weight"))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:

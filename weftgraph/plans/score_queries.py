@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lineage import cut
 from weftgraph.operators import classify as K
 from weftgraph.operators import evaluate as E
 from weftgraph.operators import graph as G
 from weftgraph.operators import propagate as X
 from weftgraph.operators import stats as S
 from weftgraph.operators import tables as T
+from weftgraph.operators.blocks import Blocks
 from weftgraph.operators.graph import degrees, nodes_of
 from weftgraph.plans.graph_queries import _TRADE_SQL, _six, _trade, edges
 from weftgraph.plans.query import Query
@@ -476,11 +478,14 @@ def _columns(t: Tables):
     return columns.filter("node like 'N%'").select(F.col("node").alias("source"), F.col("source").alias("node"), F.col("score").alias("value"))
 
 
-def _rescored(t: Tables):
-    """Scores of one term against those from degree-matched random positives: every random set is a key of one run."""
-    e = edges(t)
+def _rescored(t: Tables, sets: int = 10):
+    """Scores of one term against those from degree-matched random positives: every random set is a key of one run, and so is
+    the term itself, as set 0."""
+    net = Blocks(G.symmetric_pairs(t.raw_edges()), width=sets + 1, lam=0.0, pairs=True, write=True)
     labels = t.labels().filter("term = 'PROMO' and label > 0")
-    sets = S.matched_sets(labels, S.uniform_bins(degrees(e).select("node", "degree").filter("node like 'P%'"), 10), 10)
-    random = X.propagate(e, sets.select("rep", "node", F.lit(1).alias("label")).distinct(), 0.95, 2, plus=True, keys=["rep"])
-    real = X.propagate(e, labels, 0.95, 2, plus=True)
-    return S.permutation_p(T.without_positives(real, labels).select("node", F.round("score", 9).alias("score")), random.select("node", F.round("score", 9).alias("score")))
+    binned = cut(S.uniform_bins(net.degrees.filter("node like 'P%'"), 10))
+    drawn = S.matched_sets(labels, binned, sets).select("rep", "node", F.lit(1).alias("label")).distinct()
+    given = cut(drawn.unionByName(labels.select(F.lit(0).alias("rep"), "node", F.lit(1).alias("label"))))
+    scores = X.propagate(None, given, 0.95, 2, plus=True, keys=["rep"], net=net).select("rep", "node", F.round("score", 9).alias("score"))
+    real = T.without_positives(scores.filter("rep = 0").select("node", "score"), labels)
+    return S.permutation_p(real, scores.filter("rep > 0"))
