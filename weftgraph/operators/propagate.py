@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import cut
 from weftgraph.operators.blocks import Blocks, Lanes, by_place, cells_of, pack_scores, places_of, unpack_scores
-from weftgraph.operators.graph import laplacian, row_normalise, symmetric_normalise
+from weftgraph.operators.graph import both_ways, laplacian, row_normalise, symmetric_normalise
 from weftgraph.operators.spokes import bounded, fixed_point, spokes_of
 from weftgraph.operators.stats import kendall_tau
 
@@ -38,24 +38,25 @@ def local(edges: DataFrame, labels: DataFrame, plus: bool = False, keys: list[st
 
 
 def propagate(
-    edges: DataFrame | None, labels: DataFrame, alpha: float = 0.95, rounds: int = 10, eps: float = 0.0, plus: bool = False, lam: float = 0.0, keys: list[str] | None = None, net: Blocks | None = None
+    edges: DataFrame | None, labels: DataFrame, alpha: float = 0.95, rounds: int = 10, eps: float = 0.0, plus: bool = False, lam: float = 0.0, keys: list[str] | None = None, net: Blocks | None = None, pairs: bool = False
 ) -> DataFrame:
     """Propagation from fixed positives: s <- alpha * (P s + P 1_pos) on free nodes, from 0, for `rounds` rounds, or until no
     score grows by more than eps. Positives end at 1; negatives are fixed at 0 (plus: there are none).
 
-    net: the blocks of the network, normalised with lam, if there are some; edges are not read then."""
+    net: the blocks of the network, normalised with lam, if there are some; edges are not read then. pairs: an edge is there once
+    and is read both ways."""
     keys = keys or ["term"]
     fixed = (labels.filter("label > 0") if plus else labels).select(*keys, "node").distinct()
     ones = labels.filter("label > 0").select(*keys, "node", F.lit(1.0).alias("score")).distinct()
     if net is None and rounds <= STATIC and not eps:
-        p = cut(row_normalise(edges, lam))
+        p = cut(row_normalise(both_ways(edges) if pairs else edges, lam))
         free = lambda s: s.join(fixed, [*keys, "node"], "left_anti").withColumn("score", alpha * F.col("score"))
         state = first = free(spread(p, ones, keys))
         for _ in range(1, rounds):
             state = free(spread(p, state, keys)).unionByName(first).groupBy(*keys, "node").agg(F.sum("score").alias("score"))
         return state.filter("score > 0").unionByName(ones)
     lanes = Lanes(labels, keys)
-    net = net or Blocks(edges, width=lanes.width, lam=lam, write=True)
+    net = net or Blocks(edges, width=lanes.width, lam=lam, pairs=pairs, write=True)
     walls = cut(pack_scores(fixed.withColumn("score", F.lit(1.0)), net, lanes))
     state = first = cut(net.sums(_next(alpha), net.products(cut(pack_scores(ones, net, lanes))), (0, walls), more=("gain",)))
     if not eps:

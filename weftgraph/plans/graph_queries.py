@@ -15,6 +15,11 @@ def edges(t: Tables):
     return G.symmetrise(t.raw_edges())
 
 
+def pairs(t: Tables):
+    """The edges, each once."""
+    return G.symmetric_pairs(t.raw_edges())
+
+
 def _six(df, *columns):
     return df.select(*[c for c in df.columns if c not in columns], *[F.round(c, 6).alias(c) for c in columns])
 

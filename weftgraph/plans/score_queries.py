@@ -13,7 +13,7 @@ from weftgraph.operators import stats as S
 from weftgraph.operators import tables as T
 from weftgraph.operators.blocks import Blocks
 from weftgraph.operators.graph import degrees, nodes_of
-from weftgraph.plans.graph_queries import _TRADE_SQL, _six, _trade, edges
+from weftgraph.plans.graph_queries import _TRADE_SQL, _six, _trade, edges, pairs
 from weftgraph.plans.query import Query
 from weftgraph.sources.tables import EDGES_SQL, LABELS_SQL, SCORES_SQL, Tables
 
@@ -208,15 +208,15 @@ QUERIES = [
         lambda t: _six(X.local(edges(t), t.labels(), plus=True), "score"),
         f"WITH {_BASE} SELECT term, p.src AS node, round(sum(p.weight), 6) AS score FROM p JOIN terms t ON t.node = p.dst WHERE label > 0 GROUP BY 1, 2",
     ),
-    Query("x2_propagation", lambda t: _six(X.propagate(edges(t), t.labels(), 0.95, 3), "score"), f"WITH {_X2_SQL} SELECT term, node, round(score, 6) AS score FROM result"),
+    Query("x2_propagation", lambda t: _six(X.propagate(pairs(t), t.labels(), 0.95, 3, pairs=True), "score"), f"WITH {_X2_SQL} SELECT term, node, round(score, 6) AS score FROM result"),
     Query(
         "x2_propagation_ten_rounds",
-        lambda t: _six(X.propagate(edges(t), t.labels(), 0.95, 10), "score"),
+        lambda t: _six(X.propagate(pairs(t), t.labels(), 0.95, 10, pairs=True), "score"),
         f"WITH {_BASE}, {_propagation_sql(0.95, 10)} SELECT term, node, round(score, 6) AS score FROM result",
     ),
     Query(
         "x2_propagation_topk",
-        lambda t: T.top_k(_six(X.propagate(edges(t), t.labels(), 0.95, 3), "score"), ["term"], 50).select("term", "node", "rank", "score"),
+        lambda t: T.top_k(_six(X.propagate(pairs(t), t.labels(), 0.95, 3, pairs=True), "score"), ["term"], 50).select("term", "node", "rank", "score"),
         f"""WITH {_X2_SQL} SELECT * FROM (SELECT term, node, row_number() OVER (PARTITION BY term ORDER BY score DESC, node) AS rank, score
         FROM (SELECT term, node, round(score, 6) AS score FROM result) WHERE score <> 0) WHERE rank <= 50""",
     ),
@@ -466,7 +466,7 @@ def _cross_validation(t: Tables):
     """All folds are propagated at once: a fold's key is the fold that it leaves out."""
     split = E.split_folds(t.labels(), 3)
     train = split.withColumn("out", F.explode(F.array(*[F.lit(k) for k in range(3)]))).filter("fold <> out").select("term", F.col("out").alias("fold"), "node", "label")
-    scores = X.propagate(edges(t), train, 0.95, 3, keys=["term", "fold"])
+    scores = X.propagate(pairs(t), train, 0.95, 3, keys=["term", "fold"], pairs=True)
     held = split.select("term", "fold", "node", "label")
     tested = held.join(scores, ["term", "fold", "node"], "left").select("term", "node", "label", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
     return E.measures(E.curve(tested.select("term", "node", "score"), held.select("term", "node", "label"), ["term"]), ["term"])
@@ -481,7 +481,7 @@ def _columns(t: Tables):
 def _rescored(t: Tables, sets: int = 10):
     """Scores of one term against those from degree-matched random positives: every random set is a key of one run, and so is
     the term itself, as set 0."""
-    net = Blocks(G.symmetric_pairs(t.raw_edges()), width=sets + 1, lam=0.0, pairs=True, write=True)
+    net = Blocks(pairs(t), width=sets + 1, lam=0.0, pairs=True, write=True)
     labels = t.labels().filter("term = 'PROMO' and label > 0")
     binned = cut(S.uniform_bins(net.degrees.filter("node like 'P%'"), 10))
     drawn = S.matched_sets(labels, binned, sets).select("rep", "node", F.lit(1).alias("label")).distinct()
